@@ -4,3 +4,24 @@ SQL: dict[str, str] = {}
 
 #: Fixed value: the words of a text.
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+SQL["op3_sampled_splitters"] = """
+WITH d AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS k, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS place, sum(size) OVER () AS whole FROM d
+), s AS (
+  SELECT *, CAST(place * 40 // whole AS INTEGER) AS shard FROM p
+), bits AS (
+  SELECT list(n ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS n
+    FROM (SELECT unnest(range(0, 256)) AS i))
+)
+SELECT doc_id, size,
+  CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(concat('0x', substr(hex(encode(text)), 2 * j + 1, 2)) AS BIGINT) FOR j IN range(0, strlen(text))]),
+    lambda c, b: xor(bits.t[(xor(c, b) & 255) + 1], c // 256))) AS BIGINT) AS text_crc32,
+  'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM s, bits
+"""
