@@ -60,8 +60,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same = "(shiftright(x, __b) = shiftright(__p[{0}], __b) AND __h[cast(x & (shiftleft(1L, __b) - 1L) as int)] = __h[cast(__p[{0}] & (shiftleft(1L, __b) - 1L) as int)])"
     df = df.select("*", F.expr(f"sort_array(transform(filter(__p, (x, k) -> (k > 0 AND {same.format('k - 1')}) OR (k + 1 < size(__p) AND {same.format('k + 1')})), x -> cast(x & (shiftleft(1L, __b) - 1L) as int)))").alias("__r"))
     covered = F.expr("aggregate(transform(__r, (p, k) -> IF(k + 1 < size(__r), least(3, __r[k + 1] - p), 3)), 0L, (a, x) -> a + x)")
-    return df.select(
-        *keep,
+    # Through a generator, so that a filter on the counts isn't pushed below them
+    # and evaluated inside their own loops.
+    return df.select(*keep, F.inline(F.array(F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.col("__c").cast("long").alias("word_chars"),
         (F.col("__n") - F.col("__s")).cast("long").alias("n_symbols"),
@@ -71,7 +72,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.col("__n") - F.col("__m")).cast("long").alias("n_marks"),
         F.size("__l").cast("long").alias("n_lines"),
         F.col("__n").cast("long").alias("n_chars_all"),
-    )
+    ))))
 
 
 def base_failed() -> Column:
@@ -132,8 +133,13 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, longest: int) ->
                             best, worth = Test(name, above, float(at)), gain
         if best is None:
             break
+        v, hit = x[best.name], live & best.holds(x)
+        rest = live & ~hit
+        if rest.any():  # halfway between what is covered and what isn't
+            lo, hi = (v[rest].max(), v[hit].min()) if best.above else (v[hit].max(), v[rest].min())
+            best = Test(best.name, best.above, float((lo + hi) / 2))
         tests += (best,)
-        live &= best.holds(x)
+        live = hit
     return tests
 
 
