@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
+from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.substring_dedup import substring_dedup
@@ -27,6 +28,10 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
