@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import fresh, table
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.substring_dedup import substring_dedup
+from lodestone.llm.token_files import read_ids, write_ids
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), at)
+    return read_ids(spark, at, with_ids=False)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 

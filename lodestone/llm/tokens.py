@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-MOST = 400_000
+MOST = 1_000_000
 DEFAULT = "word_bpe_49k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -58,14 +58,20 @@ class Encoder:
         if not words:
             return
         have = len(self.index) - len(words)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
+        some = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
+        ids: list[int] = []
+        lengths = np.zeros(len(words), np.int64)
+        for i, e in enumerate(self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False)):
+            ids += e.ids
+            starts = np.cumsum([0, *(len(w) + 1 for w in some[i])])
+            of = np.searchsorted(starts, np.array([s for s, _ in e.offsets], np.int64), "right") - 1
+            lengths[256 * i : 256 * i + len(some[i])] = np.bincount(of, minlength=len(some[i]))[: len(some[i])]
+        total = len(ids)
         while self.n + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.index) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.n : self.n + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.flat[self.n : self.n + total] = ids
         self.begin[have + 1 : have + 1 + len(words)] = self.n + np.cumsum(lengths)
         self.n += total
 
