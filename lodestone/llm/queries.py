@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import fresh, table
+from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.html_text import extract
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
@@ -31,6 +32,10 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), at)
