@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import fresh, table
 from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.html_text import extract
+from lodestone.llm.language_model import score
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
@@ -46,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
