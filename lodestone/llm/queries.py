@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, table
+from lodestone.llm.common import fresh, table, written
 from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.html_text import extract
 from lodestone.llm.language_model import score
@@ -17,6 +17,7 @@ from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_files import read_ids, write_ids
+from lodestone.llm.token_rollup import TokenRollup, changes, token_counts
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,30 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted (twice, the second time without effect), those of
+    low quality revised to their text without repeated lines, the toxic deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    counts = written(token_counts(docs), "token-counts")
+    poor = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    shorter = poor.withColumn("text", F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n"))
+    again = token_counts(shorter).select("doc_id", F.col("n_words").alias("new_words"), F.col("n_bpe").alias("new_bpe"))
+    revised = written(counts.join(again, "doc_id"), "revised-counts")
+    gone = counts.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    last = gone.join(revised.select("doc_id", "new_words", "new_bpe"), "doc_id", "left")
+    last = last.select("source", "lang", F.coalesce("new_words", "n_words").alias("n_words"), F.coalesce("new_bpe", "n_bpe").alias("n_bpe"))
+    rollup = TokenRollup(spark, fresh(spark, "token-rollup"))
+    for name, batch in (
+        ("load", changes(counts, "insert")),
+        ("load", changes(counts, "insert")),
+        ("revise", changes(revised, "revise", ("n_words", "n_bpe"), ("new_words", "new_bpe"))),
+        ("toxic", changes(last, "delete", ("n_words", "n_bpe"), None)),
+    ):
+        rollup.commit(name, batch)
+    return rollup.totals()
+
+
 def op6_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), at)
