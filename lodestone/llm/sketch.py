@@ -76,7 +76,7 @@ def count(hashes: Iterator[np.ndarray], bits: int, depth: int) -> Iterator[pa.Re
     for h in hashes:
         held.append(h)
         size += len(h)
-        if size > 1 << 23:
+        if size > 1 << 21:
             fold()
             size = 0
     fold()
