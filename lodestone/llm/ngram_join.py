@@ -11,18 +11,19 @@ documents link when their sets' Jaccard similarity is at least `percent` / 100.
 3. The global order is cut into `fragments` ranges at quantiles and every
    document's ordered set with it. Overlaps are counted in each fragment
    separately and summed per pair.
-4. Pairs to count share a shingle in their prefixes (the only place where the
-   first shingle that a linked pair has in common can be). First each document
-   meets one other of each prefix shingle; then one of each component that a
-   prefix shingle still leaves apart; at last all pairs that prefix shingles
-   leave in different components. A pair inside a component can't change it, so
-   groups of copies are never expanded into all their pairs, and no link
-   between components is lost.
+4. Pairs to count share a shingle in their prefixes, at places that leave room
+   for the overlap they need (the first shingle that a linked pair has in common
+   is such a one). First each document meets one other of each prefix shingle;
+   then, where a prefix shingle leaves components apart, one or two others of
+   another component; at last all pairs that prefix shingles leave in different components, sought in
+   blocks of bounded size. A pair inside a component can't change it, so groups
+   of copies are never expanded into all their pairs, and no link between
+   components is lost.
 
 Edge cases: a text without words (or null) has an empty set and links with
 nothing; with fewer than n words the whole sequence is the one shingle; a null
-id counts as the least id and comes back as null; rows that share an id count
-as one document for the component, each with its own set; other columns than the id are dropped.
+id counts as the least id and comes back as null; rows that share an id are
+documents of their own; other columns than the id are dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def _sets(batch: pa.RecordBatch, text: int, n: int) -> Iterator[tuple[np.ndarray
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(k, n, s, s2, tokens) of every row; tokens only where enough of them may repeat."""
+    """(node, k, n, s, s2, tokens) of every row; tokens only where enough of them may repeat."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -67,9 +69,10 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for _, shingle in _sets(b, 0, n):
                 yield shingle
 
-    seen = sketch.repeats(docs.select("text"), hashes, sketch.bits_for(size / 6), 1)
+    seen = sketch.repeats(docs.select("text"), hashes, sketch.bits_for(size / 12), 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId() << 36
         for b in batches:
             at = 0
             for counts, shingle in _sets(b, 1, n):
@@ -86,89 +89,125 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 kept = again & live[doc]
                 offsets = np.concatenate([[0], np.cumsum(np.where(live, have, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "k": ids, "n": counts.astype(np.int64), "s": sums[0].view(np.int64), "s2": sums[1].view(np.int64),
+                    "node": node + np.arange(len(counts)), "k": ids, "n": counts.astype(np.int64), "s": sums[0].view(np.int64), "s2": sums[1].view(np.int64),
                     "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle[kept].view(np.int64)), mask=pa.array(~live)),
                 })
+                node += len(counts)
 
-    return written(docs.select("k", "text").mapInArrow(task, "k long, n long, s long, s2 long, tokens array<long>"), "shingle-sets")
+    return written(docs.select("k", "text").mapInArrow(task, "node long, k long, n long, s long, s2 long, tokens array<long>"), "shingle-sets")
 
 
-def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(k, s, n, need, tokens) of possible partners, tokens in the global order as (place, token)."""
-    post = sets.select("k", "s", "n", F.explode("tokens").alias("token"))
+def _ordered(reps: DataFrame, percent: int) -> DataFrame:
+    """(node, n, need, tokens) of possible partners, tokens in the global order as (place, token)."""
+    post = reps.select("node", F.explode("tokens").alias("token"))
     df = post.groupBy("token").count().where("count > 1")
     place = (F.col("count") + (F.col("token") / F.lit(float(1 << 64)) + 0.5)).alias("place")
-    out = post.join(df, "token").groupBy("k", "s", "n").agg(F.sort_array(F.collect_list(F.struct(place, F.col("token")))).alias("tokens"))
-    need = F.expr(f"({percent} * n + 99) div 100")
-    return written(out.withColumn("need", need).where(F.size("tokens") >= F.col("need")), "ordered-sets")
+    lists = post.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(place, F.col("token")))).alias("tokens"))
+    need = F.expr(f"({percent} * n + 99) div 100").alias("need")
+    return written(lists.join(reps.select("node", "n"), "node").select("node", "n", need, "tokens").where(F.size("tokens") >= F.col("need")), "ordered-sets")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: overlaps counted per fragment, summed per pair."""
-    x = segments.toDF("x", "xs", "f", "xt")
-    y = segments.toDF("y", "ys", "f", "yt")
-    part = pairs.join(x, ["x", "xs"]).join(y, ["y", "ys", "f"]).select("x", "xs", "xn", "y", "ys", "yn", F.size(F.array_intersect("xt", "yt")).cast("long").alias("o"))
-    both = part.groupBy("x", "xs", "xn", "y", "ys", "yn").agg(F.sum("o").alias("o"))
+    """The pairs (x, xn, y, yn) that link, as (a, b): overlaps counted per fragment, summed per pair."""
+    x, y = segments.toDF("x", "f", "xt"), segments.toDF("y", "f", "yt")
+    part = pairs.join(x, "x").join(y, ["y", "f"]).select("x", "xn", "y", "yn", F.size(F.array_intersect("xt", "yt")).cast("long").alias("o"))
+    both = part.groupBy("x", "xn", "y", "yn").agg(F.sum("o").alias("o"))
     return both.where(f"100 * o >= {percent} * (xn + yn - o)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _pair(left: str, right: str, percent: int) -> tuple[list, str]:
-    """Both ends' columns, the smaller first, and the filter on their sizes."""
-    first = f"({left}.k, {left}.s) < ({right}.k, {right}.s)"
-    cols = [F.expr(f"IF({first}, {left}.{c}, {right}.{c})").alias(f"x{c}".removesuffix("k")) for c in "ksn"]
-    cols += [F.expr(f"IF({first}, {right}.{c}, {left}.{c})").alias(f"y{c}".removesuffix("k")) for c in "ksn"]
-    fits = f"({left}.k != {right}.k OR {left}.s != {right}.s) AND 100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n)"
-    return cols, fits
+PAIR = ["x", "xn", "y", "yn"]
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of l and r, the lesser node first, that leave room for enough overlap.
+
+    left: how many shingles a document has from the one in common on. If that is
+    the pair's first, their overlap is at most the lesser of the two.
+    """
+    fits = f"l.node != r.node AND {100 + percent} * least(l.left, r.left) >= {percent} * (l.n + r.n)"
+    first = "l.node < r.node"
+    return met.where(fits).select(*(F.expr(f"IF({first}, {a}.{c}, {b}.{c})").alias(v) for v, a, b, c in (("x", "l", "r", "node"), ("xn", "l", "r", "n"), ("y", "r", "l", "node"), ("yn", "r", "l", "n")))).distinct()
+
+
+def _blocks(rest: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """All fitting pairs of different components that share a prefix shingle.
+
+    A shingle's documents are cut into chunks, large components into chunks of
+    their own, and chunks meet chunks; two of one large component needn't.
+    """
+    own = rest.groupBy("token", "c").count()
+    own = own.withColumn("g", F.when(F.col("count") * 10 >= chunk, F.col("c")).otherwise(F.lit(-1).cast("long")))
+    parts = own.groupBy("token", "g").agg(F.expr(f"(sum(count) + {chunk - 1}) div {chunk}").alias("parts"))
+    dealt = rest.join(own.join(parts, ["token", "g"]).select("token", "c", "g", "parts"), ["token", "c"])
+    rows = F.collect_list(F.struct("node", "n", "left", "c")).alias("m")
+    chunks = dealt.groupBy("token", "g", F.expr("pmod(xxhash64(node), parts)").alias("part")).agg(rows)
+    cols = ("node", "n", "left", "c")
+    a = chunks.select("token", F.col("g").alias("ag"), F.col("part").alias("ap"), *(F.col(f"m.{x}").alias(f"a_{x}") for x in cols))
+    b = chunks.select("token", F.col("g").alias("bg"), F.col("part").alias("bp"), *(F.col(f"m.{x}").alias(f"b_{x}") for x in cols))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                an, a_n, al, ac, bn, b_n, bl, bc = (np.asarray(batch.column(c)[i].values) for c in range(8))
+                fit = (100 + percent) * np.minimum(al[:, None], bl[None]) >= percent * (a_n[:, None] + b_n[None])
+                p, q = np.nonzero(fit & (ac[:, None] != bc[None]))
+                x, y = an[p], bn[q]
+                swap = x > y
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"x": np.where(swap, y, x), "xn": np.where(swap, b_n[q], a_n[p]), "y": np.where(swap, x, y), "yn": np.where(swap, a_n[p], b_n[q])})
+
+    met = a.join(b, "token").where("(ag < bg) OR (ag = bg AND ag = -1 AND ap <= bp)").select(*(f"{s}_{x}" for s in "ab" for x in cols))
+    return met.mapInArrow(task, "x long, xn long, y long, yn long").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragments: int = 8, chunk: int = 1000) -> DataFrame:
     """id_col, n_shingles and component_id (the least id reachable by links) of every row."""
     keyed = docs.select(id_key(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = _signed(keyed, n, percent)
-    classes = written(sets.where("n > 0").groupBy("s", "s2", "n").agg(F.min("k").alias("rep")), "classes")
-    reps = sets.where(F.col("tokens").isNotNull()).join(classes.select("s", "s2", "n", F.col("rep").alias("k")), ["k", "s", "s2", "n"], "left_semi").dropDuplicates(["k", "s", "s2", "n"])
+    classes = written(sets.where("n > 0").groupBy("s", "s2", "n").agg(F.min("k").alias("rep"), F.min("node").alias("node")), "classes")
+    reps = sets.where(F.col("tokens").isNotNull()).select("node", "n", "tokens").join(classes.select("node"), "node", "left_semi")
     ordered = _ordered(reps, percent)
 
     cuts = ordered.select(F.explode("tokens.place").alias("p")).agg(F.percentile_approx("p", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cut = F.array(*(F.struct(F.lit(i).alias("f"), F.expr(f"transform(filter(tokens, t -> t.place > {_d(a)} AND t.place <= {_d(b)}), t -> t.token)").alias("t")) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))))
-    segments = written(ordered.select("k", "s", F.explode(cut).alias("c")).select("k", "s", "c.f", "c.t").where(F.size("t") > 0), "segments")
-    prefix = written(ordered.select("k", "s", "n", F.explode(F.expr("slice(tokens, 1, size(tokens) - need + 1).token")).alias("token")), "prefixes")
-
-    # One other document of each prefix shingle.
-    pivot = prefix.groupBy("token").agg(F.min(F.struct("k", "s", "n")).alias("p")).select("token", "p.*")
-    cols, fits = _pair("l", "r", percent)
-    tried = written(prefix.alias("l").join(pivot.alias("r"), "token").where(fits).select(*cols).distinct(), "pairs")
+    segments = written(ordered.select("node", F.explode(cut).alias("c")).select("node", "c.f", "c.t").where(F.size("t") > 0), "segments")
+    places = F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1).token")).alias("i", "token")
+    prefix = written(ordered.select("node", "n", F.size("tokens").cast("long").alias("r"), places).select("node", "n", (F.col("r") - F.col("i")).alias("left"), "token"), "prefixes")
+
+    # One other document of each prefix shingle: the one with most room.
+    room = F.expr(f"{100 + percent} * left - {percent} * n").alias("o")
+    pivot = prefix.groupBy("token").agg(F.max(F.struct(room, "node", "n", "left")).alias("p")).select("token", "p.*")
+    tried = written(_pairs(prefix.alias("l").join(pivot.alias("r"), "token"), percent), "pairs")
     links = written(_overlaps(tried, segments, percent), "links")
 
-    # One document of each component that a prefix shingle leaves apart.
     def apart(links: DataFrame) -> DataFrame:
-        label = components(links).withColumnRenamed("node", "k")
-        p = prefix.join(label, "k", "left").withColumn("c", F.coalesce("label", "k")).drop("label")
+        """Prefixes of the shingles that more than one component has."""
+        p = prefix.join(components(links), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
         open_ = p.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        return written(p.join(open_, "token"), "apart")
-
-    names = ["x", "xs", "xn", "y", "ys", "yn"]
-    left = apart(links)
-    each = left.groupBy("token", "c").agg(F.min(F.struct(F.xxhash64("k", "token").alias("o"), "k", "s", "n")).alias("p"), F.min("lo").alias("lo")).select("token", "c", "lo", "p.*")
-    more = each.alias("l").join(each.where("c = lo").alias("r"), "token").where("l.c != r.c").where(fits).select(*cols).distinct()
-    more = written(more.join(tried, names, "left_anti"), "pairs")
-    links = written(links.union(_overlaps(more, segments, percent)), "links")
-    tried = tried.union(more)
+        return written(p.join(open_.select("token"), "token"), "apart")
+
+    # Again, where a prefix shingle leaves components apart: with the one with most
+    # room in each of two halves of its components, dealt anew each round.
+    for salt in (1, 2):
+        rest = apart(links)
+        half = F.pmod(F.xxhash64("c", "token", F.lit(salt)), F.lit(2)).alias("half")
+        pivot = rest.groupBy("token", half).agg(F.max(F.struct(room, "node", "n", "left", "c")).alias("p")).select("token", "p.*")
+        more = _pairs(rest.alias("l").join(pivot.alias("r"), "token").where("l.c != r.c"), percent)
+        more = written(more.join(tried, PAIR, "left_anti"), "pairs")
+        links = written(links.union(_overlaps(more, segments, percent)), "links")
+        tried = tried.union(more)
 
     # All pairs that are still apart.
-    left = apart(links)
-    sizes = left.groupBy("token", "c").agg(F.expr(f"(count(*) + {chunk - 1}) div {chunk}").alias("parts"))
-    chunks = left.join(sizes, ["token", "c"]).groupBy("token", "c", F.expr("pmod(xxhash64(k, s), parts)").alias("part")).agg(F.collect_list(F.struct("k", "s", "n")).alias("m"))
-    met = chunks.alias("a").join(chunks.alias("b"), "token").where("a.c < b.c").select(F.col("a.m").alias("m"), F.explode("b.m").alias("r")).select("r", F.explode("m").alias("l")).where(fits)
-    rest = met.select(*cols).distinct().join(tried, names, "left_anti")
-    links = written(links.union(_overlaps(written(rest, "pairs"), segments, percent)), "links")
-
-    label = components(links)
-    # Ids shared by classes join these too: a representative stands for its class.
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select("s", "s2", "n", F.coalesce("label", "rep").alias("label"))
-    out = sets.select("k", "n", "s", "s2").join(named, ["s", "s2", "n"], "left").select(F.nullif("k", F.lit(LEAST_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("label", "k"), F.lit(LEAST_ID)).alias("component_id"))
-    return out
+    rest = apart(links)
+    last = _blocks(rest, percent, chunk).join(tried, PAIR, "left_anti")
+    links = written(links.union(_overlaps(written(last, "pairs"), segments, percent)), "links")
+
+    label = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = label.groupBy("label").agg(F.min("rep").alias("component"))
+    named = label.join(least, "label").select("s", "s2", "n", "component")
+    out = sets.select("k", "n", "s", "s2").join(named, ["s", "s2", "n"], "left")
+    return out.select(F.nullif("k", F.lit(LEAST_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "k"), F.lit(LEAST_ID)).alias("component_id"))
 
 
 def _d(x: float) -> str:
