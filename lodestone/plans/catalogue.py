@@ -1,15 +1,545 @@
-"""All queries over the driver's tables, by key, with their SQL."""
+"""All queries over the driver's tables, by key, with their SQL.
+
+A source stands for a candidate, a document for a résumé, a line for a
+fragment, embeddings for the chunk index and roles of a conversation for
+sections; what the tables lack comes as literal rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lodestone.functions import text as T
+from lodestone.functions import vectors
+from lodestone.operators import answers, chunking, evaluation, ingest, quality, ranking, retrieval
+from lodestone.operators import evidence as E
+from lodestone.plans import oracle_text as O
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TERMS = ["the", "que", "tion", "der"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return keep
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- vectors -----------------------------------------------------------------
+
+_DOT = "list_sum([CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE) FOR i IN range(1, len({a}) + 1)])"
+_AB, _AA, _BB = (_DOT.format(a=a, b=b) for a, b in (("e.embedding", "q.v"), ("e.embedding", "e.embedding"), ("q.v", "q.v")))
+_SQ = "list_sum([(CAST(e.embedding[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE)) ** 2 FOR i IN range(1, len(e.embedding) + 1)])"
+_DISTANCE = {"cosine": f"1 - {_AB} / (sqrt({_AA}) * sqrt({_BB}))", "ip": f"1 - {_AB}", "l2": _SQ}
+_SCORED = "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT e.vec_id, e.label, {d} AS d FROM embeddings e, q)"
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(_t(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+def _topk(metric: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        top = retrieval.nearest(_t(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 50, metric, "vec_id")
+        return top.select("vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+    run.__name__ = f"vector_topk_{metric}"
+    query(f"{_SCORED.format(d=_DISTANCE[metric])} SELECT vec_id, CAST(row_number() OVER (ORDER BY d, vec_id) AS INTEGER) AS rank, round(d, 6) AS distance FROM s ORDER BY d, vec_id LIMIT 50")(run)
+
+
+for _metric in ("cosine", "l2", "ip"):
+    _topk(_metric)
+
+
+@query(f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
+SELECT e.vec_id, round(greatest(0.0, least(1.0, 1 - ({_DISTANCE['cosine']}))), 6) AS by_cosine, round(1 / (1 + greatest(0.0, {_SQ})), 6) AS by_l2 FROM embeddings e, q""")
+def semantic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.array(*map(F.lit, _first_vector(spark, sf_dir)))
+    e = F.col("embedding")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.relevance(vectors.distance(e, v)), 6).alias("by_cosine"), F.round(vectors.relevance(vectors.distance(e, v, "l2"), "l2"), 6).alias("by_l2"))
+
+
+@query(f"""{_SCORED.format(d=_DISTANCE['cosine'])}, k AS (SELECT *, row_number() OVER (ORDER BY d, vec_id) AS rank FROM s ORDER BY d, vec_id LIMIT 50),
+g AS (SELECT label, max(greatest(0.0, least(1.0, 1 - d))) AS best, count(*) AS n_hits, min(rank) AS best_rank FROM k GROUP BY label)
+SELECT label, round(best, 6) AS best_relevance, n_hits, CAST(best_rank AS INTEGER) AS best_rank, CAST(row_number() OVER (ORDER BY best DESC, best_rank, label) AS INTEGER) AS candidate_rank FROM g""")
+def candidate_semantic_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = retrieval.nearest(_t(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 50, "cosine", "vec_id")
+    return retrieval.semantic_candidates(top, "label").withColumn("best_relevance", F.round("best_relevance", 6))
+
+
+@query(f"""WITH q AS (SELECT vec_id AS question_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.question_id, e.vec_id, {_DISTANCE['cosine']} AS d FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT question_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance FROM r WHERE rank <= 10""")
+def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    return retrieval.nearest_many(e, q, 10, "cosine", "vec_id").select("question_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""SELECT count(*) AS n_vectors, count_if(len(e.embedding) <> 64) AS n_wrong_dimension, count_if(abs(sqrt({_AA}) - 1) > 1e-3) AS n_not_unit,
+round(min(sqrt({_AA})), 5) AS least_norm, round(max(sqrt({_AA})), 5) AS most_norm FROM embeddings e""")
+def vector_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = vectors.norm(F.col("embedding"))
+    return _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_vectors"), F.count_if(F.size("embedding") != 64).alias("n_wrong_dimension"), F.count_if(F.abs(n - 1) > 1e-3).alias("n_not_unit"), F.round(F.min(n), 5).alias("least_norm"), F.round(F.max(n), 5).alias("most_norm"))
+
+
+# --- identity and page text ---------------------------------------------------
+
+
+@query("""SELECT doc_id, 'document_' || substr(sha256(text), 1, 16) AS document_id, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 THEN 'duplicate_input'
+WHEN doc_id % 3 <> 0 THEN 'pending' WHEN doc_id % 6 = 0 THEN 'metadata_refreshed' ELSE 'skipped' END AS status
+FROM documents""")
+def fingerprint_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document is in the index already, half of those under another name."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), ingest.fingerprint(F.col("text")).alias("document_hash"))
+    first = docs.withColumn("n", F.row_number().over(W.partitionBy("document_hash").orderBy("doc_id"))).where("n = 1 AND doc_id % 3 = 0")
+    index = first.select("document_hash", F.when(F.col("doc_id") % 6 == 0, "old").otherwise(F.col("name")).alias("stored_name"), F.lit(True).alias("complete"))
+    return ingest.classify(docs, index, ["doc_id"]).select("doc_id", ingest.document_id(F.col("document_hash")).alias("document_id"), "status")
+
+
+@query("SELECT sha256(text) AS document_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_input_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ingest.fingerprint(F.col("text")).alias("document_hash")
+    return _t(spark, sf_dir, "documents").groupBy(h).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+_PAGE = r"trim(regexp_replace(array_to_string(list_filter([trim(regexp_replace(l, '[ \t]+', ' ', 'g'), ' ') FOR l IN string_split(replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(160), ' '), chr(10))], lambda l: NOT regexp_full_match(lower(l), 'page \d+ of \d+') AND NOT regexp_full_match(l, '[•▪◦●]')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT doc_id, md5({_PAGE}) AS clean_md5, CAST(length(regexp_replace({_PAGE}, '\\s', '', 'g')) AS INTEGER) AS solid_chars FROM documents")
+def page_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _t(spark, sf_dir, "documents").select("doc_id", chunking.page_text(F.col("text")).alias("t"))
+    return clean.select("doc_id", F.md5(F.col("t").cast("binary")).alias("clean_md5"), chunking.solid_length(F.col("t")).alias("solid_chars"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, list_slice(list_filter([trim(x, ' ') FOR x IN string_split(text, chr(10))], lambda x: x <> ''), 1, 20) AS l FROM documents)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, list_filter(l, lambda x: len(regexp_split_to_array(x, '\s+')) BETWEEN 2 AND 6 AND NOT regexp_matches(x, '[0-9@]') AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: NOT regexp_matches(w, '\pL'))) = 0)[1] AS name FROM h""")
+def nonblank_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", ingest.header_lines(F.col("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("n_lines"), F.get(F.filter("l", lambda x: ingest.is_name(x)), 0).alias("name"))
+
+
+# --- text scalars ---------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(len({O.tokens('text')}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({O.tokens('text')})) AS INTEGER) AS n_distinct FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({O.canonical_terms('text')}) AS term FROM documents) GROUP BY term")
+def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.canonical_terms(F.col("text"))).alias("term"))
+    per_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("c"))
+    return per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string({O.tokens('text')}, ' ')) AS folded_md5 FROM documents WHERE lang <> 'en'")
+def accent_fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("folded_md5"))
+
+
+def _lexical(terms: str, n: int = len(TERMS)) -> str:
+    return " + ".join(f"CASE WHEN list_contains({terms}, '{t}') THEN 1.0 ELSE 0.0 END" for t in TERMS[:n])
+
+
+_LEXICAL = f"WITH s AS (SELECT *, ({_lexical(O.canonical_terms('text'))}) / {len(TERMS)} AS lexical, (doc_id % 97) / 97.0 AS semantic FROM documents)"
+
+
+@query(f"{_LEXICAL} SELECT doc_id, round(lexical, 6) AS lexical, round(0.7 * semantic + 0.3 * lexical, 6) AS combined FROM s")
+def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", F.round("lexical", 6).alias("lexical"), F.round("combined", 6).alias("combined"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lexical, semantic (a stand-in from the id) and combined scores."""
+    rows = _t(spark, sf_dir, "documents").withColumn("terms", T.canonical_terms(F.col("text")))
+    rows = rows.withColumn("lexical", E.lexical(F.col("terms"), F.lit(""), TERMS)).withColumn("semantic", F.col("doc_id") % 97 / F.lit(97.0))
+    return rows.withColumn("combined", E.combined(F.col("semantic"), F.col("lexical")))
+
+
+@query(f"SELECT doc_id, contains(array_to_string({O.tokens('text')}, ' '), 'of the') AS has_two, contains(array_to_string({O.tokens('text')}, ' '), 'and of the') AS has_three FROM documents")
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("n"))
+    return n.select("doc_id", (F.instr("n", "of the") > 0).alias("has_two"), (F.instr("n", "and of the") > 0).alias("has_three"))
+
+
+# --- numbers and relations --------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 40 >= 8 AND o_orderkey % 3 <> 1 THEN 1.0 ELSE 0.0 END AS team_size FROM orders""")
+def numeric_team_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At least 8 people led: sentences about managing, owning and lasting, from orders."""
+    n = (F.col("o_custkey") % 40).cast("string")
+    s = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Managed a team of "), n, F.lit(" engineers.")))
+    s = s.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Led delivery for "), n, F.lit(" years; team lead."))).otherwise(F.concat(F.lit("Supervised "), n, F.lit(" employees! Wrote 99 reports")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", E.numeric(T.clauses(s), 8.0, "gte", "team_size").alias("team_size"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size > 20 THEN 1.0 ELSE 0.0 END AS duration FROM part""")
+def numeric_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More than 20 years of experience, from part sizes."""
+    n = F.col("p_size").cast("string")
+    s = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("She has "), n, F.lit(" years of experience"))).otherwise(F.concat(F.lit("Part "), n, F.lit(" of the experience")))
+    return _t(spark, sf_dir, "part").select("p_partkey", E.numeric(T.clauses(s), 20.0, "gt", "experience_duration").alias("duration"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <> 10 THEN 0.0 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.1 END AS generic FROM part""")
+def numeric_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    s = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Shipped "), n, F.lit(" cloud projects"))).otherwise(F.concat(F.lit("Room "), n, F.lit(" upstairs")))
+    return _t(spark, sf_dir, "part").select("p_partkey", E.numeric(T.clauses(s), 10.0, "eq", "generic", ["shipped", "project"]).alias("generic"))
+
+
+# --- hybrid retrieval and ranking ----------------------------------------------------
+
+_HYBRID = f"""{_LEXICAL}, c AS (SELECT *, 0.7 * semantic + 0.3 * lexical AS combined, 0.3 * lexical AS alone FROM s),
+h AS (SELECT *, row_number() OVER (ORDER BY semantic DESC, doc_id) AS raw_rank FROM c ORDER BY semantic DESC, doc_id LIMIT 50),
+x AS (SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM h) AND lexical > 0 ORDER BY lexical DESC, alone DESC, doc_id DESC LIMIT 50)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The 50 semantic hits and the supplements of the stand-in scores."""
+    all_ = _scored(spark, sf_dir).withColumns({"chunk_id": F.col("doc_id"), "candidate_id": F.col("source"), "numeric": F.lit(0.0), "contextual": F.lit(False)})
+    all_ = all_.select("chunk_id", "candidate_id", "text", "lexical", "semantic", "combined", "numeric", "contextual")
+    top = all_.orderBy(F.desc("semantic"), "chunk_id").limit(50)
+    hits = top.withColumn("raw_rank", F.row_number().over(W.orderBy(F.desc("semantic"), "chunk_id")))
+    alone = all_.withColumn("semantic", F.lit(0.0)).withColumn("combined", 0.3 * F.col("lexical"))
+    return hits, retrieval.supplements(alone, hits, False)
+
+
+@query(f"{_HYBRID} SELECT doc_id, round(lexical, 6) AS lexical FROM x")
+def hybrid_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir)[1].select(F.col("chunk_id").alias("doc_id"), F.round("lexical", 6).alias("lexical"))
+
+
+_MERGED = f"""{_HYBRID}, p AS (SELECT doc_id, source, text, lexical, semantic, combined, raw_rank, 0 AS extra FROM h UNION ALL SELECT doc_id, source, text, lexical, 0.0, alone, NULL, 1 FROM x),
+d AS (SELECT *, row_number() OVER (PARTITION BY source, array_to_string({O.tokens('text')}, ' ') ORDER BY combined DESC, extra, coalesce(raw_rank, 10000), doc_id DESC) AS n FROM p),
+m AS (SELECT *, row_number() OVER (ORDER BY combined DESC, lexical DESC, semantic DESC, coalesce(raw_rank, 10000), doc_id DESC) AS rank FROM d WHERE n = 1)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.merge(*_hits(spark, sf_dir), T.normalized(F.col("text")))
+
+
+@query(f"{_MERGED} SELECT doc_id, CAST(rank AS INTEGER) AS rank, round(combined, 6) AS combined, extra = 1 AS is_supplemental FROM m")
+def assisted_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "rank", F.round("combined", 6).alias("combined"), "is_supplemental")
+
+
+_WEIGHTS = [2.0, 1.5, 1.0, 1.0]
+_MATCHED = f"""{_MERGED}, t AS (SELECT m.*, c.*, 0.7 + 0.2 * semantic + 0.1 * combined AS strength FROM m, (VALUES {', '.join(f"('{t}', CAST({w} AS DOUBLE))" for t, w in zip(TERMS, _WEIGHTS, strict=True))}) c(condition, weight)
+WHERE list_contains({O.canonical_terms('text')}, condition)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, condition ORDER BY strength DESC, combined DESC, semantic DESC, rank) AS k FROM t) WHERE k = 1)"""
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    hits = _merged(spark, sf_dir)
+    conditions = F.array(*(F.struct(F.lit(t).alias("condition"), F.lit(w).alias("weight")) for t, w in zip(TERMS, _WEIGHTS, strict=True)))
+    each = hits.withColumn("terms", T.canonical_terms(F.col("text"))).select("candidate_id", "chunk_id", "combined", "semantic", "rank", "terms", F.inline(conditions))
+    strength = F.when(F.array_contains("terms", F.col("condition")), E.strength(F.lit(1.0), F.col("semantic"), F.col("combined"))).otherwise(0.0)
+    return hits, ranking.best_matches(each.withColumn("strength", strength).drop("terms"))
+
+
+@query(f"{_MATCHED} SELECT source, condition, doc_id, round(strength, 6) AS strength, CAST(rank AS INTEGER) AS rank FROM b")
+def condition_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir)[1].select(F.col("candidate_id").alias("source"), "condition", F.col("chunk_id").alias("doc_id"), F.round("strength", 6).alias("strength"), "rank")
+
+
+_RANKED = f"""{_MATCHED}, g AS (SELECT source, max(semantic) AS support, min(rank) AS best_rank, count(*) AS n_hits FROM m GROUP BY source),
+w AS (SELECT source, sum(weight) / {sum(_WEIGHTS)} AS coverage, sum(weight * strength) / {sum(_WEIGHTS)} AS quality, count(*) AS n_matched FROM b GROUP BY source),
+r AS (SELECT g.source, coalesce(coverage, 0) AS coverage, least(1.0, coalesce(quality, 0)) AS quality, support, best_rank, n_hits, coalesce(n_matched, 0) AS n_matched FROM g LEFT JOIN w USING (source)),
+z AS (SELECT *, least(1.0, 0.55 * coverage + 0.30 * quality + 0.15 * support) AS score FROM r),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, coverage DESC, quality DESC, support DESC, best_rank, source) AS place FROM z ORDER BY place LIMIT 15)"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.candidates(*_matches(spark, sf_dir), sum(_WEIGHTS), len(TERMS))
+
+
+@query(f"{_RANKED} SELECT source, CAST(place AS INTEGER) AS candidate_rank, round(score, 6) AS score, round(coverage, 6) AS coverage, round(quality, 6) AS quality, n_hits FROM k")
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select(F.col("candidate_id").alias("source"), "candidate_rank", *(F.round(c, 6).alias(c) for c in ("score", "coverage", "quality")), "n_hits")
+
+
+@query(f"""{_RANKED}, f AS (SELECT *, n_matched = {len(TERMS)} AND score >= 0.45 AS full_, n_matched >= 1 AND coverage >= 0.65 AND score >= 0.30 AS part_ FROM k), a AS (SELECT *, bool_or(full_) OVER () AS any_ FROM f)
+SELECT source, CAST(place AS INTEGER) AS candidate_rank, CASE WHEN any_ THEN 'supported' ELSE 'partial' END AS outcome FROM a WHERE full_ OR (part_ AND NOT any_)""")
+def support_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.support(_ranked(spark, sf_dir), len(TERMS)).select(F.col("candidate_id").alias("source"), "candidate_rank", "outcome")
+
+
+@query(f"""{_MERGED}, e AS (SELECT doc_id, rank, least(length(text), 900) AS size, coalesce(sum(least(length(text), 900)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m)
+SELECT doc_id, CAST(rank AS INTEGER) AS place, CAST(least(size, 7000 - used) AS BIGINT) AS used_chars FROM e WHERE rank <= 12 AND (size <= 7000 - used OR 7000 - used >= 40)""")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.within_budget(_merged(spark, sf_dir), [F.col("rank")]).select(F.col("chunk_id").alias("doc_id"), "place", F.col("used_chars").cast("long").alias("used_chars"))
+
+
+@query()
+def evidence_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, best = _matches(spark, sf_dir)
+    per = best.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("condition").alias("key"), "weight", F.lit("term").alias("kind"))).alias("conditions"))
+    return ranking.select_evidence(hits.join(per, "chunk_id", "left").select("candidate_id", "chunk_id", "combined", "semantic", "rank", "conditions"))
+
+
+# --- chunking -------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM role AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 0 ELSE 1 END AS n FROM conversations),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT conv_id, CAST(run AS BIGINT) AS run, min(role) AS role, count(*) AS n_turns, min(turn) AS first_turn FROM s GROUP BY conv_id, run""")
+def section_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.runs(_t(spark, sf_dir, "conversations"), "conv_id", ["turn"], "role")
+    return rows.groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+h AS (SELECT *, CASE WHEN length(line) < 20 THEN lower(line) END AS heading FROM l),
+s AS (SELECT *, count(heading) OVER (PARTITION BY doc_id) AS any_, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS cur FROM h)
+SELECT doc_id, CASE WHEN any_ = 0 THEN 'document' ELSE coalesce(cur, 'identity') END AS section, count(*) AS n_lines FROM s GROUP BY 1, 2""")
+def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines as headings; each line belongs to the last heading before it."""
+    rows = chunking.lines(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    heading = F.when(F.length("line") < 20, F.lower("line"))
+    return chunking.sections(rows, "doc_id", ["line_no"], heading).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT doc_id, n, trim(line, ' ') AS line, CASE WHEN trim(line, ' ') = '' OR regexp_matches(line, '^(?:[•▪◦●*-]\s|[^:]{1,40}:\s)') THEN 1 ELSE 0 END AS new_ FROM l),
+i AS (SELECT *, sum(new_) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS unit FROM s)
+SELECT doc_id, count(DISTINCT unit) AS n_units, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM i WHERE line <> '' GROUP BY doc_id""")
+def unit_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _t(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    u = u.select("doc_id", chunking.units(F.col("l")).alias("u"), F.aggregate(F.transform("l", lambda x: F.length(F.trim(x))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_chars"))
+    return u.where(F.size("u") > 0).select("doc_id", F.size("u").cast("long").alias("n_units"), "n_chars")
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter([trim(x, ' ') FOR x IN string_split(text, chr(10))], lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, l, 1 AS i, 0 AS n, 0 AS cur, 0 AS longest FROM l
+UNION ALL SELECT doc_id, l, i + 1, CASE WHEN i = 1 OR cur + 1 + length(l[i]) > 1200 THEN n + 1 ELSE n END, CASE WHEN i = 1 OR cur + 1 + length(l[i]) > 1200 THEN length(l[i]) ELSE cur + 1 + length(l[i]) END,
+greatest(longest, CASE WHEN i = 1 OR cur + 1 + length(l[i]) > 1200 THEN length(l[i]) ELSE cur + 1 + length(l[i]) END) FROM p WHERE i <= len(l))
+SELECT doc_id, CAST(n AS INTEGER) AS n_chunks, CAST(longest AS INTEGER) AS longest FROM p WHERE i = len(l) + 1""")
+def chunk_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    c = _t(spark, sf_dir, "documents").select("doc_id", chunking.pack(u).alias("c"))
+    return c.select("doc_id", F.size("c").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0)).alias("longest"))
+
+
+@query("""SELECT doc_id, 'chunk_' || substr(sha256(concat_ws(chr(31), sha256(text), 'section-v1', '0', 'document', '1', sha256(text))), 1, 24) AS chunk_id FROM documents""")
+def chunk_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", chunking.chunk_id(ingest.fingerprint(t), F.lit(0), F.lit("document"), F.lit("1"), t).alias("chunk_id"))
+
+
+@query()
+def chunk_pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole documents with overlap and the tiny last one merged."""
+    u = F.flatten(F.transform(chunking.units(F.split("text", "\n")), lambda x: F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: s != "")))
+    c = _t(spark, sf_dir, "documents").select("doc_id", ingest.fingerprint(F.col("text")).alias("h"), chunking.merge_last(chunking.pack(u, 1200, 120)).alias("c"))
+    c = c.select("doc_id", "h", F.posexplode("c").alias("chunk_index", "chunk"))
+    return c.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), chunking.chunk_id(F.col("h"), F.col("chunk_index"), F.lit("document"), F.lit("1"), F.col("chunk")).alias("chunk_id"))
+
+
+@query()
+def word_windows_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.word_windows(_t(spark, sf_dir, "documents"), "doc_id", "text", 1200, 120).select("doc_id", "window_no", F.length("window").alias("n_chars"))
+
+
+# --- index state ------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT source, count(*) AS stored, count(*) + CASE WHEN source LIKE '%3' THEN 1 ELSE 0 END AS expected FROM documents GROUP BY source)
+SELECT CAST(sum(stored) AS BIGINT) AS n_records, count(*) AS n_documents, count(DISTINCT source) AS n_candidates, count_if(stored = expected) AS n_complete, count_if(stored <> expected) AS n_incomplete FROM d""")
+def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as documents; those whose name ends in 3 lack a chunk."""
+    d = _t(spark, sf_dir, "documents")
+    n = d.groupBy("source").agg((F.count("*") + F.when(F.col("source").endswith("3"), 1).otherwise(0)).alias("document_chunk_count"))
+    rows = d.join(n, "source").select(F.col("source").alias("document_hash"), F.col("source").alias("candidate_id"), F.col("doc_id").alias("chunk_index"), "document_chunk_count")
+    return ingest.coverage(rows)
+
+
+@query("""WITH s AS (SELECT doc_id, sha256(text) AS h, '/cv/' || CAST(doc_id // 2 AS VARCHAR) AS p, source FROM documents), c AS (SELECT * FROM s WHERE doc_id % 50 = 0)
+SELECT DISTINCT s.doc_id FROM s JOIN c ON s.h <> c.h AND (s.p = c.p OR s.source || CAST(s.doc_id // 10 AS VARCHAR) = c.source || CAST(c.doc_id // 10 AS VARCHAR))""")
+def replaced_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _t(spark, sf_dir, "documents").select("doc_id", ingest.fingerprint(F.col("text")).alias("document_hash"), F.concat(F.lit("/cv/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("source_path"), F.concat("source", F.floor(F.col("doc_id") / 10).cast("string")).alias("candidate_id"))
+    return ingest.replaced(s, s.where("doc_id % 50 = 0")).select("doc_id")
+
+
+# --- data quality ---------------------------------------------------------------------------
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS s, year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 5 AS e FROM orders),
+n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR row_number() OVER (PARTITION BY k ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS new_ FROM i),
+g AS (SELECT *, sum(new_) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM n), m AS (SELECT k, isle, max(e) - min(s) + 1 AS m FROM g GROUP BY k, isle)
+SELECT k AS o_custkey, CAST(sum(m) AS BIGINT) AS months, round_even(sum(m) / 12.0, 1) AS years FROM m GROUP BY k""")
+def employment_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", start.cast("long").alias("s"), (start + F.col("o_orderkey") % 5).alias("e"))
+    return quality.merged_months(rows, "o_custkey", "s", "e")
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, 100.0 * (1 + o_orderkey % 7) / sum(1 + o_orderkey % 7) OVER (PARTITION BY o_custkey) AS share FROM orders),
+f AS (SELECT *, floor(share) AS base, 100 - sum(floor(share)) OVER (PARTITION BY o_custkey) AS left_ FROM s)
+SELECT o_orderkey, CAST(base + CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY round(share - base, 9) DESC, o_orderkey) <= left_ THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM f""")
+def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.largest_remainder(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 7).cast("double"), F.lit(100.0)).select("o_orderkey", "allocated")
+
+
+@query("""WITH a AS (SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name),
+e AS (SELECT r_name, 300 AS n FROM region UNION ALL SELECT 'NOWHERE', 7)
+SELECT coalesce(e.r_name, a.r_name) AS r_name, CAST(coalesce(e.n, 0) AS BIGINT) AS n_expected, CAST(coalesce(a.n, 0) AS BIGINT) AS n_actual FROM e FULL JOIN a ON e.r_name = a.r_name""")
+def distribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n, r = (_t(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    actual = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n_actual"))
+    expected = r.select("r_name", F.lit(300).cast("long").alias("n_expected")).union(spark.range(1).select(F.lit("NOWHERE"), F.lit(7).cast("long")))
+    return quality.distribution_gaps(expected, actual, "r_name")
+
+
+@query("""WITH s AS (SELECT doc_id, 'text' AS signature, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS v FROM documents UNION ALL SELECT doc_id, 'opening', md5(lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' '))) FROM documents),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY signature, v) AS first_id FROM s) SELECT doc_id AS id, first_id, signature FROM f WHERE doc_id > first_id""")
+def uniqueness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return quality.repeats_earlier(docs, "doc_id", {"text": F.md5(T.squeeze(F.col("text")).cast("binary")), "opening": F.md5(T.squeeze(F.substring("text", 1, 60)).cast("binary"))})
+
+
+@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id, 1 AS e FROM documents WHERE doc_id % 2 = 0) FULL JOIN (SELECT DISTINCT doc_id, 1 AS a FROM labels) USING (doc_id) WHERE e IS NULL OR a IS NULL""")
+def missing_unexpected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels expected for even ids."""
+    return quality.missing_and_unexpected(_t(spark, sf_dir, "documents").where("doc_id % 2 = 0"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT s_suppkey, unnest(list_filter([CASE WHEN NOT s_acctbal BETWEEN 0 AND 9000 THEN 'balance' END, CASE WHEN NOT regexp_full_match(s_name, 'Supplier#0*[1-9]\\d?') THEN 'name' END], lambda x: x IS NOT NULL)) AS problem FROM supplier""")
+def field_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.problems(_t(spark, sf_dir, "supplier"), "s_suppkey", {"balance": F.col("s_acctbal").between(0, 9000), "name": F.col("s_name").rlike(r"^Supplier#0*[1-9]\d?$")})
+
+
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, o_totalprice FROM orders) WHERE o_totalprice > before""")
+def newest_first_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.out_of_order(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_custkey", "o_orderkey", "before", "o_totalprice")
+
+
+@query("""SELECT source, min_by(doc_id, (n_chars, doc_id)) AS shortest, max_by(doc_id, (n_chars, -doc_id)) AS longest, min(n_chars) AS least_chars, max(n_chars) AS most_chars FROM documents GROUP BY source""")
+def density_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up, down = F.struct("n_chars", "doc_id"), F.struct("n_chars", (-F.col("doc_id")).alias("m"))
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", up).alias("shortest"), F.max_by("doc_id", down).alias("longest"), F.min("n_chars").alias("least_chars"), F.max("n_chars").alias("most_chars"))
+
+
+@query("""SELECT p_brand, p_type, min(p_partkey) AS first_position, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY p_partkey) AS items FROM part GROUP BY p_brand, p_type""")
+def ordered_group_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_seen_groups(_t(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey", "p_size")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, trim(regexp_replace({O.fold('p_name')}, '[^a-z0-9]+', '-', 'g'), '-') AS stem FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS n FROM s)
+SELECT p_partkey AS document_hash, stem || CASE WHEN n > 1 THEN '-' || CAST(n AS VARCHAR) ELSE '' END || '.pdf' AS new_name FROM n""")
+def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.sources.files import rename_plan
+
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_hash"), "p_name")
+    return rename_plan(rows, T.slug(F.col("p_name"))).select("document_hash", "new_name")
+
+
+@query("""WITH f AS (SELECT item_id, list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 40)), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' '), ' ')) AS w FROM benchmark),
+d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' ') AS s FROM documents)
+SELECT item_id, count(*) AS n_docs FROM f JOIN d ON len(list_filter(w, lambda t: NOT contains(' ' || s || ' ', ' ' || t || ' ') AND NOT (length(t) >= 4 AND contains(s, t)))) = 0 GROUP BY item_id""")
+def fact_token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents prove the opening of each benchmark item."""
+    f = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(T.word_text(F.substring("text", 1, 40)), " ")).alias("w"))
+    d = _t(spark, sf_dir, "documents").select(F.split(T.word_text(F.col("text")), " ").alias("t"))
+    return d.crossJoin(f).where(quality.proven(F.col("t"), F.col("w"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+# --- answers and evaluation --------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT source || '-source-' || CAST(doc_id AS VARCHAR) AS source_id, source AS owner, lang AS label FROM documents), c AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'src0' ELSE source END AS candidate_id, CASE WHEN doc_id % 13 = 0 THEN 'none-source-' ELSE source || '-source-' END || CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE doc_id % 4 = 0),
+r AS (SELECT DISTINCT source AS candidate_id, lang AS label FROM documents), j AS (SELECT c.*, owner, label FROM c LEFT JOIN s USING (source_id))
+SELECT candidate_id, source_id, 'unknown_source' AS problem FROM j WHERE owner IS NULL UNION ALL SELECT candidate_id, source_id, 'other_candidate' FROM j WHERE owner <> candidate_id
+UNION ALL SELECT candidate_id, source_id, 'repeated' FROM c GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT candidate_id, label, 'uncovered_label' FROM r WHERE (candidate_id, label) NOT IN (SELECT (candidate_id, label) FROM j WHERE owner = candidate_id)""")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    sid = answers.source_id(F.col("source"), F.col("doc_id"))
+    sources = d.select(sid.alias("source_id"), F.col("source").alias("owner"), F.col("lang").alias("label"))
+    cited = d.where("doc_id % 4 = 0").select(F.when(F.col("doc_id") % 11 == 0, "src0").otherwise(F.col("source")).alias("candidate_id"), F.when(F.col("doc_id") % 13 == 0, answers.source_id(F.lit("none"), F.col("doc_id"))).otherwise(sid).alias("source_id"))
+    required = d.select(F.col("source").alias("candidate_id"), F.col("lang").alias("label")).distinct()
+    return answers.citation_problems(cited, sources, required)
+
+
+@query(f"""{_LEXICAL} SELECT count_if(lexical >= 0.5 AND quality = 1) AS right_, count_if(lexical >= 0.5) AS returned, count_if(quality = 1) AS wanted,
+round(count_if(lexical >= 0.5 AND quality = 1) / count_if(lexical >= 0.5), 6) AS precision_ FROM s JOIN labels USING (doc_id)""")
+def label_eval_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).select("doc_id", "lexical").join(_t(spark, sf_dir, "labels"), "doc_id")
+    got, good = F.col("lexical") >= 0.5, F.col("quality") == 1
+    return rows.agg(F.count_if(got & good).alias("right_"), F.count_if(got).alias("returned"), F.count_if(good).alias("wanted"), F.round(F.count_if(got & good) / F.count_if(got), 6).alias("precision_"))
+
+
+@query("""WITH r AS (SELECT user_id % 50 AS family, user_id, CASE WHEN user_id % 7 = 0 THEN 'partial' ELSE 'supported' END AS outcome, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS ids FROM events GROUP BY user_id)
+SELECT family, count(*) AS n_questions, count_if(outcome = 'supported') AS n_passed, count(DISTINCT outcome) = 1 AND count(DISTINCT ids) = 1 AS consistent FROM r GROUP BY family""")
+def paraphrase_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as questions of 50 families, their event types as returned ids."""
+    outcome = F.when(F.col("user_id") % 7 == 0, "partial").otherwise("supported")
+    runs = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("returned"))
+    return evaluation.families(runs.select((F.col("user_id") % 50).alias("family"), outcome.alias("outcome"), "returned", (outcome == "supported").alias("passed")))
+
+
+@query("""WITH r AS (SELECT user_id, list_distinct(list(event_type)) AS got, ['click', 'view'] AS want, ['exact', 'contains_all', 'subset', 'any_of', 'none'][1 + user_id % 5] AS policy FROM events GROUP BY user_id)
+SELECT user_id, policy, CASE policy WHEN 'exact' THEN list_sort(got) = list_sort(want) WHEN 'contains_all' THEN list_has_all(got, want) WHEN 'subset' THEN list_has_all(want, got) WHEN 'any_of' THEN list_has_any(got, want) ELSE len(got) = 0 END AND len(got) >= 1 AS met FROM r""")
+def policy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("got"))
+    policies = F.array(*map(F.lit, ("exact", "contains_all", "subset", "any_of", "none")))
+    runs = runs.withColumn("policy", F.get(policies, (F.col("user_id") % 5).cast("int")))
+    return runs.select("user_id", "policy", evaluation.meets(F.col("policy"), F.array(F.lit("click"), F.lit("view")), F.col("got"), F.lit(1)).alias("met"))
+
+
+# --- sources and streams -----------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS page_text FROM pages""")
+def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return _t(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(h, r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("page_text"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_with_k, count(DISTINCT json_extract_string(props, '$.k')) AS n_values FROM events GROUP BY event_type""")
+def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("n_with_k"), F.countDistinct(k).alias("n_values"))
+
+
+@query("SELECT sha256(text) AS document_hash, CAST(min(CAST(doc_id AS VARCHAR)) AS VARCHAR) AS key FROM documents GROUP BY 1")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after all documents have streamed in, each content once."""
+    from uuid import uuid4
+
+    from lodestone.streaming import ingest as stream
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodestone-work"
+    at = f"{root.rstrip('/')}/ingest-{uuid4().hex}"
+    path = f"{sf_dir}/documents.parquet"
+    docs = stream.files(spark, path)
+    stream.start(docs, "doc_id", "text", f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
+    return stream.ledger(spark, f"{at}/ledger").select("document_hash", "key")
