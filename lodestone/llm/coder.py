@@ -173,7 +173,7 @@ def decode(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for t, m in enumerate(live.tolist()):
         model.begin(t, m)
         r = span[:m] >> U(32)
-        v = ((code[:m] - low[:m]) // r).astype(np.int64)
+        v = np.minimum((code[:m] - low[:m]) // r, U((1 << 32) - 1)).astype(np.int64)
         top = v >> 20
         hit2 = top < model.f2
         hit1 = (top < model.f2 + model.f1) & ~hit2
@@ -200,7 +200,7 @@ def decode(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         small = bucket < 64
         share = (flat[at_row + bucket + 1].astype(np.int64) - c) << np.where(small, 3, 0)
         place = (u - c * 256) // share
-        x[esc] = np.where(small, (bucket << 5) + place, ((bucket - 56) << 8) + place)
+        x[esc] = np.where(small, (bucket << 5) + place, ((bucket - 56) << 8) + place) & (LIMIT - 1)  # a damaged block must reach its check
         begin[esc] = (base + fe * (c * 256 + place * share)).astype(U)
         width[esc] = (fe * share).astype(U)
         ids[start[:m] + t] = x
