@@ -9,9 +9,9 @@ two item values share one, so a question with other numbers and names is
 caught and a text that only has its shape isn't. A document is contaminated by
 an item if an alignment matches `least` of its windows, or all if it has fewer.
 
-Only SQL functions: each text is read once, its windows are tested against a
-bitmap of the benchmark's (bounded, a literal), and only windows that pass are
-exploded and joined. The benchmark may be of any size; the plan broadcasts it
+Only SQL functions: each text is read once, its windows' first words are tested
+against a bitmap of the benchmark's (bounded, a literal), and only windows that
+pass are hashed whole, exploded and joined. The benchmark may be of any size; the plan broadcasts it
 only where Spark finds it small.
 
 Names are capitalised words inside a sentence; neighbours make one name.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 UNITS = "km|m|cm|mm|kg|g|mg|lbs?|oz|miles?|met(?:er|re)s?|feet|foot|ft|inch(?:es)?|yards?|acres?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|lit(?:er|re)s?|ml|l|mph|kmh|kwh|watts?|volts?|degrees?"
 MARK = "\x01"
 MOST_BITS = 22
+BEGIN = 3
 
 
 #: Item and document value of each slot. A capitalised word before a quoted passage
@@ -39,27 +40,35 @@ MOST_BITS = 22
 _PAIRS = "transform(arrays_zip(b, d), x -> struct(x.b AS b, IF(endswith(x.d, concat('_', substring(x.b, 3))), x.b, x.d) AS d))"
 
 
-def _tokens(text: Column) -> Column:
-    """Words in lower case; placeholders as mark, kind (n, u, a) and value."""
-    t = F.regexp_replace(text, r"\n", ". ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},]\s)(?=\p{Lu}\p{Ll})", MARK + "a")
-    t = F.regexp_replace(t, rf"(?<={MARK}a\p{{L}}{{1,40}})\s{MARK}a", "_")
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,:/](?=[0-9])", "_")
-    t = F.regexp_replace(t, rf"(?i)(?<=[0-9])\s?({UNITS})\b", f" {MARK}u$1")
-    t = F.regexp_replace(t, r"(?<=[0-9])\s?%", f" {MARK}upercent ")
-    t = F.regexp_replace(t, r"[$€£¥](?=\s?[0-9])", f" {MARK}ucurrency ")
-    t = F.regexp_replace(t, r"(?<![\p{L}_0-9])[0-9][0-9_]*", f"{MARK}n$0")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}_]+"), lambda x: x != "")
+def _templates(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, v: words in lower case, placeholders as mark, kind (n, u, a) and
+    value; t: template words).
 
+    In steps whose results are used more than once, so that none is evaluated
+    twice; texts without marks or digits skip what only concerns these.
+    """
+    t = F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\n"), F.lit(". "))
+    df = rows.where(F.col(key).isNotNull()).select(F.col(key), F.regexp_replace(t, r"\s(?<=[\p{L}\p{N},]\s)(?=\p{Lu}\p{Ll})", f" {MARK}a").alias("x"))
+    joined = F.regexp_replace("x", rf" {MARK}a(?<={MARK}a\p{{L}}{{1,40}} {MARK}a)", "_")
+    df = df.select(key, F.when(F.contains("x", F.lit(MARK)), joined).otherwise(F.col("x")).alias("x"))
+    n = F.regexp_replace("x", r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
+    n = F.regexp_replace(n, rf"(?i)(?<=[0-9])\s?({UNITS})\b", f" {MARK}u$1")
+    n = F.regexp_replace(n, r"(?<=[0-9])\s?%", f" {MARK}upercent ")
+    n = F.regexp_replace(n, r"[$€£¥](?=\s?[0-9])", f" {MARK}ucurrency ")
+    n = F.regexp_replace(n, r"(?<![\p{L}_0-9])[0-9][0-9_]*", f"{MARK}n$0")
+    df = df.select(key, F.when(F.col("x").rlike("[0-9]"), n).otherwise(F.col("x")).alias("x"))
+    words = F.filter(F.split(F.lower("x"), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}_]+"), lambda x: x != "")
+    df = df.select(key, words.alias("v"), F.contains("x", F.lit(MARK)).alias("m"))
+    template = F.transform("v", lambda x: F.when(F.startswith(x, F.lit(MARK)), F.substring(x, 1, 2)).otherwise(x))
+    return df.select(key, "v", F.when(F.col("m"), template).otherwise(F.col("v")).alias("t"))
 
-def _templates(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, v: tokens, t: template words); two steps, so that neither is evaluated twice."""
-    df = rows.where(F.col(key).isNotNull()).select(F.col(key), _tokens(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("v"))
-    return df.select(key, "v", F.transform("v", lambda x: F.when(F.startswith(x, F.lit(MARK)), F.substring(x, 1, 2)).otherwise(x)).alias("t"))
+
+def _hash(at: str, width: int) -> str:
+    return f"xxhash64({', '.join(f't[{at} + {i}]' for i in range(width))})"
 
 
-def _hashes(width: int) -> Column:
-    return F.expr(f"IF(size(t) < {width}, cast(array() as array<bigint>), transform(sequence(1, size(t) - {width} + 1), i -> xxhash64(slice(t, i, {width}))))")
+def _places(width: int) -> str:
+    return f"IF(size(t) < {width}, cast(array() as array<int>), sequence(0, size(t) - {width}))"
 
 
 def _slots(at: str, width: int) -> str:
@@ -72,16 +81,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lengths = sorted({r[0] for r in items.select(F.least(F.size("t"), F.lit(width))).distinct().collect()})
     out = None
     for w in lengths:
-        mine = items.where(F.least(F.size("t"), F.lit(width)) == w).select(F.col(item_col).cast("long").alias("item"), "v", _hashes(w).alias("h"))
-        each = mine.select("item", F.size("h").cast("long").alias("item_windows"), "v", F.posexplode_outer("h").alias("i", "h"))
-        each = each.select("item", "item_windows", "i", "h", F.expr(_slots("i", w)).alias("b")).where(F.lit(w) - F.size("b") >= min(plain, w))
+        begin = min(BEGIN, w)
+        mine = items.where(F.least(F.size("t"), F.lit(width)) == w).select(F.col(item_col).cast("long").alias("item"), "v", F.expr(f"transform({_places(w)}, i -> struct(i, {_hash('i', w)} AS h, {_hash('i', begin)} AS s))").alias("x"))
+        each = mine.select("item", F.size("x").cast("long").alias("item_windows"), "v", F.explode_outer("x").alias("x")).select("item", "item_windows", "x.*", F.expr(_slots("x.i", w)).alias("b"))
+        each = each.where(F.lit(w) - F.size("b") >= min(plain, w))
         bits = int(min(MOST_BITS, max(12, (64 * max(1, each.count())).bit_length())))
-        cell = F.expr(f"h & {(1 << bits) - 1}L")
-        words = {r[0]: r[1] for r in each.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {63}L as int))")).alias("b")).collect()}
+        cell = F.expr(f"s & {(1 << bits) - 1}L")
+        words = {r[0]: r[1] for r in each.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63L as int))")).alias("b")).collect()}
         bitmap = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))), ",").cast("array<bigint>")
-        found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", _hashes(w).alias("h"))
-        found = found.select("doc", "v", "h", _passing(bitmap, bits).alias("p"))
-        found = found.select("doc", F.explode_outer(F.expr(f"transform(p, j -> struct(h[j] AS h, j AS j, {_slots('j', w)} AS d))")).alias("x")).select("doc", "x.*").where("h IS NOT NULL")
+        found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", "t", F.expr(f"transform({_places(w)}, i -> {_hash('i', begin)})").alias("s"))
+        found = found.select("doc", "v", "t", _passing(bitmap, bits).alias("p"))
+        found = found.select("doc", F.explode_outer(F.expr(f"transform(p, j -> struct({_hash('j', w)} AS h, j AS j, {_slots('j', w)} AS d))")).alias("x")).select("doc", "x.*").where("h IS NOT NULL")
+        each = each.drop("s")
         met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "item_windows", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
         line = met.groupBy("doc", "item", "item_windows", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
         line = line.where("size(array_distinct(s.b)) = size(s) AND size(array_distinct(s.d)) = size(s)").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
@@ -94,11 +105,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _passing(bitmap: Column, bits: int) -> Column:
-    """Places of the windows whose bit is set; the bitmap is constant, so each costs a look-up."""
-    places = F.expr("IF(size(h) = 0, cast(array() as array<int>), sequence(0, size(h) - 1))")
+    """Places of the windows whose first words' bit is set; the bitmap is constant, so each costs a look-up."""
+    places = F.expr("IF(size(s) = 0, cast(array() as array<int>), sequence(0, size(s) - 1))")
 
     def set_(i: Column) -> Column:
-        cell = F.get("h", i).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        cell = F.get("s", i).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
         return F.getbit(F.get(bitmap, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     return F.filter(places, set_)
