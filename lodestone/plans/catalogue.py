@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors
-from lodestone.operators import answers, chunking, evaluation, ingest, quality, ranking, retrieval
+from lodestone.operators import answers, chunking, evaluation, ingest, profiles, quality, ranking, retrieval
 from lodestone.operators import evidence as E
 from lodestone.plans import oracle_text as O
 
@@ -472,6 +472,62 @@ def fact_token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.crossJoin(f).where(quality.proven(F.col("t"), F.col("w"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+# --- profiles -----------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || ' - ' || CASE WHEN o_orderstatus = 'O' THEN 'Present' ELSE strftime(o_orderdate + INTERVAL 1 MONTH, '%b %Y') END AS period,
+CAST(o_orderkey % 3 AS VARCHAR) || CASE WHEN o_orderkey % 3 = 1 THEN ' year' ELSE ' years' END AS years, ['calm', 'bold', 'warm', 'plain'][1 + o_orderkey % 4] AS style FROM orders""")
+def profile_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    end = F.when(F.col("o_orderstatus") != "O", month(F.add_months("o_orderdate", 1)))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", profiles.date_range(month(F.col("o_orderdate")), end).alias("period"), profiles.years_label(F.col("o_orderkey") % 3).alias("years"), profiles.pick(["calm", "bold", "warm", "plain"], F.col("o_orderkey")).alias("style"))
+
+
+@query("""SELECT c_custkey, label, evidence FROM (SELECT c_custkey, 'c_name' AS label, c_name AS evidence FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer
+UNION ALL SELECT c_custkey, 'parts_' || CAST(i AS VARCHAR), string_split(c_name, '#')[i] FROM customer, range(1, 3) r(i)) WHERE evidence IS NOT NULL AND evidence <> ''""")
+def fact_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").withColumn("parts", F.slice(F.split("c_name", "#"), 1, 2))
+    return profiles.facts(rows, "c_custkey", ["c_name", "c_mktsegment"], ["parts"])
+
+
+@query("""SELECT c_custkey, CAST(length(c_name) + length(c_mktsegment) + length(replace(c_name, '#', '')) AS BIGINT) AS n_chars, CAST(len(string_split(c_name, '#')) AS BIGINT) AS n_items FROM customer""")
+def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.metrics(_t(spark, sf_dir, "customer").withColumn("parts", F.split("c_name", "#")), "c_custkey", ["c_name", "c_mktsegment"], ["parts"])
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, 6 + o_orderkey % 5 AS m, sum(6 + o_orderkey % 5) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS a FROM orders), i AS (SELECT *, 2026 * 12 + 6 - a + 1 AS s, 2026 * 12 + 6 - a + m AS e FROM r)
+SELECT o_orderkey, lpad(CAST(s // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST(s % 12 + 1 AS VARCHAR), 2, '0') AS start_date, lpad(CAST(e // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST(e % 12 + 1 AS VARCHAR), 2, '0') AS end_date FROM i""")
+def rebuilt_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (-F.col("o_orderkey")).alias("p"), (6 + F.col("o_orderkey") % 5).alias("m"))
+    return profiles.rebuilt_dates(rows, "o_custkey", "p", "m", "2026-07").select("o_orderkey", "start_date", "end_date")
+
+
+@query("""SELECT source, min(lang) AS lang, concat_ws(',', CASE WHEN count(DISTINCT lang) > 1 THEN 'lang' END, CASE WHEN count(DISTINCT source) > 1 THEN 'source_name' END) AS conflicts FROM documents GROUP BY source""")
+def catalogue_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("source", "lang", F.col("source").alias("source_name"))
+    return profiles.catalogue(rows, "source", ["lang", "source_name"]).select("source", "lang", "conflicts")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains('does anyone from nation_3 or nation_17 know sql', replace(lower(n_name), '_', ' ')) OR contains('does anyone from nation 3 or nation 17 know sql', replace(lower(n_name), '_', ' '))")
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.mentioned(_t(spark, sf_dir, "nation"), F.col("n_name"), "Does anyone from Nation_3 or NATION-17 know SQL?").select("n_nationkey", "n_name")
+
+
+@query("""WITH r AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS got FROM events GROUP BY user_id)
+SELECT user_id, array_to_string(list_filter(['click', 'login', 'purchase', 'view'], lambda x: NOT list_contains(got, x)), ',') AS missing, len(got) >= 5 AS selected FROM r""")
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the wanted labels each question's result lacks."""
+    got = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("got"))
+    want = F.array(*map(F.lit, ("click", "login", "purchase", "view")))
+    return got.select("user_id", F.array_join(F.array_except(want, "got"), ",").alias("missing"), (F.size("got") >= 5).alias("selected"))
+
+
+@query("""SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.window("ts", "1 day")["start"].alias("day")
+    return _t(spark, sf_dir, "events").groupBy("event_type", day).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 # --- answers and evaluation --------------------------------------------------------------------
 
 
