@@ -19,12 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if unset."""
+    """The folder that driver and executors share; a local one only if none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-work")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path or "file://" + os.path.join(tempfile.gettempdir(), "lodestone-work")).rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
