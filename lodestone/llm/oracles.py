@@ -25,3 +25,42 @@ SELECT doc_id, size,
   CAST(NULL AS INTEGER) AS grown_shard
 FROM s, bits
 """
+
+SQL["op1_substring_dedup"] = f"""
+WITH d AS (
+  SELECT doc_id, {WORDS} AS w FROM documents
+), x AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 18))) AS r(i)
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM x
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM f, unnest(range(i, i + 20)) AS r(j) WHERE n > 1
+), p AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+), k AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS kept FROM p ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op10_ngram_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {WORDS.replace('coalesce(text', f'coalesce({LOWER}')} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS r(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), c AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a
+), m AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
