@@ -37,3 +37,22 @@ def default_citations(sources: DataFrame) -> DataFrame:
 def draft(name: Column, outcome: Column, n: Column) -> Column:
     """Deterministic wording of a candidate's line."""
     return F.when(outcome == "supported", F.concat(name, F.lit(" meets all "), n.cast("string"), F.lit(" requirements."))).when(outcome == "partial", F.concat(name, F.lit(" meets "), n.cast("string"), F.lit(" of the requirements."))).otherwise(F.lit("No candidate is supported by the evidence."))
+
+
+def presented(ranked: DataFrame, cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """Ranked candidates with the sources cited for them, in order (candidate_id; candidate_id, source_id; source_id, place, page_label)."""
+    own = cited.join(sources, "source_id").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("place", "source_id", "page_label"))).alias("sources"))
+    return ranked.join(own, "candidate_id", "left").withColumn("first_page", F.regexp_extract(F.get("sources", 0)["page_label"], r"^\d+", 0))
+
+
+def draft_problems(draft: DataFrame, ranked: DataFrame, most: int = 2000) -> DataFrame:
+    """(candidate_id, problem) of a drafted answer (candidate_id, place, text): unknown, missing, out of order, empty or long."""
+    met = draft.join(ranked.select("candidate_id", "final_rank"), "candidate_id", "full_outer")
+    checks = F.array(
+        F.when(F.col("final_rank").isNull(), "unknown_candidate"),
+        F.when(F.col("place").isNull(), "missing_candidate"),
+        F.when(F.col("place") != F.col("final_rank"), "out_of_order"),
+        F.when(F.col("place").isNotNull() & (F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0), "empty"),
+        F.when(F.length("text") > most, "too_long"),
+    )
+    return met.select("candidate_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))

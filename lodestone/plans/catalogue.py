@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors
-from lodestone.operators import answers, chunking, evaluation, ingest, profiles, quality, ranking, retrieval
+from lodestone.operators import answers, chunking, evaluation, ingest, profile_checks, profiles, quality, ranking, retrieval
 from lodestone.operators import evidence as E
 from lodestone.plans import oracle_text as O
 
@@ -528,6 +528,30 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy("event_type", day).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""SELECT doc_id, unnest(list_filter([CASE WHEN contains(s, 'of the') THEN 'of the' END, CASE WHEN contains(s, 'version 2') THEN 'version 2' END], lambda x: x IS NOT NULL)) AS phrase
+FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' ') AS s FROM documents)""")
+def forbidden_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_checks.phrase_hits(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["of the", "version 2"])
+
+
+@query("""WITH n AS (SELECT n_regionkey AS scenario_id, source AS candidate_id, unnest(['the', 'zzyzx']) AS evidence FROM nation, (SELECT DISTINCT source FROM documents) WHERE n_nationkey % 5 = 0 AND 'src' || CAST(n_nationkey AS VARCHAR) = source),
+d AS (SELECT source, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' ') AS s FROM documents)
+SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = n.candidate_id AND contains(d.s, n.evidence))""")
+def scenario_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth nation as a scenario that asks a source for two words."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("source").alias("candidate_id"), "text")
+    names = docs.select("candidate_id").distinct()
+    n = _t(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_regionkey").alias("scenario_id"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("candidate_id"))
+    s = n.join(names, "candidate_id", "left_semi").select("scenario_id", F.array("candidate_id").alias("candidates"), F.array(F.lit("the"), F.lit("zzyzx")).alias("required"))
+    return profile_checks.scenario_gaps(s, docs)
+
+
+@query("""SELECT conv_id, len(list_distinct(list(lower(trim(role))))) = count(*) AS roles_differ FROM conversations GROUP BY conv_id""")
+def list_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
+    return g.select("conv_id", profile_checks.no_repeats(F.col("r")).alias("roles_differ"))
+
+
 # --- answers and evaluation --------------------------------------------------------------------
 
 

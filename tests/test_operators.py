@@ -132,3 +132,12 @@ def test_ask(spark):
     got = ask(chunks, "Who managed at least 8 engineers and is native in German?", [1.0, 0.0], k=2).collect()
     assert [(r.candidate_id, r.outcome, r.final_rank) for r in got] == [("k1", "supported", 1)]
     assert ask(chunks, "who is the", [1.0, 0.0]).count() == 0
+
+
+def test_drafts_and_presentation(spark):
+    ranked = spark.createDataFrame([("a", 1), ("b", 2)], "candidate_id string, final_rank int")
+    draft = spark.createDataFrame([("a", 2, "x"), ("c", 1, "")], "candidate_id string, place int, text string")
+    assert {tuple(r) for r in answers.draft_problems(draft, ranked).collect()} == {("a", "out_of_order"), ("b", "missing_candidate"), ("c", "unknown_candidate"), ("c", "empty")}
+    cited = spark.createDataFrame([("a", "a-source-1")], "candidate_id string, source_id string")
+    sources = spark.createDataFrame([("a-source-1", 1, "3-4")], "source_id string, place int, page_label string")
+    assert {r.candidate_id: r.first_page for r in answers.presented(ranked, cited, sources).collect()} == {"a": "3", "b": None}
