@@ -41,22 +41,20 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted (twice, the second time without effect), those of
     low quality revised to their text without repeated lines, the toxic deleted."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    lines = F.split("text", "\n")
+    shorter = F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.array_join(F.array_distinct(lines), "\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"), shorter.alias("new"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    counts = written(token_counts(docs), "token-counts")
-    poor = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    shorter = poor.withColumn("text", F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n"))
-    again = token_counts(shorter).select("doc_id", F.col("n_words").alias("new_words"), F.col("n_bpe").alias("new_bpe"))
-    revised = written(counts.join(again, "doc_id"), "revised-counts")
-    gone = counts.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    last = gone.join(revised.select("doc_id", "new_words", "new_bpe"), "doc_id", "left")
-    last = last.select("source", "lang", F.coalesce("new_words", "n_words").alias("n_words"), F.coalesce("new_bpe", "n_bpe").alias("n_bpe"))
+    counts = written(token_counts(docs, ("text", "new")), "token-counts")
+    labelled = written(counts.join(labels, "doc_id").withColumns({c: F.coalesce(c, c.replace("new", "text")) for c in ("new_words", "new_bpe")}), "labelled-counts")
+    was, now = ("text_words", "text_bpe"), ("new_words", "new_bpe")
+    last = labelled.where("toxic = 1").withColumns({n: F.when(F.col("quality") == 0, F.col(n)).otherwise(F.col(w)) for w, n in zip(was, now, strict=True)})
     rollup = TokenRollup(spark, fresh(spark, "token-rollup"))
     for name, batch in (
         ("load", changes(counts, "insert")),
         ("load", changes(counts, "insert")),
-        ("revise", changes(revised, "revise", ("n_words", "n_bpe"), ("new_words", "new_bpe"))),
-        ("toxic", changes(last, "delete", ("n_words", "n_bpe"), None)),
+        ("revise", changes(labelled.where("quality = 0"), "revise", was, now)),
+        ("toxic", changes(last, "delete", now, None)),
     ):
         rollup.commit(name, batch)
     return rollup.totals()

@@ -81,25 +81,31 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 OR n_tokens != 0")
 
 
-def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs' columns without the text, with the counts of both tokenizers, n_words and n_bpe."""
+def token_counts(docs: DataFrame, text_cols: tuple[str, ...] = ("text",), path: str | None = None) -> DataFrame:
+    """docs' columns without the texts, with the counts of both tokenizers for each
+    text column, x_words and x_bpe; null where the text is null. One pass, no shuffle."""
     path = path or default_path()
-    keep = [f for f in docs.schema.fields if f.name not in (text_col, "n_words", "n_bpe")]
+    added = [f"{c}_{k}" for c in text_cols for k in ("words", "bpe")]
+    keep = [f for f in docs.schema.fields if f.name not in (*text_cols, *added)]
     names = [f.name for f in keep]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             for b in K.slices(batch, len(names)):
-                data, offsets = K.buffers(b.column(len(names)))
-                _, at = enc.encode(data, offsets)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(K.Words(data, offsets).counts.astype(np.int64)), pa.array(np.diff(at))], [*names, "n_words", "n_bpe"])
+                out = b.columns[: len(names)]
+                for text in b.columns[len(names) :]:
+                    data, offsets = K.buffers(text)
+                    null = np.asarray(text.is_null())
+                    counts = (K.Words(data, offsets).counts.astype(np.int64), np.diff(enc.encode(data, offsets)[1]))
+                    out += [pa.array(n, mask=null) for n in counts]
+                yield pa.RecordBatch.from_arrays(out, [*names, *added])
 
-    schema = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("n_bpe", T.LongType())])
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(task, schema)
+    schema = T.StructType([*keep, *(T.StructField(c, T.LongType()) for c in added)])
+    return docs.select(*names, *(F.col(c).cast("string").alias(f"__{c}") for c in text_cols)).mapInArrow(task, schema)
 
 
-def changes(counts: DataFrame, kind: str, old: tuple[str, str] | None = None, new: tuple[str, str] | None = ("n_words", "n_bpe")) -> DataFrame:
+def changes(counts: DataFrame, kind: str, old: tuple[str, str] | None = None, new: tuple[str, str] | None = ("text_words", "text_bpe")) -> DataFrame:
     """One change per document and tokenizer; old, new: the columns of the two counts."""
     none = F.lit(None).cast("long")
     each = [F.struct(F.lit(t).alias("tokenizer"), (F.col(old[i]) if old else none).alias("old_tokens"), (F.col(new[i]) if new else none).alias("new_tokens")) for i, t in enumerate((WORDS, BPE))]
