@@ -1,8 +1,8 @@
 """Token ids by a public tokenizer, word by word.
 
-The tokenizer drops white space and never joins across it, and its
-normaliser works within runs that white space ends, so a text's ids are its
-words' ids one after another. Each worker keeps the ids of the words it has
+A tokenizer that drops white space never joins across it, and its normaliser
+works within runs that white space ends, so a text's ids are its words' ids one
+after another. (Others encode whole texts.) Each worker keeps the ids of the words it has
 met (at most MOST words, then it starts anew), which the tokenizers library
 encoded once; a text costs one look-up per word.
 """
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-MOST = 1_000_000
+MOST = 500_000
 DEFAULT = "word_bpe_49k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -45,6 +45,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = ids(" a \n b.\t") == ids("a") + ids("b.")
+        self.lower = self.by_word and "Lowercase" in str(self.tokenizer.normalizer)
         self._clear()
 
     def _clear(self) -> None:
@@ -75,11 +78,22 @@ class Encoder:
         self.begin[have + 1 : have + 1 + len(words)] = self.n + np.cumsum(lengths)
         self.n += total
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """For tokenizers that keep white space: each text at once."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets, offsets[1:], strict=False)]
+        ids = [e.ids + ([] if end is None else [end]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin (one more than texts). end: an id after each text."""
+        if not self.by_word:
+            return self._whole(data, offsets, end)
         if len(self.index) > self.most:
             self._clear()
         raw = data.tobytes()
+        if self.lower and b"<|" not in raw:  # fewer different words; special tokens are told by case
+            raw = raw.lower()
         words: list[bytes] = []
         first = np.zeros(len(offsets), np.int64)
         at = offsets.tolist()

@@ -253,11 +253,11 @@ def test_rollup(spark, docs, tmp_path):
     n = sum(len(split(t)) for _, t, *_ in fixture_rows())
     assert r.totals().where("tokenizer = 'words-1'").agg(F.sum("n_tokens")).first()[0] == n
     assert r.commit("empty", changes(counts.limit(0), "insert"))
-    more = counts.withColumn("new_words", F.col("n_words") + 1).withColumn("new_bpe", F.col("n_bpe") + 2)
-    assert r.commit("b", changes(more, "revise", ("n_words", "n_bpe"), ("new_words", "new_bpe")))
+    more = counts.withColumn("new_words", F.coalesce("text_words", F.lit(0)) + 1).withColumn("new_bpe", F.coalesce("text_bpe", F.lit(0)) + 2)
+    assert r.commit("b", changes(more, "revise", ("text_words", "text_bpe"), ("new_words", "new_bpe")))
     t = {x.tokenizer: (x.d, x.t) for x in r.totals().groupBy("tokenizer").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t")).collect()}
     assert t["words-1"] == (15, n + 15)
-    assert r.commit("c", changes(more.drop("n_words", "n_bpe").withColumnsRenamed({"new_words": "n_words", "new_bpe": "n_bpe"}), "delete", ("n_words", "n_bpe"), None))
+    assert r.commit("c", changes(more, "delete", ("new_words", "new_bpe"), None))
     assert r.totals().count() == 0
     with pytest.raises(Exception, match="unknown kind"):
         r.commit("d", changes(counts, "replace"))
@@ -273,9 +273,19 @@ def test_rollup(spark, docs, tmp_path):
 def test_word_wise_ids_equal_whole_texts(texts):
     enc = Encoder(default_path())
     texts = [*texts, "don't 's I'LL x́ a1b2!? <|endoftext|>  \u0085 y", "İ ΑΣ Σ ﬁ"]
-    ids, at = enc.encode(*kernels.buffers(pa.array(texts, pa.string())), end=7)
-    for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7]
+    for some in (texts, [*texts[:-2], "A Å K É'S ǅ", texts[-1]]):
+        ids, at = enc.encode(*kernels.buffers(pa.array(some, pa.string())), end=7)
+        for i, t in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7]
+
+
+def test_a_tokenizer_that_keeps_white_space():
+    import public_tokenizers
+
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words", "", " \n x"]
+    ids, at = enc.encode(*kernels.buffers(pa.array(texts)), end=5)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 5] for t in texts]
 
 
 @settings(max_examples=25, deadline=None)
