@@ -50,7 +50,9 @@ def _numbers(values: list[int]) -> Column:
 
 def _sample(rows: DataFrame, n: int) -> list[tuple[str, int]]:
     u = (F.pmod(F.xxhash64("__k", "__i"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    return sorted((r[0], r[1]) for r in rows.select("__k", "__i", (-F.ln(u) / F.col("__v")).alias("o")).orderBy("o", "__k", "__i").limit(n).select("__k", "__i").collect())
+    # Written, so that tasks' samples meet in a task and not on the driver.
+    drawn = written(rows.select("__k", "__i", (-F.ln(u) / F.col("__v")).alias("o")).orderBy("o", "__k", "__i").limit(n), "splitters")
+    return sorted((r[0], r[1]) for r in drawn.collect())
 
 
 def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", ranges: int = 320, oversample: int = 8, rounds: int = 6) -> DataFrame:
