@@ -39,7 +39,7 @@ LISTS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 RULED_OUT = frozenset("head title nav footer aside form button select option textarea noscript template iframe object svg canvas video audio dialog search menu noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words in class and id that mark what isn't the article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|paywall|subscribe|subscription|newsletter|signup|login|register|comment|comments|commentlist|disqus|respond|reply|replies|discussion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|toolbar|footer|foot|header|masthead|topbar|skip|search|form|tags|hidden|print|copyright|legal)(?:$|[\s_-])|comment(?:s|list)?$|sidebar|cookie|advert|newsletter|breadcrumb", re.I)
+MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|paywall|subscribe|subscription|newsletter|signup|login|register|comment|comments|commentlist|disqus|respond|reply|replies|discussion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|toolbar|footer|foot|header|masthead|topbar|skip|search|form|tags|hidden|print|copyright|legal)(?:$|[\s_-])|comment(?:s|list)?$|sidebar|cookie|advert|newsletter|breadcrumb|adsby", re.I)
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 POINTS = re.compile(r"[.,;:!?…。，、；：！？«»\"“”]")
@@ -70,7 +70,8 @@ def _ruled_out(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             name = name or value
-            out = out or (tag not in ("html", "body", "article", "main") and bool(MARKS.search(value)))
+            seen = value.lower().replace("header", "") if inside else value  # an article's own header is its title
+            out = out or (tag not in ("html", "body", "article", "main") and bool(MARKS.search(seen)))
         elif key == "role":
             out = out or value.strip().lower() in ROLES
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
@@ -82,15 +83,17 @@ def blocks(page: str) -> list[_Block]:
     """The text blocks of a page, in order."""
     root = _Element("", "", False, None, None)
     stack, found, text = [root], [], []
-    links = link = 0
+    links = link = muted = 0
+    mute = ""  # an inline element that can't be content, and how deep it is in itself
 
     def flush() -> None:
-        nonlocal links, link
+        nonlocal links, link, mute, muted
         if text:
             if t := " ".join(entities.unescape("".join(text)).split()):
                 found.append(_Block(t, links, stack[-1]))
             text.clear()
-        links = link = 0
+        links = link = muted = 0
+        mute = ""
 
     def pop_to(tags: set[str], stops: set[str] | frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -102,17 +105,23 @@ def blocks(page: str) -> list[_Block]:
 
     at = 0
     for m in PIECE.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute:
             part = page[at : m.start()]
             text.append(part)
             if link:
                 links += len(part)
         at = m.end()
-        if m[2]:
+        if m[2] and not mute:
             text.append(entities.escape(m[2]))
         tag = (m[4] or m[7] or "").lower()
         if not tag:
             continue
+        if tag not in BLOCKS and tag not in VOID:
+            if mute:
+                muted += (-1 if m[3] or m[6] else 1) * (tag == mute)
+                mute = mute if muted else ""
+            elif not (m[3] or m[6]) and _ruled_out(tag, m[5] or m[8] or "", stack[-1].body is not None)[0]:
+                mute, muted = tag, 1
         if m[3] or m[6]:
             if tag == "a":
                 link = 0
@@ -136,7 +145,7 @@ def blocks(page: str) -> list[_Block]:
                 top = stack[-1]
                 out, name = _ruled_out(tag, m[5] or m[8] or "", top.body is not None)
                 stack.append(_Element(tag, f"{top.path}/{tag}{'.' + name if name else ''}", top.out or out, top, top.body))
-    if at < len(page):
+    if at < len(page) and not mute:
         text.append(page[at:])
     flush()
     return found

@@ -414,6 +414,12 @@ def test_main_text():
     assert H.main_text("<div><p>x" * 3000)
 
 
+def test_main_text_inside_the_article():
+    page = """<body><article><div class="article-header"><h1>Title</h1></div><p>Long enough, this <span class="ad">Buy <span>now</span></span>text is. And on.</p>
+    <p>More of it, <a class="share" href=1>Share</a>here<ins class="adsbygoogle">x</ins>.</p></article></body>"""
+    assert H.main_text(page) == "Title\nLong enough, this text is. And on.\nMore of it, here."
+
+
 def test_extract(spark, sf):
     pages = spark.createDataFrame([(1, "u", "<article><p>Ab, c.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(tuple, H.extract(pages).fillna(-1).fillna("").collect())) == [(-1, "v", "", 0), (1, "u", "Ab, c.", 6), (2, "", "", 0)]
