@@ -57,7 +57,10 @@ def normalized(s: Column) -> Column:
 
 def canonical(t: Column) -> Column:
     """A token without plural, with the few aliases that stand for one term."""
-    t = F.trim(t, F.lit(".-"))
+    return _canonical(F.trim(t, F.lit(".-")))
+
+
+def _canonical(t: Column) -> Column:
     n = F.length(t)
     out = F.when(t.isin("accessible", "accessibility"), F.lit("accessibility"))
     for adverb, term in PROFICIENCY_ADVERBS.items():
@@ -71,7 +74,8 @@ def canonical(t: Column) -> Column:
 
 
 def canonical_terms(s: Column) -> Column:
-    return F.filter(F.transform(tokens(s), canonical), lambda t: t != "")
+    trimmed = F.transform(tokens(s), lambda t: F.trim(t, F.lit(".-")))  # once, as lambdas share nothing
+    return F.filter(F.transform(trimmed, lambda t: _canonical(t)), lambda t: t != "")
 
 
 def number(t: Column) -> Column:

@@ -178,7 +178,8 @@ def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their lexical, semantic (a stand-in from the id) and combined scores."""
-    rows = _t(spark, sf_dir, "documents").withColumn("terms", T.canonical_terms(F.col("text")))
+    # Through a generator, so that filters on scores don't evaluate the terms again.
+    rows = _t(spark, sf_dir, "documents").select("*", F.explode(F.array(T.canonical_terms(F.col("text")))).alias("terms"))
     rows = rows.withColumn("lexical", E.lexical(F.col("terms"), F.lit(""), TERMS)).withColumn("semantic", F.col("doc_id") % 97 / F.lit(97.0))
     return rows.withColumn("combined", E.combined(F.col("semantic"), F.col("lexical")))
 
