@@ -129,7 +129,7 @@ def test_files(spark, tmp_path):
 
 def test_ask(spark):
     chunks = _chunks(spark, [("c1", "Managed a team of 9 engineers using Python", "h1", "k1", "experience", 0, [1.0, 0.0]), ("c2", "German (native)", "h1", "k1", "languages", 1, [0.0, 1.0]), ("c3", "Managed 3 projects", "h2", "k2", "experience", 0, [0.6, 0.8]), ("c4", "Cooks", "h3", "k3", "skills", 0, [0.0, -1.0])])
-    got = ask(chunks, "Who managed at least 8 engineers and is native in German?", [1.0, 0.0], k=2).collect()
+    got = ask(chunks, "Who managed at least 8 engineers and is native in German?", [1.0, 0.0], k=4).collect()
     assert [(r.candidate_id, r.outcome, r.final_rank) for r in got] == [("k1", "supported", 1)]
     assert ask(chunks, "who is the", [1.0, 0.0]).count() == 0
 
