@@ -14,7 +14,9 @@ against a bitmap of the benchmark's (bounded, a literal), and only windows that
 pass are hashed whole, exploded and joined. The benchmark may be of any size; the plan broadcasts it
 only where Spark finds it small.
 
-Names are capitalised words inside a sentence; neighbours make one name.
+Names are capitalised words inside a sentence; neighbours make one name. An
+item's first word is plain at a sentence's start and may be a name inside
+running text, so an item has both forms.
 Windows with fewer than `plain` ordinary words match too easily and don't
 count. Items shorter than a window are compared as a whole.
 
@@ -35,9 +37,9 @@ MOST_BITS = 22
 BEGIN = 3
 
 
-#: Item and document value of each slot. A capitalised word before a quoted passage
-#: runs into the name that it begins with: a value that ends in the item's is the item's.
-_PAIRS = "transform(arrays_zip(b, d), x -> struct(x.b AS b, IF(endswith(x.d, concat('_', substring(x.b, 3))), x.b, x.d) AS d))"
+#: Item and document value of each slot. Capitalised words around a quoted passage run into
+#: the name that it begins or ends with: a name that holds the item's is the item's.
+_PAIRS = f"transform(arrays_zip(b, d), x -> struct(x.b AS b, IF(startswith(x.b, '{MARK}a') AND contains(concat('_', substring(x.d, 3), '_'), concat('_', substring(x.b, 3), '_')), x.b, x.d) AS d))"
 
 
 def _templates(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,6 +65,15 @@ def _templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, "v", F.when(F.col("m"), template).otherwise(F.col("v")).alias("t"))
 
 
+def _forms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Templates (item, v, t) of the items as they read at a sentence's start and
+    inside running text, where a capitalised first word is, or begins, a name."""
+    rows = rows.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text")).distinct()
+    inside = _templates(rows.withColumn("text", F.concat(F.lit("x "), F.regexp_replace("text", r"^\s+", ""))), "item", "text")
+    inside = inside.select("item", *(F.expr(f"slice({c}, 2, greatest(size({c}) - 1, 0))").alias(c) for c in "vt"))
+    return _templates(rows, "item", "text").union(inside).where("size(t) > 0").dropDuplicates(["item", "v"])
+
+
 def _hash(at: str, width: int) -> str:
     return f"xxhash64({', '.join(f't[{at} + {i}]' for i in range(width))})"
 
@@ -77,13 +88,13 @@ def _slots(at: str, width: int) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, plain: int = 4, least: int = 5) -> DataFrame:
     """(id, item, n_windows, item_windows, n_slots, exact) of every contaminated document and item."""
-    items = _templates(benchmark.dropDuplicates([item_col, item_text_col]), item_col, item_text_col).where(F.size("t") >= plain)
+    items = _forms(benchmark, item_col, item_text_col).where(F.size("t") >= plain)
     lengths = sorted({r[0] for r in items.select(F.least(F.size("t"), F.lit(width))).distinct().collect()})
     out = None
     for w in lengths:
         begin = min(BEGIN, w)
-        mine = items.where(F.least(F.size("t"), F.lit(width)) == w).select(F.col(item_col).cast("long").alias("item"), "v", F.expr(f"transform({_places(w)}, i -> struct(i, {_hash('i', w)} AS h, {_hash('i', begin)} AS s))").alias("x"))
-        each = mine.select("item", F.size("x").cast("long").alias("item_windows"), "v", F.explode_outer("x").alias("x")).select("item", "item_windows", "x.*", F.expr(_slots("x.i", w)).alias("b"))
+        mine = items.where(F.least(F.size("t"), F.lit(width)) == w).select("item", "v", F.xxhash64("v").alias("of"), F.expr(f"transform({_places(w)}, i -> struct(i, {_hash('i', w)} AS h, {_hash('i', begin)} AS s))").alias("x"))
+        each = mine.select("item", "of", F.size("x").cast("long").alias("item_windows"), "v", F.explode_outer("x").alias("x")).select("item", "of", "item_windows", "x.*", F.expr(_slots("x.i", w)).alias("b"))
         each = each.where(F.lit(w) - F.size("b") >= min(plain, w))
         bits = int(min(MOST_BITS, max(12, (64 * max(1, each.count())).bit_length())))
         cell = F.expr(f"s & {(1 << bits) - 1}L")
@@ -93,14 +104,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = found.select("doc", "v", "t", _passing(bitmap, bits).alias("p"))
         found = found.select("doc", F.explode_outer(F.expr(f"transform(p, j -> struct({_hash('j', w)} AS h, j AS j, {_slots('j', w)} AS d))")).alias("x")).select("doc", "x.*").where("h IS NOT NULL")
         each = each.drop("s")
-        met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "item_windows", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
-        line = met.groupBy("doc", "item", "item_windows", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
+        met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "of", "item_windows", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
+        line = met.groupBy("doc", "item", "of", "item_windows", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
         line = line.where("size(array_distinct(s.b)) = size(s) AND size(array_distinct(s.d)) = size(s)").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
         line = line.select("doc", "item", "item_windows", "n_windows", F.size("s").cast("long").alias("n_slots"), F.forall("s", lambda x: x.b == x.d).alias("exact"))
-        part = line.groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"), F.max("exact").alias("exact"))
-        out = part if out is None else out.union(part)
+        out = line if out is None else out.union(line)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc long, item long, n_windows long, item_windows long, n_slots long, exact boolean")
+        out = docs.sparkSession.createDataFrame([], "doc long, item long, item_windows long, n_windows long, n_slots long, exact boolean")
+    # Forms of an item may come from different rounds.
+    out = out.groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"), F.max("exact").alias("exact"))
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 

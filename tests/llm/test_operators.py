@@ -231,6 +231,16 @@ def test_decontamination(spark):
     assert decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_inside_running_text(spark):
+    items = [(1, "What gas do plants take from the air by day?"), (2, "Alice Smith sells her old bike to the man from the north"), (3, "Which old river runs through the town of Paris")]
+    rows = []
+    for k, t in items:
+        rows += [(10 * k, f"lorem ipsum. {t} dolor"), (10 * k + 1, f"lorem ipsum dolor {t} dolor"), (10 * k + 2, f"lorem, ipsum Dolor {t} Sit amet"), (10 * k + 3, f"lorem {t[:-9]} dolor")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate(docs, bench).collect()}
+    assert got == {(10 * k + i, k): True for k in (1, 2, 3) for i in (0, 1, 2)}
+
+
 def test_decontamination_finds_all_verbatim_items(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
