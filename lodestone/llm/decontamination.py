@@ -16,9 +16,10 @@ only where Spark finds it small.
 
 Names are capitalised words inside a sentence; neighbours make one name. An
 item's first word is plain at a sentence's start and may be a name inside
-running text, so an item has both forms.
-Windows with fewer than `plain` ordinary words match too easily and don't
-count. Items shorter than a window are compared as a whole.
+running text, so an item has both forms. Windows with fewer than `plain`
+ordinary words match too easily and don't count. Items shorter than a window,
+and those that keep fewer windows than must match, are compared as a whole;
+if they have fewer than `plain` ordinary words, with equal values.
 
 Edge cases: null and empty texts have no windows; a null id is no document or
 item and gives no row; repeated rows of either table count once; other columns
@@ -74,43 +75,63 @@ def _forms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return _templates(rows, "item", "text").union(inside).where("size(t) > 0").dropDuplicates(["item", "v"])
 
 
-def _hash(at: str, width: int) -> str:
-    return f"xxhash64({', '.join(f't[{at} + {i}]' for i in range(width))})"
+def _begin(at: str, begin: int) -> str:
+    return f"xxhash64({', '.join(f't[{at} + {i}]' for i in range(begin))})"
+
+
+def _hash(at: str, width: str, equal: str) -> str:
+    """Of template words; of the words themselves if values must be equal, but for
+    names at either end, which may have run into names around the passage."""
+    ends = f"transform(slice(v, {at} + 1, {width}), (x, n) -> IF((n = 0 OR n = {width} - 1) AND startswith(x, '{MARK}a'), '{MARK}a', x))"
+    return f"xxhash64({equal}, IF({equal}, {ends}, slice(t, {at} + 1, {width})))"
 
 
 def _places(width: int) -> str:
     return f"IF(size(t) < {width}, cast(array() as array<int>), sequence(0, size(t) - {width}))"
 
 
-def _slots(at: str, width: int) -> str:
+def _slots(at: str, width: int | str) -> str:
     return f"filter(slice(v, {at} + 1, {width}), x -> startswith(x, '{MARK}'))"
 
 
+def _windows(forms: DataFrame, width: int, plain: int, least: int) -> DataFrame:
+    """(item, of: the form, item_windows: those that count, w: their width, equal:
+    whether values must be, i: place, h, s: hash of the first words, b: slots)."""
+    df = forms.select("item", "v", "t", F.expr(f"filter({_places(width)}, i -> {width} - size({_slots('i', width)}) >= {min(plain, width)})").alias("p"))
+    df = df.select("*", F.expr(f"size(t) < {width} OR size(p) < least({least}, size(t) - {width} + 1)").alias("whole"))
+    few = f"whole AND size(t) - size(filter(v, x -> startswith(x, '{MARK}'))) < {plain}"
+    df = df.select("item", F.xxhash64("v").alias("of"), "v", "t", F.expr(f"IF(whole, size(t), {width})").alias("w"), F.expr(few).alias("equal"), F.expr("IF(whole, array(0), p)").alias("p"))
+    df = df.select("*", F.size("p").cast("long").alias("item_windows"), F.least("w", F.lit(BEGIN)).alias("begin"), F.explode("p").alias("i"))
+    s = "CASE begin " + " ".join(f"WHEN {n} THEN {_begin('i', n)}" for n in range(1, BEGIN + 1)) + " END"
+    return df.select("item", "of", "item_windows", "w", "equal", "begin", "i", F.expr(_hash("i", "w", "equal")).alias("h"), F.expr(s).alias("s"), F.expr(_slots("i", "w")).alias("b"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, plain: int = 4, least: int = 5) -> DataFrame:
     """(id, item, n_windows, item_windows, n_slots, exact) of every contaminated document and item."""
-    items = _forms(benchmark, item_col, item_text_col).where(F.size("t") >= plain)
-    lengths = sorted({r[0] for r in items.select(F.least(F.size("t"), F.lit(width))).distinct().collect()})
+    windows = _windows(_forms(benchmark, item_col, item_text_col), width, plain, least)
+    kinds: dict[int, list] = {}
+    for r in windows.select("begin", "w", "equal").distinct().collect():
+        kinds.setdefault(r["begin"], []).append((r["w"], r["equal"]))
     out = None
-    for w in lengths:
-        begin = min(BEGIN, w)
-        mine = items.where(F.least(F.size("t"), F.lit(width)) == w).select("item", "v", F.xxhash64("v").alias("of"), F.expr(f"transform({_places(w)}, i -> struct(i, {_hash('i', w)} AS h, {_hash('i', begin)} AS s))").alias("x"))
-        each = mine.select("item", "of", F.size("x").cast("long").alias("item_windows"), "v", F.explode_outer("x").alias("x")).select("item", "of", "item_windows", "x.*", F.expr(_slots("x.i", w)).alias("b"))
-        each = each.where(F.lit(w) - F.size("b") >= min(plain, w))
+    for begin in sorted(kinds):
+        each = windows.where(F.col("begin") == begin).drop("begin")
         bits = int(min(MOST_BITS, max(12, (64 * max(1, each.count())).bit_length())))
         cell = F.expr(f"s & {(1 << bits) - 1}L")
         words = {r[0]: r[1] for r in each.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63L as int))")).alias("b")).collect()}
         bitmap = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))), ",").cast("array<bigint>")
-        found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", "t", F.expr(f"transform({_places(w)}, i -> {_hash('i', begin)})").alias("s"))
+        found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", "t", F.expr(f"transform({_places(begin)}, i -> {_begin('i', begin)})").alias("s"))
         found = found.select("doc", "v", "t", _passing(bitmap, bits).alias("p"))
-        found = found.select("doc", F.explode_outer(F.expr(f"transform(p, j -> struct({_hash('j', w)} AS h, j AS j, {_slots('j', w)} AS d))")).alias("x")).select("doc", "x.*").where("h IS NOT NULL")
+        every = "array(" + ", ".join(f"struct({w} AS w, {str(e).lower()} AS e)" for w, e in sorted(kinds[begin])) + ")"
+        hashed = f"transform({every}, k -> transform(filter(p, j -> j + k.w <= size(t)), j -> struct({_hash('j', 'k.w', 'k.e')} AS h, j AS j, {_slots('j', 'k.w')} AS d)))"
+        found = found.select("doc", F.explode(F.flatten(F.expr(hashed))).alias("x")).select("doc", "x.*")
         each = each.drop("s")
-        met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "of", "item_windows", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
-        line = met.groupBy("doc", "item", "of", "item_windows", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
+        met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "of", "item_windows", "equal", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
+        line = met.groupBy("doc", "item", "of", "item_windows", "equal", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
         line = line.where("size(array_distinct(s.b)) = size(s) AND size(array_distinct(s.d)) = size(s)").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
-        line = line.select("doc", "item", "item_windows", "n_windows", F.size("s").cast("long").alias("n_slots"), F.forall("s", lambda x: x.b == x.d).alias("exact"))
+        line = line.select("doc", "item", "item_windows", "n_windows", "equal", F.size("s").cast("long").alias("n_slots"), F.forall("s", lambda x: x.b == x.d).alias("exact")).where("exact OR NOT equal")
         out = line if out is None else out.union(line)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc long, item long, item_windows long, n_windows long, n_slots long, exact boolean")
+        out = docs.sparkSession.createDataFrame([], "doc long, item long, item_windows long, n_windows long, equal boolean, n_slots long, exact boolean")
     # Forms of an item may come from different rounds.
     out = out.groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"), F.max("exact").alias("exact"))
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})

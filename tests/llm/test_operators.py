@@ -241,6 +241,18 @@ def test_decontamination_inside_running_text(spark):
     assert got == {(10 * k + i, k): True for k in (1, 2, 3) for i in (0, 1, 2)}
 
 
+def test_decontamination_of_items_with_few_words(spark):
+    items = [(1, "Calculate 12 + 7 - 3 + 9 - 4 + 8."), (2, "Take 3 apples, 4 pears, 5 plums, 6 figs and then add 7."), (3, "Define osmosis."), (4, "2 + 2"), (5, "..."), (6, "7 km")]
+    rows = [
+        (10, "So: calculate 12 + 7 - 3 + 9 - 4 + 8. Good"), (11, "please Calculate 12 + 7 - 3 + 9 - 4 + 8"), (12, "calculate 12 + 7 - 3 + 9 - 4 + 9"),
+        (20, "Now. Take 13 apples, 14 pears, 15 plums, 16 figs and then add 17. Done"), (21, "now Take 3 apples, 4 pears, 5 plums, 6 figs and then add 7"), (22, "Take 3 apples, 3 pears, 5 plums, 6 figs and then add 7."), (23, "take 3 apples, 4 pears, 5 plums, 6 figs"),
+        (30, "one should Define osmosis. Now"), (31, "define the osmosis"), (40, "is 2 + 2 four"), (41, "is 2 + 3 four or 2.2"), (60, "it is 7 km away"), (61, "it is 2.7 km away"),
+    ]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate(docs, bench).collect()}
+    assert got == {(10, 1): True, (11, 1): True, (20, 2): False, (21, 2): True, (30, 3): True, (40, 4): True, (60, 6): True}
+
+
 def test_decontamination_finds_all_verbatim_items(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
