@@ -6,8 +6,9 @@ path, text length, punctuation and number of blocks are summed; a path's ratio
 is text per block weighted by punctuation and by how much its blocks vary. The
 ratios are smoothed along the page, fused with each path's own and compared
 with a threshold from their spread: paths above it are content. Elements that
-say they are navigation, headers, footers, sidebars, notices, adverts, forms
-or comments have no ratio at all. The content element is the article or main
+are navigation, headers, footers, sidebars, notices, adverts, forms or comments have no ratio at all. Those that only say so by class or id, and forms,
+stay in if they hold the page's article, main element or first-level heading
+or most of its text outside links and comments. The content element is the article or main
 element with most content text, else the deepest element that holds nearly all
 of it; the page's text is every block in it that isn't ruled out, so headings
 and short paragraphs beside the long ones stay.
@@ -41,16 +42,22 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words in class and id that mark what isn't the article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|paywall|subscribe|subscription|newsletter|signup|login|register|comment|comments|commentlist|disqus|respond|reply|replies|discussion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|toolbar|footer|foot|header|masthead|topbar|skip|search|form|tags|hidden|print|copyright|legal)(?:$|[\s_-])|comment(?:s|list)?$|sidebar|cookie|advert|newsletter|breadcrumb|adsby", re.I)
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+#: Class words that say what a page has or lacks, not what the element is.
+ABOUT = re.compile(r"(?<![A-Za-z0-9_-])(?:has|no|with|without)(?:[-_]\S*|[A-Z]\S*)")
+#: Names of what readers write, which may be longer than the article.
+TALK = re.compile(r"comment|disqus|respond|reply|replies|discussion", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 POINTS = re.compile(r"[.,;:!?…。，、；：！？«»\"“”]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "parent", "body")
+    __slots__ = ("tag", "path", "out", "parent", "body", "named", "talk", "doubt")
 
-    def __init__(self, tag: str, path: str, out: bool, parent: _Element | None, body: _Element | None):
+    def __init__(self, tag: str, path: str, out: bool, parent: _Element | None, body: _Element | None, named: bool = False, talk: bool = False):
         self.tag, self.path, self.out, self.parent = tag, path, out, parent
+        self.named, self.talk = named, talk  # ruled out by its name alone, unless it holds the content
+        self.doubt = False  # its blocks are content only by their own path's ratio
         self.body = self if tag in ("article", "main") and not out else body  # nearest article or main
 
 
@@ -62,21 +69,75 @@ class _Block:
         self.points = len(POINTS.findall(text))
 
 
-def _ruled_out(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element can't be content, and its class for the path."""
-    out = tag in RULED_OUT or (tag == "header" and not inside)
+def _ruled_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, str]:
+    """Whether an element can't be content, whether only its name says so, whether it is
+    readers' talk by name, and its class for the path."""
+    out = (tag in RULED_OUT and tag != "form") or (tag == "header" and not inside)
+    named, talk = tag == "form", False
     name = ""
     for key, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             name = name or value
-            seen = value.lower().replace("header", "") if inside else value  # an article's own header is its title
-            out = out or (tag not in ("html", "body", "article", "main") and bool(MARKS.search(seen)))
+            seen = ABOUT.sub(" ", value).lower()
+            seen = seen.replace("header", "") if inside else seen  # an article's own header is its title
+            if MARKS.search(seen):
+                talk = talk or bool(TALK.search(seen))
+                named = named or tag not in ("html", "body", "article", "main")
         elif key == "role":
             out = out or value.strip().lower() in ROLES
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             out = True
-    return out, name
+    return out, named, talk, name
+
+
+def _settle(found: list[_Block]) -> None:
+    """Rules out the elements with a telling name that don't hold the content, and all in them."""
+    if not any(e.named for e in _above(found)):
+        return
+    kept = [b for b in found if not b.at.out]
+    rank: dict[_Element, int] = defaultdict(int)  # 2: holds an article or main, 1: a first-level heading
+    most = 0  # the rank outside all elements with such names
+    for b in kept:
+        held, named, e = 0, False, b.at
+        while e is not None:
+            if not e.talk:
+                held = max(held, 2 if e.tag in ("article", "main") else int(e.tag == "h1"))
+            named = named or e.named
+            rank[e] = max(rank[e], held)
+            e = e.parent
+        if not named:
+            most = max(most, held)
+    plain: dict[_Element, int] = defaultdict(int)  # text outside links and talk
+    whole = 0
+    for b in kept:
+        line, e = [], b.at
+        while e is not None:
+            line.append(e)
+            e = e.parent
+        if not (rank[line[-1]] and any(e.talk and not rank[e] for e in line)):
+            whole += max(0, len(b.text) - b.links)
+            for e in line:
+                plain[e] += max(0, len(b.text) - b.links)
+    for e in _above(found):
+        if e.parent is not None:
+            e.out, e.doubt = e.out or e.parent.out, e.parent.doubt
+        if e.named and not e.out:
+            bulk = 2 * plain[e] > whole
+            e.out = not (bulk or rank[e] > most)
+            e.doubt = e.doubt or not (bulk or rank[e] > 1)
+
+
+def _above(found: list[_Block]) -> list[_Element]:
+    """The elements of the blocks and those around them, each after its parent."""
+    seen: dict[_Element, None] = {}
+    for b in found:
+        line, e = [], b.at
+        while e is not None and e not in seen:
+            line.append(e)
+            e = e.parent
+        seen.update(dict.fromkeys(reversed(line)))
+    return list(seen)
 
 
 def blocks(page: str) -> list[_Block]:
@@ -120,7 +181,7 @@ def blocks(page: str) -> list[_Block]:
             if mute:
                 muted += (-1 if m[3] or m[6] else 1) * (tag == mute)
                 mute = mute if muted else ""
-            elif not (m[3] or m[6]) and _ruled_out(tag, m[5] or m[8] or "", stack[-1].body is not None)[0]:
+            elif not (m[3] or m[6]) and any(_ruled_out(tag, m[5] or m[8] or "", stack[-1].body is not None)[:2]):
                 mute, muted = tag, 1
         if m[3] or m[6]:
             if tag == "a":
@@ -143,11 +204,12 @@ def blocks(page: str) -> list[_Block]:
                 pop_to(SIBLINGS[tag], LISTS[tag])
             if tag not in VOID:
                 top = stack[-1]
-                out, name = _ruled_out(tag, m[5] or m[8] or "", top.body is not None)
-                stack.append(_Element(tag, f"{top.path}/{tag}{'.' + name if name else ''}", top.out or out, top, top.body))
+                out, named, talk, name = _ruled_out(tag, m[5] or m[8] or "", top.body is not None)
+                stack.append(_Element(tag, f"{top.path}/{tag}{'.' + name if name else ''}", top.out or out, top, top.body, named, talk))
     if at < len(page) and not mute:
         text.append(page[at:])
     flush()
+    _settle(found)
     return found
 
 
@@ -223,7 +285,7 @@ def main_text(page: str | None) -> str:
             e = e.parent
         return False
 
-    return "\n".join(b.text for b in live if inside(b.at) and not (linked and b.links > 0.5 * len(b.text) and b.at.path not in good))
+    return "\n".join(b.text for b in live if inside(b.at) and not ((linked and b.links > 0.5 * len(b.text) or b.at.doubt) and b.at.path not in good))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

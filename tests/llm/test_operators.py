@@ -442,6 +442,21 @@ def test_main_text_inside_the_article():
     assert H.main_text(page) == "Title\nLong enough, this text is. And on.\nMore of it, here."
 
 
+def test_main_text_in_wrappers_with_telling_names():
+    body = "<h1>Title</h1><p>Long enough, this text is. And on, it goes.</p><p>More of it, here, is to read.</p>"
+    more = '<div class="sidebar"><p>Side, note.</p></div>'
+    want = "Title\nLong enough, this text is. And on, it goes.\nMore of it, here, is to read."
+    for wrap in ('div class="content has-sidebar"', 'div id=page class="no-sidebar"', 'div class="post widget-area-right"', 'section class="story share-enabled"', "form method=post", 'div class="widget"><div class="social"'):
+        tag = wrap.split()[0]
+        assert H.main_text(f"<body><{wrap}>{body}{more}</{tag}></div></body>") == want, wrap
+        assert H.main_text(f"<body><{wrap}><article>{body}</article>{more}</{tag}></div></body>") == want, wrap
+    talk = '<div class="comments"><h3>Say</h3>' + "<p>I think so too, and at some length, as it happens.</p>" * 9 + "</div>"
+    assert H.main_text(f"<body><div>{body}</div>{talk}</body>") == want
+    assert H.main_text(f'<body><div class="share-enabled">{body}</div>{talk}</body>') == want
+    assert H.main_text(f'<body><div class="post comments-open">{body}{talk}</div></body>') == want
+    assert H.main_text(f'<body><div class="related"><article><p>Teaser, one.</p></article></div><article>{body}</article></body>') == want
+
+
 def test_extract(spark, sf):
     pages = spark.createDataFrame([(1, "u", "<article><p>Ab, c.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(tuple, H.extract(pages).fillna(-1).fillna("").collect())) == [(-1, "v", "", 0), (1, "u", "Ab, c.", 6), (2, "", "", 0)]
