@@ -11,7 +11,8 @@ stay in if they hold the page's article, main element or first-level heading
 or most of its text outside links and comments. The content element is the article or main
 element with most content text, else the deepest element that holds nearly all
 of it; the page's text is every block in it that isn't ruled out, so headings
-and short paragraphs beside the long ones stay.
+and short paragraphs beside the long ones stay, every block in other articles
+with content, and content outside of these with the headings before it.
 
 Edge cases: a null or empty page, or one without text, gives an empty text;
 unclosed and stray tags, unquoted attributes and unknown elements are taken as
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noframes noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio svg".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"button", "canvas", "iframe", "noscript", "object", "option", "optgroup", "select", "template", "textarea", "video", "audio", "svg", "html", "body", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
@@ -278,14 +280,28 @@ def main_text(page: str | None) -> str:
             elements.setdefault(best, next(e for e in elements.values() if id(e) == best))
         linked = True
 
+    # Other articles with content, as an article in two parts or a list of posts has them.
+    holders = {best} | {k for k in bodies if elements[k].tag == "article"}
+
     def inside(e: _Element | None) -> bool:
         while e is not None:
-            if id(e) == best:
+            if id(e) in holders:
                 return True
             e = e.parent
         return False
 
-    return "\n".join(b.text for b in live if inside(b.at) and not ((linked and b.links > 0.5 * len(b.text) or b.at.doubt) and b.at.path not in good))
+    picked = set(map(id, chosen))
+    out: list[str] = []
+    titles: list[str] = []  # headings outside, kept if content follows
+    for b in live:
+        if id(b) in picked or (inside(b.at) and not b.at.doubt and not (linked and b.links > 0.5 * len(b.text))):
+            out += [*titles, b.text]
+            titles = []
+        elif b.at.tag in HEADINGS and not b.at.doubt and b.links <= 0.5 * len(b.text):
+            titles.append(b.text)
+        else:
+            titles = []
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

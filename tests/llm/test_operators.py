@@ -457,6 +457,17 @@ def test_main_text_in_wrappers_with_telling_names():
     assert H.main_text(f'<body><div class="related"><article><p>Teaser, one.</p></article></div><article>{body}</article></body>') == want
 
 
+def test_main_text_keeps_all_content():
+    p = [f"Paragraph {i} is long enough, as it seems, and ends with a point. So it goes on, until {i}." for i in range(12)]
+    html = lambda part: "".join(f"<p>{x}</p>" for x in part)
+    page = f"<body><nav><a href=1>Home</a></nav><div><h1>Title</h1>{html(p[:1])}</div><div class=body>{html(p[1:])}</div></body>"
+    assert H.main_text(page) == "\n".join(["Title", *p])
+    page = f"<body><article><h2>One</h2>{html(p[:7])}</article><article><h2>Two</h2>{html(p[7:])}</article></body>"
+    assert H.main_text(page) == "\n".join(["One", *p[:7], "Two", *p[7:]])
+    page = f"<body><div class=lead>{html(p[:2])}</div><article>{html(p[2:])}</article><footer>No, not this.</footer></body>"
+    assert H.main_text(page) == "\n".join(p)
+
+
 def test_extract(spark, sf):
     pages = spark.createDataFrame([(1, "u", "<article><p>Ab, c.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(tuple, H.extract(pages).fillna(-1).fillna("").collect())) == [(-1, "v", "", 0), (1, "u", "Ab, c.", 6), (2, "", "", 0)]
