@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-Tokens are words (A-Z lower-cased) and one end per text. The `vocabulary` most
-frequent training tokens are symbols of their own, all others share the symbol
+Tokens are words (A-Z lower-cased) and one end per text. The most frequent
+training tokens are symbols of their own, all others share the symbol
 "rare". Symbols are dealt into classes, and
     P(w | context) = P(class of w | context) P(w | class, context)
 with softmaxes over classes and over a class's symbols, whose scores sum hashed
@@ -13,8 +13,9 @@ words and the probabilities of all words sum to one, as in the base model.
 Training is distributed: each task takes gradient steps (row-wise Adagrad) over
 all its training texts in minibatches, starting from the counts; the tasks'
 weights are then averaged row by row, weighted by the steps that touched each.
-Weights have a fixed size, and so has the dictionary of the `dictionary` most
-frequent words that is broadcast; the counts of rarer words are joined.
+Symbols, weights and the broadcast dictionary of the most frequent words, which
+tells contexts apart, grow as the square root of the training tokens (`sizes`);
+the counts of rarer words are joined.
 
 Edge cases: a null or empty text is its end alone; a null id trains (its text
 form is empty); rows that share an id are scored each by itself; without any
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import kernels as K
 from lodestone.llm.common import written
 
-CLASSES = MEMBERS = 32
-CLASS_BITS, WORD_BITS = 14, 15
+#: Sizes of a corpus of up to `BASE` training tokens; they grow with larger ones.
+SIDE, CLASS_ROWS, WORD_ROWS, DICTIONARY = 32, 1 << 14, 1 << 15, 1 << 16
+BASE = 1 << 24
 SHARE = 48 << 20
 BATCH = 8192
 END = K.U64(0x5851F42D4C957F2D)
@@ -68,7 +70,17 @@ class Lookup:
         return out
 
 
-_ONES = np.ones(CLASSES, np.float32)
+def sizes(tokens: int) -> tuple[int, int, int, int]:
+    """Classes (and symbols of each), rows of both tables and words of the dictionary: symbols, rows
+    and words grow as the square root of the training tokens, about as fast as a corpus's types."""
+    grown = max(1.0, tokens / BASE) ** 0.5
+    return round(SIDE * grown**0.5), round(CLASS_ROWS * grown), round(WORD_ROWS * grown), round(DICTIONARY * grown)
+
+
+def _row(h: np.ndarray, rows: int) -> np.ndarray:
+    """The row of a hash; 16 bits, where they are enough, sort faster."""
+    at = ((h >> K.U64(32)) * K.U64(rows)) >> K.U64(32)
+    return at.astype(np.uint16 if rows <= 1 << 16 else np.uint32)
 
 
 def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -116,20 +128,20 @@ class Model:
     def rows(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         both = K.mix(one * K.U64(0x9E3779B97F4A7C15) + two)
         skip = K.mix(two ^ K.U64(0xA5A5A5A5A5A5A5A5))
-        c = [(x >> K.U64(64 - CLASS_BITS)).astype(np.uint16) for x in (K.mix(one + K.U64(1)), skip, both)]
+        c = [_row(x, len(self.class_rows)) for x in (K.mix(one + K.U64(1)), skip, both)]
         salt = (classes.astype(K.U64) + K.U64(1)) * K.U64(0xD6E8FEB86659FD93)
-        w = [(K.mix(x ^ salt) >> K.U64(64 - WORD_BITS)).astype(np.uint16) for x in (one, both)]
+        w = [_row(K.mix(x ^ salt), len(self.word_rows)) for x in (one, both)]
         return c, w
 
     def forward(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple:
         """Log-probabilities (natural) of the symbols, and what a step needs: the
         last two, divided by the two before, are all probabilities."""
-        cls, member = symbol % CLASSES, symbol // CLASSES
+        cls, member = symbol % len(self.class_bias), symbol // len(self.class_bias)
         c, w = self.rows(one, two, cls)
         i = np.arange(len(symbol))
         p = _exp(_rows(self.class_rows, c[0]), self.class_bias, [_rows(self.class_rows, r) for r in c[1:]])
         q = _exp(_rows(self.word_rows, w[0]), _rows(self.word_bias, cls), [_rows(self.word_rows, r) for r in w[1:]])
-        zp, zq = p @ _ONES, q @ _ONES
+        zp, zq = p @ np.ones(p.shape[1], np.float32), q @ np.ones(q.shape[1], np.float32)
         log = np.log(p[i, cls]) - np.log(zp) + np.log(q[i, member]) - np.log(zq)
         return log, cls, member, c, w, zp, zq, p, q
 
@@ -199,24 +211,26 @@ def _counted(train: DataFrame) -> DataFrame:
     return written(train.select("text").mapInArrow(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
 
 
-def _fresh(counts: DataFrame, ends: int, vocabulary: int, dictionary: int) -> Model:
-    """The model before training: biases from the counts."""
+def _fresh(counts: DataFrame, ends: int) -> Model:
+    """The model before training: biases from the counts, no rows yet."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    side, _, _, dictionary = sizes(int(total[0]) + ends)
     # Written, so that tasks' tops meet in a task and not on the driver.
-    top = written(counts.orderBy(F.desc("c"), "h").limit(dictionary), "dictionary").collect()
-    h = np.array([r[0] for r in top], np.int64).view(K.U64)
-    c = np.array([r[1] for r in top], np.int64)
-    n_symbols = min(vocabulary - 2, len(h))
+    top = written(counts.orderBy(F.desc("c"), "h").limit(dictionary), "dictionary").toArrow()
+    top = top.sort_by([("c", "descending"), ("h", "ascending")])
+    h = top.column("h").to_numpy().astype(np.int64).view(K.U64)
+    c = top.column("c").to_numpy().astype(np.int64)
+    n_symbols = min(side * side - 2, len(h))
     symbol = np.zeros(len(h), np.int64)
     symbol[:n_symbols] = np.arange(n_symbols) + 2
     n_rare, v_rare = int(total[0] - c[:n_symbols].sum()), int(total[1] - n_symbols)
     mass = np.concatenate([[n_rare + 1, ends + 1], c[:n_symbols] + 1]).astype(np.float64)
-    grid = np.full((MEMBERS, CLASSES), 1e-30)
+    grid = np.full((side, side), 1e-30)
     grid.reshape(-1)[: len(mass)] = mass
     by_class = grid.sum(0)
     class_bias = np.log(by_class / by_class.sum()).astype(np.float32)
     order = np.argsort(h)
-    return Model(h[order], c[order], symbol[order], 1, ends, int(total[0]) + ends, int(total[1]) + (ends > 0), n_rare, v_rare, len(mass), class_bias, np.zeros((1 << CLASS_BITS, CLASSES), np.float32), np.zeros((1 << WORD_BITS, MEMBERS), np.float32), np.log(grid / by_class).T.astype(np.float32))
+    return Model(h[order], c[order], symbol[order], 1, ends, int(total[0]) + ends, int(total[1]) + (ends > 0), n_rare, v_rare, len(mass), class_bias, np.zeros((0, side), np.float32), np.zeros((0, side), np.float32), np.log(grid / by_class).T.astype(np.float32))
 
 
 def _view(model: Model, find: Lookup, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,16 +242,20 @@ def _view(model: Model, find: Lookup, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, symbol, np.where((at >= 0) | end, h, RARE)
 
 
-def train(docs: DataFrame, counts: DataFrame, shares: int, vocabulary: int = CLASSES * MEMBERS, dictionary: int = 1 << 16, rate: float = 0.15) -> Model:
-    """docs: (text, held_out). All texts that aren't held out train."""
+def train(docs: DataFrame, counts: DataFrame, size: int, rate: float = 0.15) -> Model:
+    """docs: (text, held_out), of `size` bytes. All texts that aren't held out train."""
     spark = docs.sparkSession
     texts = docs.where("NOT held_out")
-    model = _fresh(counts, texts.count(), vocabulary, dictionary)
+    model = _fresh(counts, texts.count())
+    side, class_rows, word_rows, _ = sizes(model.n)
+    # A task's weights are never more bytes than its texts, so that what is shuffled stays in proportion.
+    shares = max(1, -(-size // max(SHARE, 4 * side * (class_rows + word_rows))))
     sent = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         m = Model(**{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in m.__dict__.items()})
+        m.class_rows, m.word_rows = np.zeros((class_rows, side), np.float32), np.zeros((word_rows, side), np.float32)
         find = Lookup(m.keys)
         tables = m.tables()
         sums = [np.zeros(len(x), np.float32) for x in tables]
@@ -255,7 +273,7 @@ def train(docs: DataFrame, counts: DataFrame, shares: int, vocabulary: int = CLA
             for k, x in enumerate(tables):
                 for i in range(0, len(x), 2048):
                     t = touched[k][i : i + 2048]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([k << 20 | i], pa.int32()), "touched": pa.array([t.tobytes()], pa.binary()), "sums": pa.array([(x[i : i + 2048] * t[:, None]).astype(np.float32).tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([k << 40 | i], pa.int64()), "touched": pa.array([t.tobytes()], pa.binary()), "sums": pa.array([(x[i : i + 2048] * t[:, None]).astype(np.float32).tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, list[np.ndarray]] = {}
@@ -264,12 +282,13 @@ def train(docs: DataFrame, counts: DataFrame, shares: int, vocabulary: int = CLA
                 x = have.setdefault(part, [np.float64(0), np.float64(0)])
                 x[0], x[1] = x[0] + np.frombuffer(t, np.float32), x[1] + np.frombuffer(s, np.float32).astype(np.float64)
         for part, (t, s) in have.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "touched": pa.array([t.astype(np.float32).tobytes()], pa.binary()), "sums": pa.array([s.astype(np.float32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "touched": pa.array([t.astype(np.float32).tobytes()], pa.binary()), "sums": pa.array([s.astype(np.float32).tobytes()], pa.binary())})
 
-    kind = "part int, touched binary, sums binary"
+    kind = "part long, touched binary, sums binary"
     rows = texts.select("text").coalesce(shares).mapInArrow(task, kind).repartition(24, "part").mapInArrow(add, kind).collect()
+    model.class_rows, model.word_rows = np.zeros((class_rows, side), np.float32), np.zeros((word_rows, side), np.float32)
     for r in rows:
-        k, i = r["part"] >> 20, r["part"] & 0xFFFFF
+        k, i = r["part"] >> 40, r["part"] & ((1 << 40) - 1)
         table = model.tables()[k]
         t = np.frombuffer(r["touched"], np.float32)
         s = np.frombuffer(r["sums"], np.float32).reshape(len(t), -1)
@@ -288,7 +307,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold == held_fold).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counts = _counted(keyed.where("NOT held_out"))
-    model = train(keyed.select("text", "held_out"), counts, max(1, -(-size // SHARE)))
+    model = train(keyed.select("text", "held_out"), counts, size)
     sent = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

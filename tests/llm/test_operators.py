@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import coder, kernels, sketch
 from lodestone.llm import html_text as H
+from lodestone.llm import language_model as LM
 from lodestone.llm.components import components
 from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.language_model import score
@@ -425,6 +426,21 @@ def test_language_model(spark, empty, sf):
 # --- 9 pages ---
 
 
+def test_language_model_grows(spark, monkeypatch):
+    small, large = LM.sizes(LM.BASE), LM.sizes(LM.BASE << 8)
+    assert LM.sizes(0) == small and all(y >= 4 * x - 1 for x, y in zip(small, large, strict=True))
+    assert LM._row(np.array([0, 2**64 - 1], np.uint64), 1 << 20).tolist() == [0, (1 << 20) - 1]
+    monkeypatch.setattr(LM, "BASE", 50)
+    texts = [(i, " ".join(words(200, i))) for i in range(70)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    keyed = docs.selectExpr("text", "false AS held_out")
+    m = LM.train(keyed, LM._counted(keyed), 1)
+    assert m.size == len(set(" ".join(t for _, t in texts).split())) + 2 > 1024
+    one = np.full(m.size, m.keys[0])
+    assert np.isclose(np.exp(m.forward(one, one, np.arange(m.size))[0].astype(float)).sum(), 1, atol=1e-3)
+    assert score(docs).count() == 70
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=1>Home</a></nav>
     <article><h1>The&nbsp;Title</h1><p>First, a   long paragraph &amp; more, of some length. It goes on.<p>Second <b>one</b>, also long enough, so there.</p>
