@@ -130,7 +130,7 @@ class Model:
         skip = K.mix(two ^ K.U64(0xA5A5A5A5A5A5A5A5))
         c = [_row(x, len(self.class_rows)) for x in (K.mix(one + K.U64(1)), skip, both)]
         salt = (classes.astype(K.U64) + K.U64(1)) * K.U64(0xD6E8FEB86659FD93)
-        w = [_row(K.mix(x ^ salt), len(self.word_rows)) for x in (one, both)]
+        w = [_row(K.mix(x ^ salt), len(self.word_rows)) for x in (one, skip, both)]
         return c, w
 
     def forward(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple:
