@@ -26,12 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each different row, `__k`, from id and text; ids may repeat or be null."""
+    return docs.withColumn("__k", F.xxhash64(id_key("doc_id"), F.col("text").isNull(), F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least id; of rows that repeat it whole, one."""
-    stay = ngram_join(docs).where("doc_id <=> component_id").groupBy(id_key("doc_id").alias("__k")).count()
-    keyed = docs.withColumn("__k", id_key("doc_id"))
-    once = keyed.join(stay.where("count = 1").select("__k"), "__k", "left_semi")
-    more = keyed.join(stay.where("count > 1").select("__k"), "__k", "left_semi").dropDuplicates(["__k", "text"])
+    """Of each group of linked documents, the row with the least id and key; of rows that repeat it whole, one."""
+    keyed = _keyed(docs)
+    ids = keyed.groupBy("__k").agg(F.min(id_key("doc_id")).alias("i"), F.count("*").alias("n"))
+    linked = ngram_join(keyed, "__k").groupBy("__k").agg(F.min("component_id").alias("c"))
+    stay = linked.join(ids, "__k").groupBy("c").agg(F.min(F.struct("i", "__k", "n")).alias("x")).select("x.__k", "x.n")
+    once = keyed.join(stay.where("n = 1").select("__k"), "__k", "left_semi")
+    more = keyed.join(stay.where("n > 1").select("__k"), "__k", "left_semi").dropDuplicates(["__k"])
     return once.unionByName(more).select(*docs.columns)
 
 
@@ -45,8 +52,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    leaks = decontaminate(keyed, table(spark, sf_dir, "benchmark"), "__k").select("__k").distinct()
+    return keyed.join(leaks, "__k", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
