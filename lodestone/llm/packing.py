@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int, id_col: str, tex
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for b in K.slices(batch, 1):
+            for b in K.slices(batch, 1, 4 << 20):
                 ids, at = enc.encode(*K.buffers(b.column(1)), end=end)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 size = np.diff(at)

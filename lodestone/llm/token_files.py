@@ -11,7 +11,8 @@ not at all, and any frame decodes without another.
 Edge cases: a null or empty text is its end id alone; null ids come first; of
 rows that share an id the order follows a hash of the text; a document longer
 than a frame is a frame of many blocks; an empty table writes no frame and
-reads back as an empty result; other columns than the id are dropped.
+reads back as an empty result; other columns than the id are dropped. Parts
+are ranges of (id, hash of the text), so rows that share an id spread out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from lodestone.llm.tokens import default_path, encoder
 FRAME = 1 << 16
 AT_ONCE = 10 << 20
 PART_BYTES = 24 << 20
+TEXT_AT_ONCE = 4 << 20
+#: Spark samples keys for each part on the driver, so their number has a bound; beyond it parts grow.
+MOST_PARTS = 20_000
 FRAMES = "part int, rel_start long, doc_ids array<long>, doc_tokens array<int>, n_ids long, blocks array<binary>"
 
 
@@ -58,9 +62,9 @@ def write_ids(docs: DataFrame, to: str, end: int = 2, path: str | None = None, i
     path = path or default_path()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    parts = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    sorted_ = source.repartitionByRange(parts, by[0]).sortWithinPartitions(*by)
+    sorted_ = source.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
@@ -76,7 +80,7 @@ def write_ids(docs: DataFrame, to: str, end: int = 2, path: str | None = None, i
             before, size, held, names = before + size, 0, [], []
 
         for batch in batches:
-            for b in K.slices(batch, 1):
+            for b in K.slices(batch, 1, TEXT_AT_ONCE):
                 x, at = enc.encode(*K.buffers(b.column(1)), end=end)
                 held.append((x, at))
                 names += b.column(0).to_pylist()
@@ -116,7 +120,7 @@ def read_ids(spark: SparkSession, at: str, with_ids: bool = True) -> DataFrame:
             out = {"doc_id": docs.slice(i, len(size[j])), "start": start_all[j], "n_tokens": size[j], "ids_crc32": pa.array(crc[j], pa.int64())}
             if with_ids:
                 offsets = np.concatenate([start[j], stop[j][-1:]]) - start[i]
-                out["ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[start[i] : stop[j][-1]]))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[start[i] : stop[j][-1]].astype(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, text_cols: tuple[str, ...] = ("text",), path:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for b in K.slices(batch, len(names)):
+            for b in K.slices(batch, len(names), 4 << 20):
                 out = b.columns[: len(names)]
                 for text in b.columns[len(names) :]:
                     data, offsets = K.buffers(text)

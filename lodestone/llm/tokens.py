@@ -4,7 +4,7 @@ A tokenizer that drops white space never joins across it, and its normaliser
 works within runs that white space ends, so a text's ids are its words' ids one
 after another. (Others encode whole texts.) Each worker keeps the ids of the words it has
 met (at most MOST words, then it starts anew), which the tokenizers library
-encoded once; a text costs one look-up per word.
+encoded once; a text costs one look-up per different word of its batch.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lodestone.llm.kernels import buffers
 
 MOST = 500_000
 DEFAULT = "word_bpe_49k.json"
@@ -41,13 +45,21 @@ class _Index(dict):
 class Encoder:
     def __init__(self, path: str, most: int = MOST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = ids(" a \n b.\t") == ids("a") + ids("b.")
         self.lower = self.by_word and "Lowercase" in str(self.tokenizer.normalizer)
+        # Words are normalised before they are joined, most of them by lower case alone.
+        self.normal = self.tokenizer.normalizer and self.tokenizer.normalizer.normalize_str
+        seen = "".join(map(chr, range(33, 127)))
+        self.ascii = not self.normal or self.normal(seen) == (seen.lower() if self.lower else seen)
+        self.plain = Tokenizer.from_file(path)
+        if self.normal:
+            self.plain.normalizer = normalizers.Sequence([])
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -56,27 +68,56 @@ class Encoder:
         self.begin = np.zeros(1 << 14, np.int64)
         self.n = 0
 
+    def _normalised(self, word: str) -> str:
+        if self.ascii and word.isascii():
+            return word.lower() if self.lower else word
+        return self.normal(word) if self.normal else word
+
+    def _encoded(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """The ids of new words one after another, and how many each has."""
+        ids: list[int] = []
+        lengths = np.zeros(len(words), np.int64)
+        chunks, at = [], []
+        for i in range(0, len(words), 256):
+            some = [w.decode() for w in words[i : i + 256]]
+            joined = " ".join(some).lower()
+            if any(x in joined for x in self.added):  # special tokens are told before anything else
+                for j, w in enumerate(some):
+                    ids_ = self.tokenizer.encode(w, add_special_tokens=False).ids
+                    chunks.append(None)
+                    at.append((i + j, ids_))
+                continue
+            some = list(map(self._normalised, some))
+            chunks.append(" ".join(some))
+            at.append((i, np.cumsum([0, *(len(w) + 1 for w in some)])))
+        encoded = iter(self.plain.encode_batch([c for c in chunks if c is not None], add_special_tokens=False))
+        for chunk, (i, place) in zip(chunks, at, strict=True):
+            if chunk is None:
+                ids += place
+                lengths[i] = len(place)
+                continue
+            e = next(encoded)
+            ids += e.ids
+            of = np.searchsorted(place, np.array([s for s, _ in e.offsets], np.int64), "right") - 1
+            n = len(place) - 1
+            lengths[i : i + n] = np.bincount(of, minlength=n)[:n]
+        return ids, lengths
+
     def _learn(self) -> None:
         words, self.index.new = self.index.new, []
         if not words:
             return
-        have = len(self.index) - len(words)
-        some = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
-        ids: list[int] = []
-        lengths = np.zeros(len(words), np.int64)
-        for i, e in enumerate(self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False)):
-            ids += e.ids
-            starts = np.cumsum([0, *(len(w) + 1 for w in some[i])])
-            of = np.searchsorted(starts, np.array([s for s, _ in e.offsets], np.int64), "right") - 1
-            lengths[256 * i : 256 * i + len(some[i])] = np.bincount(of, minlength=len(some[i]))[: len(some[i])]
-        total = len(ids)
-        while self.n + total > len(self.flat):
+        self._append(*self._encoded(words))
+
+    def _append(self, ids: list[int], lengths: np.ndarray) -> None:
+        have = len(self.index) - len(lengths)
+        while self.n + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.index) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.n : self.n + total] = ids
-        self.begin[have + 1 : have + 1 + len(words)] = self.n + np.cumsum(lengths)
-        self.n += total
+        self.flat[self.n : self.n + len(ids)] = ids
+        self.begin[have + 1 : len(self.index) + 1] = self.n + np.cumsum(lengths)
+        self.n += len(ids)
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """For tokenizers that keep white space: each text at once."""
@@ -92,29 +133,36 @@ class Encoder:
         if len(self.index) > self.most:
             self._clear()
         raw = data.tobytes()
-        if self.lower and b"<|" not in raw:  # fewer different words; special tokens are told by case
-            raw = raw.lower()
-        words: list[bytes] = []
-        first = np.zeros(len(offsets), np.int64)
-        at = offsets.tolist()
-        for i in range(len(at) - 1):
-            words += raw[at[i] : at[i + 1]].split()
-            first[i + 1] = len(words)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.lower:  # fewer different words; special tokens are told by case
+            low = raw.lower()
+            raw = raw if any(x.encode() in low for x in self.added) else low
+        text = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+        split = pc.ascii_split_whitespace(text.view(pa.large_string()))
+        coded = pc.dictionary_encode(split.values)
+        words = coded.dictionary
+        size = np.diff(buffers(words)[1])
+        line = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        known = np.fromiter(map(self.index.__getitem__, pc.binary_join(line, pa.scalar(" ", pa.large_string())).view(pa.large_binary())[0].as_py().split()), np.int64, int((size > 0).sum()))
+        if (none := np.flatnonzero(size == 0)).size:  # before a text's first word and behind its last
+            known = np.insert(known, none, self.index[b""])
+        which = known[np.asarray(coded.indices)]
+        first = np.asarray(split.offsets).astype(np.int64)
         self._learn()
-        begin = self.begin[which]
-        length = self.begin[which + 1] - begin
         if end is not None:  # a word of one id behind each text
-            which_end = self.n
-            if len(self.flat) <= self.n:
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.n] = end
-            begin = np.insert(begin, first[1:], which_end)
-            length = np.insert(length, first[1:], 1)
+            which = np.insert(which, first[1:], self._end(end))
             first = first + np.arange(len(first))
-        stop = np.cumsum(length)
-        ids = self.flat[np.repeat(begin - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        return ids, np.concatenate([[0], stop])[first]
+        lists = pa.LargeListArray.from_arrays(pa.array(self.begin[: len(self.index) + 1]), pa.array(self.flat[: self.n]))
+        taken = lists.take(pa.array(which))
+        stop = np.asarray(taken.offsets)
+        return np.asarray(taken.values)[stop[0] : stop[-1]], (stop - stop[0])[first]
+
+    def _end(self, end: int) -> int:
+        """The word that stands for an end id; no word of a text is like it."""
+        n = self.index[b" %d" % end]
+        if self.index.new:
+            self.index.new.clear()
+            self._append([end], np.ones(1, np.int64))
+        return n
 
 
 def encoder(path: str) -> Encoder:

@@ -331,8 +331,32 @@ def test_coder_checks_and_learns():
     assert len(b) < 4096 * 2.6
     with pytest.raises(ValueError, match="check"):
         coder.decode([a[:20] + bytes([a[20] ^ 1]) + a[21:]])
-    with pytest.raises(ValueError, match="65536"):
-        coder.encode(np.array([65536]), np.array([0, 1]))
+    with pytest.raises(ValueError, match="2\\*\\*32"):
+        coder.encode(np.array([1 << 32]), np.array([0, 1]))
+    with pytest.raises(ValueError, match="at most"):
+        coder.encode(np.zeros(9000, np.int32), np.array([0, 9000]))
+
+
+def test_coder_takes_large_ids():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 1 << 32, 500), rng.integers(0, 65536, 300), [65536, 0, (1 << 32) - 1]])
+    at = np.array([0, 100, 100, 500, 800, 803])
+    back, where = coder.decode(coder.encode(ids, at))
+    assert back.tolist() == ids.tolist() and where.tolist() == at.tolist()
+
+
+def test_coder_survives_damage():
+    """A damaged byte ends in an error, or changes no id: the last words say more than is needed."""
+    ids = np.tile(np.arange(50), 4).astype(np.int32)
+    (block,) = coder.encode(ids, np.array([0, 200]))
+    found = 0
+    for i in range(4, len(block)):
+        try:
+            back, _ = coder.decode([block[:i] + bytes([block[i] ^ 0x55]) + block[i + 1 :]])
+            assert back.tolist() == ids.tolist()
+        except ValueError:
+            found += 1
+    assert found >= len(block) - 4 - 8
 
 
 def _ids(end):
