@@ -1,7 +1,9 @@
 """A versioned chunk index in Parquet.
 
-Every change writes a complete new version directory and then a small pointer
-table names it; readers see one version or the next. What makes an index
+Chunks are dealt into buckets by document hash. A change writes the buckets it
+touches anew and then a numbered manifest that names every bucket's folder;
+readers take the highest manifest, so they see one version or the next, and a
+writer that dies leaves the last one as it was. What makes an index
 compatible (embedding model, dimension, chunking version, metric) is stamped
 beside it, and opening it otherwise is an error, not a migration.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.ingest import coverage, replaced, summaries
 from lodestone.operators.retrieval import nearest
+from lodestone.sources.shared import Notes
 
 STAMP = ("index_version", "embedding_model", "dimension", "chunking_version", "metric")
 CHUNKS = (
@@ -23,6 +26,9 @@ CHUNKS = (
     "professional_title string, source_filename string, source_path string, section_name string, page_numbers string, "
     "chunk_index int, document_chunk_count int, embedding array<float>"
 )
+#: How many buckets an index has; a change rewrites those of its documents.
+BUCKETS = 1024
+BUCKET = f"pmod(xxhash64(document_hash), {BUCKETS})"
 
 
 class ChunkIndex:
@@ -30,37 +36,40 @@ class ChunkIndex:
         if set(stamp) != set(STAMP):
             raise ValueError(f"a stamp has {', '.join(STAMP)}")
         self.spark, self.path, self.stamp = spark, path.rstrip("/"), stamp
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        have = self._read_text("stamp")
-        if have is None:
-            self._write_text("stamp", json.dumps(stamp, sort_keys=True))
-        elif json.loads(have) != stamp:
-            raise ValueError(f"the index at {path} is stamped {have}")
-
-    def _read_text(self, name: str) -> str | None:
-        at = f"{self.path}/{name}"
-        if not self._fs.exists(self._path(at)):
-            return None
-        return self.spark.read.text(at, wholetext=True).first()[0].strip()
-
-    def _write_text(self, name: str, value: str) -> None:
-        new = f"{self.path}/.{name}-{uuid4().hex}"
-        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(new)
-        self._fs.delete(self._path(f"{self.path}/{name}"), True)
-        self._fs.rename(self._path(new), self._path(f"{self.path}/{name}"))
+        self._stamps = Notes(spark, f"{self.path}/stamp")
+        self._manifests = Notes(spark, f"{self.path}/manifests")
+        text = json.dumps(stamp, sort_keys=True)
+        if not self._stamps.write("stamp", text) and json.loads(self._stamps.read("stamp")) != stamp:
+            raise ValueError(f"the index at {path} is stamped {self._stamps.read('stamp')}")
+
+    def _buckets(self) -> dict[str, str]:
+        """Folder of each bucket."""
+        return json.loads(self._manifests.latest() or "{}")
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], CHUNKS)
+        return self.spark.read.schema(CHUNKS).parquet(*(f"{self.path}/data/{f}" for f in folders))
 
     def chunks(self) -> DataFrame:
-        version = self._read_text("current")
-        if version is None:
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/versions/{version}")
+        return self._read(sorted(self._buckets().values()))
 
-    def _replace(self, df: DataFrame) -> None:
+    def _touched(self, rows: DataFrame) -> list[str]:
+        """Buckets of the rows' documents; there are BUCKETS at most."""
+        return [str(r[0]) for r in rows.select(F.expr(BUCKET).alias("b")).distinct().collect()]
+
+    def _replace(self, touched: list[str], df: DataFrame) -> None:
+        """df: all chunks of the touched buckets from now on."""
         version = uuid4().hex
-        df.select([c.split()[0] for c in CHUNKS.split(", ")]).write.parquet(f"{self.path}/versions/{version}")
-        self._write_text("current", version)
+        df.select([c.split()[0] for c in CHUNKS.split(", ")]).withColumn("bucket", F.expr(BUCKET)).write.partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        data = Notes(self.spark, f"{self.path}/data/{version}")
+        now = {b: f for b, f in self._buckets().items() if b not in touched}
+        now |= {b: f"{version}/bucket={b}" for b in touched if data.exists(f"bucket={b}")}
+        self._manifests.advance(json.dumps(now, sort_keys=True))
+
+    def _of(self, touched: list[str]) -> DataFrame:
+        have = self._buckets()
+        return self._read([have[b] for b in touched if b in have])
 
     def upsert(self, new: DataFrame) -> None:
         """Adds or replaces chunks by id; ids must not repeat, vectors must have the stamped length and norm one."""
@@ -72,25 +81,41 @@ class ChunkIndex:
         if new.groupBy("chunk_id").count().where("count > 1").limit(1).count():
             raise ValueError("a chunk id occurs twice")
         counted = new.drop("document_chunk_count").join(new.groupBy("document_hash").agg(F.count("*").cast("int").alias("document_chunk_count")), "document_hash")
-        self._replace(self.chunks().join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(counted))
+        before = self.chunks().join(new.select("chunk_id"), "chunk_id", "left_semi")
+        touched = sorted({*self._touched(new), *self._touched(before)})
+        self._replace(touched, self._of(touched).join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(counted))
 
     def delete(self, document_hash: str) -> int:
-        have = self.chunks()
+        key = self.spark.range(1).select(F.lit(document_hash).alias("document_hash"))
+        touched = self._touched(key)
+        have = self._of(touched)
         n = have.where(F.col("document_hash") == document_hash).count()
         if n:
-            self._replace(have.where(F.col("document_hash") != document_hash))
+            self._replace(touched, have.where(F.col("document_hash") != document_hash))
         return n
 
     def delete_replaced(self, current: DataFrame) -> None:
         """Drops older revisions of the documents in current (document_hash, source_path, candidate_id)."""
-        have = self.chunks()
-        self._replace(have.join(replaced(have, current).select("chunk_id"), "chunk_id", "left_anti"))
+        old = replaced(self.chunks(), current)
+        touched = self._touched(old)
+        if touched:
+            self._replace(touched, self._of(touched).join(old.select("chunk_id"), "chunk_id", "left_anti"))
 
     def refresh(self, names: DataFrame) -> None:
         """New names and paths by document_hash, vectors untouched (document_hash, source_filename, source_path)."""
         n = names.select("document_hash", F.col("source_filename").alias("f"), F.col("source_path").alias("p"))
-        out = self.chunks().join(n, "document_hash", "left").withColumn("source_filename", F.coalesce("f", "source_filename")).withColumn("source_path", F.coalesce("p", "source_path"))
-        self._replace(out.drop("f", "p"))
+        touched = self._touched(n)
+        out = self._of(touched).join(n, "document_hash", "left").withColumn("source_filename", F.coalesce("f", "source_filename")).withColumn("source_path", F.coalesce("p", "source_path"))
+        self._replace(touched, out.drop("f", "p"))
+
+    def reset(self) -> None:
+        """An empty index under the same stamp."""
+        self._manifests.advance("{}")
+
+    def info(self) -> DataFrame:
+        """One row: the stamp, and how many chunks, documents and candidates the index holds."""
+        c = self.coverage().select("n_records", "n_documents", "n_candidates")
+        return c.select(F.lit(self.path).alias("path"), *(F.lit(self.stamp[k]).alias(k) for k in STAMP), "*")
 
     def summaries(self) -> DataFrame:
         return summaries(self.chunks())
