@@ -71,9 +71,9 @@ class _Model:
         cum[:, 0] = 0
         cum[:, 1:RANGES] = ends[:, :-1]
         # The last range that begins at or before each eighth of the scale.
-        at = ((ends[:, :-1] + np.int16(7)) >> 3) + (np.arange(m, dtype=np.int32) << 9)[:, None]
-        begun = np.bincount(at.reshape(-1), minlength=m << 9)[: m << 9].reshape(m, 512)
-        np.cumsum(begun, axis=1, out=self.start[: m << 9].reshape(m, 512))
+        at = ((ends[:, :-1] + np.int16(7)) >> 3) + (np.arange(m, dtype=np.int32) * 513)[:, None]
+        begun = np.bincount(at.reshape(-1), minlength=m * 513).reshape(m, 513)
+        np.cumsum(begun[:, :512], axis=1, out=self.start[: m << 9].reshape(m, 512))
 
     def begin(self, t: int, m: int) -> None:
         """The predictions of the first m blocks."""

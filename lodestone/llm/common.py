@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import shared_dir
+
 #: Fixed value: a word is a maximal run of characters other than these six.
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_ID = -(1 << 63)
@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or "file://" + os.path.join(tempfile.gettempdir(), "lodestone-work")).rstrip("/")
-
-
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; Spark removes it when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -40,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for f in df.inputFiles()[:1]:
+        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def id_key(column: str | Column) -> Column:
     """An id as a long; a null id counts as the least of all."""
     c = F.col(column) if isinstance(column, str) else column

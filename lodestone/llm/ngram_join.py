@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodestone.llm import kernels as K
 from lodestone.llm import sketch
@@ -138,12 +139,14 @@ def _blocks(rest: DataFrame, percent: int, chunk: int) -> DataFrame:
     own = rest.groupBy("token", "c").count()
     own = own.withColumn("g", F.when(F.col("count") * 10 >= chunk, F.col("c")).otherwise(F.lit(-1).cast("long")))
     parts = own.groupBy("token", "g").agg(F.expr(f"(sum(count) + {chunk - 1}) div {chunk}").alias("parts"))
-    dealt = rest.join(own.join(parts, ["token", "g"]).select("token", "c", "g", "parts"), ["token", "c"])
+    parts = parts.withColumn("salts", F.sum("parts").over(W.partitionBy("token")))
+    dealt = rest.join(own.join(parts, ["token", "g"]).select("token", "c", "g", "parts", "salts"), ["token", "c"])
     rows = F.collect_list(F.struct("node", "n", "left", "c")).alias("m")
-    chunks = dealt.groupBy("token", "g", F.expr("pmod(xxhash64(node), parts)").alias("part")).agg(rows)
+    chunks = dealt.groupBy("token", "g", F.expr("pmod(xxhash64(node), parts)").alias("part"), "salts").agg(rows)
     cols = ("node", "n", "left", "c")
-    a = chunks.select("token", F.col("g").alias("ag"), F.col("part").alias("ap"), *(F.col(f"m.{x}").alias(f"a_{x}") for x in cols))
-    b = chunks.select("token", F.col("g").alias("bg"), F.col("part").alias("bp"), *(F.col(f"m.{x}").alias(f"b_{x}") for x in cols))
+    # A chunk of a shingle with many stands in one task, and its partners in each: no task has all their pairs.
+    a = chunks.select("token", F.expr("pmod(xxhash64(g, part), salts)").alias("salt"), F.col("g").alias("ag"), F.col("part").alias("ap"), *(F.col(f"m.{x}").alias(f"a_{x}") for x in cols))
+    b = chunks.select("token", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("g").alias("bg"), F.col("part").alias("bp"), *(F.col(f"m.{x}").alias(f"b_{x}") for x in cols))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,7 @@ def _blocks(rest: DataFrame, percent: int, chunk: int) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_pydict({"x": np.where(swap, y, x), "xn": np.where(swap, b_n[q], a_n[p]), "y": np.where(swap, x, y), "yn": np.where(swap, a_n[p], b_n[q])})
 
-    met = a.join(b, "token").where("(ag < bg) OR (ag = bg AND ag = -1 AND ap <= bp)").select(*(f"{s}_{x}" for s in "ab" for x in cols))
+    met = a.join(b, ["token", "salt"]).where("(ag < bg) OR (ag = bg AND ag = -1 AND ap <= bp)").select(*(f"{s}_{x}" for s in "ab" for x in cols))
     return met.mapInArrow(task, "x long, xn long, y long, yn long").distinct()
 
 
@@ -179,32 +182,35 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     room = F.expr(f"{100 + percent} * left - {percent} * n").alias("o")
     pivot = prefix.groupBy("token").agg(F.max(F.struct(room, "node", "n", "left")).alias("p")).select("token", "p.*")
     tried = written(_pairs(prefix.alias("l").join(pivot.alias("r"), "token"), percent), "pairs")
-    links = written(_overlaps(tried, segments, percent), "links")
+    stars = components(_overlaps(tried, segments, percent))
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart() -> DataFrame:
         """Prefixes of the shingles that more than one component has."""
-        p = prefix.join(components(links), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
-        open_ = p.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        return written(p.join(open_.select("token"), "token"), "apart")
+        p = prefix.join(stars, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
+        open_ = written(p.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token"), "open")
+        return written(p.join(open_, "token"), "apart")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The components with the links of more pairs."""
+        found = written(_overlaps(pairs, segments, percent), "links")
+        return stars if found.isEmpty() else components(found.union(stars.where("node != label")))
 
     # Again, where a prefix shingle leaves components apart: with the one with most
     # room in each of two halves of its components, dealt anew each round.
     for salt in (1, 2):
-        rest = apart(links)
+        rest = apart()
         half = F.pmod(F.xxhash64("c", "token", F.lit(salt)), F.lit(2)).alias("half")
         pivot = rest.groupBy("token", half).agg(F.max(F.struct(room, "node", "n", "left", "c")).alias("p")).select("token", "p.*")
         more = _pairs(rest.alias("l").join(pivot.alias("r"), "token").where("l.c != r.c"), percent)
         more = written(more.join(tried, PAIR, "left_anti"), "pairs")
-        links = written(links.union(_overlaps(more, segments, percent)), "links")
+        stars = joined(more)
         tried = tried.union(more)
 
     # All pairs that are still apart.
-    rest = apart(links)
-    last = _blocks(rest, percent, chunk).join(tried, PAIR, "left_anti")
-    links = written(links.union(_overlaps(written(last, "pairs"), segments, percent)), "links")
+    stars = joined(written(_blocks(apart(), percent, chunk).join(tried, PAIR, "left_anti"), "pairs"))
 
-    label = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = label.groupBy("label").agg(F.min("rep").alias("component"))
+    label = classes.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = written(label.groupBy("label").agg(F.min("rep").alias("component")), "least")
     named = label.join(least, "label").select("s", "s2", "n", "component")
     out = sets.select("k", "n", "s", "s2").join(named, ["s", "s2", "n"], "left")
     return out.select(F.nullif("k", F.lit(LEAST_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "k"), F.lit(LEAST_ID)).alias("component_id"))

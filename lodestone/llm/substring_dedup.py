@@ -9,13 +9,15 @@ how often a window occurs. What is counted is the window's anchor, its least
 run of words by hash: equal windows have equal anchors at equal places, and
 different starts of one window have different places of its anchor, so a
 window's count is never above its anchor's. A second pass sends only windows
-estimated repeated, groups them exactly by 96 bits of hash and finds the least
-id of each; a third takes these first ids back to the texts and cuts.
+estimated repeated, groups them exactly by 96 bits of hash and finds the first
+row of each; a third takes these back to the texts and cuts. A row is known by
+its id and a hash of its text, so a row is joined with its own windows only.
 
 Edge cases: a null text has no words; texts shorter than a window lose
 nothing; a null id counts as the least id and comes back as null; rows that
-share an id are judged each by itself, as one document each, and none of them is earlier than
-another; all columns are kept and the added ones replace any of their names.
+share an id are documents of their own, ordered by a hash of their texts; rows
+that agree in id and text are one document told twice, and lose the same words;
+all columns are kept and the added ones replace any of their names.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with n_words, n_removed and kept_text (the kept words, one space between)."""
     run = max(1, window * 2 // 5)
     source = docs.select([c for c in docs.columns if c not in ADDED])
-    keyed = source.select(id_key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = source.select(id_key(id_col).alias("k"), own.alias("o"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     bits = sketch.bits_for(size / 6 * 2 / (window - run + 2))
 
@@ -92,20 +95,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = sketch.repeats(keyed.select("text"), places, bits, depth)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _scan(batches, 1):
-            w, h = _of(b, 1)
+        for b in _scan(batches, 2):
+            w, h = _of(b, 2)
             starts, a = _repeated(w, h, window, run, seen)
             if len(starts):
                 second = (K.windows(h, window, 1)[starts] >> K.U64(32)).astype(np.uint32).view(np.int32)
-                ids = np.asarray(b.column(0))[w.doc[starts]]
+                ids, own = (np.asarray(b.column(c))[w.doc[starts]] for c in (0, 1))
                 for i in range(0, len(starts), 1 << 18):
                     j = slice(i, i + (1 << 18))
-                    yield pa.RecordBatch.from_pydict({"a": a[starts[j]].view(np.int64), "b": second[j], "k": ids[j]})
+                    yield pa.RecordBatch.from_pydict({"a": a[starts[j]].view(np.int64), "b": second[j], "k": ids[j], "o": own[j]})
 
-    firsts = keyed.mapInArrow(candidates, "a long, b int, k long").groupBy("a", "b").agg(F.min("k").alias("k"))
-    firsts = firsts.groupBy("k").agg(F.collect_list("a").alias("firsts"))
+    firsts = keyed.mapInArrow(candidates, "a long, b int, k long, o long").groupBy("a", "b").agg(F.min(F.struct("k", "o")).alias("x"))
+    firsts = firsts.groupBy("x.k", "x.o").agg(F.collect_list("a").alias("firsts"))
     names = source.columns
-    joined = source.withColumn("__k", id_key(id_col)).join(firsts.hint("shuffle_hash").withColumnsRenamed({"k": "__k", "firsts": "__firsts"}), "__k", "left").select(*names, "__firsts")
+    row = source.withColumns({"__k": id_key(id_col), "__o": own})
+    joined = row.join(firsts.hint("shuffle_hash").toDF("__k", "__o", "__firsts"), ["__k", "__o"], "left").select(*names, "__firsts")
     schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     text = names.index(text_col)
 

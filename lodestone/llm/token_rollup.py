@@ -3,10 +3,11 @@
 A batch of changes becomes signed sums per (source, language, tokenizer): an
 insert adds a document and its count, a delete takes them back, a revision
 takes back the old count and adds the new. A batch is committed once: its sums
-are written beside the ledger and appear under the batch's name by one rename,
-which fails if the name is taken; committing a batch again changes nothing, so
-a driver may retry after any failure. Totals are the sums over all committed
-batches, as they are additive.
+are written to a folder of their own, and a note under the batch's name says
+which folder counts. A name has one note, so however many drivers commit a
+batch, at once or again after a failure, one folder counts and the others
+don't. Totals are the sums over all committed batches, as they are additive;
+`compact` writes them as one table, so that old batches needn't be read again.
 
 Edge cases: null source or language is a group of its own; a null or empty
 text counts 0 tokens; an empty batch commits and adds nothing; groups whose
@@ -16,6 +17,7 @@ kinds raise ValueError.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from uuid import uuid4
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import kernels as K
 from lodestone.llm.tokens import default_path, encoder
+from lodestone.sources.shared import Notes
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -39,22 +42,18 @@ WORDS, BPE = "words-1", "word_bpe_49k"
 class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, batch: str):
-        if not re.fullmatch(r"[\w.-]+", batch):
-            raise ValueError(f"a batch's name has letters, digits, '.', '_' and '-' only: {batch!r}")
-        return self._path(f"{self.path}/batches/{batch}")
+        self._batches, self._compact = Notes(spark, f"{self.path}/batches"), Notes(spark, f"{self.path}/compact")
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(batch))
+        return self._batches.exists(self._named(batch))
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Commits (source, lang, tokenizer, kind, old_tokens, new_tokens); False if it was committed before."""
-        if self.committed(batch):
-            return False
+    def _named(self, batch: str) -> str:
+        if not re.fullmatch(r"\w[\w.-]*", batch) or batch.startswith("_"):
+            raise ValueError(f"a batch's name has letters, digits, '.', '_' and '-' only and begins with a letter or digit: {batch!r}")
+        return batch
+
+    def stage(self, changes: DataFrame) -> str:
+        """Writes the sums of (source, lang, tokenizer, kind, old_tokens, new_tokens); the folder doesn't count yet."""
         kind = F.col("kind")
         minus = sum((F.when(kind == k, -a).otherwise(0) for k, (a, _) in KINDS.items()), F.lit(0))
         plus = sum((F.when(kind == k, b).otherwise(0) for k, (_, b) in KINDS.items()), F.lit(0))
@@ -63,22 +62,42 @@ class TokenRollup:
             F.sum((plus - minus + known).cast("long")).alias("n_docs"),
             F.sum(plus * F.coalesce("new_tokens", F.lit(0)) - minus * F.coalesce("old_tokens", F.lit(0))).cast("long").alias("n_tokens"),
         )
-        staged = f"{self.path}/staged/{batch}-{uuid4().hex}"
-        sums.write.parquet(staged)
-        at = self._at(batch)
-        self._fs.mkdirs(at.getParent())
-        if self._fs.exists(at) or not self._fs.rename(self._path(staged), at):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return True
+        folder = uuid4().hex
+        sums.write.parquet(f"{self.path}/sums/{folder}")
+        return folder
+
+    def publish(self, batch: str, folder: str) -> bool:
+        """Lets a staged folder count as the batch; False if another one does."""
+        return self._batches.write(self._named(batch), folder)
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Commits a batch of changes; False if it was committed before."""
+        return not self.committed(batch) and self.publish(batch, self.stage(changes))
+
+    def _state(self) -> tuple[list[str], list[str]]:
+        """The folders that count, and the names of the batches in them."""
+        done = json.loads(self._compact.latest() or '{"folder": null, "batches": []}')
+        late = sorted(set(self._batches.names()) - set(done["batches"]))
+        folders = [done["folder"]] * bool(done["folder"]) + [self._batches.read(n) for n in late]
+        return folders, sorted({*done["batches"], *late})
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SUMS)
+        rows = self.spark.read.schema(SUMS).parquet(*(f"{self.path}/sums/{f}" for f in folders))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        root = self._path(f"{self.path}/batches")
-        if not self._fs.exists(root):
-            return self.spark.createDataFrame([], SUMS)
-        rows = self.spark.read.schema(SUMS).option("recursiveFileLookup", "true").parquet(f"{self.path}/batches")
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 OR n_tokens != 0")
+        return self._sums(self._state()[0]).where("n_docs != 0 OR n_tokens != 0")
+
+    def compact(self) -> None:
+        """Writes the totals as one table that stands for all batches committed so far."""
+        folders, names = self._state()
+        if len(folders) > 1:
+            folder = uuid4().hex
+            self._sums(folders).write.parquet(f"{self.path}/sums/{folder}")
+            self._compact.advance(json.dumps({"folder": folder, "batches": names}))
 
 
 def token_counts(docs: DataFrame, text_cols: tuple[str, ...] = ("text",), path: str | None = None) -> DataFrame:

@@ -103,18 +103,20 @@ def test_sketch_never_misses_a_repeat(spark):
 # --- 1 substring dedup ---
 
 
-def brute_dedup(rows, n=20):
-    first = defaultdict(set)
+def brute_dedup(rows, n=20, order=lambda t: 0):
+    """order: of rows that share an id; rows that agree in it are one document."""
+    first = {}
     for k, t in rows:
         w = split(t)
         for i in range(len(w) - n + 1):
-            first[tuple(w[i : i + n])].add((k if k is not None else -(1 << 63), i))
+            place = (k if k is not None else -(1 << 63), order(t), i)
+            first[tuple(w[i : i + n])] = min(place, first.get(tuple(w[i : i + n]), place))
     out = []
     for k, t in rows:
         w, kk = split(t), k if k is not None else -(1 << 63)
         gone = set()
         for i in range(len(w) - n + 1):
-            if min(first[tuple(w[i : i + n])]) < (kk, i):
+            if first[tuple(w[i : i + n])] < (kk, order(t), i):
                 gone.update(range(i, i + n))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((k, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
@@ -131,6 +133,16 @@ def test_substring_dedup(docs):
     assert sum(x[2] for x in want) > 150
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Thousands of rows without an id, each text twice, and some other ids: time and memory stay in proportion."""
+    texts = [" ".join(words(60, i) + words(25, i % 7)) for i in range(2500)]
+    rows = [(None, t) for t in texts] * 2 + [(i % 3, " ".join(words(30, 10_000 + i) + words(25, i % 7))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup(df).collect())
+    assert got == brute_dedup(rows, order=hashes.__getitem__)
+
+
 def test_substring_dedup_empty(empty):
     assert substring_dedup(empty).count() == 0
 
@@ -288,6 +300,61 @@ def test_rollup(spark, docs, tmp_path):
         r.commit("../x", changes(counts, "insert"))
 
 
+def test_rollup_with_two_committers(spark, docs, tmp_path):
+    """Both have staged the batch before either publishes it; it counts once."""
+    one, two = (TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    batch = changes(token_counts(docs), "insert")
+    a, b = one.stage(batch), two.stage(batch)
+    assert one.publish("x", a)
+    want = sorted(map(str, one.totals().collect()))
+    assert not two.publish("x", b)
+    assert not two.commit("x", batch)
+    assert sorted(map(str, two.totals().collect())) == want
+    # A note that both write at the same moment: one text stays, and one folder counts.
+    notes = one._batches
+    notes.fs.delete(notes.at("x"), False)
+    seen = notes.exists
+    notes.exists = lambda name: False
+    two._batches.write("x", b)
+    assert notes.write("x", a) == (notes.read("x") == a)
+    notes.exists = seen
+    assert sorted(map(str, two.totals().collect())) == want
+    for i in range(3):
+        assert one.commit(f"y{i}", batch)
+    before = sorted(map(str, one.totals().collect()))
+    one.compact()
+    assert two.commit("z", batch) and not one.commit("y1", batch)
+    two.compact()
+    assert len(one._state()[0]) == 1
+    assert one.totals().agg(F.sum("n_docs")).first()[0] == 5 * 2 * 15
+    assert sum(eval(str(r), {"Row": lambda **k: k})["n_docs"] for r in before) == 4 * 2 * 15
+
+
+def test_rollup_totals_of_every_group(spark, sf):
+    """op5's totals against whole texts encoded one by one, per source, language and tokenizer."""
+    from lodestone.llm.queries import op5_token_rollups
+
+    tok = Encoder(default_path()).tokenizer
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        q, t = labels.get(r.doc_id, (9, 0))
+        labels[r.doc_id] = min(q, r.quality), max(t, r.toxic)
+    want = defaultdict(lambda: [0, 0])
+    for d in docs:
+        quality, toxic = labels.get(d.doc_id, (9, 0))
+        if toxic == 1:
+            continue
+        text = d.text or ""
+        if quality == 0:
+            text = "\n".join(dict.fromkeys(text.split("\n")))
+        for name, n in (("words-1", len(split(text))), ("word_bpe_49k", len(tok.encode(text, add_special_tokens=False).ids))):
+            g = want[d.source, d.lang, name]
+            g[0], g[1] = g[0] + 1, g[1] + n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in op5_token_rollups(spark, sf).collect()}
+    assert got == dict(want)
+
+
 # --- tokens, 6 token files, 7 packing ---
 
 
@@ -337,6 +404,18 @@ def test_coder_checks_and_learns():
         coder.encode(np.zeros(9000, np.int32), np.array([0, 9000]))
 
 
+@pytest.mark.parametrize("seen", [0, 1, 50, 118, 500])
+def test_coder_ranges_begin_where_they_should(seen):
+    """Also where shares fill nearly the whole scale; a block's starts don't depend on its neighbours."""
+    m = coder._Model(3)
+    m.counts.reshape(3, -1)[:, 5] += 8 * seen
+    m._refresh(3)
+    cum = m.cum.reshape(3, -1)[:, : coder.RANGES].astype(int)
+    want = [[int((c <= 8 * slot).sum()) - 1 for slot in range(512)] for c in cum]
+    assert m.start.reshape(3, 512).tolist() == want
+    assert all((np.diff([*c, 4096]) > 0).all() for c in cum)
+
+
 def test_coder_takes_large_ids():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 1 << 32, 500), rng.integers(0, 65536, 300), [65536, 0, (1 << 32) - 1]])
