@@ -587,6 +587,57 @@ def test_main_text_keeps_all_content():
     assert H.main_text(page) == "\n".join(p)
 
 
+def test_main_text_selects_paths_inside_the_article():
+    head = "<h1>Title</h1><p>Long enough, this text is. And on, it goes.</p><p>More of it, here, is to read, and so on.</p>"
+    want = "Title\nLong enough, this text is. And on, it goes.\nMore of it, here, is to read, and so on."
+    for part, text in (
+        ("<div class=x><a href=1>Home</a> <a href=2>Away</a></div>", None), ('<div class="notice">Subscribe now!</div>', None),
+        ("<ul class=more><li><a href=1>One more</a></li><li><a href=2>Two more</a></li></ul>", None),
+        ('<div class="legal-analysis side"><p>A paragraph of legal analysis, which is long enough, and says something.</p></div>', "A paragraph of legal analysis, which is long enough, and says something."),
+        ('<h2><a href="#s">Part</a></h2><p>And more, after the heading, in its part.</p>', "Part\nAnd more, after the heading, in its part."),
+        ("<p>Short.</p><p><a href=x>Read the report</a></p>", "Short.\nRead the report"), ("<table><tr><td>a<td>1</table>", "a\n1"),
+    ):
+        assert H.main_text(f"<article>{head}{part}</article>") == (want if text is None else f"{want}\n{text}"), part
+    assert H.main_text('<body><div class="register"><h1>T</h1><p>The parish register, kept since 1600, is here.</p></div></body>') == "T\nThe parish register, kept since 1600, is here."
+
+
+def test_main_text_of_deep_pages():
+    """Time and memory in proportion to the page, however it nests."""
+    import time
+    import tracemalloc
+
+    began = time.time()
+    tracemalloc.start()
+    for page, n in (("<div>" * 100_000 + "x", 1), ("<div><p>x" * 20_000, 39_999), ("<nav>" * 50_000 + "x", 0), ("<ul><li>" * 50_000 + "x", 1), ("<p>" + "<object>" * 50_000 + "<p>y", 1), ("<a " * 100_000, 299_999), ("</div>" * 100_000 + "x", 1)):
+        assert len(H.main_text(page)) == n, page[:12]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert time.time() - began < 120
+
+
+def _labelled_pages():
+    """Pages of many layouts with the blocks of their articles: (html, wanted blocks, unwanted)."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"{'Word' if i % 9 == 0 else 'word'}{rng.integers(999)}{',' if i % 7 == 3 else '.' if i % 9 == 8 else ''}" for i in range(n)) + "."
+    for i in range(120):
+        body = [f"Title {i} of it", *(prose(int(rng.integers(6, 80))) for _ in range(int(rng.integers(3, 9)))), f"Heading {i}", prose(40), f"item {i}", prose(20)]
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{x}</p>" for x in body[1:-4]) + f"<h2>{body[-4]}</h2><p>{body[-3]}</p><ul><li>{body[-2]}</li></ul><p>{body[-1]}</p>"
+        wrap = [("<article>", "</article>"), ("<main><div class=content>", "</div></main>"), ("<div id=page class=no-sidebar><div class=post>", "</div></div>"), ('<div class="story register">', "</div>"), ("<table><tr><td>", "</td></tr></table>")][i % 5]
+        bad = [f"menu{i}", prose(12), f"share{i}", prose(30), prose(25), f"Copyright {i}, all."]
+        side = ["<aside><p>{}</p></aside>", "<div class=sidebar><p>{}</p></div>", "<div role=complementary>{}</div>"][i % 3]
+        page = f"<html><head><title>t</title></head><body><nav><a href=1>{bad[0]}</a></nav><div class=ad>{bad[1]}</div>{wrap[0]}{inner}<div class=share><a href=2>{bad[2]}</a></div>{wrap[1]}{side.format(bad[3])}<section class=comments><p>{bad[4]}</p></section><footer>{bad[5]}</footer></body></html>"
+        yield page, body, bad
+
+
+def test_main_text_recall_and_precision():
+    found = wanted = right = 0
+    for page, good, bad in _labelled_pages():
+        out = H.main_text(page).split("\n")
+        found, wanted, right = found + len(out), wanted + len(good), right + len(set(out) & set(good))
+        assert not set(out) & set(bad)
+    assert right / wanted > 0.98 and right / found > 0.98, (right / wanted, right / found)
+
+
 def test_extract(spark, sf):
     pages = spark.createDataFrame([(1, "u", "<article><p>Ab, c.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(tuple, H.extract(pages).fillna(-1).fillna("").collect())) == [(-1, "v", "", 0), (1, "u", "Ab, c.", 6), (2, "", "", 0)]
