@@ -89,15 +89,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.empty(0, U64)
-        up, down = powers(_BASES[0], len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, U64)
-        total[0] = 0
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        h += (self.end - self.start).astype(U64) * U64(_BASES[1])
-        return mix(h)
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
+    if not len(start):
+        return np.empty(0, U64)
+    up, down = powers(_BASES[0], len(data) + 1)
+    total = np.empty(len(data) + 1, U64)
+    total[0] = 0
+    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    h += (end - start).astype(U64) * U64(_BASES[1])
+    return mix(h)
 
 
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -10,10 +10,14 @@ A rare token's share within "rare" is (c + 1) / (Nr + Vr + 1), c its training
 count, Nr and Vr the rare tokens and types, so one slot is left for unknown
 words and the probabilities of all words sum to one, as in the base model.
 
-Training is distributed: each task takes gradient steps (row-wise Adagrad) over
-all its training texts in minibatches, starting from the counts; the tasks'
-weights are then averaged row by row, weighted by the steps that touched each.
-Symbols, weights and the broadcast dictionary of the most frequent words, which
+Training is distributed, in `rounds` over equal parts of the training texts, dealt
+by a hash: each task takes gradient steps (row-wise Adagrad) over its texts in
+minibatches, starting from the round's weights (at first, from the counts); the
+tasks' weights are then averaged row by row, weighted by the steps that touched
+each, and the next round starts from the average. A round has at least LEAST
+tasks and as many as keep what they shuffle below an eighth of their texts.
+`losses` has each round's mean log10 probability of tokens before they were
+learnt. Symbols, weights and the broadcast dictionary of the most frequent words, which
 tells contexts apart, grow as the square root of the training tokens (`sizes`);
 the counts of rarer words are joined.
 
@@ -26,7 +30,7 @@ the base; an empty table gives an empty result; other columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,10 @@ from lodestone.llm import kernels as K
 from lodestone.llm.common import written
 
 #: Sizes of a corpus of up to `BASE` training tokens; they grow with larger ones.
-SIDE, CLASS_ROWS, WORD_ROWS, DICTIONARY = 32, 1 << 14, 1 << 15, 1 << 16
+SIDE, CLASS_ROWS, WORD_ROWS, DICTIONARY = 32, 1 << 14, 1 << 15, 1 << 17
 BASE = 1 << 24
-SHARE = 48 << 20
+#: Bytes of text of a training task at least (and eight times its weights), and tasks of a round at least.
+SHARE, LEAST = 48 << 20, 4
 BATCH = 8192
 END = K.U64(0x5851F42D4C957F2D)
 BEGIN = K.U64(0x14057B7EF767814F)
@@ -124,6 +129,7 @@ class Model:
     class_rows: np.ndarray
     word_rows: np.ndarray
     word_bias: np.ndarray
+    losses: tuple[float, ...] = ()
 
     def rows(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         both = K.mix(one * K.U64(0x9E3779B97F4A7C15) + two)
@@ -145,8 +151,9 @@ class Model:
         log = np.log(p[i, cls]) - np.log(zp) + np.log(q[i, member]) - np.log(zq)
         return log, cls, member, c, w, zp, zq, p, q
 
-    def step(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray, sums: list[np.ndarray], touched: list[np.ndarray], rate: float) -> None:
-        _, cls, member, c, w, zp, zq, p, q = self.forward(one, two, symbol)
+    def step(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray, sums: list[np.ndarray], touched: list[np.ndarray], rate: float) -> float:
+        """One gradient step; the sum of the tokens' log-probabilities before it."""
+        log, cls, member, c, w, zp, zq, p, q = self.forward(one, two, symbol)
         i = np.arange(len(symbol))
         p /= zp[:, None]
         q /= zq[:, None]
@@ -164,10 +171,19 @@ class Model:
                 touched[k][r] += 1
                 total *= (rate / np.sqrt(sums[k][r] + 1e-3))[:, None]
                 weights[r] = _rows(weights, r) - total
+        return float(log.sum(dtype=np.float64))
 
     def tables(self) -> tuple[np.ndarray, ...]:
         return self.class_rows, self.word_rows, self.word_bias, self.class_bias[None]
 
+    def sent(self) -> Model:
+        """As it is broadcast: rows in half precision, as tasks send them."""
+        return replace(self, class_rows=self.class_rows.astype(np.float16), word_rows=self.word_rows.astype(np.float16))
+
+    def worker(self) -> Model:
+        """A task's own copy, to work on."""
+        return replace(self, **{k: getattr(self, k).astype(np.float32) for k in ("class_rows", "word_rows", "word_bias", "class_bias")})
+
 
 def _tokens(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices with the hashes of their tokens, an end after each text, and where texts begin."""
@@ -242,59 +258,89 @@ def _view(model: Model, find: Lookup, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, symbol, np.where((at >= 0) | end, h, RARE)
 
 
-def train(docs: DataFrame, counts: DataFrame, size: int, rate: float = 0.15) -> Model:
+def train(docs: DataFrame, counts: DataFrame, size: int, rate: float = 0.15, rounds: int = 2) -> Model:
     """docs: (text, held_out), of `size` bytes. All texts that aren't held out train."""
-    spark = docs.sparkSession
-    texts = docs.where("NOT held_out")
+    texts = docs.where("NOT held_out").select("text")
     model = _fresh(counts, texts.count())
     side, class_rows, word_rows, _ = sizes(model.n)
-    # A task's weights are never more bytes than its texts, so that what is shuffled stays in proportion.
-    shares = max(1, -(-size // max(SHARE, 4 * side * (class_rows + word_rows))))
-    sent = spark.sparkContext.broadcast(model)
+    model = replace(model, class_rows=np.zeros((class_rows, side), np.float32), word_rows=np.zeros((word_rows, side), np.float32))
+    shares = max(LEAST, -(-size // rounds // max(SHARE, 8 * 4 * side * (class_rows + word_rows))))
+    for i in range(rounds):
+        model = _round(texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == i), model, shares, rate)
+    return model
+
+
+PARTS = "part long, touched binary, means binary"
+LOSS = -1
+
+
+def _part(k: int, i: int, touched: np.ndarray, means: np.ndarray) -> pa.RecordBatch:
+    """Rows of table k from i on; wide tables in half precision."""
+    return pa.RecordBatch.from_pydict({"part": pa.array([k << 40 | i], pa.int64()), "touched": pa.array([touched.astype(np.float32).tobytes()], pa.binary()), "means": pa.array([means.astype(np.float16 if k < 2 else np.float32).tobytes()], pa.binary())})
+
+
+def _unpart(part: int, touched: bytes, means: bytes) -> tuple[np.ndarray, np.ndarray]:
+    t = np.frombuffer(touched, np.float32).astype(np.float64)
+    return t, np.frombuffer(means, np.float16 if part >> 40 < 2 else np.float32).astype(np.float64).reshape(len(t), -1)
+
+
+def _round(texts: DataFrame, model: Model, shares: int, rate: float) -> Model:
+    """The model after all of `texts`, learnt in `shares` tasks and averaged."""
+    sent = texts.sparkSession.sparkContext.broadcast(model.sent())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        m = Model(**{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in m.__dict__.items()})
-        m.class_rows, m.word_rows = np.zeros((class_rows, side), np.float32), np.zeros((word_rows, side), np.float32)
+        m = sent.value.worker()
         find = Lookup(m.keys)
         tables = m.tables()
         sums = [np.zeros(len(x), np.float32) for x in tables]
         touched = [np.zeros(len(x), np.float32) for x in tables]
-        any_ = False
+        loss, n = 0.0, 0
         for batch in batches:
             for _, h, first in _tokens(batch, 0):
                 _, symbol, seen = _view(m, find, h)
                 one, two = _contexts(seen, first)
-                any_ = any_ or len(h) > 0
+                n += len(h)
                 for i in range(0, len(h), BATCH):
                     j = slice(i, i + BATCH)
-                    m.step(one[j], two[j], symbol[j], sums, touched, rate)
-        if any_:
+                    loss += m.step(one[j], two[j], symbol[j], sums, touched, rate)
+        if n:
             for k, x in enumerate(tables):
                 for i in range(0, len(x), 2048):
                     t = touched[k][i : i + 2048]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([k << 40 | i], pa.int64()), "touched": pa.array([t.tobytes()], pa.binary()), "sums": pa.array([(x[i : i + 2048] * t[:, None]).astype(np.float32).tobytes()], pa.binary())})
+                    if t.any():
+                        yield _part(k, i, t, x[i : i + 2048])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([LOSS], pa.int64()), "touched": pa.array([np.array([n], np.float64).tobytes()], pa.binary()), "means": pa.array([np.array([loss], np.float64).tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for part, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, touched, means in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part == LOSS:
+                    t, s = np.frombuffer(touched, np.float64), np.frombuffer(means, np.float64)
+                else:
+                    t, s = _unpart(part, touched, means)
+                    s = s * t[:, None]
                 x = have.setdefault(part, [np.float64(0), np.float64(0)])
-                x[0], x[1] = x[0] + np.frombuffer(t, np.float32), x[1] + np.frombuffer(s, np.float32).astype(np.float64)
+                x[0], x[1] = x[0] + t, x[1] + s
         for part, (t, s) in have.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "touched": pa.array([t.astype(np.float32).tobytes()], pa.binary()), "sums": pa.array([s.astype(np.float32).tobytes()], pa.binary())})
-
-    kind = "part long, touched binary, sums binary"
-    rows = texts.select("text").coalesce(shares).mapInArrow(task, kind).repartition(24, "part").mapInArrow(add, kind).collect()
-    model.class_rows, model.word_rows = np.zeros((class_rows, side), np.float32), np.zeros((word_rows, side), np.float32)
-    for r in rows:
-        k, i = r["part"] >> 40, r["part"] & ((1 << 40) - 1)
-        table = model.tables()[k]
-        t = np.frombuffer(r["touched"], np.float32)
-        s = np.frombuffer(r["sums"], np.float32).reshape(len(t), -1)
+            if part == LOSS:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "touched": pa.array([t.tobytes()], pa.binary()), "means": pa.array([s.tobytes()], pa.binary())})
+            else:
+                yield _part(part >> 40, part & ((1 << 40) - 1), t, s / np.maximum(t, 1)[:, None])
+
+    reducers = max(8, min(2000, sum(-(-len(x) // 2048) for x in model.tables()) // 4))
+    rows = texts.coalesce(shares).mapInArrow(task, PARTS).repartition(reducers, "part").mapInArrow(add, PARTS)
+    new = replace(model, **{k: getattr(model, k).copy() for k in ("class_rows", "word_rows", "word_bias", "class_bias")})
+    for r in written(rows, "weights").toLocalIterator():
+        if r["part"] == LOSS:
+            n, loss = (np.frombuffer(r[c], np.float64)[0] for c in ("touched", "means"))
+            new.losses = (*new.losses, float(loss / n) * LOG10E)
+            continue
+        i, (t, s) = r["part"] & ((1 << 40) - 1), _unpart(r["part"], r["touched"], r["means"])
         live = t > 0
-        table[i : i + len(t)][live] = s[live] / t[live][:, None]
-    return model
+        new.tables()[r["part"] >> 40][i : i + len(t)][live] = s[live]
+    sent.unpersist()
+    return new
 
 
 SCORED = "doc_id long, held_out boolean, row long, n_tokens long, local_known long, local_log double, rare_log double, n_rare long, log_p double, others array<struct<h:bigint,m:int>>"
@@ -302,16 +348,19 @@ SCORED = "doc_id long, held_out boolean, row long, n_tokens long, local_known lo
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold == held_fold).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counts = _counted(keyed.where("NOT held_out"))
-    model = train(keyed.select("text", "held_out"), counts, size)
-    sent = spark.sparkContext.broadcast(model)
+    return _scores(keyed, counts, train(keyed.select("text", "held_out"), counts, size))
+
+
+def _scores(keyed: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """keyed: (doc_id, held_out, text)."""
+    sent = keyed.sparkSession.sparkContext.broadcast(model.sent())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent.value.worker()
         find = Lookup(m.keys)
         row = TaskContext.get().partitionId() << 36
         logs = np.log10(np.append(m.counts, 0) + 1.0)

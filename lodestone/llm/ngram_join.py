@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lodestone.llm import kernels as K
 from lodestone.llm import sketch
@@ -117,6 +116,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 PAIR = ["x", "xn", "y", "yn"]
+AT_ONE = 16
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -139,12 +139,12 @@ def _blocks(rest: DataFrame, percent: int, chunk: int) -> DataFrame:
     own = rest.groupBy("token", "c").count()
     own = own.withColumn("g", F.when(F.col("count") * 10 >= chunk, F.col("c")).otherwise(F.lit(-1).cast("long")))
     parts = own.groupBy("token", "g").agg(F.expr(f"(sum(count) + {chunk - 1}) div {chunk}").alias("parts"))
-    parts = parts.withColumn("salts", F.sum("parts").over(W.partitionBy("token")))
+    parts = parts.withColumn("salts", F.expr(f"(sum(parts) OVER (PARTITION BY token) + {AT_ONE - 1}) div {AT_ONE}"))
     dealt = rest.join(own.join(parts, ["token", "g"]).select("token", "c", "g", "parts", "salts"), ["token", "c"])
     rows = F.collect_list(F.struct("node", "n", "left", "c")).alias("m")
     chunks = dealt.groupBy("token", "g", F.expr("pmod(xxhash64(node), parts)").alias("part"), "salts").agg(rows)
     cols = ("node", "n", "left", "c")
-    # A chunk of a shingle with many stands in one task, and its partners in each: no task has all their pairs.
+    # Of a shingle with many chunks, AT_ONE stand in one task, and their partners in each: no task has all pairs.
     a = chunks.select("token", F.expr("pmod(xxhash64(g, part), salts)").alias("salt"), F.col("g").alias("ag"), F.col("part").alias("ap"), *(F.col(f"m.{x}").alias(f"a_{x}") for x in cols))
     b = chunks.select("token", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("g").alias("bg"), F.col("part").alias("bp"), *(F.col(f"m.{x}").alias(f"b_{x}") for x in cols))
 

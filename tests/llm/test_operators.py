@@ -369,6 +369,37 @@ def test_word_wise_ids_equal_whole_texts(texts):
             assert ids[at[i] : at[i + 1]].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abé1 .,'\"!?€$-)x\u0308", max_size=30), max_size=4))
+def test_closing_marks_are_parts_of_their_own(texts):
+    enc = Encoder(default_path())
+    assert enc.closing
+    ids, at = enc.encode(*kernels.buffers(pa.array(texts, pa.string())))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_starts_anew_when_full():
+    enc = Encoder(default_path(), most=50)
+    for n in range(6):
+        texts = [f"word{n}{i}, and" for i in range(40)]
+        ids, at = enc.encode(*kernels.buffers(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.index.n < 130
+
+
+def test_table_of_hashes():
+    from lodestone.llm.tokens import Table
+
+    rng = np.random.default_rng(3)
+    t, keys = Table(2), (rng.integers(1, 40, 30).astype(np.uint64) << np.uint64(8)) | np.uint64(3)
+    keys = np.unique(keys)
+    t.add(keys[:5])
+    t.add(keys[5:])
+    assert t.find(keys).tolist() == list(range(len(keys)))
+    assert t.find(keys + np.uint64(1)).tolist() == [-1] * len(keys)
+
+
 def test_a_tokenizer_that_keeps_white_space():
     import public_tokenizers
 
@@ -544,6 +575,42 @@ def test_language_model_grows(spark, monkeypatch):
     assert score(docs).count() == 70
 
 
+def test_language_model_equals_a_plain_one(spark):
+    """Scores against the formula in plain Python; the probabilities of all words sum to one; rounds learn."""
+    texts = [(i, f"v{i} " + " ".join(words(40, i % 2)) + (" x" * (i % 3)), False) for i in range(90)] + [(99, "w1 w2 never w1", True), (98, "", True), (97, None, True)]
+    keyed = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean").selectExpr("doc_id", "held_out", "coalesce(text, '') AS text")
+    counts = LM._counted(keyed.where("NOT held_out"))
+    m = LM.train(keyed, counts, 1, rounds=3)
+    assert len(m.losses) == 3 and m.losses[2] > m.losses[0]
+    m = m.sent().worker()
+    classes = len(m.class_bias)
+    count = {int(r.h): r.c for r in counts.collect()}
+    hashes = lambda t: kernels.Words(*kernels.buffers(pa.array([t])), lower=True).hashes()
+
+    def plain(t):
+        h = [*hashes(t).tolist(), int(LM.END)]
+        known = {int(k): int(s) for k, s in zip(m.keys, m.symbols, strict=True)}
+        feature = [x if x in known or x == int(LM.END) else int(LM.RARE) for x in h]
+        total = 0.0
+        for i, x in enumerate(h):
+            one, two = (feature[i - k] if i >= k else int(LM.BEGIN) for k in (1, 2))
+            symbol = m.end_symbol if x == int(LM.END) else known.get(x, 0)
+            cls, member = symbol % classes, symbol // classes
+            c, w = m.rows(np.array([one], np.uint64), np.array([two], np.uint64), np.array([cls]))
+            p = np.exp(m.class_bias.astype(float) + sum(m.class_rows[r[0]].astype(float) for r in c))
+            q = np.exp(m.word_bias[cls].astype(float) + sum(m.word_rows[r[0]].astype(float) for r in w))
+            total += np.log10(p[cls] / p.sum()) + np.log10(q[member] / q.sum())
+            if symbol == 0:
+                total += np.log10((count.get(int(np.uint64(x).view(np.int64)), 0) + 1) / (m.n_rare + m.v_rare + 1))
+        return total
+
+    out = {r.doc_id: r.score for r in LM._scores(keyed, counts, m).collect()}
+    for k, t, _ in texts:
+        assert out[k] == pytest.approx(plain(t or ""), rel=1e-4, abs=1e-4), k
+    one, two = np.full(m.size, m.keys[0]), np.full(m.size, m.keys[1])
+    assert np.exp(m.forward(one, two, np.arange(m.size))[0].astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=1>Home</a></nav>
     <article><h1>The&nbsp;Title</h1><p>First, a   long paragraph &amp; more, of some length. It goes on.<p>Second <b>one</b>, also long enough, so there.</p>
