@@ -73,6 +73,12 @@ def _canonical(t: Column) -> Column:
     )
 
 
+def role_token(t: Column) -> Column:
+    """Canonical, with one word for developing and engineering."""
+    c = canonical(t)
+    return F.when(c.isin("developer", "development", "engineering"), "engineer").otherwise(c)
+
+
 def canonical_terms(s: Column) -> Column:
     trimmed = F.transform(tokens(s), lambda t: F.trim(t, F.lit(".-")))  # once, as lambdas share nothing
     return F.filter(F.transform(trimmed, lambda t: _canonical(t)), lambda t: t != "")
@@ -103,9 +109,21 @@ def contains_sequence(tokens_: Column, sequence: list[str]) -> Column:
 
 
 def ordered_subsequence(tokens_: Column, sequence: list[str], gap: int = 2) -> Column:
-    """The sequence occurs in order with at most `gap` tokens between neighbours."""
-    gaps = rf"(?: \S+){{0,{gap}}} "
-    return F.concat(F.lit(" "), F.array_join(tokens_, " "), F.lit(" ")).rlike(" " + gaps.join(map(re.escape, sequence)) + " ")
+    """The sequence occurs in order with at most `gap` tokens between neighbours. The first
+    place of each word counts until a gap is too wide; then the search starts anew."""
+    want = F.array(*map(F.lit, sequence))
+    n = len(sequence)
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("last"), F.lit(0).alias("i"))
+
+    def step(a: Column, t: Column) -> Column:
+        i = a["i"] + 1
+        wide = (a["k"] > 0) & (i - a["last"] - 1 > gap)
+        hit = (a["k"] < n) & (t == F.get(want, a["k"]))
+        again = hit & wide
+        k = F.when(~hit, a["k"]).when(again, F.when(t == sequence[0], 1).otherwise(0)).otherwise(a["k"] + 1)
+        return F.struct(k.cast("int").alias("k"), F.when(hit, i).otherwise(a["last"]).cast("int").alias("last"), i.cast("int").alias("i"))
+
+    return F.aggregate(tokens_, start, step, lambda a: a["k"] == n)
 
 
 def squeeze(s: Column) -> Column:

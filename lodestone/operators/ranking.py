@@ -25,6 +25,18 @@ def best_matches(scored: DataFrame) -> DataFrame:
     return out.select("candidate_id", "condition", "weight", "chunk_id", F.col("m.strength").alias("strength"), (-F.col("m.r")).alias("rank"))
 
 
+def conflicts(hits: DataFrame) -> DataFrame:
+    """Candidates whose chunks disagree on name or title: (candidate_id, n_names, n_titles)."""
+    n = hits.groupBy("candidate_id").agg(F.countDistinct("candidate_name").alias("n_names"), F.countDistinct("professional_title").alias("n_titles"))
+    return n.where("n_names > 1 OR n_titles > 1")
+
+
+def reject_conflicts(hits: DataFrame) -> None:
+    """An error if one candidate has two names or titles in its chunks."""
+    if bad := conflicts(hits).orderBy("candidate_id").head(1):
+        raise ValueError(f"candidate {bad[0]['candidate_id']} has conflicting names or titles")
+
+
 def candidates(hits: DataFrame, matches: DataFrame, total_weight: float, n_conditions: int, limit: int = 15) -> DataFrame:
     """Candidates by score: coverage, quality and semantic support, each in [0, 1]."""
     base = hits.groupBy("candidate_id").agg(F.max("semantic").alias("semantic_support"), F.max("combined").alias("best_combined"), F.min("rank").alias("best_rank"), F.count("*").alias("n_hits"))
