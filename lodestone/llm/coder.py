@@ -37,6 +37,7 @@ SMALL, RANGES = 64, 64 + 248
 EVERY = 512
 RATE2, RATE1 = 4, 5
 WIDTH = RANGES + 8
+GROW = 1024
 
 U = np.uint64
 _EDGE, _TOP = U(1 << 40), U(40)
@@ -128,10 +129,13 @@ def _words(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     steps = np.ascontiguousarray(steps.T)
     model = _Model(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 56) - 1, U)
-    out = np.zeros((2 * longest + 16, lanes), np.uint32)
+    out = np.zeros((longest // 2 + GROW, lanes), np.uint32)
     flat = out.reshape(-1)
     n = np.arange(lanes)  # where each block's next word goes
     for t, m in enumerate(live.tolist()):
+        if t % 256 == 0 and int(n.max(initial=0)) // max(1, lanes) + 600 > len(out):  # at most two words an id
+            out = np.concatenate([out, np.zeros((GROW + len(out) // 2, lanes), np.uint32)])
+            flat = out.reshape(-1)
         model.begin(t, m)
         x = steps[t, :m]
         hit2 = x == model.p2
@@ -237,7 +241,6 @@ def _ids(words: list[bytes], lengths: np.ndarray) -> np.ndarray:
         model.learn(x, m, hit2, hit1, escaped, k)
         co -= r * begin
         np.multiply(r, width, out=sp)
-        np.maximum(sp, U(1), out=sp)  # a damaged block must reach its check
         while (full := sp < _EDGE).any():
             by = full * U(16)
             np.left_shift(co, by, out=co)
