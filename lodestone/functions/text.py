@@ -84,6 +84,22 @@ def canonical_terms(s: Column) -> Column:
     return F.filter(F.transform(trimmed, lambda t: _canonical(t)), lambda t: t != "")
 
 
+def surface_forms(term: str) -> list[str]:
+    """Tokens that are one canonical term."""
+    ends = [term, *([f"{term}s"] if len(term) > 3 and not term.endswith("s") else []), *([f"{term[:-1]}ies"] if len(term) > 2 and term.endswith("y") else [])]
+    named = {"accessibility": ["accessible", "accessibility"], "manage": MANAGEMENT, "net": [".net"]}.get(term, [])
+    return list(dict.fromkeys([*ends, *named, *(a for a, b in PROFICIENCY_ADVERBS.items() if b == term)]))
+
+
+def has_token(searchable: Column, forms: list[str]) -> Column:
+    """Whether one of the tokens stands in a folded text without hyphens, found without cutting it into tokens."""
+    return searchable.rlike(rf"(?<![a-z0-9])(?<![a-z0-9]\.)(?:{'|'.join(map(re.escape, forms))})(?![a-z0-9+#])(?!\.[a-z0-9])")
+
+
+def searchable(s: Column) -> Column:
+    return F.regexp_replace(fold(s), HYPHENS, " ")
+
+
 def number(t: Column) -> Column:
     """The number a token stands for, as a double; null if none."""
     words = F.create_map(*(F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, float(n))))

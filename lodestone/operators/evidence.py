@@ -34,6 +34,12 @@ def lexical(terms: Column, normalized: Column, wanted: list[str], phrases: list[
     return F.least(F.lit(1.0), cover)
 
 
+def lexical_of_text(searchable: Column, wanted: list[str]) -> Column:
+    """Share of terms found, by searching the text once per term."""
+    found = [T.has_token(searchable, [f for t in family(w) for f in T.surface_forms(t)]) for w in wanted]
+    return sum((F.when(x, 1.0).otherwise(0.0) for x in found), F.lit(0.0)) / max(1, len(wanted))
+
+
 def combined(semantic: Column, lexical_: Column, numeric: Column | None = None) -> Column:
     if numeric is None:
         return T.clamp(0.70 * semantic + 0.30 * lexical_)

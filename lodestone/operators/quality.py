@@ -84,3 +84,30 @@ def proven(document_tokens: Column, fact_tokens: Column, least: int = 4) -> Colu
     rest = F.array_except(fact_tokens, document_tokens)
     joined = F.concat(F.lit(" "), F.array_join(document_tokens, " "), F.lit(" "))
     return F.forall(rest, lambda t: F.array_contains(long_, t) & (F.instr(joined, t) > 0))
+
+
+def proving_documents(docs: DataFrame, facts: DataFrame, doc: str, fact: str) -> DataFrame:
+    """(fact, n_docs): how many documents have all words of each fact, as words or, with
+    four letters or more, inside of words.
+
+    docs: (doc, words); facts: (fact, words); words are arrays. The distinct words of
+    all documents are matched with those of all facts once, by their parts of the
+    lengths that facts have; a fact then meets only the documents that have its rarest
+    word, and is compared with the set of fact words that they have.
+    """
+    wanted = facts.select(F.explode("words").alias("token")).where("token != ''").distinct()
+    pairs = docs.select(doc, F.explode(F.array_distinct("words")).alias("word")).where("word != ''")
+    words = pairs.select("word").distinct()
+    longest = F.lit(wanted.agg(F.max(F.length("token"))).first()[0] or 0)
+    starts = F.sequence(F.lit(1), F.length("word"))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), longest)), lambda n: F.substring(F.col("word"), i, n)))))
+    inner = words.select("word", F.explode(F.array_union(parts, F.array("word"))).alias("token")).where((F.length("token") >= 4) | (F.col("token") == F.col("word")))
+    named = inner.join(wanted, "token", "left_semi").distinct()
+    has = pairs.join(named, "word").select(doc, "token").distinct()
+    spread = has.groupBy("token").count()
+    rare = facts.select(fact, "words", F.explode("words").alias("token")).join(spread, "token", "left")
+    rare = rare.groupBy(fact).agg(F.first("words").alias("words"), F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("r")).where("r.n > 0")
+    met = has.join(rare.select(fact, "words", F.col("r.token").alias("token")), "token").select(doc, fact, "words")
+    sets = has.groupBy(doc).agg(F.collect_set("token").alias("have"))
+    good = met.join(sets, doc).where(F.size(F.array_except("words", "have")) == 0)
+    return good.groupBy(fact).agg(F.count("*").alias("n_docs"))

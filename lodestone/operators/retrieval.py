@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestone.functions import vectors
 
-SUPPLEMENTS = 50
+SUPPLEMENTS, BLOCK = 50, 4096
 
 
 def nearest(index: DataFrame, query: list[float], k: int, metric: str = "cosine", id_col: str = "chunk_id") -> DataFrame:
@@ -18,17 +22,55 @@ def nearest(index: DataFrame, query: list[float], k: int, metric: str = "cosine"
     return top.withColumn("rank", F.row_number().over(W.orderBy("distance", id_col)))
 
 
-def nearest_many(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "chunk_id", salts: int = 16) -> DataFrame:
+def _packed(rows: DataFrame, id_col: str, vector: str, names: tuple[str, str]) -> DataFrame:
+    """Vectors of an Arrow batch as one row: their ids and their numbers one after another."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                flat = part.column(1).flatten().cast(pa.float64())
+                both = (pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(list(both), list(names))
+
+    return rows.select(id_col, vector).where(F.col(vector).isNotNull()).mapInArrow(task, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+
+
+def nearest_many(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "chunk_id") -> DataFrame:
     """The k nearest of every query (question_id, query), all in one job.
 
-    The stated queries meet all rows (Spark broadcasts them where they are
-    small); a first top-k per salt bucket keeps any one task small.
+    The stated queries meet all rows in blocks: one matrix product for each pair
+    of blocks, of which the k nearest of each query go on. Distances are compared
+    to twelve places, ties go to the least id.
     """
-    met = index.crossJoin(queries)
-    scored = met.select("question_id", id_col, vectors.distance(F.col("embedding"), F.col("query"), metric).alias("distance"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt"))
-    by = [F.col("distance"), F.col(id_col)]
-    part = scored.withColumn("r", F.row_number().over(W.partitionBy("question_id", "salt").orderBy(*by))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(*by))).where(F.col("rank") <= k).drop("salt", "r")
+    if metric not in ("cosine", "ip", "l2"):
+        raise ValueError(f"unknown distance: {metric}")
+    kind, asked = index.schema[id_col].dataType.simpleString(), queries.schema["question_id"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, qids = b.column(0)[i].values, b.column(2)[i].values
+                x, q = (np.asarray(b.column(c)[i].values).reshape(len(n), -1) for c, n in ((1, ids), (3, qids)))
+                dot = q @ x.T
+                if metric == "cosine":
+                    d = 1 - dot / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+                elif metric == "ip":
+                    d = 1 - dot
+                else:
+                    d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * dot
+                near = np.round(d, 12)
+                order = np.argsort(np.argsort(np.asarray(ids.to_pylist(), object if kind == "string" else None), kind="stable"), kind="stable")
+                top = np.lexsort((np.broadcast_to(order, near.shape), near))[:, :k]
+                at = np.arange(len(q)).repeat(top.shape[1])
+                flat = top.reshape(-1)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), ids.take(pa.array(flat)), pa.array(d[at, flat])], ["question_id", id_col, "distance"])
+
+    met = _packed(index, id_col, "embedding", ("ids", "x")).crossJoin(_packed(queries, "question_id", "query", ("qids", "q")))
+    part = met.mapInArrow(task, f"question_id {asked}, {id_col} {kind}, distance double")
+    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.round("distance", 12), id_col))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def semantic_candidates(hits: DataFrame, candidate: str, metric: str = "cosine") -> DataFrame:

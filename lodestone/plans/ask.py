@@ -14,6 +14,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking, retrieval
+from lodestone.sources.shared import written
 from lodestone.plans.questions import Condition, Question, analyze, conditions, role_token
 
 #: Sections that may prove a degree, and an alias of a term; how many tokens from a
@@ -117,7 +118,7 @@ def ask(chunks: DataFrame, text: str, query: list[float], names: list[str] | Non
     limits = Limits()
     k, limit = limits.raw(k), limits.final(limit)
     q = analyze(text)
-    hits = assisted(chunks, q, query, k, metric)
+    hits = written(assisted(chunks, q, query, k, metric), "hits")
     ranking.reject_conflicts(hits)
     if names is None:
         names = sorted(r[0] for r in hits.select("candidate_name").distinct().collect() if r[0])

@@ -18,6 +18,7 @@ from lodestone.functions import vectors
 from lodestone.operators import answers, chunking, evaluation, ingest, profile_checks, profiles, quality, ranking, retrieval
 from lodestone.operators import evidence as E
 from lodestone.plans import oracle_text as O
+from lodestone.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -154,14 +155,15 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({O.canonical_terms('text')}) AS term FROM documents) GROUP BY term")
 def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.canonical_terms(F.col("text"))).alias("term"))
+    words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    rows = words.select("doc_id", T.canonical(F.col("token")).alias("term")).where("term != ''")
     per_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string({O.tokens('text')}, ' ')) AS folded_md5 FROM documents WHERE lang <> 'en'")
+@query(f"SELECT doc_id, md5(array_to_string({O.tokens('text')}, ' ')) AS folded_md5 FROM documents")
 def accent_fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("folded_md5"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("folded_md5"))
 
 
 def _lexical(terms: str, n: int = len(TERMS)) -> str:
@@ -176,11 +178,13 @@ def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", F.round("lexical", 6).alias("lexical"), F.round("combined", 6).alias("combined"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Documents with their lexical, semantic (a stand-in from the id) and combined scores."""
-    # Through a generator, so that filters on scores don't evaluate the terms again.
-    rows = _t(spark, sf_dir, "documents").select("*", F.explode(F.array(T.canonical_terms(F.col("text")))).alias("terms"))
-    rows = rows.withColumn("lexical", E.lexical(F.col("terms"), F.lit(""), TERMS)).withColumn("semantic", F.col("doc_id") % 97 / F.lit(97.0))
+    rows = _t(spark, sf_dir, "documents") if rows is None else rows
+    # Through a generator, so that filters on scores don't search the text again.
+    rows = rows.select("*", F.explode(F.array(T.searchable(F.col("text")))).alias("__s"))
+    rows = rows.select("*", F.explode(F.array(E.lexical_of_text(F.col("__s"), TERMS))).alias("lexical")).drop("__s")
+    rows = rows.withColumn("semantic", F.col("doc_id") % 97 / F.lit(97.0))
     return rows.withColumn("combined", E.combined(F.col("semantic"), F.col("lexical")))
 
 
@@ -226,11 +230,15 @@ x AS (SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM h) AND lexical > 0
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The 50 semantic hits and the supplements of the stand-in scores."""
-    all_ = _scored(spark, sf_dir).withColumns({"chunk_id": F.col("doc_id"), "candidate_id": F.col("source"), "numeric": F.lit(0.0), "contextual": F.lit(False)})
-    all_ = all_.select("chunk_id", "candidate_id", "text", "lexical", "semantic", "combined", "numeric", "contextual")
-    top = all_.orderBy(F.desc("semantic"), "chunk_id").limit(50)
+    docs = _t(spark, sf_dir, "documents")
+
+    def all_(rows: DataFrame) -> DataFrame:
+        scored = _scored(spark, sf_dir, rows).withColumns({"chunk_id": F.col("doc_id"), "candidate_id": F.col("source"), "numeric": F.lit(0.0), "contextual": F.lit(False)})
+        return scored.select("chunk_id", "candidate_id", "text", "lexical", "semantic", "combined", "numeric", "contextual")
+
+    top = all_(docs.orderBy(F.desc(F.col("doc_id") % 97), "doc_id").limit(50))
     hits = top.withColumn("raw_rank", F.row_number().over(W.orderBy(F.desc("semantic"), "chunk_id")))
-    alone = all_.withColumn("semantic", F.lit(0.0)).withColumn("combined", 0.3 * F.col("lexical"))
+    alone = all_(docs).withColumn("semantic", F.lit(0.0)).withColumn("combined", 0.3 * F.col("lexical"))
     return hits, retrieval.supplements(alone, hits, False)
 
 
@@ -245,7 +253,8 @@ m AS (SELECT *, row_number() OVER (ORDER BY combined DESC, lexical DESC, semanti
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.merge(*_hits(spark, sf_dir), T.normalized(F.col("text")))
+    """At most a hundred rows, written: the steps behind read them more than once."""
+    return written(retrieval.merge(*_hits(spark, sf_dir), T.normalized(F.col("text"))), "hits")
 
 
 @query(f"{_MERGED} SELECT doc_id, CAST(rank AS INTEGER) AS rank, round(combined, 6) AS combined, extra = 1 AS is_supplemental FROM m")
@@ -383,11 +392,11 @@ def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.coverage(rows)
 
 
-@query("""WITH s AS (SELECT doc_id, sha256(text) AS h, '/cv/' || CAST(doc_id // 2 AS VARCHAR) AS p, source FROM documents), c AS (SELECT * FROM s WHERE doc_id % 50 = 0)
+@query("""WITH s AS (SELECT doc_id, sha256(text) AS h, '/cv/' || CAST(doc_id // 2 AS VARCHAR) AS p, source FROM documents), c AS (SELECT * FROM s)
 SELECT DISTINCT s.doc_id FROM s JOIN c ON s.h <> c.h AND (s.p = c.p OR s.source || CAST(s.doc_id // 10 AS VARCHAR) = c.source || CAST(c.doc_id // 10 AS VARCHAR))""")
 def replaced_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "documents").select("doc_id", ingest.fingerprint(F.col("text")).alias("document_hash"), F.concat(F.lit("/cv/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("source_path"), F.concat("source", F.floor(F.col("doc_id") / 10).cast("string")).alias("candidate_id"))
-    return ingest.replaced(s, s.where("doc_id % 50 = 0")).select("doc_id")
+    return ingest.replaced(s, s).select("doc_id").distinct()
 
 
 # --- data quality ---------------------------------------------------------------------------
@@ -420,11 +429,11 @@ def distribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.distribution_gaps(expected, actual, "r_name")
 
 
-@query("""WITH s AS (SELECT doc_id, 'text' AS signature, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS v FROM documents UNION ALL SELECT doc_id, 'opening', md5(lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' '))) FROM documents),
+@query("""WITH s AS (SELECT doc_id, 'text' AS signature, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS v FROM documents UNION ALL SELECT doc_id, 'first_line', md5(lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'), ' '))) FROM documents),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY signature, v) AS first_id FROM s) SELECT doc_id AS id, first_id, signature FROM f WHERE doc_id > first_id""")
 def uniqueness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return quality.repeats_earlier(docs, "doc_id", {"text": F.md5(T.squeeze(F.col("text")).cast("binary")), "opening": F.md5(T.squeeze(F.substring("text", 1, 60)).cast("binary"))})
+    return quality.repeats_earlier(docs, "doc_id", {"text": F.md5(T.squeeze(F.col("text")).cast("binary")), "first_line": F.md5(T.squeeze(F.get(F.split("text", "\n"), 0)).cast("binary"))})
 
 
 @query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id, 1 AS e FROM documents WHERE doc_id % 2 = 0) FULL JOIN (SELECT DISTINCT doc_id, 1 AS a FROM labels) USING (doc_id) WHERE e IS NULL OR a IS NULL""")
@@ -463,14 +472,14 @@ def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename_plan(rows, T.slug(F.col("p_name"))).select("document_hash", "new_name")
 
 
-@query("""WITH f AS (SELECT item_id, list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 40)), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' '), ' ')) AS w FROM benchmark),
+@query("""WITH f AS (SELECT item_id, list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' '), ' ')) AS w FROM benchmark),
 d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' ') AS s FROM documents)
 SELECT item_id, count(*) AS n_docs FROM f JOIN d ON len(list_filter(w, lambda t: NOT contains(' ' || s || ' ', ' ' || t || ' ') AND NOT (length(t) >= 4 AND contains(s, t)))) = 0 GROUP BY item_id""")
 def fact_token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents prove the opening of each benchmark item."""
-    f = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(T.word_text(F.substring("text", 1, 40)), " ")).alias("w"))
-    d = _t(spark, sf_dir, "documents").select(F.split(T.word_text(F.col("text")), " ").alias("t"))
-    return d.crossJoin(f).where(quality.proven(F.col("t"), F.col("w"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    """How many documents prove each benchmark item, word by word."""
+    f = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(T.word_text(F.col("text")), " ")).alias("words"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(T.word_text(F.col("text")), " ").alias("words"))
+    return quality.proving_documents(d, f, "doc_id", "item_id")
 
 
 # --- profiles -----------------------------------------------------------------------------------
@@ -556,7 +565,7 @@ def list_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- answers and evaluation --------------------------------------------------------------------
 
 
-@query("""WITH s AS (SELECT source || '-source-' || CAST(doc_id AS VARCHAR) AS source_id, source AS owner, lang AS label FROM documents), c AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'src0' ELSE source END AS candidate_id, CASE WHEN doc_id % 13 = 0 THEN 'none-source-' ELSE source || '-source-' END || CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE doc_id % 4 = 0),
+@query("""WITH s AS (SELECT source || '-source-' || CAST(doc_id AS VARCHAR) AS source_id, source AS owner, lang AS label FROM documents), c AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'src0' ELSE source END AS candidate_id, CASE WHEN doc_id % 13 = 0 THEN 'none-source-' ELSE source || '-source-' END || CAST(doc_id AS VARCHAR) AS source_id FROM documents),
 r AS (SELECT DISTINCT source AS candidate_id, lang AS label FROM documents), j AS (SELECT c.*, owner, label FROM c LEFT JOIN s USING (source_id))
 SELECT candidate_id, source_id, 'unknown_source' AS problem FROM j WHERE owner IS NULL UNION ALL SELECT candidate_id, source_id, 'other_candidate' FROM j WHERE owner <> candidate_id
 UNION ALL SELECT candidate_id, source_id, 'repeated' FROM c GROUP BY 1, 2 HAVING count(*) > 1
@@ -565,7 +574,7 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     sid = answers.source_id(F.col("source"), F.col("doc_id"))
     sources = d.select(sid.alias("source_id"), F.col("source").alias("owner"), F.col("lang").alias("label"))
-    cited = d.where("doc_id % 4 = 0").select(F.when(F.col("doc_id") % 11 == 0, "src0").otherwise(F.col("source")).alias("candidate_id"), F.when(F.col("doc_id") % 13 == 0, answers.source_id(F.lit("none"), F.col("doc_id"))).otherwise(sid).alias("source_id"))
+    cited = d.select(F.when(F.col("doc_id") % 11 == 0, "src0").otherwise(F.col("source")).alias("candidate_id"), F.when(F.col("doc_id") % 13 == 0, answers.source_id(F.lit("none"), F.col("doc_id"))).otherwise(sid).alias("source_id"))
     required = d.select(F.col("source").alias("candidate_id"), F.col("lang").alias("label")).distinct()
     return answers.citation_problems(cited, sources, required)
 
@@ -618,8 +627,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lodestone.streaming import ingest as stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodestone-work"
-    at = f"{root.rstrip('/')}/ingest-{uuid4().hex}"
+    at = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
     path = f"{sf_dir}/documents.parquet"
     docs = stream.files(spark, path)
     stream.start(docs, "doc_id", "text", f"{at}/ledger", f"{at}/checkpoint").awaitTermination()

@@ -6,7 +6,7 @@ import os
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "lodestone-work")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: they are computed once, however often they are
+    read, and survive lost executors. Spark removes it when the session ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 class Notes:
     """Small text files in a folder, each whole as soon as it can be seen and never changed."""
 
