@@ -11,6 +11,20 @@ from pyspark.sql.window import Window as W
 
 VERSION = "section-v1"
 MOST, LEAST, OVERLAP = 1200, 80, 120
+#: Headings of the sections, headings of two sections at once, titles of a whole
+#: document, and what begins a new unit of text.
+HEADINGS = {
+    "professional_summary": ("professional profile", "professional summary", "career profile", "personal profile", "profile", "summary"),
+    "experience": ("professional experience", "work experience", "employment history", "career history", "experience"),
+    "skills": ("technical skills", "core skills", "key skills", "competencies", "skills"),
+    "languages": ("language skills", "spoken languages", "languages"),
+    "education": ("academic background", "academic history", "education and training", "education"),
+    "certifications": ("professional certifications", "certificates and certifications", "certifications", "certificates"),
+    "projects": ("selected projects", "personal projects", "portfolio projects", "projects", "portfolio"),
+}
+SKILLS_AND_LANGUAGES = ("skills languages", "languages skills", "technical skills languages")
+DOCUMENT_TITLES = ("cv", "curriculumvitae", "resume", "résumé")
+UNIT_BEGINS = r"^(?:[•▪◦‣*-]\s+|(?i:technologies|technology|team leadership|tools|stack)\s*:)"
 
 
 def page_text(s: Column) -> Column:
@@ -91,39 +105,168 @@ def merge_last(chunks: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.when((n >= 2) & (F.length(F.get(chunks, n - 1)) < least) & (F.length(both) <= most), F.array_append(F.slice(chunks, 1, F.greatest(n - 2, F.lit(0))), both)).otherwise(chunks)
 
 
+def text_windows(s: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
+    """A text as word-safe windows, each beginning with the last words of the one before."""
+    words = [w[i : i + most] for w in s.split() for i in range(0, len(w), most)]
+    out, at = [], 0
+    while at < len(words):
+        end, size = at + 1, len(words[at])
+        while end < len(words) and size + 1 + len(words[end]) <= most:
+            size += 1 + len(words[end])
+            end += 1
+        out.append(" ".join(words[at:end]))
+        if end == len(words):
+            break
+        back, kept = end, 0
+        while back > at and kept + len(words[back - 1]) + (kept > 0) <= overlap:
+            back -= 1
+            kept += len(words[back]) + (kept > 0)
+        at = end if back == at else back  # a window that would only be repeated isn't
+    return out
+
+
 def word_windows(docs: DataFrame, id_col: str, text: str, most: int, overlap: int) -> DataFrame:
-    """Long texts as word-safe windows that repeat the last words of the one before (Arrow batches)."""
-
-    def cut(s: str) -> list[str]:
-        words = [w[i : i + most] for w in s.split() for i in range(0, len(w), most)]
-        out, at = [], 0
-        while at < len(words):
-            end, size = at + 1, len(words[at])
-            while end < len(words) and size + 1 + len(words[end]) <= most:
-                size += 1 + len(words[end])
-                end += 1
-            out.append(" ".join(words[at:end]))
-            if end == len(words):
-                break
-            back, kept = end, 0
-            while back > at + 1 and kept + len(words[back - 1]) + (kept > 0) <= overlap:
-                back -= 1
-                kept += len(words[back]) + (kept > 0)
-            # What is repeated must leave room for a new word.
-            while back < end and kept + 1 + len(words[end]) > most:
-                kept -= len(words[back]) + 1
-                back += 1
-            at = back
-        return out
+    """Long texts as windows of words (Arrow batches)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, w) for i, s in zip(pdf[id_col], pdf[text], strict=True) for k, w in enumerate(cut(s or ""))]
+            rows = [(i, k, w) for i, s in zip(pdf[id_col], pdf[text], strict=True) for k, w in enumerate(text_windows(s or "", most, overlap))]
             yield pd.DataFrame(rows, columns=[id_col, "window_no", "window"])
 
     return docs.select(id_col, text).mapInPandas(task, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, window_no long, window string")
 
 
+PART = "struct<heading:string,value:string>"
+
+
+def heading_parts(line: Column) -> Column:
+    """A line as text and headings (array of struct heading, value; a heading is its section's name).
+
+    A heading is a whole line, or stands in capitals behind text with a small letter
+    or a digit, as where two columns were read as one line.
+    """
+    sections_ = {alias: name for name, aliases in HEADINGS.items() for alias in aliases} | dict.fromkeys(SKILLS_AND_LANGUAGES, "skills_and_languages")
+    known = F.create_map(*(F.lit(x) for pair in sections_.items() for x in pair))
+    single = sorted((a for a in sections_ if a not in SKILLS_AND_LANGUAGES), key=len, reverse=True)
+    s = F.trim(line)
+    whole = F.try_element_at(known, F.lower(F.regexp_replace(s, r"\s+", " ")))
+    pieces = F.split(F.regexp_replace(s, rf"(?iU)(?<!\w)({'|'.join(single)})(?!\w)", "\x02$1\x03"), "\x02")
+
+    def text(v: Column) -> Column:
+        return F.when(F.trim(v) == "", F.array().cast(f"array<{PART}>")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.trim(v).alias("value"))))
+
+    def add(acc: Column, piece: Column) -> Column:
+        name, rest = F.substring_index(piece, "\x03", 1), F.substring_index(piece, "\x03", -1)
+        taken = (name == F.upper(name)) & acc["seen"].rlike(r"[\p{Ll}\p{Nd}]")
+        found = F.array(F.struct(F.element_at(known, F.lower(name)).alias("heading"), F.lit("").alias("value")))
+        return F.struct(
+            F.when(taken, F.concat(acc["done"], text(acc["cur"]), found)).otherwise(acc["done"]).alias("done"),
+            F.when(taken, rest).otherwise(F.concat(acc["cur"], name, rest)).alias("cur"),
+            F.concat(acc["seen"], name, rest).alias("seen"),
+        )
+
+    first = F.get(pieces, 0)
+    start = F.struct(F.array().cast(f"array<{PART}>").alias("done"), first.alias("cur"), first.alias("seen"))
+    inside = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, add, lambda acc: F.concat(acc["done"], text(acc["cur"])))
+    plain = F.array(F.struct(F.lit(None).cast("string").alias("heading"), s.alias("value")))
+    return F.when(whole.isNotNull(), F.array(F.struct(whole.alias("heading"), F.lit("").alias("value")))).when((s == "") | (F.size(pieces) == 1), plain).otherwise(inside)
+
+
+def section_lines(pages: DataFrame, doc: str = "document_hash") -> DataFrame:
+    """Lines of pages (doc, page_number, text) with their sections, headings told apart and titles of the document left out."""
+    rows = pages.select(doc, "page_number", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.where(~F.lower(F.regexp_replace("line", r"(?U)[^\wÀ-ÿ]+", "")).isin(*DOCUMENT_TITLES))
+    rows = rows.select(doc, "page_number", "line_no", F.posexplode(heading_parts(F.col("line"))).alias("part_no", "part")).select(doc, "page_number", "line_no", "part_no", "part.*")
+    return sections(rows, doc, ["page_number", "line_no", "part_no"], F.col("heading"))
+
+
+def section_units(pages: DataFrame, doc: str = "document_hash") -> DataFrame:
+    """Units of text by doc, run (of one section), section, page_number and unit_no."""
+    w = W.partitionBy(doc).orderBy("page_number", "line_no", "part_no")
+    before = lambda c: F.lag(c).over(w)
+    new = before("page_number").isNull() | (before("page_number") != F.col("page_number")) | before("heading").isNotNull() | (before("value") == "") | F.col("value").rlike(UNIT_BEGINS)
+    rows = section_lines(pages, doc).withColumn("unit_no", F.sum(F.when(new, 1).otherwise(0)).over(w)).where("heading IS NULL AND value != ''")
+    rows = runs(rows, doc, ["page_number", "line_no", "part_no"], "section")
+    lines_ = F.sort_array(F.collect_list(F.struct("page_number", "line_no", "part_no", "value")))
+    return rows.groupBy(doc, "run", "section", "page_number", "unit_no").agg(F.array_join(F.transform(lines_, lambda x: x["value"]), " ").alias("text"))
+
+
+def _packed(units_: list, most: int, least: int, overlap: int) -> list[dict]:
+    """Chunks of one section's units (text, page, lead): as many as fit, the next with the last words of the one before."""
+    done: list[tuple[list[int], str]] = []
+    cur: list[tuple[set[int], str]] = []
+    joined = lambda: "\n".join(t for _, t in cur)
+
+    def close() -> None:
+        done.append((sorted(set().union(*(p for p, _ in cur))), joined()))
+
+    for u in units_:
+        text, page, lead = u["text"], {u["page_number"]}, u["lead"]
+        if cur and len(joined()) + 1 + len(text) > most:
+            close()
+            room, tail = 0 if lead else min(overlap, most - len(text) - 1), []
+            for word in reversed(joined().split()):
+                if sum(map(len, tail)) + len(tail) + len(word) > room:
+                    break
+                tail.append(word)
+            kept: list[tuple[set[int], str]] = []
+            if tail:
+                said, left, pages = " ".join(reversed(tail)), 0, set()
+                for p, t in reversed(cur):  # the pages that these words are from
+                    pages |= p
+                    left += len(t)
+                    if left >= len(said):
+                        break
+                kept = [(pages, said)]
+            cur = kept
+        cur.append((page, text))
+    if cur:
+        close()
+    if len(done) > 1 and len(done[-1][1]) < least and len(both := f"{done[-2][1]}\n{done[-1][1]}") <= most:
+        done[-2:] = [(sorted({*done[-2][0], *done[-1][0]}), both)]
+    return [{"page_numbers": p, "text": t} for p, t in done]
+
+
+def chunk_documents(pages: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP, doc: str = "document_hash", version: str = VERSION) -> DataFrame:
+    """Pages (doc, page_number, text) to chunks: doc, chunk_index, section_name, page_numbers, page_label, text, chunk_id.
+
+    A section's units are packed by a small function per section; everything before
+    and behind it are joins-free windows and groups by document. A document
+    without text has no chunks.
+    """
+    if not (200 <= most and 1 <= least <= most and 0 <= overlap < most):
+        raise ValueError("chunks have 200 characters at least, a smallest size and an overlap below the largest")
+
+    @F.pandas_udf("array<string>")
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else text_windows(t, most, overlap))
+
+    @F.pandas_udf("array<struct<page_numbers:array<int>,text:string>>")
+    def packed(sections_: pd.Series) -> pd.Series:
+        return sections_.map(lambda u: _packed(u, most, least, overlap))
+
+    long = F.length("text") > most
+    parts = F.when(long, windows(F.when(long, F.col("text")))).otherwise(F.array("text"))
+    units_ = section_units(pages, doc).select(doc, "run", "section", F.col("page_number").cast("int").alias("page_number"), "unit_no", F.posexplode(parts).alias("k", "text"))
+    row = F.struct("unit_no", "k", "text", "page_number", (F.col("k") > 0).alias("lead"))
+    by_section = units_.groupBy(doc, "run", "section").agg(F.sort_array(F.collect_list(row)).alias("u")).withColumn("c", packed("u"))
+    chunks = by_section.select(doc, "run", F.col("section").alias("section_name"), F.posexplode("c").alias("k", "c")).select(doc, "run", "k", "section_name", "c.*")
+    index = (F.row_number().over(W.partitionBy(doc).orderBy("run", "k")) - 1).alias("chunk_index")
+    out = chunks.select(doc, index, "section_name", "page_numbers", page_label(F.col("page_numbers")).alias("page_label"), "text")
+    return out.withColumn("chunk_id", chunk_id(F.col(doc), F.col("chunk_index"), F.col("section_name"), F.array_join("page_numbers", ","), F.col("text"), version))
+
+
+def page_label(pages: Column) -> Column:
+    """`3`, or `3-5` from the first to the last."""
+    first, last = F.array_min(pages), F.array_max(pages)
+    return F.when(first == last, first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string")))
+
+
+def section_histogram(chunks: DataFrame, least: int = LEAST) -> DataFrame:
+    """(section_name, n_chunks, n_small): chunks by section, and those below the least size."""
+    return chunks.groupBy("section_name").agg(F.count("*").alias("n_chunks"), F.count_if(F.length("text") < least).alias("n_small"))
+
+
 def chunk_id(document_hash: Column, index: Column, section: Column, pages: Column, text: Column, version: str = VERSION) -> Column:
     """Identity from content and place, never from names or paths."""
     payload = F.concat_ws("\x1f", document_hash, F.lit(version), index.cast("string"), section, pages, F.sha2(text.cast("binary"), 256))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestone.sources.shared import written
+
 
 def merged_months(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Months covered per key by closed month intervals; touching ones merge."""
@@ -91,18 +93,18 @@ def proving_documents(docs: DataFrame, facts: DataFrame, doc: str, fact: str) ->
     four letters or more, inside of words.
 
     docs: (doc, words); facts: (fact, words); words are arrays. The distinct words of
-    all documents are matched with those of all facts once, by their parts of the
-    lengths that facts have; a fact then meets only the documents that have its rarest
+    all documents are matched with those of all facts once, by runs of four letters; a fact then meets only the documents that have its rarest
     word, and is compared with the set of fact words that they have.
     """
     wanted = facts.select(F.explode("words").alias("token")).where("token != ''").distinct()
-    pairs = docs.select(doc, F.explode(F.array_distinct("words")).alias("word")).where("word != ''")
+    pairs = written(docs.select(doc, F.explode(F.array_distinct("words")).alias("word")).where("word != ''"), "words")
     words = pairs.select("word").distinct()
-    longest = F.lit(wanted.agg(F.max(F.length("token"))).first()[0] or 0)
-    starts = F.sequence(F.lit(1), F.length("word"))
-    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), longest)), lambda n: F.substring(F.col("word"), i, n)))))
-    inner = words.select("word", F.explode(F.array_union(parts, F.array("word"))).alias("token")).where((F.length("token") >= 4) | (F.col("token") == F.col("word")))
-    named = inner.join(wanted, "token", "left_semi").distinct()
+    # A word of four letters and more holds a token where it holds its first four letters and then the rest.
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring(F.col("word"), i, F.lit(4)))
+    inner = words.where(F.length("word") > 4).select("word", F.explode(F.array_distinct(grams)).alias("gram"))
+    begins = wanted.where(F.length("token") >= 4).select("token", F.left("token", F.lit(4)).alias("gram"))
+    inside = inner.join(begins, "gram").where(F.contains("word", "token")).select("word", "token")
+    named = inside.union(words.join(wanted, F.col("word") == F.col("token"))).distinct()
     has = pairs.join(named, "word").select(doc, "token").distinct()
     spread = has.groupBy("token").count()
     rare = facts.select(fact, "words", F.explode("words").alias("token")).join(spread, "token", "left")
