@@ -56,3 +56,36 @@ def draft_problems(draft: DataFrame, ranked: DataFrame, most: int = 2000) -> Dat
         F.when(F.length("text") > most, "too_long"),
     )
     return met.select("candidate_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
+
+
+def sources(evidence: DataFrame, labels: DataFrame) -> DataFrame:
+    """Evidence (candidate_id, place, chunk_id, keys: of the conditions that it proves) as sources: with
+    source_id and supports, the labels of its keys in their order; a key without a label (key, label) is left out."""
+    rows = evidence.withColumn("source_id", source_id(F.col("candidate_id"), F.col("place")))
+    said = rows.select("source_id", F.posexplode("keys").alias("i", "key")).join(labels.select("key", "label"), "key")
+    supports = said.groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("supports"))
+    return rows.join(supports, "source_id", "left").withColumn("supports", F.coalesce("supports", F.array().cast("array<string>")))
+
+
+def answer_problems(answers: DataFrame, cited: DataFrame, sources: DataFrame, expected: DataFrame) -> DataFrame:
+    """(question_id, subject, problem) of whole answers: citations where nothing is supported, none where
+    something is, unknown sources, and returned candidates without a citation.
+
+    answers: question_id, outcome; cited: question_id, source_id; sources: question_id,
+    source_id, owner; expected: question_id, candidate_id.
+    """
+    met = cited.join(answers, "question_id").join(sources.select("question_id", "source_id", "owner").distinct(), ["question_id", "source_id"], "left")
+    none = F.lit(None).cast("string")
+    open_ = answers.where("outcome <> 'unsupported'")
+    idle = met.where("outcome = 'unsupported'").select("question_id", none.alias("subject"), F.lit("citation_when_unsupported").alias("problem")).distinct()
+    bare = open_.join(cited.select("question_id"), "question_id", "left_anti").select("question_id", none, F.lit("no_citation"))
+    unknown = met.where("outcome <> 'unsupported' AND owner IS NULL").select("question_id", "source_id", F.lit("unknown_answer_source")).distinct()
+    named = met.where("owner IS NOT NULL").select("question_id", F.col("owner").alias("candidate_id")).distinct()
+    left = expected.distinct().join(open_.select("question_id"), "question_id", "left_semi").join(named, ["question_id", "candidate_id"], "left_anti")
+    return idle.union(bare).union(unknown).union(left.select("question_id", "candidate_id", F.lit("missing_candidate")))
+
+
+def referenced(answers: DataFrame, *columns: str) -> DataFrame:
+    """(question_id, source_id): the different sources that any of the array columns names."""
+    every = F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns)))
+    return answers.select("question_id", F.explode(every).alias("source_id")).distinct()

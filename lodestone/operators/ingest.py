@@ -74,3 +74,32 @@ def summaries(chunks: DataFrame) -> DataFrame:
     df = chunks.groupBy("document_hash").agg(F.count("*").alias("stored_count"), F.countDistinct("document_chunk_count").alias("n_expected"), F.min("document_chunk_count").alias("expected"), F.min_by("candidate_id", "chunk_index").alias("candidate_id"))
     complete = (F.col("n_expected") == 1) & (F.col("expected") > 0) & (F.col("expected") == F.col("stored_count"))
     return df.withColumn("complete", F.coalesce(complete, F.lit(False)))
+
+
+def repeated_candidates(docs: DataFrame) -> DataFrame:
+    """(candidate_key, n): candidate ids, whatever their case, that more than one document of a batch claims."""
+    return docs.where(F.col("candidate_id").isNotNull()).groupBy(F.lower("candidate_id").alias("candidate_key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def detected(lines: Column, heading: Column | None = None) -> Column:
+    """Name and title (struct) of a document's first lines: the first that reads as a name, and the
+    first behind it without digits, @, an id or a middle dot."""
+    name = F.get(F.filter(lines, lambda x: is_name(x)), 0)
+    behind = F.slice(lines, F.array_position(lines, name).cast("int") + 1, F.size(lines))
+    title = F.get(F.filter(behind, lambda x: ~x.rlike(r"[0-9@·]") & ~F.contains(F.lower(x), F.lit("candidate_"))), 0)
+    return F.struct(name.alias("candidate_name"), title.alias("professional_title"))
+
+
+def preferred(given: Column, found: Column) -> Column:
+    """What the caller says, trimmed, else what was found; blank counts as nothing."""
+    clean = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return F.coalesce(clean(given), clean(found))
+
+
+def flattened(chunks: DataFrame) -> DataFrame:
+    """Chunks as an index stores them: pages as one text."""
+    return chunks.withColumn("page_numbers", F.array_join("page_numbers", ","))
+
+
+def unflattened(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("page_numbers", F.split("page_numbers", ",").cast("array<int>"))

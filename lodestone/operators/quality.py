@@ -113,3 +113,21 @@ def proving_documents(docs: DataFrame, facts: DataFrame, doc: str, fact: str) ->
     sets = has.groupBy(doc).agg(F.collect_set("token").alias("have"))
     good = met.join(sets, doc).where(F.size(F.array_except("words", "have")) == 0)
     return good.groupBy(fact).agg(F.count("*").alias("n_docs"))
+
+
+def stated_years(text: Column) -> Column:
+    """Years that a text claims: `has 5 years`, `with 5.5 years`, `5 years of experience`; null if none."""
+    said = F.regexp_extract(text, r"(?i)\b(?:has|with)\s+(?:over\s+)?(\d+(?:\.\d+)?)\s+years?\b", 1)
+    of = F.regexp_extract(text, r"(?i)\b(\d+(?:\.\d+)?)\+?\s+years?\s+of\s+(?:\w+\s+){0,2}experience\b", 1)
+    return F.coalesce(F.nullif(said, F.lit("")), F.nullif(of, F.lit(""))).cast("double")
+
+
+def sequence_problems(rows: DataFrame, id_col: str, prefix: str, digits: int = 3) -> DataFrame:
+    """(id, problem): ids that aren't prefix_001, prefix_002 and so on without a gap, or come twice."""
+    n = rows.select(F.col(id_col).alias("id"), F.regexp_extract(id_col, rf"^{prefix}_(\d{{{digits}}})$", 1).alias("n"))
+    wrong = n.where("n = ''").select("id", F.lit("form").alias("problem"))
+    good = n.where("n <> ''").select("id", F.col("n").cast("int").alias("n"))
+    twice = good.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("problem"))
+    top = good.agg(F.max("n").alias("top"))
+    gaps = top.select(F.explode(F.sequence(F.lit(1), F.greatest("top", F.lit(1)))).alias("n")).join(good, "n", "left_anti")
+    return wrong.union(twice).union(gaps.select(F.format_string(f"{prefix}_%0{digits}d", "n"), F.lit("gap")))

@@ -156,7 +156,8 @@ class Limits:
 
     def _resolve(self, name: str, asked: int | None) -> int:
         n = getattr(self, f"{name}_default") if asked is None else asked
-        if not 1 <= n <= (most := getattr(self, f"{name}_most")):
+        most = getattr(self, f"{name}_most")
+        if not 1 <= n <= most:
             raise ValueError(f"{name} must be between 1 and {most}")
         return n
 

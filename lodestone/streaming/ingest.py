@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
-from lodestone.operators.ingest import fingerprint
+from lodestone.operators.chunking import chunk_documents, page_text
+from lodestone.operators.ingest import document_id, fingerprint, flattened
+from lodestone.sources.shared import written
+from lodestone.sources.store import ChunkIndex
 
 LEDGER = "document_hash string, key string, batch long"
 
@@ -57,3 +60,20 @@ def start(stream: DataFrame, key: str, content: str, path: str, checkpoint: str,
 def counts(stream: DataFrame, time: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events per type and window, late ones dropped after the watermark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"))
+
+
+def into_index(index: ChunkIndex, embed: Callable[[DataFrame], DataFrame], text: str, candidate: str) -> Callable[[DataFrame], None]:
+    """What `start` calls for each batch: new documents become chunks with vectors in the index.
+
+    embed adds the column `embedding` to chunks; a document is one page.
+    """
+
+    def each(new: DataFrame) -> None:
+        pages = new.select("document_hash", F.lit(1).alias("page_number"), page_text(F.col(text)).alias("text"))
+        owners = new.select("document_hash", F.col(candidate).cast("string").alias("candidate_id"), F.col("key").alias("source_path"))
+        chunks = flattened(chunk_documents(pages)).drop("page_label").join(owners, "document_hash")
+        none = F.lit(None).cast("string")
+        rows = chunks.withColumns({"document_id": document_id(F.col("document_hash")), "candidate_name": none, "professional_title": none, "source_filename": F.col("source_path")})
+        index.upsert(written(embed(rows), "embedded"))
+
+    return each

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans import catalogue, catalogue_ask  # noqa: F401
+from lodestone.plans import catalogue, catalogue_ask, catalogue_more  # noqa: F401
 from tests.oracle import compare
 
 SQL = catalogue.oracle_sql()
