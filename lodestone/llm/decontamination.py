@@ -23,7 +23,8 @@ if they have fewer than `plain` ordinary words, with equal values.
 
 Edge cases: null and empty texts have no windows; a null id is no document or
 item and gives no row; repeated rows of either table count once; other columns
-don't matter; texts are read whole.
+don't matter; texts are read whole; rows that share an id are one document with
+several texts, each matched by itself, of which the fullest match is told.
 """
 
 from __future__ import annotations
@@ -112,27 +113,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds: dict[int, list] = {}
     for r in windows.select("begin", "w", "equal").distinct().collect():
         kinds.setdefault(r["begin"], []).append((r["w"], r["equal"]))
-    out = None
-    for begin in sorted(kinds):
-        each = windows.where(F.col("begin") == begin).drop("begin")
+    found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", "t")
+    hashed = []
+    for begin in sorted(kinds):  # of one scan
+        each = windows.where(F.col("begin") == begin)
         bits = int(min(MOST_BITS, max(12, (64 * max(1, each.count())).bit_length())))
         cell = F.expr(f"s & {(1 << bits) - 1}L")
         words = {r[0]: r[1] for r in each.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63L as int))")).alias("b")).collect()}
         bitmap = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))), ",").cast("array<bigint>")
-        found = _templates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), "v", "t", F.expr(f"transform({_places(begin)}, i -> {_begin('i', begin)})").alias("s"))
-        found = found.select("doc", "v", "t", _passing(bitmap, bits).alias("p"))
+        found = found.select("*", F.expr(f"transform({_places(begin)}, i -> {_begin('i', begin)})").alias("s"))
+        found = found.select("*", _passing(bitmap, bits).alias(f"p{begin}")).drop("s")
         every = "array(" + ", ".join(f"struct({w} AS w, {str(e).lower()} AS e)" for w, e in sorted(kinds[begin])) + ")"
-        hashed = f"transform({every}, k -> transform(filter(p, j -> j + k.w <= size(t)), j -> struct({_hash('j', 'k.w', 'k.e')} AS h, j AS j, {_slots('j', 'k.w')} AS d)))"
-        found = found.select("doc", F.explode(F.flatten(F.expr(hashed))).alias("x")).select("doc", "x.*")
-        each = each.drop("s")
-        met = found.join(each, "h").where("size(b) = size(d)").select("doc", "item", "of", "item_windows", "equal", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
+        hashed.append(f"flatten(transform({every}, k -> transform(filter(p{begin}, j -> j + k.w <= size(t)), j -> struct({_hash('j', 'k.w', 'k.e')} AS h, j AS j, {_slots('j', 'k.w')} AS d))))")
+    if hashed:
+        met = found.select("doc", F.explode(F.expr(f"concat({', '.join(hashed)})")).alias("x")).select("doc", "x.*").join(windows.drop("s", "begin"), "h").where("size(b) = size(d)")
+        met = met.select("doc", "item", "of", "item_windows", "equal", "i", (F.col("j") - F.col("i")).alias("diagonal"), F.expr(_PAIRS).alias("slots"))
         line = met.groupBy("doc", "item", "of", "item_windows", "equal", "diagonal").agg(F.countDistinct("i").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
         line = line.where("size(array_distinct(s.b)) = size(s) AND size(array_distinct(s.d)) = size(s)").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
-        line = line.select("doc", "item", "item_windows", "n_windows", "equal", F.size("s").cast("long").alias("n_slots"), F.forall("s", lambda x: x.b == x.d).alias("exact")).where("exact OR NOT equal")
-        out = line if out is None else out.union(line)
-    if out is None:
+        out = line.select("doc", "item", "item_windows", "n_windows", "equal", F.size("s").cast("long").alias("n_slots"), F.forall("s", lambda x: x.b == x.d).alias("exact")).where("exact OR NOT equal")
+    else:
         out = docs.sparkSession.createDataFrame([], "doc long, item long, item_windows long, n_windows long, equal boolean, n_slots long, exact boolean")
-    # Forms of an item may come from different rounds.
+    # An item may be found in both its forms.
     out = out.groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"), F.max("exact").alias("exact"))
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 

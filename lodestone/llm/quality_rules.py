@@ -6,6 +6,8 @@ conjunctions to labelled rows by sequential covering: a rule is grown on one
 part of the rows, condition by condition, by information gain; pruned on the
 other part while that does not lower its worth there; kept if it is precise
 enough there; then the rows it covers are set aside and the next one is grown.
+Where good documents can be told apart among those that a rule rejects, a rule
+that keeps them is put before it, so the order of the list matters.
 `verdict` writes the list as one CASE expression, so that judging a document is
 a projection.
 
@@ -102,11 +104,12 @@ class Test:
 
 @dataclass(frozen=True)
 class Rule:
-    """All tests hold: the document is rejected."""
+    """All tests hold: the document is rejected, or kept."""
 
     tests: tuple[Test, ...]
     precision: float
     covered: int
+    keeps: bool = False
 
 
 def _all(tests: tuple[Test, ...], x: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -170,11 +173,25 @@ def fit(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, least_preci
         right, n = (judged & bad).sum(), judged.sum()
         if hit.sum() < least_rows or n == 0 or right / n < least_precision:
             break
+        rules += _exceptions(x, bad, part, hit, tests, least_precision, least_rows, cuts, longest)
         rules.append(Rule(tests, float(right / n), int(hit.sum())))
         left &= ~hit
     return rules
 
 
+def _exceptions(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, hit: np.ndarray, tests: tuple[Test, ...], least_precision: float, least_rows: int, cuts: int, longest: int) -> list[Rule]:
+    """A rule for good documents among those that `tests` reject, if there are some that can be told apart."""
+    grown = hit & part
+    if (~bad & grown).sum() < least_rows:
+        return []
+    more = _grow({k: v[grown] for k, v in x.items()}, ~bad[grown], cuts, longest)
+    kept = _all(more, x, len(bad)) & hit
+    judged = kept & ~part
+    if not more or judged.sum() == 0 or (judged & ~bad).sum() < least_precision * judged.sum() or (kept & ~bad).sum() < least_rows:
+        return []
+    return [Rule(tests + more, float((judged & ~bad).sum() / judged.sum()), int(kept.sum()), True)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> list[Rule]:
     """Rules for label 0, from at most `most_labelled` labelled rows, chosen by a hash of the id."""
     want = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
@@ -189,13 +206,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """False for the first rule that holds, else true."""
+    """What the first rule that holds says, else true."""
     out = None
     for r in rules:
         hit = r.tests[0].column()
         for t in r.tests[1:]:
             hit = hit & t.column()
-        out = F.when(hit, F.lit(False)) if out is None else out.when(hit, F.lit(False))
+        out = (F if out is None else out).when(hit, F.lit(r.keeps))
     return F.lit(True) if out is None else out.otherwise(True)
 
 

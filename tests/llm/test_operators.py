@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import coder, kernels, sketch
+from lodestone.llm import decontamination as DC
 from lodestone.llm import html_text as H
 from lodestone.llm import language_model as LM
 from lodestone.llm.components import components
@@ -21,7 +22,7 @@ from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.language_model import score
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import best_fit, pack
-from lodestone.llm.quality_rules import fit, quality_rules, statistics
+from lodestone.llm.quality_rules import Rule, Test, fit, quality_rules, statistics
 from lodestone.llm.sharding import shard
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_files import read_ids, write_ids
@@ -195,6 +196,48 @@ def test_quality_rules_held_out(spark, sf):
     assert rate[1].kept > 0.99 - rate[1].failed
 
 
+def test_verdict_equals_the_list_in_plain_python(docs):
+    """Both kinds of rules, in order; labels don't matter where rules are given."""
+    listed = [
+        Rule((Test("words", True, 100.0), Test("mean_word", True, 4.5)), 1.0, 1, True), Rule((Test("words", True, 100.0),), 1.0, 1), Rule((Test("mark_rate", True, 0.5),), 1.0, 1, True),
+        Rule((Test("repeat_rate", False, 0.1), Test("upper_rate", False, 0.9)), 1.0, 1), Rule((Test("dup_line_rate", True, 0.2),), 1.0, 1), Rule((Test("line_words", True, 3.0),), 1.0, 1),
+    ]
+    clash = docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y"))
+    out = quality_rules(clash, None, rules=listed).collect()
+    assert len(out) == len(fixture_rows())
+    seen = Counter()
+    for r in out:
+        words_, chars, symbols, dups, repeats = brute_statistics(r.text)
+        t = r.text or ""
+        lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        rate = lambda a, b: a / b if b else 0.0
+        x = {"words": words_, "mean_word": rate(chars, words_), "symbol_rate": rate(symbols, words_), "dup_line_rate": rate(dups, lines), "repeat_rate": rate(repeats, words_), "upper_rate": rate(sum("A" <= c <= "Z" for c in t), chars), "mark_rate": rate(sum(c in "!?" for c in t), words_), "line_words": rate(words_, lines)}
+        x = {k: np.array([float(v)]) for k, v in x.items()}
+        first = next((k for k in listed if all(u.holds(x)[0] for u in k.tests)), None)
+        assert r.base_failed == (words_ < 50 or 100 * repeats > 50 * words_)
+        assert r.kept == (not r.base_failed and (first is None or first.keeps)), r.doc_id
+        seen[first] += 1
+    assert len(seen) > 2
+
+
+def test_exceptions_come_before_their_rule():
+    rng = np.random.default_rng(1)
+    x = {"a": rng.integers(0, 2, 6000).astype(float), "b": rng.integers(0, 20, 6000).astype(float)}
+    bad = (x["a"] == 1) & (x["b"] < 19)
+    rules = fit(x, bad, rng.random(6000) < 0.67, longest=1)
+    assert [r.keeps for r in rules[:2]] == [True, False]
+    first = np.full(6000, -1)
+    for i, r in reversed(list(enumerate(rules))):
+        first[np.all([t.holds(x) for t in r.tests], axis=0)] = i
+    rejected = np.array([i >= 0 and not rules[i].keeps for i in first])
+    assert (rejected == bad).all()
+
+
+def test_several_labels_of_one_id(spark, docs):
+    many = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules(docs.select("doc_id", "text"), many).count() == len(fixture_rows())
+
+
 def test_quality_rules_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality_rules(docs.select("doc_id", "text"), none).collect()
@@ -266,6 +309,93 @@ def test_decontamination_of_items_with_few_words(spark):
     assert got == {(10, 1): True, (11, 1): True, (20, 2): False, (21, 2): True, (30, 3): True, (40, 4): True, (60, 6): True}
 
 
+def _questions(rng, n):
+    """Questions with slots for numbers, units and names, and the same with other values."""
+    names = ["Alice", "Bob", "Carla", "Dmitri", "Elena", "Farid", "Grace", "Hugo", "Ines", "Jonas", "Karim", "Lena"]
+    units = ["km", "kg", "hours", "dollars", "miles", "minutes", "litres", "percent"]
+    plain = [f"w{i}ord" for i in range(400)]
+    for k in range(n):
+        body, slots = [], 0
+        for i in range(int(rng.integers(14, 40))):
+            r = rng.random()
+            if i and r < 0.12:
+                body.append(("n", slots))
+                slots += 1
+            elif i and r < 0.2:
+                body.append(("u", slots))
+                slots += 1
+            elif i and r < 0.28 and body[-1][0] == "w":
+                body.append(("a", slots))
+                slots += 1
+            else:
+                body.append(("w", plain[rng.integers(len(plain))]))
+        def fill(body=body, slots=slots):
+            number, name = rng.permutation(900)[: slots + 1] + 2, rng.permutation(names)
+            return " ".join(str(x) if kind == "w" else str(number[x]) if kind == "n" else f"{number[x]} {units[x % 8]}" if kind == "u" else name[x % 12] for kind, x in body)
+        first = fill()
+        yield first[0].upper() + first[1:], fill(), slots
+
+
+def test_decontamination_recall_of_questions_with_other_values(spark):
+    """Numbers, amounts with units and names replaced: nine of ten are found, clean texts aren't."""
+    rng = np.random.default_rng(11)
+    made = list(_questions(rng, 200))
+    bench = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(made)], "item_id long, text string")
+    filler = lambda: " ".join(f"f{x}" for x in rng.integers(0, 3000, 30))
+    rows = [(i, f"{filler()}. {b}. {filler()}") for i, (_, b, _) in enumerate(made)] + [(1000 + i, f"{filler()} {rng.integers(99)} km {filler()}") for i in range(200)]
+    rows += [(None, made[0][1]), (5000, ""), (5001, None), (5002, filler() * 3000 + ". " + made[7][1] + "."), (5002, filler())]
+    got = {(r.doc_id, r.item_id) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    found = sum((i, i) in got for i in range(200))
+    assert found >= 180, found
+    assert not {d for d, _ in got if 1000 <= d < 5000}
+    assert (5002, 7) in got
+    assert sum(s > 0 for _, _, s in made) > 150
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Windows, diagonals and consistent slots in plain Python, from the same templates."""
+    rng = np.random.default_rng(12)
+    made = list(_questions(rng, 25)) + [("Define osmosis.", "define osmosis", 0), ("Add 3 and 4.", "add 3 and 5", 2)]
+    bench = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(made)], "item_id long, text string")
+    texts = []
+    for i, (a, b, _) in enumerate(made):
+        w = b.split()
+        texts += [a, f"so. {b}.", " ".join(w[: len(w) // 2] + ["x"] + w[len(w) // 2 :]), " ".join(w[: max(9, len(w) * 2 // 3)]), a + " " + b, re.sub(r"\d+", "7", b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    width, plain, least, mark = 8, 4, 5, DC.MARK
+    kind = lambda v: [x[:2] if x.startswith(mark) else x for x in v]
+    slots = lambda v: [x for x in v if x.startswith(mark)]
+
+    def whole(v, equal):
+        return [mark + "a" if equal and i in (0, len(v) - 1) and x.startswith(mark + "a") else x if equal else k for i, (x, k) in enumerate(zip(v, kind(v), strict=True))]
+
+    want = set()
+    forms = [(r["item"], r.v) for r in DC._forms(bench, "item_id", "text").collect()]
+    for d in DC._templates(docs, "doc_id", "text").collect():
+        for item, v in forms:
+            places = [i for i in range(len(v) - width + 1) if width - len(slots(v[i : i + width])) >= plain]
+            small = len(v) < width or len(places) < min(least, len(v) - width + 1)
+            equal = small and len(v) - len(slots(v)) < plain
+            w, starts = (len(v), [0]) if small else (width, places)
+            lines = defaultdict(list)
+            for i in starts:
+                for j in range(len(d.v) - w + 1):
+                    if whole(v[i : i + w], equal) == whole(d.v[j : j + w], equal):
+                        lines[j - i].append(i)
+            for gap, at in lines.items():
+                pairs = set()
+                for i in at:
+                    for b, x in zip(slots(v[i : i + w]), slots(d.v[i + gap : i + gap + w]), strict=True):
+                        inside = b.startswith(mark + "a") and f"_{b[2:]}_" in f"_{x[2:]}_"
+                        pairs.add((b, b if inside else x))
+                exact = all(b == x for b, x in pairs)
+                if len({b for b, _ in pairs}) == len(pairs) == len({x for _, x in pairs}) and len(at) >= min(least, len(starts)) and (exact or not equal):
+                    want.add((d.doc_id, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate(docs, bench).collect()}
+    assert got == want
+    assert len(want) > 50
+
+
 def test_decontamination_finds_all_verbatim_items(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
