@@ -227,12 +227,27 @@ def _counted(train: DataFrame) -> DataFrame:
     return written(train.select("text").mapInArrow(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
 
 
+def _most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The (h, c) of at most n, and nearly n, most frequent words. A histogram of counts says from
+    which count on; of the words with the next lower one a share by hash fills up. No task sorts them all."""
+    level = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.lit(384) + F.floor(F.log2("c") * 64)).cast("long")
+    bins = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("l")).count().collect()), reverse=True)
+    least, have, share = 1 << 60, 0, 0.0
+    for at, many in bins:
+        if have + many > n:
+            share = max(0.0, (n - have - 3 * (n - have) ** 0.5) / many)
+            break
+        least, have = at, have + many
+    under = max((at for at, _ in bins if at < least), default=0)
+    u = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return counts.where((level >= least) | ((level == under) & (u < share)))
+
+
 def _fresh(counts: DataFrame, ends: int) -> Model:
     """The model before training: biases from the counts, no rows yet."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     side, _, _, dictionary = sizes(int(total[0]) + ends)
-    # Written, so that tasks' tops meet in a task and not on the driver.
-    top = written(counts.orderBy(F.desc("c"), "h").limit(dictionary), "dictionary").toArrow()
+    top = _most_frequent(counts, dictionary).toArrow()
     top = top.sort_by([("c", "descending"), ("h", "ascending")])
     h = top.column("h").to_numpy().astype(np.int64).view(K.U64)
     c = top.column("c").to_numpy().astype(np.int64)

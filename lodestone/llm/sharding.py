@@ -1,8 +1,8 @@
 """Sharding by sampled splitters: contiguous key ranges of near-equal weight.
 
 Rows are ordered by (md5 of the text, id), so equal texts are neighbours. A
-weighted sample of keys (the smallest -ln(u) / weight, u from a hash of the
-row) gives quantile boundaries; rows are partitioned into those ranges; ranges
+weighted sample of keys (-ln(u) / weight below a bound that the whole weight
+gives, u from a hash of the row) gives quantile boundaries; rows are partitioned into those ranges; ranges
 that hold more than twice their share are sampled again and subdivided. A few
 hundred range totals reach the driver; running sums within a range and these
 totals give each row its exact place in the whole order, from which the shard
@@ -48,13 +48,19 @@ def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _sample(rows: DataFrame, n: int) -> list[tuple[str, int]]:
+def _sample(rows: DataFrame, n: int, whole: int) -> list[tuple[str, int]]:
+    """About n different keys of rows of the whole weight, in order; each task passes on only its own."""
     u = (F.pmod(F.xxhash64("__k", "__i"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    # Written, so that tasks' samples meet in a task and not on the driver.
-    drawn = written(rows.select("__k", "__i", (-F.ln(u) / F.col("__v")).alias("o")).orderBy("o", "__k", "__i").limit(n), "splitters")
+    drawn = rows.where(-F.ln(u) / F.col("__v") <= n / max(1, whole)).select("__k", "__i").distinct()
     return sorted((r[0], r[1]) for r in drawn.collect())
 
 
+def _every(drawn: list[tuple[str, int]], parts: int) -> list[tuple[str, int]]:
+    """Quantiles that cut the sample into about so many parts."""
+    step = max(1, len(drawn) // max(1, parts))
+    return drawn[step // 2 :: step]
+
+
 def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", ranges: int = 320, oversample: int = 8, rounds: int = 6) -> DataFrame:
     """docs without the text, with size, text_crc32, law, shard, slot and grown_shard."""
     if law not in ("bytes", "rows"):
@@ -67,18 +73,17 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", id_col: str = "
     def totals(splitters: list[tuple[str, int]]) -> dict[int, tuple[int, int]]:
         return {r[0]: (r[1], r[2]) for r in rows.groupBy(_range(splitters).alias("r")).agg(F.sum("__v"), F.count("*")).collect()}
 
-    drawn = _sample(rows, ranges * oversample)
-    splitters = sorted(set(drawn[oversample::oversample]))
+    whole = rows.agg(F.sum("__v")).first()[0] or 0
+    splitters = _every(_sample(rows, ranges * oversample, whole), ranges)
     have = totals(splitters)
-    whole = sum(v for v, _ in have.values())
     for _ in range(rounds):
         over = {r for r, (v, n) in have.items() if n > 1 and v > 2 * whole / ranges}
         if not over:
             break
         inner = rows.where(_range(splitters).isin(sorted(over)))
         more = sum(-(-have[r][0] * ranges // whole) for r in over)
-        drawn = _sample(inner, more * oversample)
-        longer = sorted({*splitters, *drawn[oversample // 2 :: oversample]})
+        drawn = _sample(inner, more * oversample, sum(have[r][0] for r in over))
+        longer = sorted({*splitters, *_every(drawn, more)})
         if len(longer) == len(splitters):
             break
         splitters, have = longer, totals(longer)

@@ -22,7 +22,8 @@ from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.language_model import score
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import best_fit, pack
-from lodestone.llm.quality_rules import Rule, Test, fit, quality_rules, statistics
+from lodestone.llm.quality_rules import Rule, fit, quality_rules, statistics
+from lodestone.llm.quality_rules import Test as Threshold
 from lodestone.llm.sharding import shard
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_files import read_ids, write_ids
@@ -199,8 +200,8 @@ def test_quality_rules_held_out(spark, sf):
 def test_verdict_equals_the_list_in_plain_python(docs):
     """Both kinds of rules, in order; labels don't matter where rules are given."""
     listed = [
-        Rule((Test("words", True, 100.0), Test("mean_word", True, 4.5)), 1.0, 1, True), Rule((Test("words", True, 100.0),), 1.0, 1), Rule((Test("mark_rate", True, 0.5),), 1.0, 1, True),
-        Rule((Test("repeat_rate", False, 0.1), Test("upper_rate", False, 0.9)), 1.0, 1), Rule((Test("dup_line_rate", True, 0.2),), 1.0, 1), Rule((Test("line_words", True, 3.0),), 1.0, 1),
+        Rule((Threshold("words", True, 100.0), Threshold("mean_word", True, 4.5)), 1.0, 1, True), Rule((Threshold("words", True, 100.0),), 1.0, 1), Rule((Threshold("mark_rate", True, 0.5),), 1.0, 1, True),
+        Rule((Threshold("repeat_rate", False, 0.1), Threshold("upper_rate", False, 0.9)), 1.0, 1), Rule((Threshold("dup_line_rate", True, 0.2),), 1.0, 1), Rule((Threshold("line_words", True, 3.0),), 1.0, 1),
     ]
     clash = docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y"))
     out = quality_rules(clash, None, rules=listed).collect()
@@ -690,6 +691,16 @@ def test_language_model(spark, empty, sf):
 # --- 9 pages ---
 
 
+def test_dictionary_takes_the_most_frequent_words(spark):
+    rows = [(i, 1000 - i) for i in range(300)] + [(1000 + i, 3) for i in range(400)] + [(5000 + i, 1) for i in range(2000)]
+    counts = spark.createDataFrame(rows, "h long, c long").repartition(4)
+    top = {r.h for r in LM._most_frequent(counts, 500).collect()}
+    assert set(range(300)) <= top and 300 < len(top) <= 500 and max(top) < 5000
+    assert LM._most_frequent(counts, 5000).count() == 2700
+    assert 0 < LM._most_frequent(counts, 100).count() <= 100
+    assert LM._most_frequent(counts.limit(0), 5).count() == 0
+
+
 def test_language_model_grows(spark, monkeypatch):
     small, large = LM.sizes(LM.BASE), LM.sizes(LM.BASE << 8)
     assert LM.sizes(0) == small and all(y >= 4 * x - 1 for x, y in zip(small, large, strict=True))
