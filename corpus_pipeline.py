@@ -22,7 +22,12 @@ from lodestone.llm.substring_dedup import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned ones reject."""
+    """Documents that neither the base rules nor the learned ones reject.
+
+    A null or empty text fails the base rules and goes; a null id keeps its row
+    judged by its text; repeated rows are each judged; of several labels of an id
+    the lowest counts; other columns, whatever their names, come back unchanged.
+    """
     return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
@@ -32,7 +37,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the row with the least id and key; of rows that repeat it whole, one."""
+    """Of each group of linked documents, the row with the least id and key; of rows that repeat it whole, one.
+
+    A null id counts as the least; rows that share an id are documents of their
+    own; a null or empty text links with nothing, so its row stays (equal rows
+    once); ties of id go to the least hash of the text.
+    """
     keyed = _keyed(docs)
     ids = keyed.groupBy("__k").agg(F.min(id_key("doc_id")).alias("i"), F.count("*").alias("n"))
     linked = ngram_join(keyed, "__k").groupBy("__k").agg(F.min("component_id").alias("c"))
@@ -43,7 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one has."""
+    """All documents, without passages that an earlier one has.
+
+    No row goes: a document all of whose words repeat keeps an empty text; texts
+    that lose nothing, null ones too, stay byte for byte; of rows that share an id
+    the one with the lesser hash of its text is earlier, equal rows lose alike.
+    """
     cut = substring_dedup(docs)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -51,14 +66,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item.
+
+    Rows are judged by their texts, so a null or shared id protects none; a null
+    or empty text stays; every copy of a contaminated row goes; an empty
+    benchmark, or one without words, removes nothing.
+    """
     keyed = _keyed(docs)
     leaks = decontaminate(keyed, table(spark, sf_dir, "benchmark"), "__k").select("__k").distinct()
     return keyed.join(leaks, "__k", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens.
+
+    A null or empty text is one piece with its end id; a null id comes back as
+    null; each of repeated rows is packed; the other columns end here.
+    """
     return pack(docs)
 
 
