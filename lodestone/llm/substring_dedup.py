@@ -35,6 +35,8 @@ from lodestone.llm import sketch
 from lodestone.llm.common import id_key
 
 ADDED = ("n_words", "n_removed", "kept_text")
+#: How many bits of a text's hash are left out of a row's key; 40 tell apart the rows that share an id.
+OWN_BITS = 24
 
 
 def _anchors(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with n_words, n_removed and kept_text (the kept words, one space between)."""
     run = max(1, window * 2 // 5)
     source = docs.select([c for c in docs.columns if c not in ADDED])
-    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), OWN_BITS)
     keyed = source.select(id_key(id_col).alias("k"), own.alias("o"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     bits = sketch.bits_for(size / 6 * 2 / (window - run + 2))
