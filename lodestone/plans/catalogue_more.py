@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, chunking, evaluation, ingest, quality
+from lodestone.plans import oracle_text as O
 from lodestone.plans.catalogue import _t, query
 
 
@@ -77,3 +78,25 @@ def stated_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lower(source) AS candidate_key, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def repeated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.repeated_candidates(_t(spark, sf_dir, "documents").select(F.col("source").alias("candidate_id")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1, 4) AND p_size >= 10 THEN 1.0 ELSE 0.0 END AS at_least, CASE WHEN p_partkey % 5 IN (2, 3, 4) AND p_size < 10 THEN 1.0 ELSE 0.0 END AS below, CASE WHEN p_partkey % 5 = 4 AND p_size = 10 THEN 1.0 ELSE 0.0 END AS exactly FROM part""")
+def numeric_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team sizes that come with a comparison of their own, against three wanted ones."""
+    from lodestone.functions import text as T
+    from lodestone.operators import evidence as E
+
+    words = F.get(F.array(*map(F.lit, ("at least ", "more than ", "up to ", "under ", ""))), (F.col("p_partkey") % 5).cast("int"))
+    clauses = T.clauses(F.concat(F.lit("Managed "), words, F.col("p_size").cast("string"), F.lit(" engineers. Joined in 2010")))
+    return _t(spark, sf_dir, "part").select("p_partkey", *(E.numeric(clauses, 10.0, op, "team_size").alias(name) for op, name in (("gte", "at_least"), ("lt", "below"), ("eq", "exactly"))))
+
+
+@query(f"""WITH n AS (SELECT doc_id, {O.canonical_terms('text')} AS terms, array_to_string({O.tokens('text')}, ' ') AS said FROM documents)
+SELECT doc_id, round(least(1.0, (CASE WHEN list_contains(terms, 'the') THEN 1.0 ELSE 0.0 END + CASE WHEN list_contains(terms, 'und') THEN 1.0 ELSE 0.0 END) / 2 + 0.15 * (CASE WHEN contains(said, 'of the') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(said, 'und die') THEN 1.0 ELSE 0.0 END) / 2), 6) AS lexical FROM n""")
+def lexical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of terms and of phrases in one score."""
+    from lodestone.functions import text as T
+    from lodestone.operators import evidence as E
+
+    d = _t(spark, sf_dir, "documents").select("doc_id", T.canonical_terms(F.col("text")).alias("terms"), T.normalized(F.col("text")).alias("said"))
+    return d.select("doc_id", F.round(E.lexical(F.col("terms"), F.col("said"), ["the", "und"], ["of the", "und die"]), 6).alias("lexical"))
