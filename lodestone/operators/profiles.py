@@ -88,3 +88,49 @@ def mentioned(rows: DataFrame, name: Column, question: str) -> DataFrame:
     """Rows whose normalised name occurs in the question."""
     n = normalized(name)
     return rows.where(F.contains(normalized(F.lit(question)), n) & (n != ""))
+
+
+#: A profile as one row.
+PROFILE = (
+    "candidate_id string, full_name string, professional_title string, profession string, seniority string, years_of_experience double, summary string, city string, country string, "
+    "work_experience array<struct<job_title:string,company:string,location:string,highlights:array<string>,technologies:array<string>,managed_team_size:int>>, "
+    "education array<struct<degree:string,field_of_study:string,institution:string,location:string>>, skills array<struct<name:string,category:string>>, "
+    "languages array<struct<name:string,proficiency:string>>, certifications array<struct<name:string,issuer:string,year:int>>, "
+    "projects array<struct<name:string,description:string,technologies:array<string>,year:int>>"
+)
+
+
+def searchable() -> Column:
+    """All that a profile (PROFILE's columns) says, as one text, with the wordings that
+    questions use for team sizes, language levels and certificates."""
+    said = lambda *parts: F.array_join(F.filter(F.array(*(p.cast("string") for p in parts)), lambda x: x.isNotNull() & (x != "")), " ")
+    every = lambda name, f: F.array_join(F.transform(F.coalesce(F.col(name), F.array()), f), " ")
+
+    def role(r: Column) -> Column:
+        n = r["managed_team_size"].cast("string")
+        led = F.when(n.isNotNull(), F.concat(F.lit("managed team size "), n, F.lit(" team size "), n, F.lit(" managed "), n, F.lit(" engineers")))
+        return said(r["job_title"], r["company"], r["location"], F.array_join(r["highlights"], " "), F.array_join(r["technologies"], " "), led)
+
+    text = said(
+        F.col("candidate_id"), F.col("full_name"), F.col("professional_title"), F.col("profession"), F.replace("profession", F.lit("_"), F.lit(" ")), F.col("seniority"),
+        F.col("years_of_experience"), F.col("summary"), F.col("city"), F.col("country"), every("work_experience", role),
+        every("education", lambda x: said(x["degree"], x["field_of_study"], x["institution"], x["location"])), every("skills", lambda x: said(x["name"], x["category"])),
+        every("languages", lambda x: said(x["name"], x["proficiency"], x["name"], x["proficiency"])), F.when(F.size("certifications") > 0, "certification certifications"),
+        every("certifications", lambda x: said(x["name"], x["issuer"], x["year"])), every("projects", lambda x: said(x["name"], x["description"], F.array_join(x["technologies"], " "), x["year"])),
+    )
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def plan_problems(slots: DataFrame, scenarios: DataFrame, policies: DataFrame, n: int) -> DataFrame:
+    """(subject, problem) of a plan: a wrong number of slots, ids that aren't candidate_001 and so on in
+    order, repeated names and scenarios whatever their case, policies that are off, and unknown ids in scenarios.
+
+    slots: candidate_id, place (from 1), full_name; scenarios: scenario_id, expected (ids); policies: name, enabled.
+    """
+    count = slots.agg(F.count("*").alias("n")).where(F.col("n") != n).select(F.col("n").cast("string").alias("subject"), F.lit("slot_count").alias("problem"))
+    order = slots.where(F.col("candidate_id") != F.format_string("candidate_%03d", "place")).select("candidate_id", F.lit("out_of_order"))
+    twice = lambda rows, c, what: rows.groupBy(F.lower(c).alias("subject")).count().where("count > 1").select("subject", F.lit(what))
+    off = policies.where("NOT enabled").select("name", F.lit("policy_off"))
+    asked = scenarios.select("scenario_id", F.explode("expected").alias("candidate_id")).join(slots.select("candidate_id"), "candidate_id", "left_anti")
+    unknown = asked.select(F.concat_ws(":", "scenario_id", "candidate_id"), F.lit("unknown_candidate")).distinct()
+    return count.union(order).union(twice(slots, "full_name", "repeated_name")).union(twice(scenarios, "scenario_id", "repeated_scenario")).union(off).union(unknown)

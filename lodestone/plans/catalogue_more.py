@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, chunking, evaluation, ingest, quality
+from lodestone.operators import answers, chunking, evaluation, ingest, profiles, quality
 from lodestone.plans import oracle_text as O
 from lodestone.plans.catalogue import _t, query
 
@@ -100,3 +100,17 @@ def lexical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = _t(spark, sf_dir, "documents").select("doc_id", T.canonical_terms(F.col("text")).alias("terms"), T.normalized(F.col("text")).alias("said"))
     return d.select("doc_id", F.round(E.lexical(F.col("terms"), F.col("said"), ["the", "und"], ["of the", "und die"]), 6).alias("lexical"))
+
+
+@query("""WITH s AS (SELECT 'candidate_' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS c, CAST(n_nationkey + 1 AS INTEGER) AS p, CASE WHEN n_nationkey = 7 THEN upper((SELECT n_name FROM nation WHERE n_nationkey = 3)) ELSE n_name END AS f FROM nation),
+x AS (SELECT r_name AS s, 'candidate_' || lpad(CAST(r_regionkey * 9 AS VARCHAR), 3, '0') AS c FROM region)
+SELECT CAST(count(*) AS VARCHAR) AS subject, 'slot_count' AS problem FROM s HAVING count(*) <> 24 UNION ALL SELECT c, 'out_of_order' FROM s WHERE c <> 'candidate_' || lpad(CAST(p AS VARCHAR), 3, '0')
+UNION ALL SELECT lower(f), 'repeated_name' FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT r_name, 'policy_off' FROM region WHERE r_regionkey > 2 UNION ALL SELECT x.s || ':' || x.c, 'unknown_candidate' FROM x WHERE c NOT IN (SELECT c FROM s)""")
+def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as slots, one too low and one name twice; regions as scenarios and policies."""
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    third = F.upper(F.lit(n.where("n_nationkey = 3").first()["n_name"]))
+    key = F.col("n_nationkey").cast("int")
+    slots = n.select(F.format_string("candidate_%03d", key).alias("candidate_id"), (key + 1).alias("place"), F.when(key == 7, third).otherwise(F.col("n_name")).alias("full_name"))
+    wanted = r.select(F.col("r_name").alias("scenario_id"), F.array(F.format_string("candidate_%03d", (F.col("r_regionkey") * 9).cast("int"))).alias("expected"))
+    return profiles.plan_problems(slots, wanted, r.select(F.col("r_name").alias("name"), (F.col("r_regionkey") <= 2).alias("enabled")), 24)

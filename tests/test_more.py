@@ -160,3 +160,16 @@ def test_stream_fills_the_index(spark, tmp_path):
     assert tuple(index.info().select("n_records", "n_documents", "metric").first()) == (9, 3, "cosine")
     index.reset()
     assert index.chunks().count() == 0
+
+
+def test_searchable_profile(spark):
+    from lodestone.operators import profiles
+
+    full = ("candidate_001", "Ada L", "Engineer", "data_engineer", "senior", 7.5, "Builds.", "London", "UK", [("Lead", "ACME", None, ["led work"], ["Spark"], 8), ("Dev", "B", "Paris", [], [], None)], [("MSc", "maths", "UCL", "London")], [("SQL", "data")], [("German", "native")], [("AWS", "Amazon", 2020)], [("P", "does x", ["Java"], None)])
+    bare = ("candidate_002", *[None] * 14)
+    got = {r.candidate_id: r.s for r in spark.createDataFrame([full, bare], profiles.PROFILE).select("candidate_id", profiles.searchable().alias("s")).collect()}
+    assert got["candidate_001"] == (
+        "candidate_001 Ada L Engineer data_engineer data engineer senior 7.5 Builds. London UK Lead ACME led work Spark managed team size 8 team size 8 managed 8 engineers Dev B Paris "
+        "MSc maths UCL London SQL data German native German native certification certifications AWS Amazon 2020 P does x Java"
+    )
+    assert got["candidate_002"] == "candidate_002"
