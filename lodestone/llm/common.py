@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,30 @@ def discard(df: DataFrame) -> None:
 
 def id_key(column: str | Column) -> Column:
     """An id as a long; a null id counts as the least of all."""
-    c = F.col(column) if isinstance(column, str) else column
+    c = col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("long"), F.lit(LEAST_ID))
 
 
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def packed(columns: Iterable[str]) -> Column:
+    """A caller's columns as one struct, so that no name of theirs meets one of ours."""
+    names = list(columns)
+    return F.struct(*(F.col(_quoted(c)).alias(c) for c in names)) if names else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(columns: Iterable[str], row: str = "row") -> list[Column]:
+    """The columns of a packed struct, under their names."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, even one with dots."""
+    return F.col(_quoted(name))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

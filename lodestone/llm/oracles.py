@@ -64,3 +64,21 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256(concat('42:', CAST(doc_id AS VARCHAR))) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents
+), x AS (
+  SELECT *, len(u) AS n, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % (len(u) + 1) AS i, CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % (len(u) + 1) AS j,
+    CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) % 100 AS h3, CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) % 100 AS h4 FROM d
+), f AS (
+  SELECT doc_id, n, t, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(i, j)], '') AS p, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m, array_to_string(u[greatest(i, j) + 1:n], '') AS s FROM x
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) WHEN 'spm' THEN concat('<S>', s, '<P>', p, '<M>', m) ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""

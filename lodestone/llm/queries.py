@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import fresh, table, written
 from lodestone.llm.decontamination import decontaminate
+from lodestone.llm.fill_in_middle import fill_in_middle, restored
 from lodestone.llm.html_text import extract
 from lodestone.llm.language_model import score
 from lodestone.llm.ngram_join import ngram_join
@@ -82,6 +83,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return docs.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
