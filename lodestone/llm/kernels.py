@@ -63,11 +63,11 @@ class Words:
     word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = IS_SPACE):
         self.data = data = LOWER[data] if lower else data
         self.offsets = offsets
         solid = np.empty(len(data) + 1, bool)
-        solid[:-1] = ~IS_SPACE[data]
+        solid[:-1] = ~blank[data]
         solid[-1] = False
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]

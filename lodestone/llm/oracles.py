@@ -82,3 +82,30 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
   sha256(t) AS restored_sha256
 FROM f
 """
+
+SQL["op11_collocations"] = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM d
+), g AS (
+  SELECT lang, k, w[i:i + k - 1] AS x FROM p, unnest([1, 2, 3, 4, 5]) AS s(k), unnest(range(1, greatest(1, len(w) - k + 2))) AS r(i)
+), f AS (
+  SELECT lang, k, x, count(*) AS a FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, x, a FROM f WHERE k > 1 AND a >= 100
+), cuts AS (
+  SELECT c.lang, c.x, c.a, j, y.a AS l, z.a AS r, n, 1000 * CAST(c.a AS HUGEINT) * CAST(n AS HUGEINT) // (CAST(y.a AS HUGEINT) * CAST(z.a AS HUGEINT)) AS score
+  FROM c JOIN n USING (lang), unnest(range(1, c.k)) AS s(j) JOIN f y ON y.lang = c.lang AND y.x = c.x[1:j] JOIN f z ON z.lang = c.lang AND z.x = c.x[j + 1:c.k]
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1
+), inner_ AS (
+  SELECT DISTINCT c.lang, c.x[i:i + m - 1] AS x FROM c, unnest([2, 3, 4]) AS s(m), unnest(range(1, greatest(1, c.k - m + 2))) AS r(i) JOIN c AS b ON b.lang = c.lang AND b.x = c.x[i:i + m - 1] WHERE m < c.k AND c.a >= b.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(x, ' ')) AS rank, array_to_string(x, ' ') AS phrase, a, l, r, n, score
+  FROM low ANTI JOIN inner_ USING (lang, x)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
