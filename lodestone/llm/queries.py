@@ -13,6 +13,7 @@ from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.fill_in_middle import fill_in_middle, restored
 from lodestone.llm.html_text import extract
 from lodestone.llm.language_model import score
+from lodestone.llm.neighbours import nearest
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
@@ -88,6 +89,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)

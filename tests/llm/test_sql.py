@@ -13,4 +13,4 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
