@@ -10,7 +10,8 @@ whose every occurrence is part of one longer candidate is dropped.
 How: the texts become runs of numbers, one per word that is frequent enough,
 with a gap wherever a phrase must end. Level by level a phrase is a pair of
 neighbouring numbers (its first words and its last words), and only pairs of
-two frequent parts are candidates, so none that is frequent can be missed.
+two frequent parts are candidates, of these only pairs in a bucket (by hash)
+whose pairs together occur often enough, so none that is frequent can be missed.
 The candidates get a minimal perfect hash, which is broadcast in groups of
 bounded size; mappers look all pairs up (a pair whose stored key differs is no
 candidate), count slots with bincount and send blocks of counts, which are
@@ -45,6 +46,9 @@ IS_GAP = IS_END.copy()
 IS_GAP[[9, 32]] = True
 #: Slots of one block of counts, and blocks' parts in the first summing step.
 BLOCK, FAN = 1 << 13, 16
+BLOCKS = "block int, fan int, counts binary"
+#: Buckets of the prefilter, by powers of two: so many that pairs by chance fill a quarter, at least and at most.
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, K.Words, np.ndarray, np.ndarray]]:
@@ -63,16 +67,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, K
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, its hash and its count in a slice; with a null word, the count of all."""
+    """The hash of each word and its count in a slice; without a hash, the count of all words of a language."""
     for b, w, h, _ in _runs(batches):
-        _, at, n = np.unique(h, return_index=True, return_counts=True)
-        raw = w.data.tobytes()
-        words = [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        langs = b.column(2).cast(pa.string())
-        out = {"lang": langs.take(pa.array(w.doc[at])), "word": pa.array(words, pa.binary()).cast(pa.string()), "h": pa.array(h[at].view(np.int64)), "f": pa.array(n)}
-        yield pa.RecordBatch.from_pydict(out)
+        h, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"lang": pa.nulls(len(h), pa.string()), "h": h.view(np.int64), "f": n})
         some = np.flatnonzero(w.counts)
-        yield pa.RecordBatch.from_pydict({"lang": langs.take(pa.array(some)), "word": pa.nulls(len(some), pa.string()), "h": pa.nulls(len(some), pa.int64()), "f": pa.array(w.counts[some].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"lang": b.column(2).cast(pa.string()).take(pa.array(some)), "h": pa.nulls(len(some), pa.int64()), "f": w.counts[some].astype(np.int64)})
+
+
+def _word_names(slots) -> Callable:
+    """What gives each frequent word of a task, with its language and number, once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.empty(0, np.int64)
+        for b, w, h, _ in _runs(batches):
+            at, first = np.unique(slots.value.of(h), return_index=True)
+            new = (at >= 0) & ~np.isin(at, seen)
+            at, first = at[new], first[new]
+            if len(at):
+                seen = np.concatenate([seen, at])
+                words = [w.data[i:j].tobytes() for i, j in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"slot": at, "lang": b.column(2).cast(pa.string()).take(pa.array(w.doc[first])), "word": pa.array(words, pa.binary()).cast(pa.string())})
+
+    return task
 
 
 def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -127,13 +144,62 @@ def _resolved(batches: Iterator[pa.RecordBatch], keys: Callable, g: int) -> Iter
                 yield np.frombuffer(run.as_buffer(), "<i8"), np.frombuffer(k.as_buffer(), "<u8")
 
 
-def _candidates(runs: DataFrame) -> DataFrame:
-    """The different pairs of neighbouring numbers."""
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(keys) >> K.U64(64 - bits)).astype(np.int64)
+
+
+def _hot(runs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Of 2**bits buckets of pairs, packed, whether their pairs occur `least` times together; counters stop there."""
+    kind = "<u1" if least < 256 else "<u4"
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, kind)
+
+        def fold(held: list[np.ndarray]) -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, least)
+
+        held, size = [], 0
+        for k in _pair_keys(batches):
+            held.append(_bucket(k[k > 0], bits))
+            size += len(held[-1])
+            if size > 1 << 21:
+                fold(held)
+                held, size = [], 0
+        if held:
+            fold(held)
+        yield from _blocks(counts, TaskContext.get().partitionId() % FAN)
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _summed(batches, kind, least):
+            x = np.frombuffer(b.column(2)[0].as_buffer(), kind)
+            yield pa.RecordBatch.from_pydict({"block": b.column(0), "bits": pa.array([np.packbits(x >= least).tobytes()], pa.binary())})
+
+    once = runs.mapInArrow(mapper, BLOCKS).repartition("block", "fan").mapInArrow(lambda b: _summed(b, kind, least), BLOCKS)
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for r in once.select("block", F.lit(0).alias("fan"), "counts").repartition("block").mapInArrow(bits_of, "block int, bits binary").collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        whole[r.block * BLOCK // 8 :][: len(part)] = part
+    return whole
+
+
+def _blocks(counts: np.ndarray, fan: int) -> Iterator[pa.RecordBatch]:
+    """The blocks that hold any count."""
+    for block, x in enumerate(counts.reshape(-1, BLOCK)):
+        if x.any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "fan": pa.array([fan], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+
+
+def _candidates(runs: DataFrame, least: int, bits: int) -> DataFrame:
+    """The different pairs of neighbouring numbers whose bucket is full enough."""
+    full = runs.sparkSession.sparkContext.broadcast(_hot(runs, least, bits))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for k in _pair_keys(batches):
-            held.append(np.unique(k[k > 0]))
+            k = np.unique(k[k > 0])
+            at = _bucket(k, bits)
+            held.append(k[(full.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)])
             size += len(held[-1])
             if size > 1 << 22:
                 held = [np.unique(np.concatenate(held))]
@@ -150,16 +216,19 @@ def _candidates(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(task, "key long, top int").distinct()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of counts added up."""
+def _summed(batches: Iterator[pa.RecordBatch], kind: str = "<i8", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Blocks of counts added up, to `most` at most."""
     total: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
         for block, fan, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            x = np.frombuffer(counts.as_buffer(), "<i8")
-            if (block, fan) in total:
-                total[block, fan] += x
-            else:
+            x = np.frombuffer(counts.as_buffer(), kind)
+            have = total.get((block, fan))
+            if have is None:
                 total[block, fan] = x.copy()
+            elif most is None:
+                have += x
+            else:
+                have[:] = np.minimum(have.astype(np.int64) + x, most)
     for (block, fan), x in total.items():
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "fan": pa.array([fan], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
 
@@ -182,10 +251,7 @@ def _counted(runs: DataFrame, found: P.Index, least: int) -> DataFrame:
                     held, size = [], 0
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            fan = TaskContext.get().partitionId() % FAN
-            for block, x in enumerate(counts.reshape(-1, BLOCK)):
-                if x.any():
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "fan": pa.array([fan], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+            yield from _blocks(counts, TaskContext.get().partitionId() % FAN)
 
         def frequent(batches: Iterator[pa.RecordBatch], slots=slots) -> Iterator[pa.RecordBatch]:
             stored = slots.value.stored
@@ -195,8 +261,7 @@ def _counted(runs: DataFrame, found: P.Index, least: int) -> DataFrame:
                 keys = stored[block * BLOCK + at]
                 yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "top": P.top(keys), "f": x[at]})
 
-        shape = "block int, fan int, counts binary"
-        once = runs.mapInArrow(mapper, shape).repartition("block", "fan").mapInArrow(_summed, shape)
+        once = runs.mapInArrow(mapper, BLOCKS).repartition("block", "fan").mapInArrow(_summed, BLOCKS)
         whole = once.select("block", F.lit(0).alias("fan"), "counts").repartition("block").mapInArrow(frequent, "key long, top int, f long")
         out.append(written(whole, "phrase-counts"))
     whole = out[0]
@@ -221,29 +286,37 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     """lang, phrase, n_words, a, l, r, n, score and dropped of all candidates."""
     lang = F.coalesce(col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(lang).alias("h"), lang.alias("lang"))
-    words = rows.mapInArrow(_word_counts, "lang string, word string, h long, f long").groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
-    words = written(words.where(F.col("word").isNull() | (F.col("f") >= least)), "words")
-    keyed = words.where("word is not null")
-    found = P.index(_topped(keyed.select(F.col("h").alias("key"))), most)
+    counts = rows.mapInArrow(_word_counts, "lang string, h long, f long").groupBy("lang", "h").agg(F.sum("f").alias("f"))
+    counts = written(counts.where(F.col("h").isNull() | (F.col("f") >= least)), "words")
+    keyed = counts.where("h is not null").select(F.col("h").alias("key"), "f")
+    found = P.index(_topped(keyed.select("key")), most)
     if not len(found):
         empty = "lang string, phrase string, n_words int, a long, l long, r long, n long, score long, dropped boolean"
         return docs.sparkSession.createDataFrame([], empty)
     runs = _numbered(rows.select("text", "h"), _word_keys, found)
-    level = keyed.join(found.numbered(), F.col("h") == F.col("key")).select("slot", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"))
+    names = None
+    for g in range(len(found.groups)):
+        some = rows.mapInArrow(_word_names(docs.sparkSession.sparkContext.broadcast(found.slots(g))), "slot long, lang string, word string")
+        names = some if names is None else names.unionByName(some)
+    names = names.dropDuplicates(["slot"])
+    level = keyed.join(found.numbered(), "key").join(names, "slot").select("slot", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"))
     level = written(level, "phrases-1")
+    n = counts.where("h is null").select("lang", F.col("f").alias("n"))
+    whole = n.agg(F.sum("n")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * whole // least).bit_length()))
     levels = []
     for size in range(2, longest + 1):
-        candidates = written(_candidates(runs), "phrase-candidates")
+        candidates = written(_candidates(runs, least, bits), "phrase-candidates")
         found = P.index(candidates, most)
         if not len(found):
             break
-        counts = _counted(runs, found, least)
-        found = P.index(counts.select("key", "top"), most)
+        pairs = _counted(runs, found, least)
+        found = P.index(pairs.select("key", "top"), most)
         if not len(found):
             break
         after = _numbered(runs, _pair_keys, found) if size < longest else runs
         a, b = (F.shiftright("key", 32) - 1).alias("first"), (F.col("key").bitwiseAND(0xFFFFFFFF) - 1).alias("second")
-        pairs = counts.join(found.numbered(), "key").select("slot", a, b, "f")
+        pairs = pairs.join(found.numbered(), "key").select("slot", a, b, "f")
         first = level.select(F.col("slot").alias("first"), "lang", "phrase", "firsts", F.col("f").alias("first_f"))
         second = level.select(F.col("slot").alias("second"), "last", "lasts", F.col("f").alias("second_f"))
         more = lambda c: F.concat(c, F.array("f")).alias(c)
@@ -258,7 +331,6 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
         level, runs = made, after
     if levels:
         levels[-1] = levels[-1].withColumn("dropped", F.lit(None).cast("boolean"))
-    n = words.where("word is null").select("lang", F.col("f").alias("n"))
     kept = [x.select("lang", "phrase", "n_words", F.col("f").alias("a"), "firsts", "lasts", F.coalesce("dropped", F.lit(False)).alias("dropped")) for x in levels]
     if not kept:
         return phrases(docs.limit(0), text_col, lang_col)
