@@ -10,15 +10,17 @@ path's own and compared with a threshold from their spread: paths above it are
 content. The content element is the article or main element with most content
 text, else the deepest element that holds nearly all of it. Inside it the paths
 select again: a path takes the element's own ratio over where it is above its
-own, as far as its text isn't links and no name speaks against it, so headings
-and short paragraphs beside the long ones stay and rows of links go. Outside,
-only paths above the threshold and the headings before them stay.
+own and no name speaks against it, so headings, short paragraphs and, in an
+article or main element, lists of links stay beside the long ones; in other
+elements rows of links go. Outside, only paths above the threshold and the
+headings before them stay.
 
 Elements that are navigation, headers, footers, sidebars, adverts, forms or
 comments by their element, role or an unmistakable name have no ratio at all.
 Those that only say so by name, and forms, stay in if they hold the page's
 article, main element or first-level heading or most of its text outside links
-and comments.
+and comments. Readers' comments, notices, adverts and offers don't come back
+for their length: only where nothing else on the page reads as prose.
 
 Edge cases: a null or empty page, or one without text, gives an empty text;
 unclosed and stray tags, unquoted attributes and unknown elements are taken as
@@ -39,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import col, packed, unpacked
+
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noframes noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio svg".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,7 +54,15 @@ RULED_OUT = frozenset("head title nav footer aside form button select option tex
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words in class and id that mark what isn't the article; those of MAYBE also name articles.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsored|promo|promoted|banner|cookie|cookies|consent|gdpr|popup|paywall|subscribe|subscription|newsletter|signup|login|comment|comments|commentlist|disqus|respond|reply|replies|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|aside|widget|widgets|recommended|recommendations|share|sharing|social|toolbar|masthead|topbar|copyright|related|footer|header|foot)(?:$|[\s_-])|comment(?:s|list)?$|sidebar|cookie|advert|newsletter|breadcrumb|adsby", re.I)
-MAYBE = re.compile(r"(?:^|[\s_-])(?:sponsor|promotion|notice|print|register|legal|side|skip|search|tags|hidden|form|modal|overlay|discussion)(?:$|[\s_-])", re.I)
+MAYBE = re.compile(r"(?:^|[\s_-])(?:more|sponsor|promotion|print|register|legal|side|skip|search|tags|hidden|form|modal|overlay|discussion)(?:$|[\s_-])", re.I)
+#: Names that end in what a page says itself, of which any word before may be the subject.
+OWN_WORDS = re.compile(r"[_-](?:text|content|body|article|entry|post|story|main|copy|paragraph)s?$", re.I)
+#: Notices, adverts and offers; like readers' talk they may be longer than the article.
+NOTICE = re.compile(r"(?:^|[\s_-])(?:notices?(?=$|\s)|ads?|adv|adverts?|advertisement|advertising|adsense|adslot|sponsored|promo|promoted|banner|cookies?|consent|gdpr|popup|paywall|subscribe|subscription|newsletter|signup|login)(?:$|[\s_-])|cookie|advert|newsletter|adsby", re.I)
+#: Parts of lists and tables, which may be links as a whole in an article.
+ITEMS = frozenset("li dt dd td th".split())
+#: Least text outside links of a block that reads as prose.
+PROSE = 20
 #: What a ratio is multiplied by for each such name on its path.
 DOUBT = 0.3
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
@@ -91,7 +103,7 @@ class _Block:
 
 def _ruled_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool, str]:
     """Whether an element can't be content, whether only its name says so, whether it is
-    readers' talk by name, whether its name leaves it open, and its class for the path."""
+    readers' talk or a notice by name, whether its name leaves it open, and its class for the path."""
     out = (tag in RULED_OUT and tag != "form") or (tag == "header" and not inside)
     named, talk, maybe = tag == "form", False, False
     name = ""
@@ -101,10 +113,13 @@ def _ruled_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, boo
             name = name or value
             seen = ABOUT.sub(" ", value).lower()
             seen = seen.replace("header", "") if inside else seen  # an article's own header is its title
+            marked = bool(MARKS.search(seen) or NOTICE.search(seen))
             if tag in ("html", "body", "article", "main"):
-                talk = talk or bool(TALK.search(seen) and MARKS.search(seen))
-            elif MARKS.search(seen):
-                talk = talk or bool(TALK.search(seen))
+                talk = talk or bool(TALK.search(seen) and marked)
+            elif marked and inside and not TALK.search(seen) and OWN_WORDS.search(seen.strip()):
+                maybe = True
+            elif marked:
+                talk = talk or bool(TALK.search(seen) or NOTICE.search(seen))
                 named = True
             elif MAYBE.search(seen):
                 maybe = True
@@ -152,14 +167,16 @@ def _settle(elements: list[_Element], found: list[_Block]) -> None:
         if live[e] and not e.talk and not below[e]:
             most = max(most, 2 if e.tag in ("article", "main") else int(e.tag == "h1"))
     any_rank = rank[elements[0]]
-    own = [b for b in kept if not (any_rank and talk[b.at])]
+    # Talk and notices are what they are called, however long, as long as something else reads as prose.
+    prose = any(b.plain >= PROSE and b.points and b.at.tag not in HEADINGS and not below[b.at] for b in kept)
+    own = [b for b in kept if not ((any_rank or prose) and talk[b.at])]
     _gathered(elements, own, lambda b: b.plain)
     whole = elements[0].sums
     for e in elements:
         if e.parent is not None:
             e.out, e.doubt = e.out or e.parent.out, e.parent.doubt
         if e.named and not e.out:
-            bulk = 2 * e.sums > whole
+            bulk = 2 * e.sums > whole and not (e.talk and prose)
             e.out = not (bulk or rank[e] > most)
             e.doubt = e.doubt or not (bulk or rank[e] > 1)
 
@@ -319,7 +336,7 @@ def main_text(page: str | None) -> str:
         heading = b.at.tag in HEADINGS
         if b.at.weight < 1:  # its name speaks against it: only what reads as the rest does
             keep = id(b) in picked and paths.own[k] >= 0.5 * DOUBT * lent
-        elif within[b.at] and not b.at.doubt and paths.solid(k) > 0.5 and not (linked and b.links > 0.5 * len(b.text)):
+        elif within[b.at] and not b.at.doubt and ((b.at.inside and b.at.tag in ITEMS) or paths.solid(k) > 0.5) and not (linked and b.links > 0.5 * len(b.text)):
             keep = max(by_path[k], lent) >= limit or id(b) in picked
         else:
             keep = id(b) in picked
@@ -354,13 +371,13 @@ def _container(elements: list[_Element], chosen: list[_Block]) -> tuple[_Element
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html, with text and n_chars."""
-    keep = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
-    names = [f.name for f in keep]
+    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(p) for p in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], [*names, "text", "n_chars"])
+            text = [main_text(p) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["row", "text", "n_chars"])
 
-    schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*names, pages[html_col].cast("string").alias("__html")).mapInArrow(task, schema)
+    rows = pages.select(packed(names).alias("row"), col(html_col).cast("string").alias("page"))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return rows.mapInArrow(task, schema).select(*unpacked(names), "text", "n_chars")
