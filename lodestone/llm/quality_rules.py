@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import col, packed, unpacked
+
 #: The white space between words and the symbols that count.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -46,8 +48,8 @@ MOST_LABELLED = 20_000
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the BASE and EXTRA counts (long); nulls count as no text."""
-    keep = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
+    t = F.coalesce(col(text_col).cast("string"), F.lit(""))
 
     def without(chars: str) -> Column:
         return F.length(F.translate(t, chars, ""))
@@ -55,7 +57,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.length(t)
     trimmed = F.nullif(F.trim(t, F.lit(BLANKS)), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
-    df = docs.select(*keep, F.coalesce(F.split(trimmed, r"[\x20\x09-\x0D]+"), F.array().cast("array<string>")).alias("__w"), lines.alias("__l"), n.alias("__n"), without(BLANKS).alias("__c"), without(SYMBOLS).alias("__s"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("__u"), without("!?").alias("__m"))
+    df = docs.select(packed(names).alias("row"), F.coalesce(F.split(trimmed, r"[\x20\x09-\x0D]+"), F.array().cast("array<string>")).alias("__w"), lines.alias("__l"), n.alias("__n"), without(BLANKS).alias("__c"), without(SYMBOLS).alias("__s"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("__u"), without("!?").alias("__m"))
     df = df.select("*", F.expr("IF(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))").cast("array<bigint>").alias("__h"), F.expr("length(bin(size(__w)))").alias("__b"))
     # Hash and place in one number: sorting brings equal windows together.
     df = df.select("*", F.expr("sort_array(transform(__h, (h, i) -> shiftleft(h, __b) | cast(i as bigint)))").alias("__p"))
@@ -64,7 +66,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.expr("aggregate(transform(__r, (p, k) -> IF(k + 1 < size(__r), least(3, __r[k + 1] - p), 3)), 0L, (a, x) -> a + x)")
     # Through a generator, so that a filter on the counts isn't pushed below them
     # and evaluated inside their own loops.
-    return df.select(*keep, F.inline(F.array(F.struct(
+    return df.select("row", F.inline(F.array(F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.col("__c").cast("long").alias("word_chars"),
         (F.col("__n") - F.col("__s")).cast("long").alias("n_symbols"),
@@ -74,7 +76,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.col("__n") - F.col("__m")).cast("long").alias("n_marks"),
         F.size("__l").cast("long").alias("n_lines"),
         F.col("__n").cast("long").alias("n_chars_all"),
-    ))))
+    )))).select(*unpacked(names), *BASE, *EXTRA)
 
 
 def base_failed() -> Column:
@@ -193,11 +195,14 @@ def _exceptions(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, hit
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> list[Rule]:
-    """Rules for label 0, from at most `most_labelled` labelled rows, chosen by a hash of the id."""
-    want = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    want = want.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
-    known = statistics(docs.select(id_col, text_col).join(F.broadcast(want), F.col(id_col) == F.col("__id")).select("__id", "__label", text_col), text_col)
-    rows = known.where(~base_failed()).select(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)).alias("part"), (F.col("__label") == 0).alias("bad"), *(rate(k).alias(k) for k in RATES)).collect()
+    """Rules for label 0, from about `most_labelled` labelled rows at most, chosen by a threshold on a hash of the id."""
+    want = labels.where(col(id_col).isNotNull() & col(label_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col)).alias("label"))
+    n = want.count()
+    if n > most_labelled:
+        want = want.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(most_labelled / n * (1 << 40)))
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    known = statistics(rows.join(F.broadcast(want), "id").select("id", "label", "text"))
+    rows = known.where(~base_failed()).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("part"), (F.col("label") == 0).alias("bad"), *(rate(k).alias(k) for k in RATES)).collect()
     if not rows:
         return []
     values = np.array([tuple(map(float, r)) for r in rows])
@@ -221,4 +226,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if rules is None:
         rules = learn(docs, labels, id_col, text_col)
     keep = [c for c in docs.columns if c not in (*BASE, *EXTRA, "base_failed", "kept")]
-    return statistics(docs.select(*keep), text_col).select(*keep, *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    counted = statistics(docs.select(packed(keep).alias("row"), col(text_col).alias("text")))
+    return counted.select(*unpacked(keep), *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.llm.common import id_key, written
+from lodestone.llm.common import col, id_key, packed, unpacked, written
 
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 BLOCK = 32
@@ -66,9 +66,9 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", id_col: str = "
     if law not in ("bytes", "rows"):
         raise ValueError(f"law is bytes or rows, not {law}")
     keep = [c for c in docs.columns if c not in (*ADDED, text_col)]
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    t = F.coalesce(col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(t).cast("long") + 16
-    rows = written(docs.select(*keep, F.md5(t.cast("binary")).alias("__k"), id_key(id_col).alias("__i"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), (size if law == "bytes" else F.lit(1).cast("long")).alias("__v")), "shard-keys")
+    rows = written(docs.select(packed(keep).alias("row"), F.md5(t.cast("binary")).alias("__k"), id_key(id_col).alias("__i"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), (size if law == "bytes" else F.lit(1).cast("long")).alias("__v")), "shard-keys")
 
     def totals(splitters: list[tuple[str, int]]) -> dict[int, tuple[int, int]]:
         return {r[0]: (r[1], r[2]) for r in rows.groupBy(_range(splitters).alias("r")).agg(F.sum("__v"), F.count("*")).collect()}
@@ -99,5 +99,5 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", id_col: str = "
     placed = written(placed.withColumn("shard", F.expr(f"__p * {shards} div {max(1, v)}").cast("int")), "shard-places")
     first = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("__x")).collect()}
     slot = F.col("__x") - F.get(_numbers([first.get(s, 0) for s in range(shards)]), F.col("shard"))
-    return placed.select(*keep, "size", "text_crc32", F.lit(law).alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*unpacked(keep), "size", "text_crc32", F.lit(law).alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -32,11 +32,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm import kernels as K
 from lodestone.llm import sketch
-from lodestone.llm.common import id_key
+from lodestone.llm.common import LEAST_ID, col, id_key, packed
 
 ADDED = ("n_words", "n_removed", "kept_text")
-#: How many bits of a text's hash are left out of a row's key; 40 tell apart the rows that share an id.
-OWN_BITS = 24
 
 
 def _anchors(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +75,13 @@ def _repeated(w: K.Words, h: np.ndarray, window: int, run: int, seen: sketch.Rep
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, depth: int = 2) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words, one space between)."""
     run = max(1, window * 2 // 5)
-    source = docs.select([c for c in docs.columns if c not in ADDED])
-    own = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), OWN_BITS)
-    keyed = source.select(id_key(id_col).alias("k"), own.alias("o"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    names = [c for c in docs.columns if c not in ADDED]
+    own_text = dict(docs.dtypes)[text_col] == "string"  # else the column comes back as it is
+    others = [c for c in names if c != text_col or not own_text]
+    text = col(text_col).cast("string")
+    own = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseXOR(F.lit(LEAST_ID))  # in unsigned order
+    keyed = docs.select(id_key(id_col).alias("k"), own.alias("o"), text.alias("text"))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(size / 6 * 2 / (window - run + 2))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -109,23 +110,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     firsts = keyed.mapInArrow(candidates, "a long, b int, k long, o long").groupBy("a", "b").agg(F.min(F.struct("k", "o")).alias("x"))
     firsts = firsts.groupBy("x.k", "x.o").agg(F.collect_list("a").alias("firsts"))
-    names = source.columns
-    row = source.withColumns({"__k": id_key(id_col), "__o": own})
-    joined = row.join(firsts.hint("shuffle_hash").toDF("__k", "__o", "__firsts"), ["__k", "__o"], "left").select(*names, "__firsts")
-    schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    text = names.index(text_col)
+    row = docs.select(packed(others).alias("row"), text.alias("text"), id_key(id_col).alias("k"), own.alias("o"))
+    joined = row.join(firsts.hint("shuffle_hash"), ["k", "o"], "left").select("row", "text", "firsts")
+    schema = T.StructType([*joined.schema.fields[:2], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _scan(batches, text):
-            col = b.column(text)
-            w, h = _of(b, text) if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else (None, None)
+        for b in _scan(batches, 1):
+            w, h = _of(b, 1)
             starts, a = _repeated(w, h, window, run, seen)
             n = len(w.start)
             lost = np.zeros(n + 1, bool)
             if len(starts):
                 lost[starts] = True
                 by = np.searchsorted(starts, w.first)
-                own = b.column(len(names))
+                own = b.column(2)
                 for d in np.flatnonzero(np.diff(by)):
                     first = own[int(d)].values
                     if first is not None and len(first):
@@ -137,9 +135,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             i = np.arange(n)
             gone = total[i + 1] > total[np.maximum(0, i + 1 - window)]
             removed = np.concatenate([[0], np.cumsum(gone)])[w.first]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(w.counts.astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), _joined(w, ~gone)], [*names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(w.counts.astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), _joined(w, ~gone)], ["row", "text", *ADDED])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).select(*(F.col("text").alias(c) if c not in others else F.col("row").getField(c).alias(c) for c in names), *ADDED)
 
 
 def _joined(w: K.Words, keep: np.ndarray) -> pa.Array:

@@ -636,7 +636,8 @@ def test_best_fit(lengths):
             rooms.append(64)
         rooms[w] -= x[i]
         want[i] = w
-    assert sorted(Counter(window.tolist()).values()) == sorted(Counter(want.values()).values()) or sum(lengths) / 64 <= window.max() + 1 <= len(rooms)
+    # Windows with equal room may be taken in any order; what they hold in the end is the same.
+    assert sorted(np.bincount(window, x).tolist() if len(x) else []) == sorted(64 - r for r in rooms)
     for w in set(window.tolist()):
         end = 0
         for o, n in sorted((offset[i], x[i]) for i in np.flatnonzero(window == w)):
