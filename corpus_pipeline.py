@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_key, table, written
+from lodestone.llm.common import col, id_key, packed, table, unpacked, written
 from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
-from lodestone.llm.substring_dedup import substring_dedup
+from lodestone.llm.substring_dedup import ADDED, substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged by its text; repeated rows are each judged; of several labels of an id
     the lowest counts; other columns, whatever their names, come back unchanged.
     """
-    return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    judged = quality_rules(docs.select("doc_id", "text", packed(docs.columns).alias("row")), table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*unpacked(docs.columns))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each different row, `__k`, from id and text; ids may repeat or be null."""
-    return docs.withColumn("__k", F.xxhash64(id_key("doc_id"), F.col("text").isNull(), F.coalesce("text", F.lit(""))))
+    """The texts with a key of each different row, `k`, from id and text (ids may repeat or be null), its id and its other columns."""
+    key = F.xxhash64(id_key("doc_id"), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return docs.select(packed(c for c in docs.columns if c != "text").alias("row"), "text", key.alias("k"), id_key("doc_id").alias("i"))
+
+
+def _back(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    return keyed.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     once); ties of id go to the least hash of the text.
     """
     keyed = _keyed(docs)
-    ids = keyed.groupBy("__k").agg(F.min(id_key("doc_id")).alias("i"), F.count("*").alias("n"))
-    linked = ngram_join(keyed, "__k").groupBy("__k").agg(F.min("component_id").alias("c"))
-    stay = linked.join(ids, "__k").groupBy("c").agg(F.min(F.struct("i", "__k", "n")).alias("x")).select("x.__k", "x.n")
-    once = keyed.join(stay.where("n = 1").select("__k"), "__k", "left_semi")
-    more = keyed.join(stay.where("n > 1").select("__k"), "__k", "left_semi").dropDuplicates(["__k"])
-    return once.unionByName(more).select(*docs.columns)
+    ids = keyed.groupBy("k").agg(F.min("i").alias("i"), F.count("*").alias("n"))
+    linked = ngram_join(keyed.select("k", "text"), "k").groupBy("k").agg(F.min("component_id").alias("c"))
+    stay = linked.join(ids, "k").groupBy("c").agg(F.min(F.struct("i", "k", "n")).alias("x")).select("x.k", "x.n")
+    once = keyed.join(stay.where("n = 1").select("k"), "k", "left_semi")
+    more = keyed.join(stay.where("n > 1").select("k"), "k", "left_semi").dropDuplicates(["k"])
+    return _back(once.unionByName(more), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +65,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     that lose nothing, null ones too, stay byte for byte; of rows that share an id
     the one with the lesser hash of its text is earlier, equal rows lose alike.
     """
-    cut = substring_dedup(docs)
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("n_chars", F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    lost = [c for c in docs.columns if c in ADDED]  # names that the operator takes for its own columns
+    cut = substring_dedup(docs.withColumnsRenamed({c: f"{c} of the row" for c in lost}))
+    cut = cut.select(*(F.col(f"`{c} of the row`").alias(c) if c in lost else col(c) for c in docs.columns), *(F.col(c).alias(f"{c} found") for c in ADDED))
+    changed = F.col("n_removed found") > 0
+    text = F.when(changed, F.col("kept_text found")).otherwise(F.col("text"))
+    chars = F.when(changed, F.length("kept_text found")).otherwise(F.col("n_chars"))
+    return cut.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else col(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +82,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     benchmark, or one without words, removes nothing.
     """
     keyed = _keyed(docs)
-    leaks = decontaminate(keyed, table(spark, sf_dir, "benchmark"), "__k").select("__k").distinct()
-    return keyed.join(leaks, "__k", "left_anti").select(*docs.columns)
+    leaks = decontaminate(keyed.select("k", "text"), table(spark, sf_dir, "benchmark"), "k").select("k").distinct()
+    return _back(keyed.join(leaks, "k", "left_anti"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
