@@ -6,6 +6,7 @@ import os
 import tempfile
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,8 +61,8 @@ class Notes:
             stream.close()
 
     def write(self, name: str, text: str) -> bool:
-        """False if the name is taken. The text is written aside and gets its name by one
-        rename; where two writers race, one of their texts stays, whole."""
+        """False if the name is taken. The text is written aside and gets its name in one
+        step that fails if another writer was first, so one writer alone is told True."""
         if self.exists(name):
             return False
         aside = self.at(f".{uuid4().hex}")
@@ -70,17 +71,34 @@ class Notes:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name) or not self.fs.rename(aside, self.at(name)):
-            self.fs.delete(aside, False)
-            return False
-        return self.read(name) == text
+        done = self._named(aside, self.at(name))
+        self.fs.delete(aside, False)
+        return done and self.read(name) == text
+
+    def _named(self, aside, at) -> bool:
+        """A local rename would replace the other's file, so there the name is a link; elsewhere
+        a rename fails on a name that is taken."""
+        if self.fs.getScheme() != "file":
+            return not self.fs.exists(at) and self.fs.rename(aside, at)
+        nio = self._jvm.java.nio.file
+        local = lambda p: nio.Paths.get(self.fs.makeQualified(p).toUri())
+        try:
+            nio.Files.createLink(local(at), local(aside))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def number(self) -> int:
+        """The highest number among the names; 0 if there is none."""
+        return max((int(n) for n in self.names() if n.isdigit()), default=0)
 
     def latest(self) -> str | None:
         """The text under the highest number."""
-        numbers = [n for n in self.names() if n.isdigit()]
-        return self.read(max(numbers, key=int)) if numbers else None
+        n = self.number()
+        return self.read(f"{n:012d}") if n else None
 
-    def advance(self, text: str) -> None:
-        """Writes the text under the next number; a racing writer's number is passed over."""
-        while not self.write(f"{1 + max((int(n) for n in self.names() if n.isdigit()), default=0):012d}", text):
-            pass
+    def follow(self, number: int, text: str) -> bool:
+        """Writes the text under exactly the next number; False if that is taken."""
+        return self.write(f"{number + 1:012d}", text)
