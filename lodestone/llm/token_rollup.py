@@ -92,12 +92,14 @@ class TokenRollup:
         return self._sums(self._state()[0]).where("n_docs != 0 OR n_tokens != 0")
 
     def compact(self) -> None:
-        """Writes the totals as one table that stands for all batches committed so far."""
+        """Writes the totals as one table that stands for all batches committed so far. A batch that is
+        committed meanwhile still counts by its own note; of two compactions at once one stays."""
+        number = self._compact.number()
         folders, names = self._state()
         if len(folders) > 1:
             folder = uuid4().hex
             self._sums(folders).write.parquet(f"{self.path}/sums/{folder}")
-            self._compact.advance(json.dumps({"folder": folder, "batches": names}))
+            self._compact.follow(number, json.dumps({"folder": folder, "batches": names}))
 
 
 def token_counts(docs: DataFrame, text_cols: tuple[str, ...] = ("text",), path: str | None = None) -> DataFrame:
