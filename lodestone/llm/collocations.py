@@ -67,23 +67,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, K
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each word and its count in a slice; without a hash, the count of all words of a language."""
+    """The hash of each word, its count in a slice and the least hash of a text that has it; without
+    a word's hash, the count of all words of a language."""
     for b, w, h, _ in _runs(batches):
-        h, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"lang": pa.nulls(len(h), pa.string()), "h": h.view(np.int64), "f": n})
+        order = np.argsort(h, kind="stable")
+        h, text = h[order], np.asarray(b.column(3))[w.doc[order]]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(first, len(h)))
+        yield pa.RecordBatch.from_pydict({"lang": pa.nulls(len(n), pa.string()), "h": h[first].view(np.int64), "f": n, "owner": np.minimum.reduceat(text, first)})
         some = np.flatnonzero(w.counts)
-        yield pa.RecordBatch.from_pydict({"lang": b.column(2).cast(pa.string()).take(pa.array(some)), "h": pa.nulls(len(some), pa.int64()), "f": w.counts[some].astype(np.int64)})
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_pydict({"lang": b.column(2).cast(pa.string()).take(pa.array(some)), "h": none, "f": w.counts[some].astype(np.int64), "owner": none})
 
 
-def _word_names(slots) -> Callable:
-    """What gives each frequent word of a task, with its language and number, once."""
+def _word_names(slots, owners) -> Callable:
+    """What gives each frequent word with its language and number, once a task, from the text that owns it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.int64)
         for b, w, h, _ in _runs(batches):
-            at, first = np.unique(slots.value.of(h), return_index=True)
-            new = (at >= 0) & ~np.isin(at, seen)
-            at, first = at[new], first[new]
+            at = slots.value.of(h)
+            own = np.flatnonzero(at >= 0)
+            own = own[owners.value[at[own] - slots.value.base] == np.asarray(b.column(3))[w.doc[own]]]
+            at, first = np.unique(at[own], return_index=True)
+            new = ~np.isin(at, seen)
+            at, first = at[new], own[first[new]]
             if len(at):
                 seen = np.concatenate([seen, at])
                 words = [w.data[i:j].tobytes() for i, j in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
@@ -285,21 +293,26 @@ def _lowest(size: Column) -> Column:
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, most: int = P.MOST) -> DataFrame:
     """lang, phrase, n_words, a, l, r, n, score and dropped of all candidates."""
     lang = F.coalesce(col(lang_col).cast("string"), F.lit("und"))
-    rows = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(lang).alias("h"), lang.alias("lang"))
-    counts = rows.mapInArrow(_word_counts, "lang string, h long, f long").groupBy("lang", "h").agg(F.sum("f").alias("f"))
+    rows = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(lang).alias("h"), lang.alias("lang")).withColumn("own", F.xxhash64("text"))
+    counts = rows.mapInArrow(_word_counts, "lang string, h long, f long, owner long").groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("owner").alias("owner"))
     counts = written(counts.where(F.col("h").isNull() | (F.col("f") >= least)), "words")
-    keyed = counts.where("h is not null").select(F.col("h").alias("key"), "f")
+    keyed = counts.where("h is not null").select(F.col("h").alias("key"), "f", "owner")
     found = P.index(_topped(keyed.select("key")), most)
     if not len(found):
         empty = "lang string, phrase string, n_words int, a long, l long, r long, n long, score long, dropped boolean"
         return docs.sparkSession.createDataFrame([], empty)
     runs = _numbered(rows.select("text", "h"), _word_keys, found)
-    names = None
-    for g in range(len(found.groups)):
-        some = rows.mapInArrow(_word_names(docs.sparkSession.sparkContext.broadcast(found.slots(g))), "slot long, lang string, word string")
+    keyed, names = keyed.join(found.numbered(), "key"), None
+    for g, (shards, base) in enumerate(found.groups):
+        size = sum(found.sizes[x] for x in shards)
+        owned = keyed.where(F.col("slot").between(base, base + size - 1)).select("slot", "owner").toArrow()
+        owner = np.empty(size, np.int64)
+        owner[owned["slot"].to_numpy() - base] = owned["owner"].to_numpy()
+        sent = [docs.sparkSession.sparkContext.broadcast(x) for x in (found.slots(g), owner)]
+        some = rows.mapInArrow(_word_names(*sent), "slot long, lang string, word string")
         names = some if names is None else names.unionByName(some)
     names = names.dropDuplicates(["slot"])
-    level = keyed.join(found.numbered(), "key").join(names, "slot").select("slot", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"))
+    level = keyed.join(names, "slot").select("slot", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"))
     level = written(level, "phrases-1")
     n = counts.where("h is null").select("lang", F.col("f").alias("n"))
     whole = n.agg(F.sum("n")).first()[0]
