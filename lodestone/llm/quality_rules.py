@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import col, packed, unpacked
+from lodestone.llm.common import col, packed
 
 #: The white space between words and the symbols that count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,7 +48,7 @@ MOST_LABELLED = 20_000
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the BASE and EXTRA counts (long); nulls count as no text."""
-    names = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
+    keep = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
     t = F.coalesce(col(text_col).cast("string"), F.lit(""))
 
     def without(chars: str) -> Column:
@@ -57,7 +57,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.length(t)
     trimmed = F.nullif(F.trim(t, F.lit(BLANKS)), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
-    df = docs.select(packed(names).alias("row"), F.coalesce(F.split(trimmed, r"[\x20\x09-\x0D]+"), F.array().cast("array<string>")).alias("__w"), lines.alias("__l"), n.alias("__n"), without(BLANKS).alias("__c"), without(SYMBOLS).alias("__s"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("__u"), without("!?").alias("__m"))
+    df = docs.select(*keep, F.coalesce(F.split(trimmed, r"[\x20\x09-\x0D]+"), F.array().cast("array<string>")).alias("__w"), lines.alias("__l"), n.alias("__n"), without(BLANKS).alias("__c"), without(SYMBOLS).alias("__s"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("__u"), without("!?").alias("__m"))
     df = df.select("*", F.expr("IF(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))").cast("array<bigint>").alias("__h"), F.expr("length(bin(size(__w)))").alias("__b"))
     # Hash and place in one number: sorting brings equal windows together.
     df = df.select("*", F.expr("sort_array(transform(__h, (h, i) -> shiftleft(h, __b) | cast(i as bigint)))").alias("__p"))
@@ -66,7 +66,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.expr("aggregate(transform(__r, (p, k) -> IF(k + 1 < size(__r), least(3, __r[k + 1] - p), 3)), 0L, (a, x) -> a + x)")
     # Through a generator, so that a filter on the counts isn't pushed below them
     # and evaluated inside their own loops.
-    return df.select("row", F.inline(F.array(F.struct(
+    return df.select(*keep, F.inline(F.array(F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.col("__c").cast("long").alias("word_chars"),
         (F.col("__n") - F.col("__s")).cast("long").alias("n_symbols"),
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.col("__n") - F.col("__m")).cast("long").alias("n_marks"),
         F.size("__l").cast("long").alias("n_lines"),
         F.col("__n").cast("long").alias("n_chars_all"),
-    )))).select(*unpacked(names), *BASE, *EXTRA)
+    ))))
 
 
 def base_failed() -> Column:
@@ -226,5 +226,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if rules is None:
         rules = learn(docs, labels, id_col, text_col)
     keep = [c for c in docs.columns if c not in (*BASE, *EXTRA, "base_failed", "kept")]
-    counted = statistics(docs.select(packed(keep).alias("row"), col(text_col).alias("text")))
-    return counted.select(*unpacked(keep), *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    # The text goes once, beside the caller's other columns.
+    counted = statistics(docs.select(packed(c for c in keep if c != text_col).alias("row"), col(text_col).alias("text")))
+    return counted.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in keep), *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
