@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import col, id_key, packed, table, unpacked, written
+from lodestone.llm.common import col, id_key, packed, table, written
 from lodestone.llm.decontamination import decontaminate
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.packing import pack
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged by its text; repeated rows are each judged; of several labels of an id
     the lowest counts; other columns, whatever their names, come back unchanged.
     """
-    judged = quality_rules(docs.select("doc_id", "text", packed(docs.columns).alias("row")), table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*unpacked(docs.columns))
+    others = packed(c for c in docs.columns if c != "text").alias("row")
+    return _back(quality_rules(docs.select("doc_id", "text", others), table(spark, sf_dir, "labels")).where("kept"), docs)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
