@@ -117,18 +117,22 @@ def window(tokens_: Column, at: Column, radius: int) -> Column:
     return F.slice(tokens_, lo + 1, at + radius + 1 - lo)
 
 
-def contains_sequence(tokens_: Column, sequence: list[str]) -> Column:
-    n = len(sequence)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens_) - n + 1, F.lit(1)))
-    want = F.array(*map(F.lit, sequence))
-    return F.exists(starts, lambda i: F.slice(tokens_, i, n) == want)
+def array(x: Column | list) -> Column:
+    """A literal list as a column; a column is left as it is."""
+    return x if isinstance(x, Column) else F.array(*map(F.lit, x))
 
 
-def ordered_subsequence(tokens_: Column, sequence: list[str], gap: int = 2) -> Column:
+def contains_sequence(tokens_: Column, sequence: Column | list[str]) -> Column:
+    want = array(sequence)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens_) - F.size(want) + 1, F.lit(1)))
+    return F.exists(starts, lambda i: F.slice(tokens_, i, F.size(want)) == want)
+
+
+def ordered_subsequence(tokens_: Column, sequence: Column | list[str], gap: int = 2) -> Column:
     """The sequence occurs in order with at most `gap` tokens between neighbours. The first
     place of each word counts until a gap is too wide; then the search starts anew."""
-    want = F.array(*map(F.lit, sequence))
-    n = len(sequence)
+    want = array(sequence)
+    n = F.size(want)
     start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("last"), F.lit(0).alias("i"))
 
     def step(a: Column, t: Column) -> Column:
@@ -136,7 +140,7 @@ def ordered_subsequence(tokens_: Column, sequence: list[str], gap: int = 2) -> C
         wide = (a["k"] > 0) & (i - a["last"] - 1 > gap)
         hit = (a["k"] < n) & (t == F.get(want, a["k"]))
         again = hit & wide
-        k = F.when(~hit, a["k"]).when(again, F.when(t == sequence[0], 1).otherwise(0)).otherwise(a["k"] + 1)
+        k = F.when(~hit, a["k"]).when(again, F.when(t == F.get(want, F.lit(0)), 1).otherwise(0)).otherwise(a["k"] + 1)
         return F.struct(k.cast("int").alias("k"), F.when(hit, i).otherwise(a["last"]).cast("int").alias("last"), i.cast("int").alias("i"))
 
     return F.aggregate(tokens_, start, step, lambda a: a["k"] == n)

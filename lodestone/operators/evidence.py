@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,35 +54,33 @@ def strength(lexical_: Column, semantic: Column, combined_: Column) -> Column:
     return 0.70 * lexical_ + 0.20 * semantic + 0.10 * combined_
 
 
+#: What states a comparison before a number, in the order in which it is looked for.
+COMPARISONS = (("gte", ("at least", "minimum", "no fewer than")), ("gt", ("more than", "over")), ("lte", ("at most", "maximum", "up to", "no more than")), ("lt", ("less than", "under")))
+
+
 def operator_before(tokens: Column, at: Column) -> Column:
-    """Comparison that up to four tokens before a number state (substring tests, in this order)."""
+    """Comparison that up to four tokens before a number state (substring tests, in order)."""
     lo = F.greatest(at - 4, F.lit(0))
     s = F.array_join(F.slice(tokens, lo + 1, at - lo), " ")
+    out = F
+    for name, marks in COMPARISONS:
+        out = out.when(reduce(or_, (F.instr(s, m) > 0 for m in marks)), name)
+    return out.otherwise("eq")
 
-    def any_of(*marks: str) -> Column:
-        out = F.lit(False)
-        for m in marks:
-            out = out | (F.instr(s, m) > 0)
-        return out
 
+def satisfies(operator: Column | str, value: Column | float, found: Column, stated: Column) -> Column:
+    """The number found, with its own comparison, satisfies the wanted one."""
+    wanted = operator if isinstance(operator, Column) else F.lit(operator)
+    below, above = ~stated.isin("lt", "lte"), ~stated.isin("gt", "gte")
     return (
-        F.when(any_of("at least", "minimum", "no fewer than"), "gte")
-        .when(any_of("more than", "over"), "gt")
-        .when(any_of("at most", "maximum", "up to", "no more than"), "lte")
-        .when(any_of("less than", "under"), "lt")
-        .otherwise("eq")
+        F.when(wanted == "eq", (stated == "eq") & (found == value))
+        .when(wanted == "gte", below & (found >= value))
+        .when(wanted == "gt", below & (found > value))
+        .when(wanted == "lte", above & (found <= value))
+        .when(wanted == "lt", above & (found < value))
     )
 
 
-def satisfies(operator: str, value: float, found: Column, stated: Column) -> Column:
-    """The number found, with its own comparison, satisfies the wanted one."""
-    if operator == "eq":
-        return (stated == "eq") & (found == value)
-    against = {"gte": ("lt", "lte"), "gt": ("lt", "lte"), "lte": ("gt", "gte"), "lt": ("gt", "gte")}[operator]
-    compare = {"gte": found >= value, "gt": found > value, "lte": found <= value, "lt": found < value}[operator]
-    return ~stated.isin(*against) & compare
-
-
 def _any(tokens: Column, words: list[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
 
@@ -106,50 +107,48 @@ def is_experience(tokens: Column, at: Column) -> Column:
     return F.coalesce(unit.isin(*T.DURATION_UNITS), F.lit(False)) & _any(T.window(tokens, at, 4), ["experience", "experienced", "career"])
 
 
-def in_context(tokens: Column, at: Column, wanted: list[str]) -> Column:
-    if not wanted:
-        return F.lit(True)
+def in_context(tokens: Column, at: Column, wanted: Column | list[str]) -> Column:
+    """At least half of the wanted terms stand around. wanted: terms, or a column of their families."""
+    if not isinstance(wanted, Column):
+        if not wanted:
+            return F.lit(True)
+        wanted = F.array(*(T.array(family(w)) for w in wanted))
     near = F.transform(T.window(tokens, at, 8), T.canonical)
-    return 2 * sum((F.when(matched(near, w), 1).otherwise(0) for w in wanted), F.lit(0)) >= len(wanted)
+    return 2 * F.size(F.filter(wanted, lambda w: F.arrays_overlap(near, w))) >= F.size(wanted)
 
 
-def numeric(clauses: Column, value: float, operator: str = "eq", relation: str = "generic", context: list[str] = ()) -> Column:
+def numeric(clauses: Column, value: Column | float, operator: Column | str = "eq", relation: Column | str = "generic", context: Column | list[str] = ()) -> Column:
     """1 where a number in one clause satisfies comparison and relation; for
     generic numbers 0.1 where only the number does; else 0."""
+    kind = relation if isinstance(relation, Column) else F.lit(relation)
+    tests = {"team_size": is_team_size, "experience_duration": is_experience, "generic": lambda c, i: in_context(c, i, context)}
+    if not isinstance(relation, Column):
+        tests = {relation: tests.get(relation, tests["generic"])}
 
     def test(clause: Column, related: bool) -> Column:
         places = F.sequence(F.lit(0), F.size(clause) - 1)
 
         def at(i: Column) -> Column:
             ok = F.coalesce(satisfies(operator, value, T.number(F.get(clause, i)), operator_before(clause, i)), F.lit(False))
-            if not related:
-                return ok
-            if relation == "team_size":
-                return ok & is_team_size(clause, i)
-            if relation == "experience_duration":
-                return ok & is_experience(clause, i)
-            return ok & in_context(clause, i, context)
+            return ok & reduce(or_, ((kind == name) & f(clause, i) for name, f in tests.items())) if related else ok
 
         return F.exists(places, at)
 
     proven = F.exists(clauses, lambda c: test(c, True))
-    if relation != "generic":
-        return F.when(proven, 1.0).otherwise(0.0)
-    return F.when(proven, 1.0).when(F.exists(clauses, lambda c: test(c, False)), 0.1).otherwise(0.0)
+    return F.when(proven, 1.0).when((kind == "generic") & F.exists(clauses, lambda c: test(c, False)), 0.1).otherwise(0.0)
 
 
-def language_relation(clauses: Column, language: str, proficiency: str) -> Column:
-    """Both terms within three tokens of one clause; not the native of cloud-native."""
+def language_relation(clauses: Column, language: Column | str, proficiency: Column | str, canonical: bool = False) -> Column:
+    """Both terms within three tokens of one clause; not the native of cloud-native. canonical: of the clauses' tokens."""
 
     def test(clause: Column) -> Column:
-        plain = F.transform(clause, T.canonical)
+        plain = clause if canonical else F.transform(clause, T.canonical)
         places = F.sequence(F.lit(0), F.size(plain) - 1)
 
         def at(i: Column) -> Column:
-            ok = (F.get(plain, i) == proficiency) & F.array_contains(T.window(plain, i, 3), language)
-            if proficiency == "native":
-                ok = ok & (F.coalesce(F.get(plain, i - 1), F.lit("")) != "cloud")
-            return ok
+            level = F.get(plain, i)
+            cloud = (level == "native") & (F.coalesce(F.get(plain, i - 1), F.lit("")) == "cloud")
+            return (level == proficiency) & F.array_contains(T.window(plain, i, 3), language) & ~cloud
 
         return F.exists(places, at)
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Headings that a document's head may have.
+HEADER_HEADINGS = ["professional profile", "professional summary", "profile", "summary", "professional experience", "work experience", "employment history", "skills", "languages", "education", "certifications", "projects", "selected projects"]
+
+
 def fingerprint(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
@@ -81,12 +85,12 @@ def repeated_candidates(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("candidate_id").isNotNull()).groupBy(F.lower("candidate_id").alias("candidate_key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def detected(lines: Column, heading: Column | None = None) -> Column:
+def detected(lines: Column, headings: list[str] = HEADER_HEADINGS) -> Column:
     """Name and title (struct) of a document's first lines: the first that reads as a name, and the
-    first behind it without digits, @, an id or a middle dot."""
-    name = F.get(F.filter(lines, lambda x: is_name(x)), 0)
+    first behind it without digits, @, an id or a middle dot; headings are neither."""
+    name = F.get(F.filter(lines, lambda x: is_name(x, headings)), 0)
     behind = F.slice(lines, F.array_position(lines, name).cast("int") + 1, F.size(lines))
-    title = F.get(F.filter(behind, lambda x: ~x.rlike(r"[0-9@·]") & ~F.contains(F.lower(x), F.lit("candidate_"))), 0)
+    title = F.get(F.filter(behind, lambda x: ~x.rlike(r"[0-9@·]") & ~F.contains(F.lower(x), F.lit("candidate_")) & ~F.lower(x).isin(*headings)), 0)
     return F.struct(name.alias("candidate_name"), title.alias("professional_title"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,13 +24,14 @@ def nearest(index: DataFrame, query: list[float], k: int, metric: str = "cosine"
 
 
 def _packed(rows: DataFrame, id_col: str, vector: str, names: tuple[str, str]) -> DataFrame:
-    """Vectors of an Arrow batch as one row: their ids and their numbers one after another."""
+    """Vectors of an Arrow batch as one row: their ids, in order, and their numbers one after another."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
                 part = b.slice(i, BLOCK)
+                part = part.take(pc.sort_indices(part.column(0)))
                 flat = part.column(1).flatten().cast(pa.float64())
                 both = (pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays(list(both), list(names))
@@ -60,11 +62,13 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, metric: str = "co
                     d = 1 - dot
                 else:
                     d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * dot
-                near = np.round(d, 12)
-                order = np.argsort(np.argsort(np.asarray(ids.to_pylist(), object if kind == "string" else None), kind="stable"), kind="stable")
-                top = np.lexsort((np.broadcast_to(order, near.shape), near))[:, :k]
-                at = np.arange(len(q)).repeat(top.shape[1])
-                flat = top.reshape(-1)
+                near = np.nan_to_num(np.round(d, 12), nan=np.inf)
+                last = min(k, near.shape[1]) - 1
+                at, flat = np.nonzero(near <= np.partition(near, last, axis=1)[:, last : last + 1])  # ties of the last stay, in order of ids
+                order = np.lexsort((flat, near[at, flat], at))
+                at, flat = at[order], flat[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, flat = at[place < k], flat[place < k]
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), ids.take(pa.array(flat)), pa.array(d[at, flat])], ["question_id", id_col, "distance"])
 
     met = _packed(index, id_col, "embedding", ("ids", "x")).crossJoin(_packed(queries, "question_id", "query", ("qids", "q")))

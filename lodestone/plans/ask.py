@@ -53,7 +53,7 @@ def _degree(tokens: Column, aliases: tuple[str, ...], fields: tuple[str, ...]) -
         rest = F.slice(tokens, begin, F.greatest(F.size(tokens) - begin + 1, F.lit(0)))
         ends = F.filter(F.transform(rest, lambda t, i: F.when(t.isin(*DEGREE_MARKS), i)), lambda i: i.isNotNull())
         segment = F.transform(F.slice(rest, 1, F.coalesce(F.get(ends, 0), F.size(rest))), T.role_token)
-        every = [F.exists(segment, _begins(f)) for f in fields]
+        every = [F.exists(segment, _begins(role_token(f))) for f in fields]
         return F.coalesce(begin.isNotNull() & reduce(lambda x, y: x & y, every), F.lit(False))
 
     return reduce(lambda x, y: x | y, map(after, aliases))

@@ -263,7 +263,7 @@ def assisted_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHTS = [2.0, 1.5, 1.0, 1.0]
-_MATCHED = f"""{_MERGED}, t AS (SELECT m.*, c.*, 0.7 + 0.2 * semantic + 0.1 * combined AS strength FROM m, (VALUES {', '.join(f"('{t}', CAST({w} AS DOUBLE))" for t, w in zip(TERMS, _WEIGHTS, strict=True))}) c(condition, weight)
+_MATCHED = f"""{_MERGED}, t AS (SELECT m.*, c.*, 0.7 * lexical + 0.2 * semantic + 0.1 * combined AS strength FROM m, (VALUES {', '.join(f"('{t}', CAST({w} AS DOUBLE))" for t, w in zip(TERMS, _WEIGHTS, strict=True))}) c(condition, weight)
 WHERE list_contains({O.canonical_terms('text')}, condition)),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, condition ORDER BY strength DESC, combined DESC, semantic DESC, rank) AS k FROM t) WHERE k = 1)"""
 
@@ -271,8 +271,8 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, condition
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hits = _merged(spark, sf_dir)
     conditions = F.array(*(F.struct(F.lit(t).alias("condition"), F.lit(w).alias("weight")) for t, w in zip(TERMS, _WEIGHTS, strict=True)))
-    each = hits.withColumn("terms", T.canonical_terms(F.col("text"))).select("candidate_id", "chunk_id", "combined", "semantic", "rank", "terms", F.inline(conditions))
-    strength = F.when(F.array_contains("terms", F.col("condition")), E.strength(F.lit(1.0), F.col("semantic"), F.col("combined"))).otherwise(0.0)
+    each = hits.withColumn("terms", T.canonical_terms(F.col("text"))).select("candidate_id", "chunk_id", "lexical", "combined", "semantic", "rank", "terms", F.inline(conditions))
+    strength = F.when(F.array_contains("terms", F.col("condition")), E.strength(F.col("lexical"), F.col("semantic"), F.col("combined"))).otherwise(0.0)
     return hits, ranking.best_matches(each.withColumn("strength", strength).drop("terms"))
 
 

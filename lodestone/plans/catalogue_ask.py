@@ -1,4 +1,4 @@
-"""The question path over a small literal index, from question to ranked candidates, with SQL."""
+"""Questions over profiles that are derived from the given tables, with SQL: single ones and a table of them."""
 
 from __future__ import annotations
 
@@ -6,117 +6,224 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking
+from lodestone.operators.evidence import family
 from lodestone.plans import oracle_text as O
+from lodestone.plans import question_table as QT
 from lodestone.plans.ask import assisted, ask, matches
 from lodestone.plans.catalogue import query
 from lodestone.plans.questions import analyze, conditions
+from lodestone.sources.shared import written
+
+FIRST, LAST = "Ada Alan Grace Kurt Emmy Carl Maria Paul Rosa Hugo".split(), "Lovelace Turing Hopper Goedel Noether Gauss Curie Erdos Peters Steiner Keller Meyer Weber".split()
+RANKS, ROLES, VERBS = ["Junior", "Senior", "Principal"], ["Engineer", "Developer", "Designer", "Analyst"], ["Managed", "Led", "Supervised"]
+TONGUES, LEVELS, DEGREES = ["German", "French", "Spanish", "Italian", "Dutch"], ["native", "professional", "intermediate"], ["MSc", "BSc"]
+FIELDS, TOOLS = ["computer science", "fine arts", "mathematics", "civil engineering", "marine biology", "applied physics"], ["cloud", "accessibility audits", "kafka", "spark pipelines", "testing", "networks", "databases"]
+SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+
+
+def _pick(of: str, names: list[str]) -> str:
+    return f"CASE {of} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+def _text(number: str) -> str:
+    return f"CAST({number} AS STRING)"
+
+
+_SECTIONS = {
+    "identity": "concat(name, ' ', title)",
+    "experience": f"concat({_pick('key', VERBS)}, ' a team of ', {_text('n')}, ' engineers in ', segment, '. Delivered ', {_text('nation')}, ' projects in ', {_text('nation % 9 + 1')}, ' years of experience')",
+    "languages": "concat(tongue, ' (', level, '), English (fluent)')",
+    "education": "concat(degree, ' in ', field)",
+    "skills": f"concat(segment, ', ', {_pick('key', TOOLS)})",
+}
+#: Both engines read this: five sections of each customer's profile, and what they state.
+PROFILES = f"""(SELECT c_custkey AS key, c_nationkey AS nation, c_custkey % 17 + 1 AS n, lower(c_mktsegment) AS segment,
+concat({_pick('c_custkey', FIRST)}, ' ', {_pick('c_custkey', LAST)}) AS name, concat({_pick('c_custkey', RANKS)}, ' ', lower(c_mktsegment), ' ', {_pick('c_custkey', ROLES)}) AS title,
+{_pick('c_nationkey', TONGUES)} AS tongue, {_pick('c_custkey', LEVELS)} AS level, {_pick('c_custkey', DEGREES)} AS degree, {_pick('c_nationkey', FIELDS)} AS field,
+{_pick('c_custkey', ROLES)} AS role FROM customer) AS p"""
+SECTIONS = " UNION ALL ".join(f"SELECT concat('k', {_text('key')}, '-{s}') AS chunk, concat('k', {_text('key')}) AS candidate, name, title, '{s}' AS section, {t} AS text, (key * 7 + {13 * i}) % 97 AS hundredths, n, segment, tongue, level, degree, field, role FROM {PROFILES}" for i, (s, t) in enumerate(_SECTIONS.items()))
+WHO = {
+    "roles": "Which machinery candidates have accessibility experience?",
+    "numbers": "Who managed at least 8 engineers and is native in German?",
+    "names": "Compare Ada Lovelace and Alan Curie for a machinery designer role",
+    "degree": "Who has an MSc in computer science?",
+}
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of customers as an index of chunks."""
+    rows = spark.sql(SECTIONS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    x = F.col("hundredths") / 100
+    return rows.select(
+        F.col("chunk").alias("chunk_id"), F.col("candidate").alias("candidate_id"), F.col("name").alias("candidate_name"), F.col("title").alias("professional_title"),
+        F.col("section").alias("section_name"), "text", F.array(x, F.sqrt(1 - x * x)).alias("embedding"),
+    )
+
+
+def _list(x: list) -> str:
+    return "[" + ", ".join(_list(i) if isinstance(i, list) else f"'{i}'" for i in x) + "]"
+
+
+def _facts(text: str) -> tuple[str, str]:
+    """What a question's score counts: families of its terms, and its phrases."""
+    q = analyze(text)
+    units = [family(t) for t in q.terms if not any(t in r for r in q.languages)]
+    return f"CAST({_list(units)} AS VARCHAR[][])", f"CAST({_list(list(q.phrases))} AS VARCHAR[])"
+
+
+_RELATION = "(section = 'languages' AND lower(tongue) = asked_tongue AND level = asked_level)"
+_TEAM = "(section = 'experience' AND n >= asked_n)"
+_FIELD = "(section = 'education' AND degree = asked_degree AND field = asked_field)"
+_ROLE = "(segment = asked_segment AND (role = asked_role OR (role IN ('Engineer', 'Developer') AND asked_role IN ('Engineer', 'Developer'))))"
+
+
+def _sql(questions: str, wanted: str) -> str:
+    """questions: qid, hundredths of the question's vector, units, phrases and asked_ columns; wanted: the typed join (c.*, condition, weight, strength or null)."""
+    return f"""WITH q AS ({questions}), k AS ({SECTIONS.replace('STRING', 'VARCHAR')}),
+c AS (SELECT *, CAST(hundredths AS DOUBLE) / 100 AS x, {O.tokens('text')} AS tokens, {O.canonical_terms('text')} AS terms FROM k),
+s AS (SELECT c.*, q.* EXCLUDE (hundredths), x * CAST(q.hundredths AS DOUBLE) / 100 + sqrt(1 - x * x) * sqrt(1 - (CAST(q.hundredths AS DOUBLE) / 100) * (CAST(q.hundredths AS DOUBLE) / 100)) AS cosine FROM c, q),
+l AS (SELECT *, CASE WHEN coalesce({_TEAM}, false) THEN 1.0 ELSE 0.0 END AS numeric_, CASE WHEN len(units) + asked_relations = 0 THEN 0.0 ELSE (coalesce(list_sum([CASE WHEN list_has_any(terms, u) THEN 1.0 ELSE 0.0 END FOR u IN units]), 0.0) + CASE WHEN coalesce({_RELATION}, false) THEN 1.0 ELSE 0.0 END) / (len(units) + asked_relations) END
+  + 0.15 * coalesce(list_sum([CASE WHEN contains(array_to_string(tokens, ' '), p) THEN 1.0 ELSE 0.0 END FOR p IN phrases]), 0.0) / greatest(1, len(phrases)) AS lexical_ FROM s),
+m AS (SELECT * EXCLUDE (lexical_), least(1.0, lexical_) AS lexical, greatest(0.0, least(1.0, cosine)) AS near FROM l),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(1 - cosine, 12), chunk) AS raw_rank FROM m QUALIFY raw_rank <= 50),
+a AS (SELECT *, CASE WHEN asked_n IS NULL THEN 0.3 * lexical ELSE 0.2 * lexical + 0.4 * numeric_ END AS alone FROM m WHERE CASE WHEN asked_n IS NULL THEN lexical > 0 ELSE numeric_ > 0 END),
+x AS (SELECT a.* FROM a ANTI JOIN h USING (qid, chunk) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY numeric_ DESC, lexical DESC, alone DESC, chunk DESC) <= 50),
+u AS (SELECT * EXCLUDE (raw_rank, near), near AS semantic, CASE WHEN asked_n IS NULL THEN 0.7 * near + 0.3 * lexical ELSE 0.4 * near + 0.2 * lexical + 0.4 * numeric_ END AS combined, raw_rank FROM h
+  UNION ALL SELECT * EXCLUDE (near, alone), 0.0 AS semantic, alone AS combined, NULL AS raw_rank FROM x),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, numeric_ DESC, lexical DESC, semantic DESC, coalesce(raw_rank, 10000), chunk DESC) AS rank, least(1.0, 0.7 * lexical + 0.2 * semantic + 0.1 * combined) AS whole FROM u),
+e AS ({wanted}),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY qid, candidate, condition ORDER BY strength DESC, combined DESC, semantic DESC, rank) = 1),
+t AS (SELECT qid, sum(weight) AS total, count(*) AS n_conditions FROM w GROUP BY qid),
+g AS (SELECT qid, candidate, max(semantic) AS support, min(rank) AS best FROM p GROUP BY qid, candidate),
+o AS (SELECT qid, candidate, sum(weight) AS got, sum(weight * strength) AS good, count(*) AS n_matched FROM b GROUP BY qid, candidate),
+v AS (SELECT g.*, coalesce(got, 0) / total AS coverage, coalesce(good, 0) / total AS quality, coalesce(n_matched, 0) AS n_matched, n_conditions FROM g JOIN t USING (qid) LEFT JOIN o USING (qid, candidate)),
+z AS (SELECT *, 0.55 * coverage + 0.30 * quality + 0.15 * support AS score FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coverage DESC, quality DESC, support DESC, best, candidate) AS place FROM z QUALIFY place <= 15),
+f AS (SELECT *, n_matched = n_conditions AND score >= 0.45 AS full_, n_matched >= 1 AND coverage >= 0.65 AND score >= 0.30 AS part_ FROM r),
+y AS (SELECT *, bool_or(full_) OVER (PARTITION BY qid) AS any_ FROM f),
+j AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS final_rank FROM y WHERE full_ OR (part_ AND NOT any_))"""
+
 
-#: chunk, candidate, name, title, section, text, cosine to the question in hundredths.
-CHUNKS = [
-    ("c01", "k1", "Ada Lovelace", "Junior Frontend Engineer", "professional_summary", "Junior frontend engineer who builds accessible components.", 70),
-    ("c02", "k1", "Ada Lovelace", "Junior Frontend Engineer", "languages", "German (native), English (fluent)", 20),
-    ("c03", "k2", "Alan Turing", "Senior Designer", "experience", "Designer of accessible flows together with frontend developers on handoff.", 80),
-    ("c04", "k2", "Alan Turing", "Senior Designer", "experience", "Data engineering in the cloud. Managed a team of 9 engineers.", 55),
-    ("c05", "k3", "Grace Hopper", "Cloud Data Developer", "skills", "Cloud, data, accessibility audits", 60),
-    ("c06", "k3", "Grace Hopper", "Cloud Data Developer", "experience", "Supervised 12 employees. Speaks German natively", 35),
-    ("c07", "k4", "Kurt Goedel", None, "identity", "Kurt Goedel data platform engineer, cloud", 65),
-    ("c08", "k4", "Kurt Goedel", None, "experience", "Managed 6 engineers and delivered 8 projects; German clients, cloud-native stack", 50),
-    ("c09", "k5", "Emmy Noether", "Frontend Developer", "education", "MSc in computer science, BSc in mathematics", 40),
-    ("c10", "k5", "Emmy Noether", "Frontend Developer", "experience", "Led eleven developers on the web accessibility team; native German", 45),
-    ("c11", "k2", "Alan Turing", "Senior Designer", "education", "BSc in computer science. MSc in fine arts", 30),
-    ("c12", "k4", "Kurt Goedel", None, "projects", "MSc in computer science", 25),
-]
-ROLES = "Which frontend candidates have accessibility experience?"
-NUMBERS = "Who managed at least 8 engineers and is native in German?"
-NAMES = "Compare Ada Lovelace and Alan Turing for a cloud data engineering role"
-DEGREE = "Who has an MSc in computer science?"
-
-
-def chunks(spark: SparkSession) -> DataFrame:
-    rows = [(*r[:6], [r[6] / 100, (1 - (r[6] / 100) ** 2) ** 0.5]) for r in CHUNKS]
-    return spark.createDataFrame(rows, "chunk_id string, candidate_id string, candidate_name string, professional_title string, section_name string, text string, embedding array<double>")
-
-
-def _lit(x: object) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-_ROLE = "list_filter([CASE WHEN t IN ('developer', 'development', 'engineering') THEN 'engineer' ELSE t END FOR t IN {terms}], lambda t: t <> '')"
-_TITLE = _ROLE.format(terms=O.canonical_terms("coalesce(title, '')"))
-_HEAD = f"list_slice({_ROLE.format(terms=O.canonical_terms('text'))}, 1, CASE section WHEN 'identity' THEN 18 WHEN 'professional_summary' THEN 20 WHEN 'experience' THEN 5 ELSE 0 END)"
-_OWN = "section IN ('identity', 'professional_summary', 'projects', 'skills', 'skills_and_languages')"
-
-
-def _has(term: str) -> str:
-    return f"list_contains(terms, '{term}')"
-
-
-def _term(term: str) -> str:
-    """The term itself first, or another form of it where candidates describe themselves."""
-    return f"(coalesce(tokens[list_position(terms, '{term}')] = '{term}', false) OR ({_has(term)} AND {_OWN}))"
-
-
-def _said(*words: str) -> str:
-    """A role in the title or at the section's begin, at most two words between its words."""
-    gap = "(?: [^ ]+){0,2} "
-    return " OR ".join(f"regexp_matches(' ' || array_to_string({x}, ' ') || ' ', ' {gap.join(words)} ')" for x in (_TITLE, _HEAD))
-
-
-def _sql(terms: list[str], units: list[str], phrases: list[str], wanted: list[tuple[str, float, str]], numeric: str | None = None) -> str:
-    """Scores of every chunk, the best chunk per candidate and condition, and the candidates by score.
-
-    terms and units: what a chunk's lexical score counts; wanted: key, weight and test.
-    """
-    rows = ", ".join(f"({', '.join(map(_lit, r))})" for r in CHUNKS)
-    count = " + ".join(f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END" for x in [*map(_has, terms), *units])
-    found = " + ".join(f"CASE WHEN contains(array_to_string(tokens, ' '), '{p}') THEN 1.0 ELSE 0.0 END" for p in phrases) or "0.0"
-    lexical = f"least(1.0, ({count}) / {len(terms) + len(units)} + 0.15 * ({found}) / {max(1, len(phrases))})"
-    combined = f"0.4 * semantic + 0.2 * lexical + 0.4 * ({numeric})" if numeric else "0.7 * semantic + 0.3 * lexical"
-    strength = "least(1.0, 0.7 * lexical + 0.2 * semantic + 0.1 * combined)"
-    each = " UNION ALL ".join(f"SELECT candidate, '{k}' AS condition, CAST({w} AS DOUBLE) AS weight, chunk, {'1.0' if k.startswith('identity') else f'({numeric})' if k.startswith('numeric') else strength} AS strength, combined, semantic, rank FROM h WHERE {t}" for k, w, t in wanted)
-    whole = sum(w for _, w, _ in wanted)
-    return f"""WITH r AS (SELECT * FROM (VALUES {rows}) c(chunk, candidate, name, title, section, text, hundredths)),
-t AS (SELECT *, CAST(hundredths AS DOUBLE) / 100 AS semantic, {O.tokens('text')} AS tokens, {O.canonical_terms('text')} AS terms FROM r),
-l AS (SELECT *, {lexical} AS lexical FROM t), c AS (SELECT *, {combined} AS combined FROM l),
-h AS (SELECT *, row_number() OVER (ORDER BY combined DESC, {f'({numeric}) DESC, ' if numeric else ''}lexical DESC, semantic DESC) AS rank FROM c), e AS ({each}),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, condition ORDER BY strength DESC, combined DESC, semantic DESC, rank) AS n FROM e) WHERE n = 1),
-g AS (SELECT candidate, max(semantic) AS support, min(rank) AS best FROM h GROUP BY candidate),
-w AS (SELECT candidate, sum(weight) / {whole} AS coverage, sum(weight * strength) / {whole} AS quality, count(*) AS n_matched FROM b GROUP BY candidate),
-s AS (SELECT g.candidate, coalesce(coverage, 0) AS coverage, coalesce(quality, 0) AS quality, coalesce(n_matched, 0) AS n_matched, support, best FROM g LEFT JOIN w USING (candidate)),
-z AS (SELECT *, 0.55 * coverage + 0.30 * quality + 0.15 * support AS score FROM s),
-f AS (SELECT *, n_matched = {len(wanted)} AND score >= 0.45 AS full_, n_matched >= 1 AND coverage >= 0.65 AND score >= 0.30 AS part_ FROM z), a AS (SELECT *, bool_or(full_) OVER () AS any_ FROM f)"""
-
-
-_SELECT = "SELECT candidate AS candidate_id, CAST(row_number() OVER (ORDER BY score DESC, coverage DESC, quality DESC, support DESC, best, candidate) AS INTEGER) AS final_rank, round(score, 6) AS score, round(coverage, 6) AS coverage, CASE WHEN any_ THEN 'supported' ELSE 'partial' END AS outcome FROM a WHERE full_ OR (part_ AND NOT any_)"
 _BEST = "SELECT candidate AS candidate_id, condition, chunk AS chunk_id, round(strength, 6) AS strength FROM b"
-_LED = r"regexp_matches(text, '(?:Managed a team of 9|Supervised 12|Led eleven) (?:engineers|employees|developers)')"
-_NATIVE = r"regexp_matches(text, '(?:German \(?native|native German|German natively)')"
+_ANSWER = "candidate AS candidate_id, CAST(final_rank AS INTEGER) AS final_rank, round(score, 6) AS score, round(coverage, 6) AS coverage, CASE WHEN any_ THEN 'supported' ELSE 'partial' END AS outcome FROM j WHERE final_rank <= 5"
+_NOTHING = {"asked_n": "NULL", "asked_tongue": "NULL", "asked_level": "NULL", "asked_relations": "0", "asked_degree": "NULL", "asked_field": "NULL", "asked_segment": "NULL", "asked_role": "NULL"}
+
+
+def _one(text: str, **asked: str) -> str:
+    units, phrases = _facts(text)
+    return f"SELECT 0 AS qid, 100 AS hundredths, {units} AS units, {phrases} AS phrases, " + ", ".join(f"CAST({v} AS {'BIGINT' if k in ('asked_n', 'asked_relations') else 'VARCHAR'}) AS {k}" for k, v in (_NOTHING | asked).items())
+
+
+def _wanted(*each: tuple[str, float, str, str]) -> str:
+    """(condition, weight, test, strength); the conditions of a question are w."""
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS condition, CAST({w} AS DOUBLE) AS weight, {s} AS strength FROM p WHERE {t}" for k, w, t, s in each)
+
+
+def _single(text: str, each: list[tuple[str, float, str, str]], **asked: str) -> str:
+    w = ", ".join(f"(0, '{k}', CAST({w} AS DOUBLE))" for k, w, _, _ in each)
+    return _sql(_one(text, **asked), _wanted(*each)).replace("WITH q AS", f"WITH w AS (SELECT * FROM (VALUES {w}) w(qid, condition, weight)), q AS", 1)
+
+
 _PLANS = {
-    ROLES: _sql(["frontend", "accessibility"], [], ["frontend accessibility"], [("role:frontend", 1.25, _said("frontend")), ("term:accessibility", 1.0, _term("accessibility"))]),
-    NUMBERS: _sql([], [f"{_LED} OR regexp_matches(text, 'Managed|Supervised|Led')", "regexp_matches(text, '(?i)engineer|developer')", _NATIVE], ["manage engineer", "engineer native", "native german", "manage engineer native", "engineer native german"], [("relation:language_proficiency:german+native", 1.5, _NATIVE), ("numeric:0:team_size:gte:8", 2.0, _LED)], f"CASE WHEN {_LED} THEN 1.0 ELSE 0.0 END"),
-    NAMES: _sql(["ada", "lovelace", "alan", "turing", "cloud", "data", "engineering"], [], ["ada lovelace", "lovelace alan", "alan turing", "turing cloud", "cloud data", "data engineering", "ada lovelace alan", "lovelace alan turing", "alan turing cloud", "turing cloud data", "cloud data engineering"], [("identity:explicit-candidate", 2.0, "name IN ('Ada Lovelace', 'Alan Turing')"), ("phrase:data engineering", 1.25, _said("data", "engineer")), ("term:cloud", 1.0, _term("cloud"))]),
-    DEGREE: _sql(["msc", "computer", "science", "master"], [], ["msc computer", "computer science", "science master", "msc computer science", "computer science master"], [("education:master_science:computer+science", 1.75, "section IN ('education', 'skills', 'skills_and_languages') AND contains(text, 'MSc in computer science')")]),
+    "roles": _single(WHO["roles"], [("role:machinery", 1.25, "segment = 'machinery'", "whole"), ("term:accessibility", 1.0, "list_contains(terms, 'accessibility')", "whole")]),
+    "numbers": _single(WHO["numbers"], [("relation:language_proficiency:german+native", 1.5, _RELATION, "whole"), ("numeric:0:team_size:gte:8", 2.0, _TEAM, "numeric_")], asked_n="8", asked_tongue="'german'", asked_level="'native'", asked_relations="1"),
+    "names": _single(WHO["names"], [("identity:explicit-candidate", 2.0, "name IN ('Ada Lovelace', 'Alan Curie')", "1.0"), ("phrase:machinery designer", 1.25, _ROLE, "whole")], asked_segment="'machinery'", asked_role="'Designer'"),
+    "degree": _single(WHO["degree"], [("education:master_science:computer+science", 1.75, _FIELD, "whole")], asked_degree="'MSc'", asked_field="'computer science'"),
 }
 
 
-def _register(name: str, question: str) -> None:
+def _register(name: str) -> None:
     def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        best = ask(chunks(spark), question, [1.0, 0.0])
+        best = ask(chunks(spark, sf_dir), WHO[name], [1.0, 0.0])
         return best.select("candidate_id", "final_rank", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "outcome")
 
     def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = analyze(question)
-        hits = assisted(chunks(spark), q, [1.0, 0.0])
-        best = matches(hits, conditions(q, [r[2] for r in CHUNKS]))
+        q = analyze(WHO[name])
+        hits = written(assisted(chunks(spark, sf_dir), q, [1.0, 0.0]), "hits")
+        best = matches(hits, conditions(q, [f"{a} {b}" for a in FIRST for b in LAST]))
         return best.select("candidate_id", "condition", "chunk_id", F.round("strength", 6).alias("strength"))
 
     candidates.__name__, evidence.__name__ = f"ask_{name}", f"ask_{name}_evidence"
-    query(f"{_PLANS[question]} {_SELECT}")(candidates)
-    query(f"{_PLANS[question]} {_BEST}")(evidence)
+    query(f"{_PLANS[name]} SELECT {_ANSWER}")(candidates)
+    query(f"{_PLANS[name]} {_BEST}")(evidence)
+
+
+for _name in WHO:
+    _register(_name)
+
+# --- a table of questions ---------------------------------------------------------------
+
+#: Of each nation: what it asks, as text and as what the text means.
+KINDS = {
+    "relation": "Who is {level} in {tongue}?",
+    "team": "Who managed at least {n} engineers?",
+    "term": "Which candidates have {segment} experience?",
+    "degree": "Who has a {degree} in {field}?",
+    "role": "Who is a {segment} {role}?",
+    "both": "Who managed at least {n} engineers and is {level} in {tongue}?",
+}
+
+
+def _asked(nation: int) -> dict:
+    return {"level": LEVELS[nation % 3], "tongue": TONGUES[nation % 5], "n": nation % 17 + 1, "segment": SEGMENTS[nation % 5], "degree": DEGREES[nation % 2], "field": FIELDS[nation % 6], "role": ROLES[nation % 4]}
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six questions for each nation."""
+    part = {"level": LEVELS, "tongue": TONGUES, "segment": SEGMENTS, "degree": DEGREES, "field": FIELDS, "role": ROLES}
+    picks = {k: F.expr(_pick("n_nationkey", v)) for k, v in part.items()} | {"n": (F.col("n_nationkey") % 17 + 1).cast("string")}
+
+    def said(form: str) -> F.Column:
+        pieces = form.replace("{", "\x00{").replace("}", "\x00").split("\x00")
+        return F.concat(*(picks[p[1:]] if p[:1] == "{" else F.lit(p) for p in pieces if p))
+
+    each = F.array(*(F.struct(F.lit(i).alias("i"), said(f).alias("text")) for i, f in enumerate(KINDS.values())))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.inline(each))
+    x = (F.col("n_nationkey") * 4 % 97) / 100
+    return rows.select((F.col("n_nationkey") * len(KINDS) + F.col("i")).cast("long").alias("question_id"), "text", F.array(x, F.sqrt(1 - x * x)).alias("query"))
+
+
+def _table() -> str:
+    rows = []
+    for nation in range(25):
+        a = _asked(nation)
+        for i, (kind, form) in enumerate(KINDS.items()):
+            units, phrases = _facts(form.format(**a))
+            relation = kind in ("relation", "both")
+            asked = _NOTHING | {"asked_n": a["n"] if kind in ("team", "both") else "NULL"}
+            asked |= {"asked_tongue": f"'{a['tongue'].lower()}'", "asked_level": f"'{a['level']}'", "asked_relations": "1"} if relation else {}
+            asked |= {"asked_degree": f"'{a['degree']}'", "asked_field": f"'{a['field']}'"} if kind == "degree" else {}
+            asked |= {"asked_segment": f"'{a['segment']}'"} if kind in ("term", "role") else {}
+            asked |= {"asked_role": f"'{a['role']}'"} if kind == "role" else {}
+            rows.append(f"({nation}, {nation * len(KINDS) + i}, {units}, {phrases}, {', '.join(f'CAST({v} AS {"BIGINT" if k in ("asked_n", "asked_relations") else "VARCHAR"})' for k, v in asked.items())})")
+    return f"SELECT v.qid, CAST(n_nationkey * 4 % 97 AS BIGINT) AS hundredths, units, phrases, {', '.join(_NOTHING)} FROM nation JOIN (VALUES {', '.join(rows)}) v(nation, qid, units, phrases, {', '.join(_NOTHING)}) ON nation = n_nationkey"
+
+
+_TYPED = " UNION ALL ".join(
+    f"SELECT p.*, w.condition, w.weight, {s} AS strength FROM p JOIN w USING (qid) WHERE w.condition = '{k}' AND {t}"
+    for k, t, s in (("relation", _RELATION, "whole"), ("numeric", _TEAM, "numeric_"), ("education", _FIELD, "whole"), ("role", _ROLE, "whole"), ("term", "list_contains(terms, asked_segment) AND (list_contains(tokens, asked_segment) OR section IN ('identity', 'skills'))", "whole"))
+)
+_CONDITIONS = """SELECT qid, 'relation' AS condition, 1.5 AS weight FROM q WHERE asked_relations = 1 UNION ALL SELECT qid, 'numeric', 2.0 FROM q WHERE asked_n IS NOT NULL UNION ALL
+SELECT qid, 'education', 1.75 FROM q WHERE asked_degree IS NOT NULL UNION ALL SELECT qid, 'role', 1.25 FROM q WHERE asked_role IS NOT NULL UNION ALL SELECT qid, 'term', 1.0 FROM q WHERE asked_segment IS NOT NULL AND asked_role IS NULL"""
+TABLE = _sql(_table(), _TYPED).replace("), k AS (", f"), w AS ({_CONDITIONS}), k AS (", 1)
+
+
+@query(f"{TABLE} SELECT CAST(qid AS BIGINT) AS question_id, {_ANSWER}")
+def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 questions at once."""
+    best = QT.ask_all(chunks(spark, sf_dir), questions(spark, sf_dir))
+    return best.select("question_id", "candidate_id", "final_rank", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "outcome")
+
+
+@query(f"{TABLE} SELECT CAST(qid AS BIGINT) AS question_id, candidate AS candidate_id, condition AS kind, chunk AS chunk_id, round(strength, 6) AS strength FROM b")
+def question_table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hit of each question, candidate and condition."""
+    best = QT.evidence(chunks(spark, sf_dir), questions(spark, sf_dir))[2]
+    kind = F.when(F.col("kind") == "phrase", "role").otherwise(F.col("kind"))
+    return best.select("question_id", "candidate_id", kind.alias("kind"), "chunk_id", F.round("strength", 6).alias("strength"))
 
 
-for _name, _question in (("roles", ROLES), ("numbers", NUMBERS), ("names", NAMES), ("degree", DEGREE)):
-    _register(_name, _question)
+# --- identity ------------------------------------------------------------------------------
 
 
 @query("""SELECT source AS candidate_id, count(DISTINCT lang) AS n_names, count(DISTINCT CASE WHEN doc_id % 5 = 0 THEN source END) AS n_titles FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1""")

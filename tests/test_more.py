@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from lodestone.operators import answers, evaluation, ingest, quality, ranking
 from lodestone.plans import questions as Q
 from lodestone.plans.ask import Limits, ask, condition_strength, features
-from lodestone.plans.catalogue_ask import chunks as literal_chunks
 from lodestone.sources import files
 from lodestone.sources.store import ChunkIndex
 from lodestone.streaming import ingest as stream
+from tests.literal_chunks import chunks as literal_chunks
 
 
 def keys(text, names=()):
