@@ -32,7 +32,7 @@ from lodestone.llm import kernels as K
 from lodestone.llm.tokens import default_path, encoder
 
 FRAME = 1 << 16
-AT_ONCE = 13 << 20
+AT_ONCE = 7 << 20
 PART_BYTES = 32 << 20
 TEXT_AT_ONCE = 4 << 20
 #: Spark samples keys for each part on the driver, so their number has a bound; beyond it parts grow.
