@@ -309,7 +309,20 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.within_budget(_merged(spark, sf_dir), [F.col("rank")]).select(F.col("chunk_id").alias("doc_id"), "place", F.col("used_chars").cast("long").alias("used_chars"))
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {_MATCHED[len("WITH "):]},
+gk AS (SELECT m.source, m.doc_id, combined, semantic, rank, coalesce(keys, []) AS keys, coalesce(weights, []) AS weights FROM m LEFT JOIN
+  (SELECT source, doc_id, list(condition ORDER BY condition) AS keys, list(weight ORDER BY condition) AS weights FROM b GROUP BY source, doc_id) USING (source, doc_id)),
+gr AS (SELECT source, 0 AS step, CAST([] AS BIGINT[]) AS chosen, list(DISTINCT condition) AS open_ FROM b GROUP BY source
+  UNION ALL SELECT source, step + 1, list_append(chosen, doc_id), list_filter(open_, lambda x: NOT list_contains(keys, x)) FROM
+  (SELECT r.*, k.doc_id, k.keys, row_number() OVER (PARTITION BY r.source ORDER BY coalesce(list_sum([CASE WHEN list_contains(open_, keys[i]) THEN weights[i] ELSE 0.0 END FOR i IN range(1, len(keys) + 1)]), 0.0) DESC, combined DESC, semantic DESC, rank) AS n
+   FROM gr r JOIN gk k ON r.source = k.source AND NOT list_contains(chosen, k.doc_id) WHERE step < 4) WHERE n = 1 AND list_has_any(keys, open_)),
+gw AS (SELECT source, chosen, step FROM gr QUALIFY row_number() OVER (PARTITION BY source ORDER BY step DESC) = 1),
+gc AS (SELECT source, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS n FROM gw),
+gf AS (SELECT k.source, k.doc_id, coalesce(step, 0) + row_number() OVER (PARTITION BY k.source ORDER BY combined DESC, semantic DESC, rank) AS n FROM gk k ANTI JOIN gc USING (source, doc_id) LEFT JOIN gw w ON w.source = k.source)
+SELECT x.source AS candidate_id, x.doc_id AS chunk_id, CAST(n AS BIGINT) AS evidence_order, array_to_string(keys, ',') AS condition_keys FROM (SELECT * FROM gc UNION ALL SELECT * FROM gf WHERE n <= 4) x JOIN gk USING (source, doc_id)"""
+
+
+@query(_GREEDY)
 def evidence_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, best = _matches(spark, sf_dir)
     per = best.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("condition").alias("key"), "weight", F.lit("term").alias("kind"))).alias("conditions"))
