@@ -195,8 +195,10 @@ def _table() -> str:
             asked |= {"asked_degree": f"'{a['degree']}'", "asked_field": f"'{a['field']}'"} if kind == "degree" else {}
             asked |= {"asked_segment": f"'{a['segment']}'"} if kind in ("term", "role") else {}
             asked |= {"asked_role": f"'{a['role']}'"} if kind == "role" else {}
-            rows.append(f"({nation}, {nation * len(KINDS) + i}, {units}, {phrases}, {', '.join(f'CAST({v} AS {"BIGINT" if k in ("asked_n", "asked_relations") else "VARCHAR"})' for k, v in asked.items())})")
-    return f"SELECT v.qid, CAST(n_nationkey * 4 % 97 AS BIGINT) AS hundredths, units, phrases, {', '.join(_NOTHING)} FROM nation JOIN (VALUES {', '.join(rows)}) v(nation, qid, units, phrases, {', '.join(_NOTHING)}) ON nation = n_nationkey"
+            labels = f"CAST({_list([c.key for c in conditions(analyze(form.format(**a)))])} AS VARCHAR[])"
+            text = form.format(**a)
+            rows.append(f"({nation}, {nation * len(KINDS) + i}, '{text}', {labels}, {units}, {phrases}, {', '.join(f'CAST({v} AS {"BIGINT" if k in ("asked_n", "asked_relations") else "VARCHAR"})' for k, v in asked.items())})")
+    return f"SELECT v.qid, CAST(n_nationkey * 4 % 97 AS BIGINT) AS hundredths, question, labels, units, phrases, {', '.join(_NOTHING)} FROM nation JOIN (VALUES {', '.join(rows)}) v(nation, qid, question, labels, units, phrases, {', '.join(_NOTHING)}) ON nation = n_nationkey"
 
 
 _TYPED = " UNION ALL ".join(
@@ -223,6 +225,50 @@ def question_table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("question_id", "candidate_id", kind.alias("kind"), "chunk_id", F.round("strength", 6).alias("strength"))
 
 
+# --- contexts of all questions, by recursion in SQL ---------------------------------------
+
+#: How many chunks and characters a context may have here, so that many are cut.
+_BUDGET = {"most_chunks": 7, "most_chars": 1500}
+_LABEL = "list_filter(labels, lambda x: starts_with(x, CASE {c} WHEN 'role' THEN 'phrase' ELSE {c} END))[1]"
+_CONTEXTS = f"""WITH RECURSIVE {TABLE[len("WITH "):]},
+jj AS (SELECT * FROM j WHERE final_rank <= 5),
+kb AS (SELECT qid, candidate, chunk, list({_LABEL.format(c='condition')} ORDER BY condition) AS keys, list(weight ORDER BY condition) AS weights FROM b GROUP BY qid, candidate, chunk),
+gk AS (SELECT p.qid, p.candidate, p.chunk, p.section, p.text, p.combined, p.semantic, p.rank, coalesce(keys, []) AS keys, coalesce(weights, []) AS weights FROM p JOIN jj USING (qid, candidate) LEFT JOIN kb USING (qid, candidate, chunk)),
+gr AS (SELECT qid, candidate, 0 AS step, CAST([] AS VARCHAR[]) AS chosen, list_distinct(flatten(list(keys))) AS open_ FROM gk GROUP BY qid, candidate
+  UNION ALL SELECT qid, candidate, step + 1, list_append(chosen, chunk), list_filter(open_, lambda x: NOT list_contains(keys, x)) FROM
+  (SELECT r.*, k.chunk, k.keys, row_number() OVER (PARTITION BY r.qid, r.candidate ORDER BY coalesce(list_sum([CASE WHEN list_contains(open_, keys[i]) THEN weights[i] ELSE 0.0 END FOR i IN range(1, len(keys) + 1)]), 0.0) DESC, combined DESC, semantic DESC, rank) AS n
+   FROM gr r JOIN gk k ON r.qid = k.qid AND r.candidate = k.candidate AND NOT list_contains(chosen, k.chunk) WHERE step < 4) WHERE n = 1 AND list_has_any(keys, open_)),
+gw AS (SELECT qid, candidate, chosen, step FROM gr QUALIFY row_number() OVER (PARTITION BY qid, candidate ORDER BY step DESC) = 1),
+gc AS (SELECT qid, candidate, unnest(chosen) AS chunk, generate_subscripts(chosen, 1) AS n FROM gw),
+kt AS (SELECT qid, candidate FROM gk GROUP BY qid, candidate HAVING bool_or(len(list_filter(keys, lambda x: starts_with(x, 'term:'))) > 0)),
+gf AS (SELECT k.qid, k.candidate, k.chunk, step + row_number() OVER (PARTITION BY k.qid, k.candidate ORDER BY combined DESC, semantic DESC, rank) AS n FROM gk k ANTI JOIN gc USING (qid, candidate, chunk) SEMI JOIN kt USING (qid, candidate) JOIN gw ON gw.qid = k.qid AND gw.candidate = k.candidate),
+ge AS (SELECT qid, candidate, chunk, n FROM gc UNION ALL SELECT * FROM gf WHERE n <= 4),
+rows_ AS (SELECT jj.qid, jj.final_rank, k.chunk, row_number() OVER (PARTITION BY jj.qid, jj.candidate ORDER BY len(k.keys) = 0, n) AS i, row_number() OVER (PARTITION BY jj.qid ORDER BY jj.final_rank, len(k.keys) = 0, n) AS pos,
+  concat('CANDIDATE ', jj.final_rank, ': ', c0.name, ' | ', c0.title, ' | ', jj.candidate, chr(10), 'SUPPORT: ', CASE WHEN any_ THEN 'complete' ELSE 'partial' END, ' | candidate_score=0.0000 | coverage=0.0000', chr(10), 'MATCHED REQUIREMENTS: ', array_to_string(list_filter(q.labels, lambda x: list_contains(lb.labels_, x)), '; ')) AS header,
+  concat('page  | ', k.section, ' | ', k.chunk, chr(10), 'SUPPORTS: ', CASE WHEN len(k.keys) = 0 THEN 'support-only' ELSE array_to_string(list_sort(k.keys), ', ') END, chr(10), 'EVIDENCE: ') AS source, k.text
+  FROM ge JOIN jj USING (qid, candidate) JOIN gk k ON k.qid = jj.qid AND k.candidate = jj.candidate AND k.chunk = ge.chunk JOIN q ON q.qid = jj.qid JOIN (SELECT DISTINCT candidate, name, title FROM k) c0 ON c0.candidate = jj.candidate
+  JOIN (SELECT qid, candidate, list({_LABEL.format(c='condition')}) AS labels_ FROM b GROUP BY qid, candidate) lb ON lb.qid = jj.qid AND lb.candidate = jj.candidate),
+go AS (SELECT q.qid, question, coalesce(max(CASE WHEN any_ THEN 'supported' ELSE 'partial' END), 'unsupported') AS outcome, count(jj.qid) AS n_found FROM q LEFT JOIN jj ON jj.qid = q.qid GROUP BY q.qid, question),
+says AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ranking.SAYS.items())}) y(outcome, says)),
+fold AS (SELECT qid, CAST(0 AS BIGINT) AS pos, length(concat('QUESTION: ', question, chr(10), 'RETRIEVAL OUTCOME: ', outcome, chr(10), 'QUALITY BOUNDARY: ', says)) AS base, CAST(0 AS BIGINT) AS cur, 0 AS got, CAST([] AS VARCHAR[]) AS ids, 0 AS n_cand, false AS full_, false AS stop_, false AS short_ FROM go JOIN says USING (outcome)
+  UNION ALL SELECT qid, pos, base_, CASE WHEN put THEN cur_ + 1 + head + least(length(text), room) ELSE cur_ END, got_ + CASE WHEN put THEN 1 ELSE 0 END, CASE WHEN put THEN list_append(ids, chunk) ELSE ids END,
+    n_cand + CASE WHEN put AND got_ = 0 THEN 1 ELSE 0 END, inner_ OR tight, stopped, short_ OR stopped OR (tight AND NOT inner_)
+  FROM (SELECT *, NOT stopped AND NOT inner_ AND NOT tight AS put FROM (SELECT *, NOT stopped AND NOT inner_ AND (len(ids) >= {_BUDGET['most_chunks']} OR room < 40) AS tight FROM (SELECT *, least(900, {_BUDGET['most_chars']} - base_ - 2 - cur_ - 1 - head) AS room FROM (
+    SELECT f.qid, r.pos, r.chunk, r.text, f.ids, f.n_cand, f.short_, CASE WHEN r.i = 1 AND r.pos > 1 THEN f.base + 2 + f.cur ELSE f.base END AS base_, CASE WHEN r.i = 1 THEN length(r.header) ELSE f.cur END AS cur_, CASE WHEN r.i = 1 THEN 0 ELSE f.got END AS got_, CASE WHEN r.i = 1 THEN false ELSE f.full_ END AS inner_,
+      length(concat('SOURCE ', CASE WHEN r.i = 1 THEN 0 ELSE f.got END + 1, ': ', r.source)) AS head,
+      f.stop_ OR (r.i = 1 AND ((r.pos > 1 AND f.got = 0) OR len(f.ids) >= {_BUDGET['most_chunks']} OR {_BUDGET['most_chars']} - CASE WHEN r.pos > 1 THEN f.base + 2 + f.cur ELSE f.base END <= length(r.header) + 80)) AS stopped
+    FROM fold f JOIN rows_ r ON r.qid = f.qid AND r.pos = f.pos + 1))))),
+ends AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1)
+SELECT CAST(go.qid AS BIGINT) AS question_id, CASE WHEN n_cand > 0 THEN outcome ELSE 'unsupported' END AS outcome, array_to_string(ids, ',') AS chunk_ids, CAST(n_cand AS INTEGER) AS n_candidates, short_ OR n_cand < n_found AS budget_exhausted FROM ends JOIN go USING (qid)"""
+
+
+@query(_CONTEXTS)
+def question_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of all questions, under a small budget."""
+    rows = QT.answers(chunks(spark, sf_dir), questions(spark, sf_dir), **_BUDGET)
+    return rows.select("question_id", "outcome", F.array_join("chunk_ids", ",").alias("chunk_ids"), "n_candidates", "budget_exhausted")
+
+
 # --- identity ------------------------------------------------------------------------------
 
 
