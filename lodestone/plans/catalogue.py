@@ -8,6 +8,7 @@ sections; what the tables lack comes as literal rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from lodestone.operators import answers, chunking, evaluation, ingest, profile_c
 from lodestone.operators import evidence as E
 from lodestone.plans import oracle_text as O
 from lodestone.sources.shared import shared_dir, written
+from lodestone.sources.vector_layout import VectorLayout
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -71,8 +73,20 @@ def _topk(metric: str) -> None:
     query(f"{_SCORED.format(d=_DISTANCE[metric])} SELECT vec_id, CAST(row_number() OVER (ORDER BY d, vec_id) AS INTEGER) AS rank, round(d, 6) AS distance FROM s ORDER BY d, vec_id LIMIT 50")(run)
 
 
+def _topk_laid(metric: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same rows from a layout by centroid, of which only the cells that can hold them are read."""
+        at = f"{shared_dir(spark)}/vector-layout-{uuid4().hex[:12]}"
+        layout = VectorLayout.build(_t(spark, sf_dir, "embeddings"), at, metric, id_col="vec_id")
+        return layout.nearest(_first_vector(spark, sf_dir), 50).select("vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+    run.__name__ = f"vector_topk_layout_{metric}"
+    query(f"{_SCORED.format(d=_DISTANCE[metric])} SELECT vec_id, CAST(row_number() OVER (ORDER BY d, vec_id) AS INTEGER) AS rank, round(d, 6) AS distance FROM s ORDER BY d, vec_id LIMIT 50")(run)
+
+
 for _metric in ("cosine", "l2", "ip"):
     _topk(_metric)
+    _topk_laid(_metric)
 
 
 @query(f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
