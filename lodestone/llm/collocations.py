@@ -49,6 +49,8 @@ BLOCK, FAN = 1 << 13, 16
 BLOCKS = "block int, fan int, counts binary"
 #: Buckets of the prefilter, by powers of two: so many that pairs by chance fill a quarter, at least and at most.
 LEAST_BITS, MOST_BITS = 16, 26
+#: Parts of the keys in which candidates are sent, by powers of two.
+PART_BITS = 8
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, K.Words, np.ndarray, np.ndarray]]:
@@ -199,29 +201,64 @@ def _blocks(counts: np.ndarray, fan: int) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(runs: DataFrame, least: int, bits: int) -> DataFrame:
-    """The different pairs of neighbouring numbers whose bucket is full enough."""
+    """The different pairs of neighbouring numbers whose bucket is full enough; tasks send them in
+    arrays by part of the keys, and a part is freed of repeats as a whole."""
     full = runs.sparkSession.sparkContext.broadcast(_hot(runs, least, bits))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = P.top(keys) >> (P.SHARD_BITS - PART_BITS)
+        order = np.argsort(part, kind="stable")
+        keys, part = keys[order], part[order]
+        cut = np.flatnonzero(np.diff(part)) + 1
+        for x, n in zip(np.split(keys, cut), part[np.append(0, cut)] if len(part) else (), strict=True):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([n], pa.int32()), "keys": pa.array([x.tobytes()], pa.binary())})
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Distinct()
         for k in _pair_keys(batches):
             k = np.unique(k[k > 0])
             at = _bucket(k, bits)
-            held.append(k[(full.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)])
-            size += len(held[-1])
-            if size > 1 << 22:
-                held = [np.unique(np.concatenate(held))]
-                if len(held[0]) > 1 << 21:
-                    yield from out(held.pop())
-                size = sum(map(len, held))
-        if held:
-            yield from out(np.unique(np.concatenate(held)))
+            seen.add(k[(full.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)])
+            if seen.size > 1 << 22:
+                yield from sent(seen.take())
+        if seen.size:
+            yield from sent(seen.take())
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, at = _Distinct(), None
+        for b in batches:
+            for part, keys in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if part != at:
+                    yield from out(seen.take())
+                    at = part
+                seen.add(np.frombuffer(keys.as_buffer(), "<u8"))
+        yield from out(seen.take())
 
     def out(k: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(k), 1 << 18):
             yield pa.RecordBatch.from_pydict({"key": k[i : i + (1 << 18)].view(np.int64), "top": P.top(k[i : i + (1 << 18)])})
 
-    return runs.mapInArrow(task, "key long, top int").distinct()
+    return runs.mapInArrow(mapper, "part int, keys binary").repartition("part").sortWithinPartitions("part").mapInArrow(distinct, "key long, top int")
+
+
+class _Distinct:
+    """Different keys of several arrays, put together now and then."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size, self.fold = 0, 1 << 20
+
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
+        self.size += len(keys)
+        if self.size > self.fold:
+            keys = self.take()
+            self.held, self.size, self.fold = [keys], len(keys), max(1 << 20, 2 * len(keys))
+
+    def take(self) -> np.ndarray:
+        out = np.unique(np.concatenate(self.held)) if self.held else np.empty(0, K.U64)
+        self.held, self.size = [], 0
+        return out
 
 
 def _summed(batches: Iterator[pa.RecordBatch], kind: str = "<i8", most: int | None = None) -> Iterator[pa.RecordBatch]:
