@@ -40,6 +40,32 @@ def largest_remainder(rows: DataFrame, key: str, order: str, weight: Column, tot
     return df.withColumn("__left", left).withColumn("__n", nth).withColumn("allocated", (F.col("__floor") + F.when(F.col("__n") <= F.col("__left"), 1).otherwise(0)).cast("long")).drop("__share", "__floor", "__left", "__n")
 
 
+def with_floors(rows: DataFrame, key: str, order: str, weight: Column, total: Column, least: Column) -> DataFrame:
+    """Like `largest_remainder`, but no row gets less than `least` (whole numbers): those that would are
+    fixed at it and the rest is shared out again among the others, until none falls below.
+
+    In order of weight per floor the fixed rows come first, so one pass of running sums finds them:
+    a row is fixed if its share of what is left behind all before it is too small and they are fixed too.
+    allocated is null where the floors need more than there is. at_least: fixed at its floor.
+    """
+    ahead = W.partitionBy(key).orderBy(F.expr("__w / __m").asc_nulls_last(), order)
+    before, behind = ahead.rowsBetween(W.unboundedPreceding, -1), ahead.rowsBetween(0, W.unboundedFollowing)
+    whole = W.partitionBy(key)
+    df = rows.withColumns({"__w": weight.cast("double"), "__m": least.cast("long"), "__t": total.cast("long")})
+    rest = F.col("__t") - F.coalesce(F.sum("__m").over(before), F.lit(0))
+    small = (rest * F.col("__w") < F.col("__m") * F.sum("__w").over(behind)) | (F.sum("__w").over(behind) <= 0)
+    df = df.withColumn("__s", small).withColumn("at_least", F.min("__s").over(ahead.rowsBetween(W.unboundedPreceding, 0)))
+    free = F.when(~F.col("at_least"), F.col("__w")).otherwise(0.0)
+    left = F.col("__t") - F.sum(F.when(F.col("at_least"), F.col("__m")).otherwise(0)).over(whole)
+    share = F.when(F.col("at_least"), F.col("__m")).otherwise(left * F.col("__w") / F.sum(free).over(whole))
+    df = df.withColumn("__share", share.cast("double")).withColumn("__left", left).withColumn("__floor", F.floor("__share"))
+    over = F.col("__left") - F.sum(F.when(~F.col("at_least"), F.col("__floor")).otherwise(0)).over(whole)
+    nth = F.row_number().over(W.partitionBy(key, "at_least").orderBy(F.desc(F.round(F.col("__share") - F.col("__floor"), 9)), order))
+    df = df.withColumns({"__over": over, "__n": nth, "__need": F.sum("__m").over(whole)})
+    got = F.col("__floor") + F.when(~F.col("at_least") & (F.col("__n") <= F.col("__over")), 1).otherwise(0)
+    return df.withColumn("allocated", F.when(F.col("__need") <= F.col("__t"), got).cast("long")).drop("__w", "__m", "__t", "__s", "__share", "__left", "__floor", "__over", "__n", "__need")
+
+
 def missing_and_unexpected(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Keys on one side only."""
     e = expected.select(key).distinct().withColumn("e", F.lit(1))

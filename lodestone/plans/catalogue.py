@@ -463,10 +463,34 @@ def uniqueness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repeats_earlier(docs, "doc_id", {"text": F.md5(T.squeeze(F.col("text")).cast("binary")), "first_line": F.md5(T.squeeze(F.get(F.split("text", "\n"), 0)).cast("binary"))})
 
 
-@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id, 1 AS e FROM documents WHERE doc_id % 2 = 0) FULL JOIN (SELECT DISTINCT doc_id, 1 AS a FROM labels) USING (doc_id) WHERE e IS NULL OR a IS NULL""")
+#: Of each region's units, how many there are for each of its nations on average, and each one's least.
+_UNITS, _LEAST = 9, 4
+_FLOORS = f"""WITH RECURSIVE n AS (SELECT n_regionkey AS r, n_nationkey AS k, CAST(count(c_custkey) AS DOUBLE) AS w FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+t AS (SELECT r, {_UNITS} * count(*) AS total, list({{'k': k, 'w': w}} ORDER BY k) AS rows_ FROM n GROUP BY r),
+f AS (SELECT r, total, rows_, CAST([] AS BIGINT[]) AS fixed, 0 AS step FROM t
+  UNION ALL SELECT r, total, rows_, list_concat(fixed, low), step + 1 FROM (SELECT *, CAST([x.k FOR x IN rows_ IF NOT list_contains(fixed, x.k) AND (total - {_LEAST} * len(fixed)) * x.w < {_LEAST} * list_sum([y.w FOR y IN rows_ IF NOT list_contains(fixed, y.k)])] AS BIGINT[]) AS low FROM f) WHERE len(low) > 0),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY step DESC) = 1),
+s AS (SELECT n.*, list_contains(fixed, k) AS low, total - {_LEAST} * len(fixed) AS rest FROM n JOIN l USING (r)),
+x AS (SELECT *, CASE WHEN low THEN {_LEAST} ELSE rest * w / sum(CASE WHEN low THEN 0 ELSE w END) OVER (PARTITION BY r) END AS share FROM s),
+y AS (SELECT *, floor(share) AS base, row_number() OVER (PARTITION BY r, low ORDER BY round(share - floor(share), 9) DESC, k) AS nth FROM x),
+z AS (SELECT *, rest - sum(CASE WHEN low THEN 0 ELSE base END) OVER (PARTITION BY r) AS left_ FROM y)
+SELECT CAST(r AS INTEGER) AS n_regionkey, CAST(k AS INTEGER) AS n_nationkey, CAST(base + CASE WHEN NOT low AND nth <= left_ THEN 1 ELSE 0 END AS BIGINT) AS allocated, low AS at_least FROM z"""
+
+
+@query(_FLOORS)
+def allocation_with_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each region shared out by the customers of its nations, none of which gets less than its floor."""
+    c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("w"))
+    n = _t(spark, sf_dir, "nation").join(c, "n_nationkey", "left").withColumn("w", F.coalesce("w", F.lit(0)).cast("double"))
+    total = _UNITS * F.count("*").over(W.partitionBy("n_regionkey"))
+    out = quality.with_floors(n.withColumn("total", total), "n_regionkey", "n_nationkey", F.col("w"), F.col("total"), F.lit(_LEAST))
+    return out.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), F.col("n_nationkey").cast("int").alias("n_nationkey"), "allocated", "at_least")
+
+
+@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id, 1 AS e FROM labels) FULL JOIN (SELECT DISTINCT vec_id AS doc_id, 1 AS a FROM embeddings) USING (doc_id) WHERE e IS NULL OR a IS NULL""")
 def missing_unexpected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels expected for even ids."""
-    return quality.missing_and_unexpected(_t(spark, sf_dir, "documents").where("doc_id % 2 = 0"), _t(spark, sf_dir, "labels"), "doc_id")
+    """Labelled documents without a vector, and vectors without a label."""
+    return quality.missing_and_unexpected(_t(spark, sf_dir, "labels"), _t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
 
 
 @query("""SELECT s_suppkey, unnest(list_filter([CASE WHEN NOT s_acctbal BETWEEN 0 AND 9000 THEN 'balance' END, CASE WHEN NOT regexp_full_match(s_name, 'Supplier#0*[1-9]\\d?') THEN 'name' END], lambda x: x IS NOT NULL)) AS problem FROM supplier""")
@@ -571,14 +595,14 @@ def forbidden_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_checks.phrase_hits(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["of the", "version 2"])
 
 
-@query("""WITH n AS (SELECT n_regionkey AS scenario_id, source AS candidate_id, unnest(['the', 'zzyzx']) AS evidence FROM nation, (SELECT DISTINCT source FROM documents) WHERE n_nationkey % 5 = 0 AND 'src' || CAST(n_nationkey AS VARCHAR) = source),
+@query("""WITH n AS (SELECT n_regionkey AS scenario_id, source AS candidate_id, unnest(['the', 'zzyzx']) AS evidence FROM nation, (SELECT DISTINCT source FROM documents) WHERE 'src' || CAST(n_nationkey AS VARCHAR) = source),
 d AS (SELECT source, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN_]+', ' ', 'g'), ' ') AS s FROM documents)
 SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = n.candidate_id AND contains(d.s, n.evidence))""")
 def scenario_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth nation as a scenario that asks a source for two words."""
+    """Every nation as a scenario that asks a source for two words."""
     docs = _t(spark, sf_dir, "documents").select(F.col("source").alias("candidate_id"), "text")
     names = docs.select("candidate_id").distinct()
-    n = _t(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_regionkey").alias("scenario_id"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("candidate_id"))
+    n = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("scenario_id"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("candidate_id"))
     s = n.join(names, "candidate_id", "left_semi").select("scenario_id", F.array("candidate_id").alias("candidates"), F.array(F.lit("the"), F.lit("zzyzx")).alias("required"))
     return profile_checks.scenario_gaps(s, docs)
 
