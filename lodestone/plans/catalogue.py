@@ -401,7 +401,20 @@ def chunk_pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), chunking.chunk_id(F.col("h"), F.col("chunk_index"), F.lit("document"), F.lit("1"), F.col("chunk")).alias("chunk_id"))
 
 
-@query()
+_GAPS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Places of words as running lengths; a window ends at the last word that fits and the next begins with the last words that fit again.
+_WINDOWS = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{_GAPS}'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(text, '{_GAPS}'), lambda w: w <> ''), 1) AS i FROM documents),
+m AS (SELECT doc_id, i, unnest(range(0, CAST(ceil(length(word) / 1200.0) AS BIGINT))) AS j, length(word) AS n FROM l),
+o AS (SELECT doc_id, i, j, sum(least(1200, n - 1200 * j) + 1) OVER (PARTITION BY doc_id ORDER BY i, j) AS upto FROM m),
+c AS (SELECT doc_id, list_prepend(CAST(0 AS BIGINT), list(CAST(upto AS BIGINT) ORDER BY i, j)) AS upto FROM o GROUP BY doc_id),
+r AS (SELECT doc_id, upto, CAST(-1 AS BIGINT) AS window_no, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS next_ FROM c
+  UNION ALL SELECT doc_id, upto, window_no + 1, a_, b_, CASE WHEN b_ = len(upto) - 1 THEN -1 WHEN back = a_ THEN b_ ELSE back END
+  FROM (SELECT *, len(list_filter(upto, lambda x: x < upto[b_ + 1] - 121)) AS far, greatest(a_, len(list_filter(upto, lambda x: x < upto[b_ + 1] - 121))) AS back FROM
+  (SELECT doc_id, upto, window_no, next_ AS a_, greatest(next_ + 1, len(list_filter(upto, lambda x: x <= upto[next_ + 1] + 1201)) - 1) AS b_ FROM r WHERE next_ >= 0)))
+SELECT doc_id, window_no, CAST(upto[b + 1] - upto[a + 1] - 1 AS INTEGER) AS n_chars FROM r WHERE window_no >= 0"""
+
+
+@query(_WINDOWS)
 def word_windows_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.word_windows(_t(spark, sf_dir, "documents"), "doc_id", "text", 1200, 120).select("doc_id", "window_no", F.length("window").alias("n_chars"))
 
