@@ -392,7 +392,20 @@ def chunk_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", chunking.chunk_id(ingest.fingerprint(t), F.lit(0), F.lit("document"), F.lit("1"), t).alias("chunk_id"))
 
 
-@query()
+_UNITS_SQL = r"""list_filter(string_split(regexp_replace(array_to_string([CASE WHEN trim(x, ' ') = '' THEN chr(30) WHEN regexp_matches(x, '^(?:[•▪◦●*-]\s|[^:]{1,40}:\s)') THEN chr(30) || trim(x, ' ') ELSE trim(x, ' ') END FOR x IN string_split(text, chr(10))], ' '), ' ?\x1e ?', chr(30), 'g'), chr(30)), lambda u: u <> '')"""
+_TAIL = r"""trim(CASE WHEN length(cur) <= room OR regexp_matches(left(right(cur, room + 1), 1), '\s') THEN right(cur, room) ELSE regexp_replace(right(cur, room), '^\S*\s*', '') END, ' ')"""
+#: Sentences one after the other: each joins the open chunk or ends it and begins the next behind the last words of the one before.
+_OVERLAP = f"""WITH RECURSIVE u AS (SELECT doc_id, sha256(text) AS h, list_filter(flatten([string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) FOR x IN {_UNITS_SQL}]), lambda x: x <> '') AS u FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, 0 AS i, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS out_ FROM u
+  UNION ALL SELECT doc_id, i, CASE WHEN x IS NULL THEN NULL WHEN cur IS NULL THEN x WHEN fits THEN cur || chr(10) || x WHEN room <= 0 OR tail = '' THEN x ELSE tail || chr(10) || x END, CASE WHEN NOT fits THEN cur END
+  FROM (SELECT *, {_TAIL} AS tail FROM (SELECT r.doc_id, r.i + 1 AS i, r.cur, u.u[r.i + 1] AS x, r.i < len(u.u) AND (r.cur IS NULL OR length(r.cur) + 1 + length(u.u[r.i + 1]) <= 1200) AS fits, greatest(0, least(120, 1200 - length(u.u[r.i + 1]) - 1)) AS room FROM r JOIN u USING (doc_id) WHERE r.i <= len(u.u)))),
+o AS (SELECT doc_id, list(out_ ORDER BY i) AS c FROM r WHERE out_ IS NOT NULL GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN len(c) >= 2 AND length(c[-1]) < 80 AND length(c[-2]) + 1 + length(c[-1]) <= 1200 THEN list_append(c[:len(c) - 2], c[-2] || chr(10) || c[-1]) ELSE c END AS c FROM o),
+k AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS n FROM m)
+SELECT doc_id, CAST(n AS INTEGER) AS chunk_index, CAST(length(chunk) AS INTEGER) AS n_chars, 'chunk_' || substr(sha256(concat_ws(chr(31), h, 'section-v1', CAST(n AS VARCHAR), 'document', '1', sha256(chunk))), 1, 24) AS chunk_id FROM k JOIN u USING (doc_id)"""
+
+
+@query(_OVERLAP)
 def chunk_pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole documents with overlap and the tiny last one merged."""
     u = F.flatten(F.transform(chunking.units(F.split("text", "\n")), lambda x: F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: s != "")))
