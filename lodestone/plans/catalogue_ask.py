@@ -225,6 +225,16 @@ def question_table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("question_id", "candidate_id", kind.alias("kind"), "chunk_id", F.round("strength", 6).alias("strength"))
 
 
+@query(f"""WITH n AS (SELECT DISTINCT name FROM {PROFILES}), q AS (SELECT c_custkey AS question_id, concat('Compare ', {_pick('c_custkey', FIRST)}, ' ', {_pick('c_custkey', LAST)}, 's and ', {_pick('c_custkey * 7', FIRST)}, ' ', {_pick('c_custkey * 3', LAST)}, ' of ', lower(c_mktsegment)) AS text FROM customer)
+SELECT question_id, name FROM q, n WHERE contains(array_to_string({O.tokens('text')}, ' '), lower(name))""")
+def question_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each customer about two people, met with all names."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(F.lit("Compare "), F.expr(_pick("c_custkey", FIRST)), F.lit(" "), F.expr(_pick("c_custkey", LAST)), F.lit("s and "), F.expr(_pick("c_custkey * 7", FIRST)), F.lit(" "), F.expr(_pick("c_custkey * 3", LAST)), F.lit(" of "), F.lower("c_mktsegment"))
+    names = chunks(spark, sf_dir).select(F.col("candidate_name").alias("name"))
+    return QT.named(c.select(F.col("c_custkey").alias("question_id"), text.alias("text")), names)
+
+
 # --- contexts of all questions, by recursion in SQL ---------------------------------------
 
 #: How many chunks and characters a context may have here, so that many are cut.

@@ -94,6 +94,40 @@ def condition_rows(questions: DataFrame, strict: bool = False) -> DataFrame:
     return questions.select("question_id", "text", "names").mapInPandas(lambda b: (x[order] for x in task(b)), f"question_id {kind}, {CONDITION}")
 
 
+def named(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(question_id, name): every name (column name) whose normal form stands in a question's (question_id, text).
+
+    It may begin or end within a word of the question, as a plain search of the text
+    would find it. No question meets all names: the stretches of a question's words, as
+    many as names have, with every end of their first and every beginning of their
+    last word, are joined with the names by equality.
+    """
+    wanted = names.select("name", T.normalized(F.col("name")).alias("normal")).where("normal <> ''").distinct()
+    wanted = wanted.withColumn("n", F.size(F.split("normal", " ")))
+    sizes = sorted(r[0] for r in wanted.select("n").distinct().collect())
+    words = F.col("words")
+    upto = lambda n: F.sequence(F.lit(1), n)
+    ends = lambda w: F.transform(upto(F.length(w)), lambda i: F.right(w, i))
+    begins = lambda w: F.transform(upto(F.length(w)), lambda i: F.left(w, i))
+
+    def stretches(n: int) -> Column:
+        def keys(at: Column) -> Column:
+            first, last = F.get(words, at), F.get(words, at + (n - 1))
+            if n == 1:
+                return F.flatten(F.transform(ends(first), begins))
+            inner = F.slice(words, at + 2, n - 2)
+            return F.flatten(F.transform(ends(first), lambda a: F.transform(begins(last), lambda b: F.array_join(F.concat(F.array(a), inner, F.array(b)), " "))))
+
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, keys))
+
+    if not sizes:
+        return questions.select("question_id").crossJoin(wanted.select("name")).limit(0)
+    asked = questions.select("question_id", T.tokens(F.col("text")).alias("words"))
+    keys = asked.select("question_id", F.explode(F.array_distinct(F.concat(*map(stretches, sizes)))).alias("normal"))
+    return keys.join(wanted.select("name", "normal"), "normal").select("question_id", "name").distinct()
+
+
 def prepared(chunks: DataFrame) -> DataFrame:
     """chunks with tokens, canonical tokens and clauses, once for all questions."""
     return chunks.withColumns({"tokens": T.tokens(F.col("text")), "clauses": T.clauses(F.col("text"))}).withColumns({"plain": F.transform("tokens", T.canonical), "plain_clauses": F.transform("clauses", lambda c: F.transform(c, T.canonical))})

@@ -165,3 +165,14 @@ def test_answers_of_a_table(index, asked):
     best = {r.question_id: r for r in rows}
     assert best[1].outcome == "supported" and "CANDIDATE 1: Emmy Noether" in best[1].context_text and best[1].chunk_ids[0] == "c10"
     assert best[11].outcome == "unsupported" and best[11].context_text.endswith("CANDIDATES: none")
+
+
+def test_names_are_found_as_by_plain_search(spark):
+    from lodestone.plans.questions import normalize
+
+    names = ["Ada Lovelace", "Ada", "Émile Zola", "da Lo", "Jean-Paul van der Berg", "x", "", "Zola", "Lovelace and"]
+    texts = ["Compare Ada Lovelaces and Émile  ZOLA", "jean-paul VAN DER bergs", "nothing", "", None, "Is adaloveland near?", "Adam and Ada, and Zolas"]
+    questions = spark.createDataFrame(list(enumerate(texts)), "question_id long, text string")
+    got = {tuple(r) for r in QT.named(questions, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in names if normalize(n) and normalize(n) in normalize(t or "")}
+    assert QT.named(questions, spark.createDataFrame([("",)], "name string")).count() == 0
