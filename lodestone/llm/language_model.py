@@ -46,6 +46,8 @@ SIDE, CLASS_ROWS, WORD_ROWS, DICTIONARY = 32, 1 << 14, 1 << 15, 1 << 17
 BASE = 1 << 24
 #: Bytes of text of a training task at least (and eight times its weights), and tasks of a round at least.
 SHARE, LEAST = 48 << 20, 4
+#: Training tokens beyond which the model stays as large as it is; its weights then take about 0.37 GB in half precision.
+MOST_TOKENS = 1 << 32
 BATCH = 8192
 END = K.U64(0x5851F42D4C957F2D)
 BEGIN = K.U64(0x14057B7EF767814F)
@@ -77,8 +79,9 @@ class Lookup:
 
 def sizes(tokens: int) -> tuple[int, int, int, int]:
     """Classes (and symbols of each), rows of both tables and words of the dictionary: symbols, rows
-    and words grow as the square root of the training tokens, about as fast as a corpus's types."""
-    grown = max(1.0, tokens / BASE) ** 0.5
+    and words grow as the square root of the training tokens, about as fast as a corpus's types, up to
+    MOST_TOKENS; so what is broadcast has a bound, and beyond it tasks grow in number with the texts."""
+    grown = max(1.0, min(tokens, MOST_TOKENS) / BASE) ** 0.5
     return round(SIDE * grown**0.5), round(CLASS_ROWS * grown), round(WORD_ROWS * grown), round(DICTIONARY * grown)
 
 
