@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -191,40 +193,36 @@ def section_units(pages: DataFrame, doc: str = "document_hash") -> DataFrame:
     return rows.groupBy(doc, "run", "section", "page_number", "unit_no").agg(F.array_join(F.transform(lines_, lambda x: x["value"]), " ").alias("text"))
 
 
-def _packed(units_: list, most: int, least: int, overlap: int) -> list[dict]:
-    """Chunks of one section's units (text, page, lead): as many as fit, the next with the last words of the one before."""
-    done: list[tuple[list[int], str]] = []
-    cur: list[tuple[set[int], str]] = []
-    joined = lambda: "\n".join(t for _, t in cur)
+def _carried(texts: list[str], pages: list[set[int]], room: int) -> tuple[list[str], list[set[int]]]:
+    """The last words that fit in `room`, as one text with the pages of the units that it reaches back to."""
+    words = "\n".join(texts).split()
+    n = bisect_right(list(accumulate(len(w) + 1 for w in reversed(words))), room + 1)
+    if not n:
+        return [], []
+    said = " ".join(words[-n:])
+    starts = [0, *accumulate(map(len, texts))]
+    back = bisect_right(starts, starts[-1] - len(said)) - 1
+    return [said], [set().union(*pages[max(0, back) :])]
 
-    def close() -> None:
-        done.append((sorted(set().union(*(p for p, _ in cur))), joined()))
 
+def _packed(units_: list, most: int, least: int, overlap: int) -> list[dict]:
+    """Chunks of one section's units (text, page, lead): as many as fit, the next with the last words of the one before."""
+    done: list[tuple[set[int], str]] = []
+    texts, pages, size = [], [], -1
     for u in units_:
-        text, page, lead = u["text"], {u["page_number"]}, u["lead"]
-        if cur and len(joined()) + 1 + len(text) > most:
-            close()
-            room, tail = 0 if lead else min(overlap, most - len(text) - 1), []
-            for word in reversed(joined().split()):
-                if sum(map(len, tail)) + len(tail) + len(word) > room:
-                    break
-                tail.append(word)
-            kept: list[tuple[set[int], str]] = []
-            if tail:
-                said, left, pages = " ".join(reversed(tail)), 0, set()
-                for p, t in reversed(cur):  # the pages that these words are from
-                    pages |= p
-                    left += len(t)
-                    if left >= len(said):
-                        break
-                kept = [(pages, said)]
-            cur = kept
-        cur.append((page, text))
-    if cur:
-        close()
+        text = u["text"]
+        if texts and size + 1 + len(text) > most:
+            done.append((set().union(*pages), "\n".join(texts)))
+            texts, pages = _carried(texts, pages, 0 if u["lead"] else min(overlap, most - len(text) - 1))
+            size = len(texts[0]) if texts else -1
+        texts.append(text)
+        pages.append({u["page_number"]})
+        size += 1 + len(text)
+    if texts:
+        done.append((set().union(*pages), "\n".join(texts)))
     if len(done) > 1 and len(done[-1][1]) < least and len(both := f"{done[-2][1]}\n{done[-1][1]}") <= most:
-        done[-2:] = [(sorted({*done[-2][0], *done[-1][0]}), both)]
-    return [{"page_numbers": p, "text": t} for p, t in done]
+        done[-2:] = [(done[-2][0] | done[-1][0], both)]
+    return [{"page_numbers": sorted(p), "text": t} for p, t in done]
 
 
 def chunk_documents(pages: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP, doc: str = "document_hash", version: str = VERSION) -> DataFrame:
