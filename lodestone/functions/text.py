@@ -40,10 +40,11 @@ def accent_map() -> tuple[str, str]:
 
 
 def fold(s: Column) -> Column:
-    """Lower case without accents or combining marks; ß is ss."""
+    """Lower case without accents or combining marks; ß is ss. Plain ASCII has nothing to replace."""
     marked, plain = accent_map()
-    s = F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.translate(s, marked, plain), r"[̀-ͯ]", "")
+    lower = F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
+    whole = F.regexp_replace(F.translate(lower, marked, plain), r"[̀-ͯ]", "")
+    return F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(whole)
 
 
 def tokens(s: Column) -> Column:

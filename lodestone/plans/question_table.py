@@ -130,7 +130,7 @@ def named(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 def prepared(chunks: DataFrame) -> DataFrame:
     """chunks with tokens, canonical tokens and clauses, once for all questions."""
-    return chunks.withColumns({"tokens": T.tokens(F.col("text")), "clauses": T.clauses(F.col("text"))}).withColumns({"plain": F.transform("tokens", T.canonical), "plain_clauses": F.transform("clauses", lambda c: F.transform(c, T.canonical))})
+    return chunks.withColumns({"tokens": T.tokens(F.col("text")), "clauses": T.clauses(F.col("text"))}).withColumns({"normal": F.array_join("tokens", " "), "plain": F.transform("tokens", T.canonical), "plain_clauses": F.transform("clauses", lambda c: F.transform(c, T.canonical))})
 
 
 def _share(items: Column, test) -> Column:
@@ -143,8 +143,7 @@ def scores(q: Column) -> dict[str, Column]:
     units, languages, phrases, numbers = (q[c] for c in ("units", "languages", "phrases", "numbers"))
     n = F.size(units) + F.size(languages)
     got = _share(units, lambda u: F.arrays_overlap(plain, u)) + _share(languages, lambda x: E.language_relation(F.col("plain_clauses"), x["language"], x["level"], True))
-    normal = F.array_join("tokens", " ")
-    said = _share(phrases, lambda p: F.instr(normal, p) > 0) / F.greatest(F.size(phrases), F.lit(1))
+    said = _share(phrases, lambda p: F.instr(F.col("normal"), p) > 0) / F.greatest(F.size(phrases), F.lit(1))
     lexical = F.least(F.lit(1.0), F.when(n > 0, got / n).otherwise(0.0) + 0.15 * said)
     each = F.transform(numbers, lambda x: E.numeric(clauses, x["value"], x["operator"], x["relation"], x["context"]))
     numeric = F.when(F.size(numbers) > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(numbers)).otherwise(0.0)
@@ -197,7 +196,7 @@ def assisted(chunks: DataFrame, facts: DataFrame, k: int = 50, metric: str = "co
     more = extra.withColumns({"raw_rank": F.lit(None).cast("int"), "is_supplemental": F.lit(True)}).join(chunks, "chunk_id")
     pool = met.select(*kept, *rest).unionByName(more.select(*kept, *rest))
     place = F.coalesce("raw_rank", F.lit(10_000))
-    first = W.partitionBy(*ID, "candidate_id", T.normalized(F.col("text"))).orderBy(F.desc("combined"), "is_supplemental", place, F.desc("chunk_id"))
+    first = W.partitionBy(*ID, "candidate_id", "normal").orderBy(F.desc("combined"), "is_supplemental", place, F.desc("chunk_id"))
     order = W.partitionBy(*ID).orderBy(F.desc("combined"), F.desc("contextual"), F.desc("numeric"), F.desc("lexical"), F.desc("semantic"), place, F.desc("chunk_id"))
     return pool.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy").withColumn("rank", F.row_number().over(order))
 
