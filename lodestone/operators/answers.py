@@ -89,3 +89,37 @@ def referenced(answers: DataFrame, *columns: str) -> DataFrame:
     """(question_id, source_id): the different sources that any of the array columns names."""
     every = F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns)))
     return answers.select("question_id", F.explode(every).alias("source_id")).distinct()
+
+
+#: The wording of an answer that no model writes.
+IDENTIFIES = "The indexed CV evidence identifies {names} as {subject} with complete coverage of the supported requirements."
+PARTIAL = "No candidate has complete coverage. The indexed evidence identifies these high-confidence partial matches: {names}."
+NOBODY = "I could not identify any candidate with sufficiently supported evidence for this question in the indexed CV collection."
+
+
+def _said(form: str, **parts: Column) -> Column:
+    pieces = form.replace("{", "\x00{").replace("}", "\x00").split("\x00")
+    return F.concat(*(parts[p[1:]] if p[:1] == "{" else F.lit(p) for p in pieces if p))
+
+
+def templated(questions: DataFrame, found: DataFrame, limitations: dict[str, str]) -> DataFrame:
+    """An answer to every question (question_id) in fixed words, from the candidates found for it.
+
+    found: question_id, final_rank, candidate_id, candidate_name, professional_title,
+    outcome, labels and citations (arrays). Returns question_id, outcome, answer,
+    answer_citations (each once, in order), candidates (array of struct, in order, with an
+    assessment each) and limitations (what an outcome but `supported` says of itself).
+    """
+    level = F.when(F.col("outcome") == "supported", "Complete match").otherwise("Partial match")
+    name = F.coalesce("candidate_name", F.lit("Unknown candidate"))
+    assessed = F.concat(level, F.lit(": the indexed CV evidence supports "), F.array_join("labels", ", "), F.lit("."))
+    one = F.struct("final_rank", "candidate_id", name.alias("candidate_name"), F.coalesce("professional_title", F.lit("Unknown title")).alias("professional_title"), assessed.alias("assessment"), F.col("labels").alias("matched_requirements"), "citations")
+    per = found.groupBy("question_id").agg(F.min("outcome").alias("outcome"), F.array_sort(F.collect_list(one)).alias("candidates"))
+    df = questions.select("question_id").join(per, "question_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unsupported")))
+    names = F.array_join(F.transform("candidates", lambda c: c["candidate_name"]), ", ")
+    subject = F.when(F.size("candidates") == 1, "a candidate").otherwise("candidates")
+    answer = F.when(F.col("outcome") == "supported", _said(IDENTIFIES, names=names, subject=subject)).when(F.col("outcome") == "partial", _said(PARTIAL, names=names)).otherwise(NOBODY)
+    cited = F.coalesce(F.array_distinct(F.flatten(F.transform("candidates", lambda c: c["citations"]))), F.array().cast("array<string>"))
+    says = F.create_map(*(F.lit(x) for pair in limitations.items() for x in pair))
+    short = F.when(F.col("outcome") == "supported", F.array().cast("array<string>")).otherwise(F.array(says[F.col("outcome")]))
+    return df.select("question_id", "outcome", answer.alias("answer"), cited.alias("answer_citations"), "candidates", short.alias("limitations"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestone.sources.shared import written
+
 
 #: Headings that a document's head may have.
 HEADER_HEADINGS = ["professional profile", "professional summary", "profile", "summary", "professional experience", "work experience", "employment history", "skills", "languages", "education", "certifications", "projects", "selected projects"]
@@ -107,3 +109,15 @@ def flattened(chunks: DataFrame) -> DataFrame:
 
 def unflattened(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("page_numbers", F.split("page_numbers", ",").cast("array<int>"))
+
+
+def in_order(rows: DataFrame, name: str, *then: str) -> DataFrame:
+    """rows with `place`, from 1: by the name whatever its case, then by the other columns, as summaries
+    (name, hash) and results of an ingestion (name, path, status) are listed. Places follow from counts
+    per range of names, so no task orders all rows."""
+    keys = [F.lower(F.col(name)), *map(F.col, then)]
+    ranged = rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id())
+    laid = written(ranged, "in-order")
+    before = laid.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    place = F.row_number().over(W.partitionBy("range").orderBy(*keys)) + F.col("before")
+    return laid.join(F.broadcast(before), "range").withColumn("place", place.cast("long")).drop("range", "before")

@@ -105,3 +105,25 @@ def report(*parts: tuple[str, DataFrame, str]) -> DataFrame:
     """Counts of problems per check: (check, frame, problem column)."""
     each = [df.groupBy(F.lit(name).alias("check"), F.col(column).alias("problem")).count() for name, df, column in parts]
     return reduce(DataFrame.union, each)
+
+
+def list_problems(plans: DataFrame, key: str, planned: str, count: str, described: str) -> DataFrame:
+    """(key, problem) of plans that name ids twice over, in the arrays planned and described: a wrong
+    count, repeats, ids out of order, and ids on one side only; a null array is empty."""
+    ids = {"planned": F.coalesce(planned, F.array().cast("array<string>")), "described": F.coalesce(described, F.array().cast("array<string>"))}
+    checks = [F.when(~F.size(ids["planned"]).eqNullSafe(F.col(count)), "wrong_count")]
+    for name, x in ids.items():
+        checks += [F.when(F.size(F.array_distinct(x)) < F.size(x), f"repeated_{name}"), F.when(F.array_sort(x) != x, f"unordered_{name}")]
+    checks += [F.when(F.size(F.array_except(ids["planned"], ids["described"])) > 0, "not_described"), F.when(F.size(F.array_except(ids["described"], ids["planned"])) > 0, "not_planned")]
+    return plans.select(key, F.explode(F.filter(F.array(*checks), lambda p: p.isNotNull())).alias("problem"))
+
+
+def described_plan(planned: DataFrame, described: DataFrame, key: str) -> DataFrame:
+    """The planned rows with what describes each, in order of the key; an error if either side has a key
+    that the other lacks, or a key twice."""
+    sides = planned.select(key, F.lit("planned").alias("side")).unionByName(described.select(key, F.lit("described").alias("side")))
+    counts = sides.groupBy(key).agg(F.count_if(F.col("side") == "planned").alias("p"), F.count_if(F.col("side") == "described").alias("d"))
+    wrong = counts.where("p != 1 OR d != 1").orderBy(key).head(5)
+    if wrong:
+        raise ValueError("plan and descriptions differ: " + ", ".join(f"{r[0]} ({r['p']} planned, {r['d']} described)" for r in wrong))
+    return planned.join(described, key).orderBy(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, chunking, evaluation, ingest, profiles, quality
+from lodestone.operators import answers, chunking, evaluation, ingest, profile_checks, profiles, quality
 from lodestone.plans import oracle_text as O
 from lodestone.plans.catalogue import _t, query
 
@@ -114,3 +114,25 @@ def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = n.select(F.format_string("candidate_%03d", key).alias("candidate_id"), (key + 1).alias("place"), F.when(key == 7, third).otherwise(F.col("n_name")).alias("full_name"))
     wanted = r.select(F.col("r_name").alias("scenario_id"), F.array(F.format_string("candidate_%03d", (F.col("r_regionkey") * 9).cast("int"))).alias("expected"))
     return profiles.plan_problems(slots, wanted, r.select(F.col("r_name").alias("name"), (F.col("r_regionkey") <= 2).alias("enabled")), 24)
+
+
+@query("""WITH n AS (SELECT n_regionkey AS r, list(n_name ORDER BY n_nationkey) AS planned, count(*) AS n FROM nation GROUP BY 1), s AS (SELECT n_regionkey AS r, list(n_name ORDER BY s_suppkey) AS described FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY 1),
+p AS (SELECT n.r, planned, n, coalesce(described, []) AS described FROM n LEFT JOIN s USING (r))
+SELECT r AS n_regionkey, problem FROM p, unnest([CASE WHEN len(planned) <> n THEN 'wrong_count' END, CASE WHEN len(list_distinct(planned)) < len(planned) THEN 'repeated_planned' END, CASE WHEN list_sort(planned) <> planned THEN 'unordered_planned' END,
+CASE WHEN len(list_distinct(described)) < len(described) THEN 'repeated_described' END, CASE WHEN list_sort(described) <> described THEN 'unordered_described' END, CASE WHEN len(list_filter(planned, lambda x: NOT list_contains(described, x))) > 0 THEN 'not_described' END,
+CASE WHEN len(list_filter(described, lambda x: NOT list_contains(planned, x))) > 0 THEN 'not_planned' END]) AS u(problem) WHERE problem IS NOT NULL""")
+def list_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of each region as a plan, those of its suppliers with a balance as what describes it."""
+    n, s = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier")
+    first = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    planned = n.groupBy("n_regionkey").agg(first("n_nationkey", "n_name").alias("planned"), F.count("*").cast("int").alias("n"))
+    owners = s.where("s_acctbal > 0").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    described = owners.groupBy("n_regionkey").agg(first("s_suppkey", "n_name").alias("described"))
+    return profile_checks.list_problems(planned.join(described, "n_regionkey", "left"), "n_regionkey", "planned", "n", "described")
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY lower(source), lang, doc_id) AS place FROM documents""")
+def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as an ingestion lists its results."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return ingest.in_order(d, "source", "lang", "doc_id").select("doc_id", "place")
