@@ -46,7 +46,7 @@ SIDE, CLASS_ROWS, WORD_ROWS, DICTIONARY = 32, 1 << 14, 1 << 15, 1 << 17
 BASE = 1 << 24
 #: Bytes of text of a training task at least (and eight times its weights), and tasks of a round at least.
 SHARE, LEAST = 48 << 20, 4
-#: Training tokens beyond which the model stays as large as it is; its weights then take about 0.37 GB in half precision.
+#: Training tokens beyond which the model stays as large as it is; its weights then take about 0.2 GB in half precision.
 MOST_TOKENS = 1 << 32
 BATCH = 8192
 END = K.U64(0x5851F42D4C957F2D)
