@@ -44,8 +44,8 @@ concat({_pick('c_custkey', FIRST)}, ' ', {_pick('c_custkey', LAST)}) AS name, co
 SECTIONS = " UNION ALL ".join(f"SELECT concat('k', {_text('key')}, '-{s}') AS chunk, concat('k', {_text('key')}) AS candidate, name, title, '{s}' AS section, {t} AS text, (key * 7 + {13 * i}) % 97 AS hundredths, n, segment, tongue, level, degree, field, role FROM {PROFILES}" for i, (s, t) in enumerate(_SECTIONS.items()))
 WHO = {
     "roles": "Which machinery candidates have accessibility experience?",
-    "numbers": "Who managed at least 8 engineers and is native in German?",
-    "names": "Compare Ada Lovelace and Alan Curie for a machinery designer role",
+    "numbers": "Who managed at least 8 engineers?",
+    "names": "Compare Ada Lovelace and Alan Curie for accessibility",
     "degree": "Who has an MSc in computer science?",
 }
 
@@ -126,8 +126,8 @@ def _single(text: str, each: list[tuple[str, float, str, str]], **asked: str) ->
 
 _PLANS = {
     "roles": _single(WHO["roles"], [("role:machinery", 1.25, "segment = 'machinery'", "whole"), ("term:accessibility", 1.0, "list_contains(terms, 'accessibility')", "whole")]),
-    "numbers": _single(WHO["numbers"], [("relation:language_proficiency:german+native", 1.5, _RELATION, "whole"), ("numeric:0:team_size:gte:8", 2.0, _TEAM, "numeric_")], asked_n="8", asked_tongue="'german'", asked_level="'native'", asked_relations="1"),
-    "names": _single(WHO["names"], [("identity:explicit-candidate", 2.0, "name IN ('Ada Lovelace', 'Alan Curie')", "1.0"), ("phrase:machinery designer", 1.25, _ROLE, "whole")], asked_segment="'machinery'", asked_role="'Designer'"),
+    "numbers": _single(WHO["numbers"], [("numeric:0:team_size:gte:8", 2.0, _TEAM, "numeric_")], asked_n="8"),
+    "names": _single(WHO["names"], [("identity:explicit-candidate", 2.0, "name IN ('Ada Lovelace', 'Alan Curie')", "1.0"), ("term:accessibility", 1.0, "list_contains(terms, 'accessibility')", "whole")]),
     "degree": _single(WHO["degree"], [("education:master_science:computer+science", 1.75, _FIELD, "whole")], asked_degree="'MSc'", asked_field="'computer science'"),
 }
 
