@@ -8,7 +8,6 @@ sections; what the tables lack comes as literal rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from lodestone.functions import vectors
 from lodestone.operators import answers, chunking, evaluation, ingest, profile_checks, profiles, quality, ranking, retrieval
 from lodestone.operators import evidence as E
 from lodestone.plans import oracle_text as O
-from lodestone.sources.shared import shared_dir, written
+from lodestone.sources.shared import scratch, written
 from lodestone.sources.vector_layout import VectorLayout
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +75,7 @@ def _topk(metric: str) -> None:
 def _topk_laid(metric: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The same rows from a layout by centroid, of which only the cells that can hold them are read."""
-        at = f"{shared_dir(spark)}/vector-layout-{uuid4().hex[:12]}"
+        at = scratch(spark, "vector-layout")
         layout = VectorLayout.build(_t(spark, sf_dir, "embeddings"), at, metric, id_col="vec_id")
         return layout.nearest(_first_vector(spark, sf_dir), 50).select("vec_id", "rank", F.round("distance", 6).alias("distance"))
 
@@ -700,11 +699,10 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS document_hash, CAST(min(CAST(doc_id AS VARCHAR)) AS VARCHAR) AS key FROM documents GROUP BY 1")
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after all documents have streamed in, each content once."""
-    from uuid import uuid4
 
     from lodestone.streaming import ingest as stream
 
-    at = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
+    at = scratch(spark, "ingest")
     path = f"{sf_dir}/documents.parquet"
     docs = stream.files(spark, path)
     stream.start(docs, "doc_id", "text", f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
