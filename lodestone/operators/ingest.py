@@ -59,7 +59,7 @@ def replaced(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def header_lines(text: Column, n: int = 20) -> Column:
-    return F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), 1, n)
+    return F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
 
 
 def is_name(line: Column, headings: list[str] = ()) -> Column:
