@@ -87,14 +87,21 @@ def canonical_terms(s: Column) -> Column:
 
 def surface_forms(term: str) -> list[str]:
     """Tokens that are one canonical term."""
-    ends = [term, *([f"{term}s"] if len(term) > 3 and not term.endswith("s") else []), *([f"{term[:-1]}ies"] if len(term) > 2 and term.endswith("y") else [])]
+    ends = [term, *([f"{term}s"] if len(term) > 3 and not term.endswith(("s", "ie")) else []), *([f"{term[:-1]}ies"] if len(term) > 2 and term.endswith("y") else [])]
     named = {"accessibility": ["accessible", "accessibility"], "manage": MANAGEMENT, "net": [".net"]}.get(term, [])
     return list(dict.fromkeys([*ends, *named, *(a for a, b in PROFICIENCY_ADVERBS.items() if b == term)]))
 
 
 def has_token(searchable: Column, forms: list[str]) -> Column:
     """Whether one of the tokens stands in a folded text without hyphens, found without cutting it into tokens."""
-    return searchable.rlike(rf"(?<![a-z0-9])(?<![a-z0-9]\.)(?:{'|'.join(map(re.escape, forms))})(?![a-z0-9+#])(?!\.[a-z0-9])")
+    end = r"(?![a-z0-9]|\.[a-z0-9])"
+    ends = {"c": r"(?![a-z0-9#]|\+\+|\.[a-z0-9])", "c++": "", "c#": ""}
+    words = [f"(?:{'|'.join(re.escape(f) for f in forms if f not in ends)}){end}"] if set(forms) - set(ends) else []
+    words += [re.escape(f) + e for f, e in ends.items() if f in forms]
+    found = searchable.rlike(rf"(?<![a-z0-9])(?<![a-z0-9]\.)(?:{'|'.join(words)})")
+    # Behind the token .net the next one may follow at once.
+    cut = F.arrays_overlap(F.regexp_extract_all(searchable, F.lit(TOKEN), F.lit(0)), array(forms))
+    return F.when(F.contains(searchable, F.lit(".net")), cut).otherwise(found)
 
 
 def searchable(s: Column) -> Column:
