@@ -36,10 +36,15 @@ def reject_conflicts(hits: DataFrame) -> None:
         raise ValueError(f"candidate {bad[0]['candidate_id']} has conflicting names or titles")
 
 
+def steady_sum(x: Column) -> Column:
+    """A sum of a group's few numbers in one order, so that equal numbers have equal sums."""
+    return F.aggregate(F.array_sort(F.collect_list(x)), F.lit(0.0), lambda a, b: a + b)
+
+
 def candidates(hits: DataFrame, matches: DataFrame, total_weight: float, n_conditions: int, limit: int = 15) -> DataFrame:
     """Candidates by score: coverage, quality and semantic support, each in [0, 1]."""
     base = hits.groupBy("candidate_id").agg(F.max("semantic").alias("semantic_support"), F.max("combined").alias("best_combined"), F.min("rank").alias("best_rank"), F.count("*").alias("n_hits"))
-    got = matches.groupBy("candidate_id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("strength")).alias("q"), F.count("*").alias("n_matched"))
+    got = matches.groupBy("candidate_id").agg(steady_sum(F.col("weight")).alias("w"), steady_sum(F.col("weight") * F.col("strength")).alias("q"), F.count("*").alias("n_matched"))
     df = base.join(got, "candidate_id", "left").fillna(0, ["w", "q", "n_matched"])
     if n_conditions:
         df = df.withColumn("coverage", clamp(F.col("w") / total_weight)).withColumn("quality", clamp(F.col("q") / total_weight))

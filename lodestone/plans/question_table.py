@@ -256,7 +256,7 @@ def candidates(hits: DataFrame, best: DataFrame, wanted: DataFrame, limit: int =
     """Each question's candidates by score."""
     total = wanted.groupBy(*ID).agg(F.sum("weight").alias("total"), F.count("*").alias("n_conditions"))
     base = hits.groupBy("question_id", "candidate_id").agg(F.max("semantic").alias("semantic_support"), F.max("combined").alias("best_combined"), F.min("rank").alias("best_rank"), F.count("*").alias("n_hits"), F.min("candidate_name").alias("candidate_name"), F.min("professional_title").alias("professional_title"))
-    got = best.groupBy("question_id", "candidate_id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("strength")).alias("s"), F.count("*").alias("n_matched"))
+    got = best.groupBy("question_id", "candidate_id").agg(ranking.steady_sum(F.col("weight")).alias("w"), ranking.steady_sum(F.col("weight") * F.col("strength")).alias("s"), F.count("*").alias("n_matched"))
     df = base.join(total, "question_id", "left").join(got, ["question_id", "candidate_id"], "left").fillna(0, ["w", "s", "n_matched", "n_conditions"])
     some = F.col("n_conditions") > 0
     df = df.withColumns({"coverage": F.when(some, T.clamp(F.col("w") / F.col("total"))).otherwise(0.0), "quality": F.when(some, T.clamp(F.col("s") / F.col("total"))).otherwise(0.0)})
