@@ -129,7 +129,8 @@ def numeric(clauses: Column, value: Column | float, operator: Column | str = "eq
         places = F.sequence(F.lit(0), F.size(clause) - 1)
 
         def at(i: Column) -> Column:
-            ok = F.coalesce(satisfies(operator, value, T.number(F.get(clause, i)), operator_before(clause, i)), F.lit(False))
+            found = T.number(F.get(clause, i))  # first, as few words are numbers
+            ok = found.isNotNull() & F.coalesce(satisfies(operator, value, found, operator_before(clause, i)), F.lit(False))
             return ok & reduce(or_, ((kind == name) & f(clause, i) for name, f in tests.items())) if related else ok
 
         return F.exists(places, at)
@@ -138,6 +139,28 @@ def numeric(clauses: Column, value: Column | float, operator: Column | str = "eq
     return F.when(proven, 1.0).when((kind == "generic") & F.exists(clauses, lambda c: test(c, False)), 0.1).otherwise(0.0)
 
 
+def numbers(clauses: Column) -> Column:
+    """Each number in clauses with its own comparison, what it counts, and the terms around it."""
+
+    def each(clause: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(clause) - 1), lambda i: T.number(F.get(clause, i)).isNotNull())
+        return F.transform(places, lambda i: F.struct(
+            T.number(F.get(clause, i)).alias("value"), operator_before(clause, i).alias("operator"), is_team_size(clause, i).alias("team_size"),
+            is_experience(clause, i).alias("experience_duration"), F.transform(T.window(clause, i, 8), T.canonical).alias("near"),
+        ))
+
+    return F.flatten(F.transform(clauses, each))
+
+
+def numeric_of(found: Column, value: Column, operator: Column, relation: Column, context: Column) -> Column:
+    """`numeric` of a text whose `numbers` are known; context: families of terms."""
+    ok = lambda n: F.coalesce(satisfies(operator, value, n["value"], n["operator"]), F.lit(False))
+    around = lambda n: 2 * F.size(F.filter(context, lambda w: F.arrays_overlap(n["near"], w))) >= F.size(context)
+    related = lambda n: ((relation == "generic") & around(n)) | reduce(or_, ((relation == k) & n[k] for k in ("team_size", "experience_duration")))
+    proven = F.exists(found, lambda n: ok(n) & related(n))
+    return F.when(proven, 1.0).when((relation == "generic") & F.exists(found, ok), 0.1).otherwise(0.0)
+
+
 def language_relation(clauses: Column, language: Column | str, proficiency: Column | str, canonical: bool = False) -> Column:
     """Both terms within three tokens of one clause; not the native of cloud-native. canonical: of the clauses' tokens."""
 

@@ -7,9 +7,9 @@ support, each window within its question. A hit meets its question's
 conditions in a join on question_id; what a condition tests follows from its
 kind and payload columns.
 
-Supplements need every chunk's exact evidence for every question. The stated
-questions meet all chunks in blocks of BLOCK, each small enough to broadcast,
-and a chunk goes on only with the questions for which it has evidence.
+Supplements need every text's exact evidence for every question. The stated
+questions meet all different texts in blocks of BLOCK, each small enough to
+broadcast, and a text goes on only with the questions for which it has evidence.
 """
 
 from __future__ import annotations
@@ -129,8 +129,8 @@ def named(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
-    """chunks with tokens, canonical tokens and clauses, once for all questions."""
-    return chunks.withColumns({"tokens": T.tokens(F.col("text")), "clauses": T.clauses(F.col("text"))}).withColumns({"normal": F.array_join("tokens", " "), "plain": F.transform("tokens", T.canonical), "plain_clauses": F.transform("clauses", lambda c: F.transform(c, T.canonical))})
+    """chunks with tokens, canonical tokens, clauses and their numbers, once for all questions."""
+    return chunks.withColumns({"tokens": T.tokens(F.col("text")), "clauses": T.clauses(F.col("text"))}).withColumns({"normal": F.array_join("tokens", " "), "plain": F.transform("tokens", T.canonical), "plain_clauses": F.transform("clauses", lambda c: F.transform(c, T.canonical)), "stated": E.numbers(F.col("clauses"))})
 
 
 def _share(items: Column, test) -> Column:
@@ -139,13 +139,13 @@ def _share(items: Column, test) -> Column:
 
 def scores(q: Column) -> dict[str, Column]:
     """lexical, numeric and contextual of a prepared chunk for the question in the struct q."""
-    plain, clauses = F.col("plain"), F.col("clauses")
+    plain = F.col("plain")
     units, languages, phrases, numbers = (q[c] for c in ("units", "languages", "phrases", "numbers"))
     n = F.size(units) + F.size(languages)
     got = _share(units, lambda u: F.arrays_overlap(plain, u)) + _share(languages, lambda x: E.language_relation(F.col("plain_clauses"), x["language"], x["level"], True))
     said = _share(phrases, lambda p: F.instr(F.col("normal"), p) > 0) / F.greatest(F.size(phrases), F.lit(1))
     lexical = F.least(F.lit(1.0), F.when(n > 0, got / n).otherwise(0.0) + 0.15 * said)
-    each = F.transform(numbers, lambda x: E.numeric(clauses, x["value"], x["operator"], x["relation"], x["context"]))
+    each = F.transform(numbers, lambda x: E.numeric_of(F.col("stated"), x["value"], x["operator"], x["relation"], x["context"]))
     numeric = F.when(F.size(numbers) > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(numbers)).otherwise(0.0)
     return {"lexical": lexical, "numeric": numeric, "contextual": F.exists(each, lambda x: x == 1.0)}
 
@@ -165,36 +165,50 @@ def _slices(questions: DataFrame) -> list[DataFrame]:
     return [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
+def _texts(chunks: DataFrame) -> DataFrame:
+    """The different texts, prepared, each with the last of its chunks' ids, which stands for it."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = chunks.groupBy("text").agg(F.max("chunk_id").alias("last")).repartition(parts, "last")
+    return written(prepared(texts).drop("tokens", "clauses"), "question-texts")
+
+
 def _supplements(chunks: DataFrame, facts: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
-    """Per question the chunks outside its hits with the best exact evidence, at most `limit`."""
-    order = [F.desc("contextual"), F.desc("numeric"), F.desc("lexical"), F.desc("combined"), F.desc("chunk_id")]
-    first = W.partitionBy(*ID).orderBy(*order)
+    """Per question the chunks outside its hits with the best exact evidence, at most `limit`.
+
+    Copies have the same evidence, so each different text is scored once. The best `most`
+    chunks are of the best `most` texts, by scores and then the last chunk of each.
+    """
+    scored = ["contextual", "numeric", "lexical", "combined"]
+    first = lambda c: W.partitionBy(*ID).orderBy(*map(F.desc, [*scored, c]))
     most = limit + Limits().raw_most
+    texts = _texts(chunks)
     out = None
     for part in _slices(facts):
         packed = part.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(64)).alias("block")).agg(F.collect_list(_question(part)).alias("qs")).select("qs")
         each = F.filter(F.transform("qs", lambda q: F.struct(q["question_id"].alias("question_id"), q.alias("q"), *(v.alias(k) for k, v in scores(q).items()))), lambda x: F.when(F.size(x["q"]["numbers"]) > 0, x["numeric"] > 0).otherwise(x["lexical"] > 0))
-        met = chunks.crossJoin(F.broadcast(packed)).select("chunk_id", F.inline(each)).withColumn("semantic", F.lit(0.0))
-        best = met.withColumn("combined", combined(F.col("q"))).drop("q").withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+        met = texts.crossJoin(F.broadcast(packed)).select("last", F.inline(each)).withColumn("semantic", F.lit(0.0))
+        best = met.withColumn("combined", combined(F.col("q"))).drop("q", "semantic").withColumn("place", F.row_number().over(first("last"))).where(F.col("place") <= most).drop("place")
         out = best if out is None else out.unionByName(best)
-    rest = out.join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    return rest.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).drop("place")
+    best = written(out, "question-best-texts")
+    found = texts.join(best.select("last").distinct(), "last").select("text", "last")
+    copies = chunks.select("text", "chunk_id").join(found, "text").select("last", "chunk_id")
+    copies = copies.withColumn("place", F.row_number().over(W.partitionBy("last").orderBy(F.desc("chunk_id")))).where(F.col("place") <= most).drop("place")
+    rest = best.join(copies, "last").join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+    return rest.withColumn("place", F.row_number().over(first("chunk_id"))).where(F.col("place") <= limit).select("question_id", "chunk_id")
 
 
 def assisted(chunks: DataFrame, facts: DataFrame, k: int = 50, metric: str = "cosine", limit: int = retrieval.SUPPLEMENTS) -> DataFrame:
     """Hits and supplements of every question, one per candidate and text, ranked within the question.
 
-    chunks: prepared; facts: from `parsed`, with the column `query`, the question's vector.
+    facts: from `parsed`, with the column `query`, the question's vector.
     """
     near = retrieval.nearest_many(chunks, facts.select("question_id", "query"), k, metric)
     near = written(near.select("question_id", "chunk_id", "distance", F.col("rank").alias("raw_rank")), "question-hits")
-    extra = _supplements(chunks, facts, near, limit)
     own = near.withColumn("semantic", vectors.relevance(F.col("distance"), metric)).drop("distance").withColumn("is_supplemental", F.lit(False))
-    met = own.join(facts.select("question_id", _question(facts)), "question_id").join(chunks, "chunk_id").withColumns(scores(F.col("q"))).withColumn("combined", combined(F.col("q")))
-    kept = ["question_id", "chunk_id", "semantic", "lexical", "numeric", "contextual", "combined", "raw_rank", "is_supplemental"]
-    rest = [c for c in chunks.columns if c not in ("chunk_id", "embedding")]
-    more = extra.withColumns({"raw_rank": F.lit(None).cast("int"), "is_supplemental": F.lit(True)}).join(chunks, "chunk_id")
-    pool = met.select(*kept, *rest).unionByName(more.select(*kept, *rest))
+    extra = _supplements(chunks, facts, near, limit).withColumns({"semantic": F.lit(0.0), "raw_rank": F.lit(None).cast("int"), "is_supplemental": F.lit(True)})
+    # Written, as only the chunks that were found are prepared.
+    found = written(own.unionByName(extra).join(chunks.drop("embedding"), "chunk_id"), "question-found")
+    pool = prepared(found).join(facts.select("question_id", _question(facts)), "question_id").withColumns(scores(F.col("q"))).withColumn("combined", combined(F.col("q"))).drop("q")
     place = F.coalesce("raw_rank", F.lit(10_000))
     first = W.partitionBy(*ID, "candidate_id", "normal").orderBy(F.desc("combined"), "is_supplemental", place, F.desc("chunk_id"))
     order = W.partitionBy(*ID).orderBy(F.desc("combined"), F.desc("contextual"), F.desc("numeric"), F.desc("lexical"), F.desc("semantic"), place, F.desc("chunk_id"))
@@ -227,7 +241,7 @@ def _role(tokens: Column, words: Column) -> Column:
 
 def strength(c: Column) -> Column:
     """How much a hit supports the condition in the struct c; 0 where it doesn't meet it."""
-    plain, clauses, tokens = F.col("plain"), F.col("clauses"), F.col("tokens")
+    plain, tokens = F.col("plain"), F.col("tokens")
     whole = T.clamp(E.strength(F.col("lexical"), F.col("semantic"), F.col("combined")))
     n = c["number"]
     same = F.get(tokens, (F.array_position(plain, c["term"]) - 1).cast("int")) == c["term"]
@@ -235,7 +249,7 @@ def strength(c: Column) -> Column:
     met = lambda x: F.when(F.coalesce(x, F.lit(False)), whole).otherwise(0.0)
     return (
         F.when(c["kind"] == "identity", F.when(F.array_contains(c["names"], T.normalized(F.coalesce("candidate_name", F.lit("")))), 1.0).otherwise(0.0))
-        .when(c["kind"] == "numeric", F.when(E.numeric(clauses, n["value"], n["operator"], n["relation"], n["context"]) == 1.0, T.clamp(F.col("numeric"))).otherwise(0.0))
+        .when(c["kind"] == "numeric", F.when(E.numeric_of(F.col("stated"), n["value"], n["operator"], n["relation"], n["context"]) == 1.0, T.clamp(F.col("numeric"))).otherwise(0.0))
         .when(c["kind"] == "relation", met(E.language_relation(F.col("plain_clauses"), c["language"], c["level"], True)))
         .when(c["kind"] == "education", met(F.col("section_name").isin(*DEGREE_SECTIONS) & _degree(tokens, c["degrees"], c["fields"])))
         .when(c["kind"].isin("role", "phrase"), met(_role(tokens, c["role"])))
@@ -274,7 +288,7 @@ def ask_all(chunks: DataFrame, questions: DataFrame, k: int | None = None, pool:
 def evidence(chunks: DataFrame, questions: DataFrame, k: int | None = None, metric: str = "cosine") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each question's merged hits, its conditions, and the best hit of each candidate and condition."""
     facts = written(parsed(questions), "question-facts")
-    hits = written(assisted(prepared(chunks), facts, Limits().raw(k), metric), "question-pool")
+    hits = written(assisted(chunks, facts, Limits().raw(k), metric), "question-pool")
     clash = ranking.conflicts(hits.select(F.concat_ws(" in ", "candidate_id", "question_id").alias("candidate_id"), "candidate_name", "professional_title"))
     if bad := clash.orderBy("candidate_id").head(1):
         raise ValueError(f"candidate {bad[0]['candidate_id']} has conflicting names or titles")
