@@ -98,34 +98,48 @@ def named(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(question_id, name): every name (column name) whose normal form stands in a question's (question_id, text).
 
     It may begin or end within a word of the question, as a plain search of the text
-    would find it. No question meets all names: the stretches of a question's words, as
-    many as names have, with every end of their first and every beginning of their
-    last word, are joined with the names by equality.
+    would find it. No question meets all names: the different words of all questions are
+    joined by equality with the names' first words (which may end them) and last words
+    (which may begin them). A stretch of a question's words is looked up among the names
+    only from such a first to such a last word, so a question has few stretches.
     """
     wanted = names.select("name", T.normalized(F.col("name")).alias("normal")).where("normal <> ''").distinct()
-    wanted = wanted.withColumn("n", F.size(F.split("normal", " ")))
+    wanted = written(wanted.withColumn("w", F.split("normal", " ")).withColumn("n", F.size("w")), "names")
     sizes = sorted(r[0] for r in wanted.select("n").distinct().collect())
-    words = F.col("words")
-    upto = lambda n: F.sequence(F.lit(1), n)
-    ends = lambda w: F.transform(upto(F.length(w)), lambda i: F.right(w, i))
-    begins = lambda w: F.transform(upto(F.length(w)), lambda i: F.left(w, i))
-
-    def stretches(n: int) -> Column:
-        def keys(at: Column) -> Column:
-            first, last = F.get(words, at), F.get(words, at + (n - 1))
-            if n == 1:
-                return F.flatten(F.transform(ends(first), begins))
-            inner = F.slice(words, at + 2, n - 2)
-            return F.flatten(F.transform(ends(first), lambda a: F.transform(begins(last), lambda b: F.array_join(F.concat(F.array(a), inner, F.array(b)), " "))))
-
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(starts, keys))
-
     if not sizes:
         return questions.select("question_id").crossJoin(wanted.select("name")).limit(0)
-    asked = questions.select("question_id", T.tokens(F.col("text")).alias("words"))
-    keys = asked.select("question_id", F.explode(F.array_distinct(F.concat(*map(stretches, sizes)))).alias("normal"))
-    return keys.join(wanted.select("name", "normal"), "normal").select("question_id", "name").distinct()
+    asked = written(questions.select("question_id", T.tokens(F.col("text")).alias("words")).withColumn("form", F.xxhash64("words")), "questions-words")
+    key = ["question_id", "form"]
+    upto = F.sequence(F.lit(1), F.length("word"))
+    word = asked.select(F.explode("words").alias("word")).distinct()
+    ends, begins = F.transform(upto, lambda i: F.right("word", i)), F.transform(upto, lambda i: F.left("word", i))
+    inner = F.flatten(F.transform(upto, lambda i: F.transform(F.sequence(F.lit(1), F.length("word") - i + 1), lambda n: F.substring(F.col("word"), i, n))))
+
+    def parts(kind: str, cuts: Column, of: Column, which: str) -> DataFrame:
+        known = wanted.where(which).select(of.alias("part")).distinct()
+        return word.select("word", F.explode(F.array_distinct(cuts)).alias("part")).join(known, "part").select("word", F.lit(kind).alias("kind"), "part")
+
+    known = parts("first", ends, F.element_at("w", 1), "n > 1").union(parts("last", begins, F.element_at("w", -1), "n > 1")).union(parts("whole", inner, F.col("normal"), "n = 1"))
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("part"))).alias(kind)
+    known = written(known.groupBy("word").agg(of("first"), of("last"), of("whole")), "names-parts")
+    marks = asked.select(*key, F.posexplode("words").alias("at", "word")).join(known, "word").groupBy(*key).agg(*(F.collect_list(F.struct("at", kind)).alias(kind) for kind in ("first", "last", "whole")))
+    some = lambda kind: F.filter(kind, lambda x: F.size(x[kind]) > 0)
+
+    def stretches(n: int) -> Column:
+        """From every first word the stretches of n words that end in a last one."""
+        def keys(a: Column) -> Column:
+            ends_at = F.filter("last", lambda b: b["at"] == a["at"] + (n - 1))
+            middle = F.slice("words", a["at"] + 2, n - 2)
+            said = lambda x, y: F.array_join(F.concat(F.array(x), middle, F.array(y)), " ")
+            return F.flatten(F.transform(ends_at, lambda b: F.flatten(F.transform(a["first"], lambda x: F.transform(b["last"], lambda y: said(x, y))))))
+
+        return F.flatten(F.transform("first", keys))
+
+    whole = F.flatten(F.transform("whole", lambda x: x["whole"]))
+    marks = marks.select(*key, *(some(kind).alias(kind) for kind in ("first", "last", "whole"))).join(asked.dropDuplicates(key), key)
+    said = marks.select("question_id", F.explode(F.array_distinct(F.concat(whole, *(stretches(n) for n in sizes if n > 1)))).alias("normal"))
+    # Neither side is broadcast by a guess: an exploded side is far larger than its source.
+    return written(said, "questions-stretches").join(wanted.select("name", "normal"), "normal").select("question_id", "name").distinct()
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
