@@ -161,7 +161,8 @@ def squeeze(s: Column) -> Column:
 
 def word_text(s: Column) -> Column:
     """Lower case, runs of other than word characters as one space."""
-    return F.trim(F.regexp_replace(F.lower(s), r"(?U)[^\w]+", " "))
+    plain = F.octet_length(s) == F.length(s)
+    return F.trim(F.when(plain, F.regexp_replace(F.lower(s), r"[^\w]+", " ")).otherwise(F.regexp_replace(F.lower(s), r"(?U)[^\w]+", " ")))
 
 
 def slug(s: Column) -> Column:

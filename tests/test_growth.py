@@ -24,3 +24,21 @@ def test_small_files_are_dealt_to_all_cores(spark, tmp_path):
     assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 40).select(F.col("id"))
     assert spread(many) is many
+
+
+def test_facts_are_compared_with_the_words_of_each_row(spark):
+    from lodestone.operators import quality
+
+    docs = spark.createDataFrame([(1, ["abcd", "x"]), (2, ["zabcdz", "x", "y"]), (3, None), (4, [""]), (5, ["x"])], "d long, words array<string>")
+    facts = spark.createDataFrame([("a", ["abcd", "x"]), ("b", ["y", "x"]), ("c", ["none", "x"]), ("d", [""]), ("e", None)], "f string, words array<string>")
+    rows = quality.proving_documents(docs, facts, "d", "f")
+    assert {tuple(r) for r in rows.collect()} == {("a", 2), ("b", 1)}
+    twice = docs.union(docs.where("d = 1"))
+    assert {tuple(r) for r in quality.proving_documents(twice, facts, "d", "f").collect()} == {("a", 3), ("b", 1)}
+
+
+def test_plain_and_other_texts_have_the_same_words(spark, tmp_path):
+    at = documents(spark, tmp_path, ["Ab_c, 12-x\t(É) ", "Ab_c, 12-x\t() ", "ÀB…c", "", None, " ab ", "áb c", "İx Ab"])
+    spark.createDataFrame([(1, "ab"), (2, "ab_c 12"), (3, "àb"), (4, "x")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    next((tmp_path / "b").glob("*.parquet")).rename(tmp_path / "benchmark.parquet")
+    compare(spark, at, catalogue.queries()["fact_token_coverage"], catalogue.oracle_sql()["fact_token_coverage"])
