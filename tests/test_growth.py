@@ -42,3 +42,10 @@ def test_plain_and_other_texts_have_the_same_words(spark, tmp_path):
     spark.createDataFrame([(1, "ab"), (2, "ab_c 12"), (3, "àb"), (4, "x")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "b"))
     next((tmp_path / "b").glob("*.parquet")).rename(tmp_path / "benchmark.parquet")
     compare(spark, at, catalogue.queries()["fact_token_coverage"], catalogue.oracle_sql()["fact_token_coverage"])
+
+
+def test_numbers_are_found_once_for_all_wanted_ones(spark, sf):
+    df = catalogue.queries()["numeric_operators"](spark, sf)
+    assert compare(spark, sf, catalogue.queries()["numeric_operators"], catalogue.oracle_sql()["numeric_operators"]) == df.count()
+    assert plan(df).count("split(") == 1
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
