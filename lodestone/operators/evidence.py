@@ -152,6 +152,20 @@ def numbers(clauses: Column) -> Column:
     return F.flatten(F.transform(clauses, each))
 
 
+NUMBERS = "array<struct<value: double, operator: string, team_size: boolean, experience_duration: boolean, near: array<string>>>"
+
+
+def numbers_of_text(text: Column) -> Column:
+    """`numbers` of a text's clauses. Most texts without any are told by one search; what isn't ASCII may fold to a number's name."""
+    found = numbers(T.clauses(text))
+    return F.when(text.rlike(rf"(?i)[0-9]|[^\x00-\x7f]|{'|'.join(T.NUMBER_WORDS)}"), found).when(text.isNotNull(), F.array().cast(NUMBERS))
+
+
+def families(context: list[str]) -> Column:
+    """Families of terms, as `numeric_of` takes them."""
+    return F.array(*(T.array(family(w)) for w in context)).cast("array<array<string>>")
+
+
 def numeric_of(found: Column, value: Column, operator: Column, relation: Column, context: Column) -> Column:
     """`numeric` of a text whose `numbers` are known; context: families of terms."""
     ok = lambda n: F.coalesce(satisfies(operator, value, n["value"], n["operator"]), F.lit(False))

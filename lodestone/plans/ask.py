@@ -27,7 +27,11 @@ DEGREE_MARKS = ["bachelor", "bsc", "bs", "master", "msc", "ms", "phd"]
 
 def features(chunks: DataFrame, q: Question) -> DataFrame:
     """chunks with lexical, numeric, contextual and the token columns that conditions test."""
-    df = chunks.withColumn("__t", T.tokens(F.col("text"))).withColumn("__c", T.clauses(F.col("text"))).withColumn("__p", F.transform("__t", T.canonical))
+    df = chunks
+    if q.numbers:
+        # Through a generator, so that filters on scores don't search the text again.
+        df = df.select("*", F.explode(F.array(E.numbers_of_text(F.col("text")))).alias("__n"))
+    df = df.withColumn("__t", T.tokens(F.col("text"))).withColumn("__c", T.clauses(F.col("text"))).withColumn("__p", F.transform("__t", T.canonical))
     units = [t for t in q.terms if not any(t in r for r in q.languages)]
     n = len(units) + len(q.languages)
     got = sum((F.when(E.matched(F.col("__p"), t), 1.0).otherwise(0.0) for t in units), F.lit(0.0))
@@ -35,12 +39,12 @@ def features(chunks: DataFrame, q: Question) -> DataFrame:
     normal = F.array_join("__t", " ")
     phrases = sum((F.when(F.instr(normal, p) > 0, 1.0).otherwise(0.0) for p in q.phrases), F.lit(0.0)) / max(1, len(q.phrases))
     lexical = F.least(F.lit(1.0), (got / n if n else F.lit(0.0)) + 0.15 * phrases)
-    scores = [E.numeric(F.col("__c"), x.value, x.operator, x.relation, list(x.context)) for x in q.numbers]
+    scores = [E.numeric_of(F.col("__n"), F.lit(float(x.value)), F.lit(x.operator), F.lit(x.relation), E.families(x.context)) for x in q.numbers]
     numeric = sum(scores, F.lit(0.0)) / len(scores) if scores else F.lit(0.0)
     contextual = F.lit(False)
     for s in scores:
         contextual = contextual | (s == 1.0)
-    return df.withColumn("lexical", lexical).withColumn("numeric", numeric).withColumn("contextual", contextual)
+    return df.withColumn("lexical", lexical).withColumn("numeric", numeric).withColumn("contextual", contextual).drop("__n")
 
 
 def _degree(tokens: Column, aliases: tuple[str, ...], fields: tuple[str, ...]) -> Column:

@@ -12,7 +12,7 @@ from lodestone.plans import question_table as QT
 from lodestone.plans.ask import assisted, ask, matches
 from lodestone.plans.catalogue import query
 from lodestone.plans.questions import analyze, conditions
-from lodestone.sources.shared import written
+from lodestone.sources.shared import spread, written
 
 FIRST, LAST = "Ada Alan Grace Kurt Emmy Carl Maria Paul Rosa Hugo".split(), "Lovelace Turing Hopper Goedel Noether Gauss Curie Erdos Peters Steiner Keller Meyer Weber".split()
 RANKS, ROLES, VERBS = ["Junior", "Senior", "Principal"], ["Engineer", "Developer", "Designer", "Analyst"], ["Managed", "Led", "Supervised"]
@@ -52,7 +52,8 @@ WHO = {
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of customers as an index of chunks."""
-    rows = spark.sql(SECTIONS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    rows = spark.sql(SECTIONS.replace("FROM customer", "FROM {customer}"), customer=customer)
     x = F.col("hundredths") / 100
     return rows.select(
         F.col("chunk").alias("chunk_id"), F.col("candidate").alias("candidate_id"), F.col("name").alias("candidate_name"), F.col("title").alias("professional_title"),
