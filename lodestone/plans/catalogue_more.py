@@ -14,7 +14,7 @@ from lodestone.sources.shared import spread
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each as one page, cut into chunks."""
-    pages = _t(spark, sf_dir, "documents").select(ingest.fingerprint(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text"))).alias("document_hash"), F.lit(1).alias("page_number"), chunking.page_text(F.col("text")).alias("text"))
+    pages = spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select(ingest.fingerprint(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text"))).alias("document_hash"), F.lit(1).alias("page_number"), chunking.page_text(F.col("text")).alias("text"))
     return chunking.chunk_documents(pages)
 
 

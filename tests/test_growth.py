@@ -70,3 +70,7 @@ def test_a_questions_numbers_are_found_once(spark, sf):
     assert plan(scored).count("Filter exists(") <= 1 and scored.count() > 0
     for name in ("ask_numbers", "ask_numbers_evidence"):
         assert compare(spark, sf, catalogue.queries()[name], catalogue.oracle_sql()[name]) > 0
+
+
+def test_documents_of_a_small_file_are_dealt_out_before_they_are_cut(spark, sf):
+    assert "Repartition" in plan(catalogue.queries()["chunk_documents"](spark, sf))
