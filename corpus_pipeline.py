@@ -20,6 +20,9 @@ from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.substring_dedup import ADDED, substring_dedup
 
+#: Keys that are broadcast at most, 8 bytes each; more are joined by a shuffle of the texts.
+FEW = 1 << 21
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned ones reject.
@@ -52,9 +55,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = _keyed(docs)
     ids = keyed.groupBy("k").agg(F.min("i").alias("i"), F.count("*").alias("n"))
     linked = ngram_join(keyed.select("k", "text"), "k").groupBy("k").agg(F.min("component_id").alias("c"))
-    stay = linked.join(ids, "k").groupBy("c").agg(F.min(F.struct("i", "k", "n")).alias("x")).select("x.k", "x.n")
-    once = keyed.join(stay.where("n = 1").select("k"), "k", "left_semi")
-    more = keyed.join(stay.where("n > 1").select("k"), "k", "left_semi").dropDuplicates(["k"])
+    stay = linked.join(ids, "k").groupBy("c").agg(F.min(F.struct("i", "k")).alias("x")).select("x.k", F.lit(True).alias("stays"))
+    # The keys of rows that go or repeat; where there are few, texts stay where they are.
+    fate = written(ids.join(stay, "k", "left").where("stays IS NULL OR n > 1").select("k", "stays"), "fate")
+    sent = F.broadcast if fate.count() <= FEW else lambda x: x
+    once = keyed.join(sent(fate.select("k")), "k", "left_anti")
+    more = keyed.join(sent(fate.where("stays").select("k")), "k", "left_semi").dropDuplicates(["k"])
     return _back(once.unionByName(more), docs)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import sketch
-from lodestone.llm.common import LEAST_ID, id_key, written
+from lodestone.llm.common import LEAST_ID, discard, id_key, written
 from lodestone.llm.components import components
 
 
@@ -98,13 +98,22 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _ordered(reps: DataFrame, percent: int) -> DataFrame:
-    """(node, n, need, tokens) of possible partners, tokens in the global order as (place, token)."""
+    """(node, n, need, counts, tokens) of possible partners, tokens by their numbers of documents.
+
+    Numbers and tokens are two lists of one aggregate, so their rows match; as
+    lists of structs they would take three times the room on their way.
+    """
     post = reps.select("node", F.explode("tokens").alias("token"))
-    df = post.groupBy("token").count().where("count > 1")
-    place = (F.col("count") + (F.col("token") / F.lit(float(1 << 64)) + 0.5)).alias("place")
-    lists = post.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(place, F.col("token")))).alias("tokens"))
+    df = post.groupBy("token").agg(F.count("*").cast("int").alias("count")).where("count > 1")
+    lists = post.join(df, "token").groupBy("node").agg(F.collect_list("count").alias("counts"), F.collect_list("token").alias("tokens"))
     need = F.expr(f"({percent} * n + 99) div 100").alias("need")
-    return written(lists.join(reps.select("node", "n"), "node").select("node", "n", need, "tokens").where(F.size("tokens") >= F.col("need")), "ordered-sets")
+    return written(lists.join(reps.select("node", "n"), "node").select("node", "n", need, "counts", "tokens").where(F.size("tokens") >= F.col("need")), "ordered-sets")
+
+
+def _placed(ordered: DataFrame) -> DataFrame:
+    """(node, n, need, tokens), tokens in the global order as (place, token)."""
+    place = "transform(arrays_zip(counts, tokens), t -> named_struct('place', t.counts + (t.tokens / double('18446744073709551616') + 0.5D), 'token', t.tokens))"
+    return ordered.select("node", "n", "need", F.sort_array(F.expr(place)).alias("tokens"))
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +175,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _signed(keyed, n, percent)
     classes = written(sets.where("n > 0").groupBy("s", "s2", "n").agg(F.min("k").alias("rep"), F.min("node").alias("node")), "classes")
     reps = sets.where(F.col("tokens").isNotNull()).select("node", "n", "tokens").join(classes.select("node"), "node", "left_semi")
-    ordered = _ordered(reps, percent)
+    stored = _ordered(reps, percent)
+    ordered = _placed(stored)
+    named = written(sets.select("k", "n", "s", "s2"), "names")
+    discard(sets)
 
     cuts = ordered.select(F.explode("tokens.place").alias("p")).agg(F.percentile_approx("p", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -174,6 +186,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     segments = written(ordered.select("node", F.explode(cut).alias("c")).select("node", "c.f", "c.t").where(F.size("t") > 0), "segments")
     places = F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1).token")).alias("i", "token")
     prefix = written(ordered.select("node", "n", F.size("tokens").cast("long").alias("r"), places).select("node", "n", (F.col("r") - F.col("i")).alias("left"), "token"), "prefixes")
+    discard(stored)
 
     # One other document of each prefix shingle: the one with most room.
     room = F.expr(f"{100 + percent} * left - {percent} * n").alias("o")
@@ -208,8 +221,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = classes.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = written(label.groupBy("label").agg(F.min("rep").alias("component")), "least")
-    named = label.join(least, "label").select("s", "s2", "n", "component")
-    out = sets.select("k", "n", "s", "s2").join(named, ["s", "s2", "n"], "left")
+    found = label.join(least, "label").select("s", "s2", "n", "component")
+    out = named.join(found, ["s", "s2", "n"], "left")
     return out.select(F.nullif("k", F.lit(LEAST_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "k"), F.lit(LEAST_ID)).alias("component_id"))
 
 

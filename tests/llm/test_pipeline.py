@@ -91,6 +91,27 @@ def test_near_duplicates_keep_one_row(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicates_leave_texts_where_they_are(spark, monkeypatch):
+    """With few keys that go or repeat no text is shuffled by its key; with many the same rows come."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (1, text), (1, text), (None, "a b c d e f g h"), (9, None), (10, ""), (10, ""), (11, text + " z")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(1, text), (None, "a b c d e f g h"), (9, None), (10, "")])
+    plans = []
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1 << 21, 0):
+            monkeypatch.setattr(corpus_pipeline, "FEW", most, raising=False)
+            out = corpus_pipeline.near_duplicates(spark, docs, "")
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plans[0]
+    assert "SortMergeJoin" in plans[1]
+
+
 def test_rows_with_repeated_or_null_ids(spark, sf):
     w = [f"w{i}" for i in range(80)]
     a, near_a, b, near_b, c = " ".join(w[:40]), " ".join([*w[:39], "x"]), " ".join(w[40:]), " ".join([*w[40:79], "y"]), " ".join(f"c{i}" for i in range(40))
