@@ -51,17 +51,20 @@ BLOCKS = "block int, fan int, counts binary"
 LEAST_BITS, MOST_BITS = 16, 26
 #: Parts of the keys in which candidates are sent, by powers of two.
 PART_BITS = 8
+#: Bytes of text at once, and numbers of a row of runs, about: Parquet takes a hundred rows
+#: into a page before it looks at their size, and its readers and writers hold whole pages.
+SLICE, PIECE = 250_000, 1 << 13
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, K.Words, np.ndarray, np.ndarray]]:
     """Slices of (text, language's hash, ..) with their words, the words' hashes by language, and where a piece ends."""
     for batch in batches:
-        for b in K.slices(batch, 0):
+        for b in K.slices(batch, 0, SLICE):
             w = K.Words(*K.buffers(b.column(0)), lower=True, blank=IS_GAP)
             if not len(w.start):
                 continue
             h = K.mix(w.hashes() ^ np.asarray(b.column(1)).view(K.U64)[w.doc])
-            seen = np.concatenate([[0], np.cumsum(IS_END[w.data])])
+            seen = np.concatenate([np.zeros(1, np.int32), np.cumsum(IS_END[w.data], dtype=np.int32)])
             ends = np.ones(len(h), bool)
             ends[:-1] = seen[w.start[1:]] > seen[w.end[:-1]]
             ends[w.first[1:][w.counts > 0] - 1] = True
@@ -124,6 +127,18 @@ def _run(numbers: np.ndarray) -> bytes:
     return numbers[~gap | np.concatenate([[True], ~gap[:-1]])[: len(gap)]].astype("<i4").tobytes()
 
 
+def _pieces(keys: np.ndarray) -> Iterator[slice]:
+    """Parts of about PIECE keys that end with a zero, so that no pair lies across a cut; what has no zeros stays whole."""
+    ends, at = np.flatnonzero(keys == 0) + 1, 0
+    while len(keys) - at > PIECE:
+        i = int(np.searchsorted(ends, at + PIECE))
+        if i == len(ends) or ends[i] == len(keys):
+            break
+        yield slice(at, int(ends[i]))
+        at = int(ends[i])
+    yield slice(at, len(keys))
+
+
 def _numbered(rows: DataFrame, keys: Callable, found: P.Index) -> DataFrame:
     """The runs of slots of the keys that `keys` gives, group by group of the index."""
     spark = rows.sparkSession
@@ -134,10 +149,11 @@ def _numbered(rows: DataFrame, keys: Callable, found: P.Index) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch], g: int = g, slots=slots) -> Iterator[pa.RecordBatch]:
             for have, part in _resolved(batches, keys, g):
                 new = np.where(have >= 0, have, slots.value.of(part))
-                if g < groups[-1]:
-                    yield pa.RecordBatch.from_pydict({"keys": pa.array([part.tobytes()], pa.binary()), "run": pa.array([new.tobytes()], pa.binary())})
-                elif (new >= 0).any():
-                    yield pa.RecordBatch.from_pydict({"run": pa.array([_run(new)], pa.binary())})
+                for x in _pieces(part):
+                    if g < groups[-1]:
+                        yield pa.RecordBatch.from_pydict({"keys": pa.array([part[x].tobytes()], pa.binary()), "run": pa.array([new[x].tobytes()], pa.binary())})
+                    elif (new[x] >= 0).any():
+                        yield pa.RecordBatch.from_pydict({"run": pa.array([_run(new[x])], pa.binary())})
 
         rows = written(rows.mapInArrow(task, "keys binary, run binary" if g < groups[-1] else "run binary"), "phrase-runs")
     return rows
@@ -173,7 +189,7 @@ def _hot(runs: DataFrame, least: int, bits: int) -> np.ndarray:
         for k in _pair_keys(batches):
             held.append(_bucket(k[k > 0], bits))
             size += len(held[-1])
-            if size > 1 << 21:
+            if size > 1 << 19:
                 fold(held)
                 held, size = [], 0
         if held:

@@ -56,6 +56,33 @@ def test_equals_counting_every_phrase(spark, monkeypatch, longest, least, top, m
     assert got == plain(given, longest, least, top)
 
 
+@pytest.mark.parametrize("most", [1 << 22, 64])
+def test_short_slices_and_pieces_change_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(P.index, "__defaults__", (most, 16))
+    monkeypatch.setattr(M, "SLICE", 60, raising=False)
+    monkeypatch.setattr(M, "PIECE", 5, raising=False)
+    given = rows(seed=2, n=150)
+    docs = spark.createDataFrame([(t, la) for t, la in given], "text string, lang string").repartition(3)
+    assert sorted(map(tuple, M.collocations(docs, least=3, most=most).collect())) == plain(given, 5, 3, 2000)
+
+
+def test_rows_of_runs_are_short(spark, monkeypatch):
+    """Parquet holds pages of a hundred rows at least, so rows of runs must not grow with the text."""
+    sizes, written = [], M.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "phrase-runs":
+            sizes.extend(out.select(F.max(F.octet_length("run"))).first())
+        return out
+
+    monkeypatch.setattr(M, "written", seen)
+    docs = spark.range(1).select(F.repeat(F.lit("new york, of the city. "), 20_000).alias("text"), F.lit("en").alias("lang"))
+    got = {r.phrase: r.a for r in M.collocations(docs).collect()}
+    assert got == {"new york": 20_000, "of the city": 20_000}
+    assert sizes and max(sizes) < 64_000
+
+
 def test_large_products_are_exact(spark):
     big = (1 << 40) + 7
     row = spark.range(1).select(F.lit(big).alias("a"), F.lit(big * 9000).alias("n"), F.array(F.lit(big + 2)).alias("firsts"), F.array(F.lit(big + 11)).alias("lasts"))
