@@ -2,11 +2,10 @@
 
 Trees are fitted on a bounded sample of the vectors: a node's direction is the
 difference of two sampled vectors below it, its threshold the median of the
-sample's projections. Every vector has a leaf in each tree. A query walks all
-trees from one priority queue: whatever branch of any tree has the least sum of
-squared distances to the thresholds crossed so far is opened next, until
-`leaves` leaves have been met. Their vectors are reranked by their exact inner
-products in double precision.
+sample's projections. Every vector has a leaf in each tree. A query meets the
+leaves of all trees in the order of one priority queue, least sum of squared
+distances to the thresholds crossed first, until `leaves` leaves have been met.
+Their vectors are reranked by their exact inner products in double precision.
 
 `leaves` is measured, not guessed: for a bounded sample of queries the true
 neighbours are found among all vectors, in blocks, and it becomes the least
@@ -14,14 +13,21 @@ number with which at least `recall` of these are met. Longer vectors would win
 by length alone, so trees see each vector with one coordinate more, which makes
 all of one length (this changes no order of inner products).
 
-How it is spread: leaves are dealt out over tasks, each with the packed vectors
-of the leaf and the packed queries that visit it; a task multiplies the two and
-keeps each query's best. Of equal vectors only the first k + 1 ids can be an
-answer, so no others are indexed, and equal queries are searched once. Leaves
-of more than about `block` vectors are split and asked in parts.
+How it is spread: branches of at most about 4 * `block` vectors are dealt out
+over tasks, each with the branch's vectors in order of their leaves. A query
+goes once to each branch in which it meets a leaf, with one bit for each leaf
+of it; leaf by leaf, the vectors are multiplied with the queries that meet it.
+A query's k + 1st best among the seeds it meets (seeds: a sixteenth of the
+vectors, as far as SEED_BYTES go) is a bound that its answer can't fall below,
+so only vectors that reach it leave the task. Of equal vectors only the first
+k + 1 ids can be an answer, so no others are indexed, and equal queries are
+searched once. Leaves of more than about `block` vectors are split and asked in
+parts.
 
 Bounds: the sample is at most about `fit` vectors, so the broadcast forest has
 at most trees * fit / LEAF_SAMPLE directions; `asked` bounds the sampled queries.
+Where vectors have no clusters a query meets a fixed share of all of them, so
+the products grow with queries times vectors, in tasks of bounded size.
 
 Equality of the 64-bit hash of a query's vector stands for its equality.
 
@@ -35,7 +41,6 @@ columns are dropped.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +51,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import col, written
 
 LEAF_SAMPLE = 16
-PACK = "tree int, leaf int, part int, asks boolean, ids binary, vectors binary"
+PACK = "tree int, branch int, part int, asks boolean, ids binary, vectors binary, leaves binary, least binary"
 BEST = "q long, v long, score double"
 HELD = 1 << 19
+#: Units of work there are at least, where trees are deep enough; bytes of the seeds at most; scores held at once.
+LEAST_BRANCHES, SEED_BYTES, SCORES = 16, 1 << 26, 1 << 21
 
 
 class Forest:
@@ -93,26 +100,33 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
+    def costs(self, x: np.ndarray) -> np.ndarray:
+        """Of each query, what each leaf of each tree costs: the squared distances to all thresholds crossed."""
+        q = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
+        out = np.zeros((len(q), self.trees, 1))
+        if not self.depth:
+            return out
+        margin = (q @ self.direction.reshape(-1, q.shape[1]).T).reshape(len(q), self.trees, -1) - self.threshold
+        for level in range(self.depth):
+            gap = margin[:, :, (1 << level) - 1 : (2 << level) - 1]
+            cost, near = gap * gap, gap >= 0
+            out = np.stack([out + cost * near, out + cost * ~near], axis=-1).reshape(len(q), self.trees, -1)
+        return out
+
     def visits(self, x: np.ndarray, leaves: int) -> Iterator[list[tuple[int, int]]]:
         """Of each query, the (tree, leaf)s in the order in which the shared queue gives them."""
-        q = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
-        inner = (1 << self.depth) - 1
-        for at in range(0, len(q), 256):
-            margin = np.einsum("qd,tnd->qtn", q[at : at + 256], self.direction, optimize=True) - self.threshold
-            for m in margin:
-                m = m.tolist()
-                queue = [(0.0, t, 0) for t in range(self.trees)]
-                met: list[tuple[int, int]] = []
-                while queue and len(met) < leaves:
-                    cost, t, node = heapq.heappop(queue)
-                    own = m[t]
-                    while node < inner:
-                        gap = own[node]
-                        near = 2 * node + 1 + (gap >= 0)
-                        heapq.heappush(queue, (cost + gap * gap, t, 4 * node + 3 - near))
-                        node = near
-                    met.append((t, node - inner))
-                yield met
+        for at in range(0, len(x), 256):
+            cost = self.costs(x[at : at + 256])
+            order = np.argsort(cost.reshape(len(cost), -1), axis=1, kind="stable")[:, :leaves]
+            for row in order.tolist():
+                yield [(i >> self.depth, i & ((1 << self.depth) - 1)) for i in row]
+
+    def met(self, x: np.ndarray, leaves: int) -> np.ndarray:
+        """Of each query, whether a leaf of a tree is among the first `leaves` (with all that cost as much as the last)."""
+        cost = self.costs(x)
+        flat = cost.reshape(len(x), -1)
+        leaves = min(leaves, flat.shape[1])
+        return cost <= np.partition(flat, leaves - 1, axis=1)[:, leaves - 1, None, None]
 
 
 def _matrix(column: pa.Array, wide: int) -> np.ndarray:
@@ -137,8 +151,31 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 class _Kept:
     """The best of what was offered, folded now and then."""
 
-    def __init__(self, k: int):
-        self.k, self.parts, self.size = k, [], 0
+    def __init__(self, k: int, ids: np.ndarray | None = None, asks: np.ndarray | None = None, least: np.ndarray | None = None):
+        """ids, asks and least: of the queries that `reach` is called for, the least score that counts."""
+        self.k, self.parts, self.size, self.room = k, [], 0, HELD
+        self.ids, self.asks, self.least = ids, asks, None if least is None else least.copy()
+
+    def reach(self, rows: np.ndarray, vids: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors for some of the queries, by their places: what is as near as the least or nearer."""
+        step, long = max(1, SCORES // len(vids)), np.sqrt((vectors * vectors).sum(1).max())
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            asks, least = self.asks[r], self.least[r]
+            room = 1e-9 * (1 + np.abs(least)) + 1e-12 * long * np.linalg.norm(asks, axis=1)
+            i, j = np.nonzero(asks @ vectors.T >= (least - room)[:, None])
+            if len(i):
+                self.parts.append((self.ids[r[i]], vids[j], (asks[i] * vectors[j]).sum(1)))
+                self.size += len(i)
+            if self.size > self.room:
+                self.fold()
+                self.room = max(HELD, 2 * self.size)
+                q, _, s = self.parts[0]
+                order = np.argsort(self.ids)
+                full, last = np.unique(q, return_index=True)[0], np.flatnonzero(np.append(q[1:] != q[:-1], True))
+                whole = np.diff(np.append(-1, last)) == self.k
+                place = order[np.searchsorted(self.ids, full[whole], sorter=order)]
+                self.least[place] = np.maximum(self.least[place], s[last[whole]])
 
     def offer(self, ids: np.ndarray, asks: np.ndarray, vids: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(ids), 512):
@@ -209,19 +246,34 @@ def _leaves(forest: Forest, rows: DataFrame, asked: DataFrame, wide: int, k: int
     return need[min(len(need) - 1, int(np.ceil(recall * len(need))))]
 
 
-def _packs(leaf: np.ndarray, tree: int, ids: np.ndarray, x: np.ndarray, part: np.ndarray, asks: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of each leaf and part of a tree, packed."""
-    order = np.lexsort((part, leaf))
-    leaf, part, ids, x = leaf[order], part[order], ids[order], x[order]
-    cut = np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])) + 1
-    at = [0, *cut.tolist(), len(leaf)]
-    spans = [(i, j) for i, j in zip(at[:-1], at[1:], strict=True) if i < j]
-    if spans:
-        heads = [i for i, _ in spans]
-        yield pa.RecordBatch.from_pydict({
-            "tree": pa.array(np.full(len(spans), tree, np.int32)), "leaf": pa.array(leaf[heads].astype(np.int32)), "part": pa.array(part[heads].astype(np.int32)), "asks": pa.array([asks] * len(spans)),
-            "ids": pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()), "vectors": pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()),
-        })
+def _seeds(base: DataFrame, n: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sixteenth of the vectors, as far as the bytes go: ids, each once, and vectors."""
+    rows = _sampled(base, n, min(n // 16, SEED_BYTES // (8 * wide))).select("id", "v").toArrow().combine_chunks().to_batches()
+    if not rows:
+        return np.empty(0, np.int64), np.empty((0, wide))
+    ids, first = np.unique(np.asarray(rows[0].column(0)).astype(np.int64), return_index=True)
+    return ids, _matrix(rows[0].column(1), wide)[first]
+
+
+def _least(q: np.ndarray, met: np.ndarray, seeds: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Each query's kth best score among the seeds in leaves that it meets; own: the leaf of each seed in each tree."""
+    out = np.full(len(q), -np.inf)
+    step = max(1, SCORES // max(1, len(seeds)))
+    for at in range(0, len(q) if len(seeds) >= k else 0, step):
+        some = met[at : at + step]
+        here = np.zeros((len(some), len(seeds)), bool)
+        for t in range(some.shape[1]):
+            here |= some[:, t].take(own[:, t], axis=1)
+        score = np.where(here, q[at : at + step] @ seeds.T, -np.inf)
+        out[at : at + step] = np.partition(score, len(seeds) - k, axis=1)[:, len(seeds) - k]
+    return out
+
+
+def _pack(tree: int, branch: np.ndarray, part: int, asks: bool, *columns: list[bytes]) -> pa.RecordBatch:
+    """Rows of a tree, one for each of the branches."""
+    n, heads = len(branch), (np.int32(tree), None, np.int32(part))
+    first = [pa.array(branch.astype(np.int32) if h is None else np.full(n, h)) for h in heads]
+    return pa.RecordBatch.from_arrays([*first, pa.array([asks] * n, pa.bool_()), *(pa.array(c, pa.binary()) for c in columns)], names=["tree", "branch", "part", "asks", "ids", "vectors", "leaves", "least"])
 
 
 def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.94, trees: int = 4, leaf: int = 512, fit: int = 20_000, asked: int = 200, block: int = 1 << 14) -> DataFrame:
@@ -248,46 +300,70 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     forest = Forest(sample, trees if depth else 1, depth, longest)
     leaves = _leaves(forest, base, _sampled(one, m, asked), wide, k, recall)
     parts = max(1, -(-n // (block << depth)))
-    step = max(1, (1 << 18) // leaves)
-    shared, kind = spark.sparkContext.broadcast(forest), "<f4" if single else "<f8"
+    # branches start at level `top`, with `below` levels in each
+    top = min(depth, max(int(np.ceil(np.log2(LEAST_BRANCHES))), int(np.ceil(np.log2(max(1.0, n / (4 * block)))))))
+    below = depth - top
+    kind, most = "<f4" if single else "<f8", k + 1
+    seeds = _seeds(base, n, wide)[1]
+    shared = spark.sparkContext.broadcast((forest, seeds, forest.leaf(seeds)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value[0]
         for b in batches:
             ids, x = np.asarray(b.column(0)).astype("<i8"), _matrix(b.column(1), wide)
-            at = shared.value.leaf(x)
-            for t in range(at.shape[1]):
-                yield from _packs(at[:, t], t, ids, x.astype(kind), ids % parts, False)
+            at, part = own.leaf(x), ids % parts
+            for t in range(own.trees):
+                for p in np.unique(part):
+                    rows = np.flatnonzero(part == p)
+                    rows = rows[np.argsort(at[rows, t], kind="stable")]
+                    leaf = at[rows, t].astype("<i4")
+                    branch, first = np.unique(leaf >> below, return_index=True)
+                    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True))
+                    yield _pack(t, branch, int(p), False, *([c[i:j].tobytes() for i, j in spans] for c in (ids[rows], x[rows].astype(kind), leaf)), [b""] * len(spans))
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seeds, seeds_at = shared.value
+        step = max(1, min(4096, (1 << 22) // (own.trees << depth)))
         for b in batches:
             for some in range(0, b.num_rows, step):
                 c = b.slice(some, step)
                 ids, x = np.asarray(c.column(0)).astype("<i8"), _matrix(c.column(1), wide)
-                met = [(i, t, leaf) for i, own in enumerate(shared.value.visits(x, leaves)) for t, leaf in own]
-                row, tree, at = np.array(met, np.int64).reshape(-1, 3).T
-                for t in np.unique(tree):
-                    mine = tree == t
+                met = own.met(x, leaves)
+                least = _least(x, met, seeds, seeds_at, most) - 1e-12 * own.longest * np.linalg.norm(x, axis=1)
+                inside = met.reshape(len(x), own.trees, 1 << top, 1 << below)
+                for t in range(own.trees):
+                    branch = np.flatnonzero(inside[:, t].any((0, 2)))
+                    rows = [np.flatnonzero(inside[:, t, i].any(1)) for i in branch]
+                    columns = [[ids[r].tobytes() for r in rows], [x[r].astype(kind).tobytes() for r in rows], [np.packbits(inside[r, t, i], axis=1).tobytes() for r, i in zip(rows, branch, strict=True)], [least[r].astype("<f8").tobytes() for r in rows]]
                     for p in range(parts):
-                        yield from _packs(at[mine], int(t), ids[row[mine]], x[row[mine]].astype(kind), np.full(int(mine.sum()), p), True)
+                        yield _pack(t, branch, p, True, *columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, key, ids, x = _Kept(k + 1), None, [], []
+        key, held = None, []
         for b in batches:
-            for tree, leaf, part, asks, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                i, v = np.frombuffer(i, "<i8"), np.frombuffer(v, kind).reshape(-1, wide).astype(np.float64)
-                if (tree, leaf, part) != key:
-                    key, ids, x = (tree, leaf, part), [], []
+            for tree, branch, part, asks, i, v, at, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (tree, branch, part) != key:
+                    key, held = (tree, branch, part), []
+                i, v = np.frombuffer(i, "<i8"), np.frombuffer(v, kind).reshape(-1, wide)
                 if not asks:
-                    ids.append(i)
-                    x.append(v)
-                elif ids:
-                    if len(ids) > 1:
-                        ids, x = [np.concatenate(ids)], [np.concatenate(x)]
-                    kept.offer(i, v, ids[0], x[0])
-        yield from kept.rows()
+                    held.append((i, v, np.frombuffer(at, "<i4") & ((1 << below) - 1)))
+                elif held:
+                    if len(held) > 1:
+                        ids, x, leaf = (np.concatenate(c) for c in zip(*held, strict=True))
+                        order = np.argsort(leaf, kind="stable")
+                        held = [(ids[order], x[order], leaf[order])]
+                    ids, x, leaf = held[0]
+                    cut = np.searchsorted(leaf, np.arange((1 << below) + 1)).tolist()
+                    met = np.unpackbits(np.frombuffer(at, np.uint8).reshape(len(i), -1), axis=1, count=1 << below).astype(bool)
+                    kept = _Kept(most, i, v.astype(np.float64), np.frombuffer(least, "<f8"))
+                    for n, (start, end) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                        if start < end:
+                            kept.reach(np.flatnonzero(met[:, n]), ids[start:end], x[start:end].astype(np.float64))
+                    yield from kept.rows()
 
     packs = base.mapInArrow(placed, PACK).unionByName(one.select("q", "v").repartition("q").mapInArrow(asking, PACK))
-    found = packs.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "asks").mapInArrow(search, BEST)
+    units = min((forest.trees << top) * parts, 2000)
+    found = packs.repartition(units, "tree", "branch", "part").sortWithinPartitions("tree", "branch", "part", "asks").mapInArrow(search, BEST).repartition("q")
     best = _ranked(found, k + 1).groupBy("q").agg(F.collect_list(F.struct("v", "score")).alias("best"))
     own = queries.select("id", F.xxhash64("v").alias("q")).join(best, "q").select("id", F.explode("best").alias("x")).where("x.v <> id")
     answer = own.select(F.col("id").alias("q"), "x.v", "x.score")

@@ -113,3 +113,14 @@ def test_the_queue_gives_leaves_in_order_of_cost():
                 node = up
             cost.append(total)
         assert all(a <= b + 1e-12 for a, b in zip(cost, cost[1:], strict=False))
+
+
+def test_queries_go_to_branches_and_not_to_each_leaf(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    got, want = answers(M.nearest(frame(spark, rows), every=2, leaf=16)), plain(rows, 100, 20)
+    assert len(got) == 3000 and sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+    assert moved() - before < 40_000_000
